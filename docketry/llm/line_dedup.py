@@ -63,7 +63,7 @@ def _reassemble(min_chars: int):
                     n_dropped.append(0)
                     continue
                 lines = raw.split(b"\n")
-                bad = {np.array([x["h1"], x["h2"]], dtype="<i8").tobytes() for x in gone}
+                bad = {gone[i : i + 16] for i in range(0, len(gone), 16)}
                 kept = [x for x in lines if line_key(x, min_chars) not in bad]
                 texts.append(b"\n".join(kept))
                 n_lines.append(len(lines))
@@ -73,13 +73,50 @@ def _reassemble(min_chars: int):
     return run
 
 
+def _gone(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(doc_id, gone): the digests, one after the other, of the keys that a document loses; only documents that lose any."""
+    keys = spill(id_and_bytes(docs, id_col, text_col).mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long"), "line-keys", "lz4")
+    votes = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("home"))
+    bad = spill(votes.filter(F.col("n") >= min_docs).select("h1", "h2", "home"), "line-votes")
+    lost = keys.join(bad, ["h1", "h2"]).filter(F.col("doc_id") != F.col("home"))
+    return spill(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).mapInArrow(_join_digests, "doc_id long, gone binary"), "line-gone")
+
+
+def _join_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        blobs = [np.array([(x["h1"], x["h2"]) for x in own], dtype="<i8").tobytes() for own in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "gone"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): each document with the lines that stay, in their order."""
     ship(docs.sparkSession)
     raw = id_and_bytes(docs, id_col, text_col)
-    keys = spill(raw.mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long"), "line-keys")
-    votes = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("home"))
-    bad = votes.filter(F.col("n") >= min_docs).select("h1", "h2", "home")
-    gone = keys.join(bad, ["h1", "h2"]).filter(F.col("doc_id") != F.col("home")).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    gone = _gone(docs, id_col, text_col, min_chars, min_docs)
     out = raw.join(gone, "doc_id", "left").mapInArrow(_reassemble(min_chars), "doc_id long, kept binary, n_lines long, n_dropped long")
     return out.select("doc_id", F.col("kept").cast("string").alias("text"), "n_lines", "n_dropped")
+
+
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs with all their columns and rows, the text without the lines that go, and length_col (if there is one) its length. A null text stays null."""
+    ship(docs.sparkSession)
+    gone = _gone(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+
+    @F.pandas_udf("binary")
+    def kept(raw, lost):
+        import pandas as pd
+
+        out = []
+        for x, y in zip(raw, lost, strict=True):
+            bad = {y[i : i + 16] for i in range(0, len(y), 16)}
+            out.append(b"\n".join(line for line in x.split(b"\n") if line_key(line, min_chars) not in bad))
+        return pd.Series(out)
+
+    both = docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left")
+    # only texts that lose something go through Python
+    lost = F.col("__gone").isNotNull()
+    text = F.when(lost, kept(F.when(lost, F.col(text_col).cast("binary")).otherwise(F.lit(b"")), F.coalesce("__gone", F.lit(b""))).cast("string")).otherwise(F.col(text_col))
+    out = both.withColumn(text_col, text)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(lost, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.select(docs.columns)

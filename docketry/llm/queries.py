@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, decontam, line_dedup, minhash, quality, tokenfile, warc
+from docketry.llm import bpe, decontam, langid, line_dedup, minhash, quality, secret_scan, tokenfile, toxicity, warc
 from docketry.llm.common import read_table
 
 END_ID = 2
@@ -21,6 +21,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_predict(read_table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +56,6 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, files)
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_quality": op2_quality, "op6_minhash": op6_minhash, "op7_decontam": op7_decontam, "op8_bpe": op8_bpe, "op9_warc": op9_warc, "op10_token_ids": op10_token_ids}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_toxicity, op4_secrets, op5_langid, op6_minhash, op7_decontam, op8_bpe, op9_warc, op10_token_ids)}
+
 ORACLE_SQL: dict[str, str] = {}
