@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.text import EDGE, spans
+from docketry.functions.text import EDGE, let, spans
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _NAMES = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)}
@@ -110,28 +110,23 @@ def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Colum
     return F.transform(placed, lambda x: x["hit"])
 
 
-#: Dates of statement rows, day first whatever the order elsewhere: shape and format, first that fits.
-STATEMENT_DATES = (
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"),
-    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "d/M/yy"),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", "d-M-yy"),
-    (r"(?i)^[0-9]{1,2} [a-z]{3} [0-9]{4}$", "d MMM yyyy"),
-    (r"(?i)^[0-9]{1,2} [a-z]{3} [0-9]{2}$", "d MMM yy"),
-)
+#: Dates of statement rows, day first whatever the order elsewhere: numeric with one kind of separator, year first, or with a month's name.
+_DAY_FIRST = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{4})$"
+_SHORT = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{2})$"
+_YEAR_FIRST = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})$"
+_NAMED = r"(?i)^([0-9]{1,2}) (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec) ([0-9]{4}|[0-9]{2})$"
 
 
 def statement_date(cell: Column) -> Column:
-    """A cell as a date: a spreadsheet's day number (20000 to 80000), or one of STATEMENT_DATES."""
-    text = F.trim(F.regexp_replace(cell, r"(?U)\s+", " "))
-    serial = F.regexp_extract(text, r"^([0-9]{5})(?:\.0+)?$", 1)
-    number = F.nullif(serial, F.lit("")).cast("int")
-    out = [F.when(number.between(20_000, 80_000), F.date_add(F.lit("1899-12-30").cast("date"), number))]
-    for shape, form in STATEMENT_DATES:
-        value = F.when(text.rlike(shape), F.call_function("try_to_date", F.initcap(text), F.lit(form)))
-        # two digits of a year: 69 to 99 are of the 20th century
-        out.append(F.when(F.year(value) >= 2069, F.add_months(value, -1200)).otherwise(value) if form.endswith("yy") and not form.endswith("yyyy") else value)
-    return F.coalesce(*out)
+    """A cell as a date: a spreadsheet's day number (20000 to 80000), or one of the shapes above; two-digit years are 1969 to 2068."""
+
+    def parse(t):
+        pick = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
+        year = F.coalesce(pick(_DAY_FIRST, 4), pick(_YEAR_FIRST, 1), pick(_SHORT, 4), pick(_NAMED, 3))
+        month = F.coalesce(pick(_DAY_FIRST, 3), pick(_YEAR_FIRST, 3), pick(_SHORT, 3), month_number(F.regexp_extract(t, _NAMED, 2)).cast("string"))
+        day = F.coalesce(pick(_DAY_FIRST, 1), pick(_YEAR_FIRST, 4), pick(_SHORT, 1), pick(_NAMED, 1))
+        serial = pick(r"^([0-9]{5})(?:\.0+)?$", 1).cast("int")
+        century = F.when(F.length(year) == 4, 0).when(year.cast("int") >= 69, 1900).otherwise(2000)
+        return F.coalesce(F.when(serial.between(20_000, 80_000), F.date_add(F.lit("1899-12-30").cast("date"), serial)), date_of(year.cast("int") + century, month.cast("int"), day.cast("int")))
+
+    return let(F.trim(F.regexp_replace(cell, r"(?U)\s+", " ")), parse)

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketry.functions.text import let
+
 
 def parse_number(cell: Column) -> Column:
     """A cell's number: negative in parentheses or with a leading minus, whatever stands around the digits; null for blanks, `na`, dashes and two decimal points."""
-    text = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
-    digits = F.regexp_replace(text, "[^0-9.]", "")
-    number = F.when(F.regexp_count(digits, F.lit(r"\.")) <= 1, digits.try_cast("double"))
-    minus = (text.startswith("(") & text.endswith(")")) | text.startswith("-")
-    return F.when(F.lower(text).isin("", "na", "n/a", "-", "--"), F.lit(None)).otherwise(F.when(minus, -number).otherwise(number))
+
+    def parse(text):
+        number = let(F.regexp_replace(text, "[^0-9.]", ""), lambda d: F.when(F.regexp_count(d, F.lit(r"\.")) <= 1, d.try_cast("double")))
+        minus = (text.startswith("(") & text.endswith(")")) | text.startswith("-")
+        return F.when(~F.lower(text).isin("", "na", "n/a", "-", "--"), F.when(minus, -number).otherwise(number))
+
+    return let(F.regexp_replace(cell, r"(?U)^\s+|\s+$", ""), parse)
 
 
 def named_amount(text: Column, label: str) -> Column:

@@ -14,6 +14,11 @@ NOT_AFTER, NOT_BEFORE, EDGE, SPACES = r"(?<!(?U:\w))", r"(?!(?U:\w))", r"(?U:\b)
 PAGE_LINE = r"^\[\[PAGE:([0-9]+)\]\]$"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def quoted(term: str) -> str:
     return r"\Q" + term + r"\E"
 

@@ -12,7 +12,7 @@ PRODUCT = "-//Docketry//Commitments//EN"
 def escape(value: Column) -> Column:
     """Text as iCalendar wants it: line ends as \\n, then backslash, semicolon and comma escaped."""
     text = F.regexp_replace(F.coalesce(value, F.lit("")), r"\r\n?", "\n")
-    for plain, safe in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\n", "\\n")):
+    for plain, safe in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
         text = F.replace(text, F.lit(plain), F.lit(safe))
     return text
 

@@ -38,7 +38,7 @@ def rejections(judged: DataFrame) -> DataFrame:
 
 def document_outcomes(docs: DataFrame, judged: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """(path, candidates, commitments, warning): each document's count and why it has nothing to show, if it has nothing."""
-    counts = judged.groupBy("path").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("rejected_as is null").alias("commitments"), F.count_if(F.col("rejected_as") == V.HISTORICAL).alias("historical"))
+    counts = judged.groupBy("path").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("rejected_as").isNull()).alias("commitments"), F.count_if(F.col("rejected_as") == V.HISTORICAL).alias("historical"))
     out = docs.join(counts, "path", "left").fillna(0, ["candidates", "commitments", "historical"])
     has_statement = F.lit(False)
     if statements is not None:

@@ -31,13 +31,15 @@ def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
     gated = files.select("path", "content", "modified", policy.file_warning(F.col("path"), size, skip).alias("warning"))
     empty = policy.rejection(F.lit(V.NO_ACTION), F.col("path"), F.lit("empty file"))
     gated = gated.withColumn("warning", F.coalesce("warning", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, empty)))
+    # three branches read the classified documents; kept on the executors, computed again where one is lost
     seen = relevance.classify(gated.withColumn("content", F.when(F.col("warning").isNull(), F.col("content"))))
-    seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path")))))
+    seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path"))))).persist()
     good = seen.filter("warning is null")
     docs = good.select("path", "content", "modified", commitments.document_id(F.col("content")).alias("document_id"), F.col("relevance_domain").alias("domain"))
     judged = commitments.extract(docs, today, month_first)
     banks = good.filter(F.col("bank_score") >= relevance.STATEMENT_SCORE).select(F.col("path").alias("statement_id"), "content")
     summaries = statements.analyze(banks).withColumn("path", F.col("statement_id"))
     found = results.deduplicate(judged.filter("rejected_as is null").drop("rejected_as"))
-    outcomes = results.document_outcomes(seen.select("path", "warning"), judged, summaries)
+    have = statements.with_enough_rows(banks).select(F.col("statement_id").alias("path"))
+    outcomes = results.document_outcomes(seen.select("path", "warning"), judged, have)
     return Scan(results.ordered(found), judged, summaries, outcomes)

@@ -51,9 +51,9 @@ def header_name(cell: Column) -> Column:
 def header_map(cells: Column) -> Column:
     """map<field, 0-based column>: the first column of each field whose name is one of its aliases."""
     fields = F.create_map(*(x for field, names in V.HEADER_ALIASES.items() for n in names for x in (F.lit(n), F.lit(field))))
-    named = F.transform(cells, lambda c, i: F.struct(F.try_element_at(fields, header_name(c)).alias("field"), i.alias("i")))
-    first = F.transform(F.array(*(F.lit(f) for f in V.HEADER_ALIASES)), lambda f: F.struct(f.alias("field"), F.array_min(F.transform(F.filter(named, lambda x: x["field"] == f), lambda x: x["i"])).alias("i")))
-    return F.map_from_entries(F.filter(first, lambda x: x["i"].isNotNull()))
+    named = F.transform(cells, lambda c: F.coalesce(F.try_element_at(fields, header_name(c)), F.lit("")))
+    first = F.array(*(F.struct(F.lit(f).alias("field"), (F.array_position(named, f) - 1).cast("int").alias("i")) for f in V.HEADER_ALIASES))
+    return F.map_from_entries(F.filter(first, lambda x: x["i"] >= 0))
 
 
 def is_header(fields: Column) -> Column:
@@ -87,11 +87,14 @@ def _tx(date, description, amount, tx_type, balance=None) -> Column:
     return F.struct(date.alias("date"), description.alias("description"), amount.alias("amount"), tx_type.alias("tx_type"), (F.lit(None) if balance is None else balance).cast("double").alias("balance")).cast(_TX)
 
 
-def column_transaction(cells: Column, fields: Column) -> Column:
-    """The transaction of a row under a header, or null."""
-    get = lambda f: cell(cells, F.try_element_at(fields, F.lit(f)))
-    date, text = statement_date(get("date")), F.trim(F.substring(get("description"), 1, 100))
-    debit, credit, amount, kind = parse_number(get("debit")), parse_number(get("credit")), parse_number(get("amount")), F.lower(get("type"))
+def with_column_transaction(rows: DataFrame) -> DataFrame:
+    """rows with _tx from _cells and _fields: the transaction of a row under a header, or null.
+
+    The parts are columns of their own, so that each is computed once.
+    """
+    get = lambda f: cell(F.col("_cells"), F.try_element_at("_fields", F.lit(f)))
+    x = rows.withColumns({"_date": statement_date(get("date")), "_text": F.trim(F.substring(get("description"), 1, 100)), "_debit": parse_number(get("debit")), "_credit": parse_number(get("credit")), "_amount": parse_number(get("amount")), "_kind": F.lower(get("type")), "_balance": parse_number(get("balance"))})
+    debit, credit, amount, kind = F.col("_debit"), F.col("_credit"), F.col("_amount"), F.col("_kind")
     only_credit, only_debit = credit.isNotNull() & debit.isNull(), debit.isNotNull() & credit.isNull()
     tx_type = (
         F.when(only_credit, "credit")
@@ -99,30 +102,26 @@ def column_transaction(cells: Column, fields: Column) -> Column:
         .when((amount < 0) | (amount.isNotNull() & kind.rlike(r"\b(?:dr|debit|withdrawal)\b")), "debit")
         .when(amount.isNotNull() & kind.rlike(r"\b(?:cr|credit|deposit)\b"), "credit")
     )
-    value = F.when(only_credit, credit).when(only_debit, debit).otherwise(F.abs(amount))
-    return F.when(date.isNotNull() & (text != "") & tx_type.isNotNull() & (value > 0), _tx(date, text, value, tx_type, parse_number(get("balance"))))
-
-
-def flagged_transaction(cells: Column) -> Column:
-    """The transaction of a row without a header: a date first, then an amount with CR or DR in its cell or in one of its own."""
-    date = statement_date(F.try_element_at(cells, F.lit(1)))
-    rest = F.transform(F.slice(cells, 2, 1 << 20), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))
-    both = F.try_element_at(F.filter(rest, lambda x: x["c"].rlike(FLAGGED)), F.lit(1))
-    flag = F.try_element_at(F.filter(rest, lambda x: F.trim(x["c"]).rlike(FLAG)), F.lit(1))
-    numbers = F.filter(F.transform(rest, lambda x: F.struct(F.abs(x["i"] - flag["i"]).alias("away"), x["i"].alias("i"), parse_number(x["c"]).alias("v"))), lambda x: x["v"].isNotNull())
-    near = F.array_min(numbers)
+    x = x.withColumns({"_type": tx_type, "_value": F.when(only_credit, credit).when(only_debit, debit).otherwise(F.abs(amount))})
+    good = F.col("_date").isNotNull() & (F.col("_text") != "") & F.col("_type").isNotNull() & (F.col("_value") > 0)
+    out = x.withColumn("_tx", F.when(good, _tx(F.col("_date"), F.col("_text"), F.col("_value"), F.col("_type"), F.col("_balance"))))
+    return out.drop("_date", "_text", "_debit", "_credit", "_amount", "_kind", "_balance", "_type", "_value")
+
+
+def with_flagged_transaction(rows: DataFrame) -> DataFrame:
+    """rows with _tx from _cells: the transaction of a row without a header, a date first, then an amount with CR or DR in its cell or in one of its own."""
+    x = rows.withColumns({"_date": statement_date(F.try_element_at("_cells", F.lit(1))), "_rest": F.transform(F.slice("_cells", 2, 1 << 20), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))})
+    x = x.withColumns({"_both": F.try_element_at(F.filter("_rest", lambda r: r["c"].rlike(FLAGGED)), F.lit(1)), "_flag": F.try_element_at(F.filter("_rest", lambda r: F.trim(r["c"]).rlike(FLAG)), F.lit(1))})
+    numbers = F.filter(F.transform("_rest", lambda r: F.struct(F.abs(r["i"] - F.col("_flag.i")).alias("away"), r["i"].alias("i"), parse_number(r["c"]).alias("v"))), lambda r: r["v"].isNotNull())
+    x = x.withColumns({"_near": F.array_min(numbers), "_amount": parse_number(F.regexp_extract("_both.c", FLAGGED, 1))})
     kind = lambda t: F.when(F.lower(F.trim(t)).isin("cr", "credit"), "credit").otherwise("debit")
-
-    def text(skip):
-        return F.substring(F.trim(F.array_join(F.transform(F.filter(rest, lambda x: ~skip(x["i"])), lambda x: x["c"]), " ")), 1, 100)
-
-    def named(t):
-        return F.coalesce(F.nullif(t, F.lit("")), F.lit("Transaction"))
-
-    amount = parse_number(F.regexp_extract(both["c"], FLAGGED, 1))
-    first = F.when(amount.isNotNull(), _tx(date, named(text(lambda i: i == both["i"])), F.abs(amount), kind(F.regexp_extract(both["c"], FLAGGED, 2))))
-    second = F.when(flag.isNotNull() & near.isNotNull(), _tx(date, named(text(lambda i: (i == flag["i"]) | (i == near["i"]))), F.abs(near["v"]), kind(flag["c"])))
-    return F.when((F.size(cells) >= 3) & date.isNotNull(), F.when(both.isNotNull(), first).otherwise(second))
+    skip = lambda i: F.when(F.col("_both").isNotNull(), i == F.col("_both.i")).otherwise((i == F.col("_flag.i")) | (i == F.col("_near.i")))
+    text = F.substring(F.trim(F.array_join(F.transform(F.filter("_rest", lambda r: ~skip(r["i"])), lambda r: r["c"]), " ")), 1, 100)
+    x = x.withColumn("_text", F.coalesce(F.nullif(text, F.lit("")), F.lit("Transaction")))
+    first = F.when(F.col("_amount").isNotNull(), _tx(F.col("_date"), F.col("_text"), F.abs("_amount"), kind(F.regexp_extract("_both.c", FLAGGED, 2))))
+    second = F.when(F.col("_flag").isNotNull() & F.col("_near").isNotNull(), _tx(F.col("_date"), F.col("_text"), F.abs("_near.v"), kind(F.col("_flag.c"))))
+    good = (F.size("_cells") >= 3) & F.col("_date").isNotNull()
+    return x.withColumn("_tx", F.when(good, F.when(F.col("_both").isNotNull(), first).otherwise(second))).drop("_date", "_rest", "_both", "_flag", "_near", "_amount", "_text")
 
 
 # ---- tables
@@ -134,18 +133,18 @@ def rows_of(statements: DataFrame) -> DataFrame:
 
 
 def parse_rows(rows: DataFrame) -> DataFrame:
-    """rows with tx (null for other lines) and rejected (rows under a header that look like transactions but aren't)."""
+    """rows but headers, with tx (null for other lines) and rejected (rows under a header that look like transactions but aren't)."""
     own = rows.withColumn("_delimiter", delimiter_of(F.col("line")))
     own = own.withColumn("_cells", split_row(F.col("line"), F.col("_delimiter")))
     own = own.withColumn("_fields", header_map(F.col("_cells"))).withColumn("_is_header", is_header(F.col("_fields")))
     down = Window.partitionBy("statement_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("_header", F.last(F.when(F.col("_is_header"), F.struct("_fields", "_delimiter")), ignorenulls=True).over(down))
-    under = F.col("_header").isNotNull()
-    cells = split_row(F.col("line"), F.col("_header._delimiter"))
-    tx = F.when(F.col("_is_header"), F.lit(None).cast(_TX)).when(under, column_transaction(cells, F.col("_header._fields"))).otherwise(flagged_transaction(F.col("_cells")))
-    out = own.withColumn("tx", tx)
-    looks = statement_date(F.try_element_at("_cells", F.lit(1))).isNotNull()
-    return out.select("statement_id", "ord", "line", "tx", (under & ~F.col("_is_header") & F.col("tx").isNull() & looks).alias("rejected"))
+    own = own.withColumn("_header", F.last(F.when(F.col("_is_header"), F.struct("_fields", "_delimiter")), ignorenulls=True).over(down)).filter(~F.col("_is_header"))
+    base = own.select("statement_id", "ord", "line", "_cells", F.col("_header._fields").alias("_fields"), F.col("_header._delimiter").alias("_delimiter"), F.try_element_at("_cells", F.lit(1)).alias("_first"))
+    under = with_column_transaction(base.filter("_fields is not null").withColumn("_cells", split_row(F.col("line"), F.col("_delimiter"))))
+    free = with_flagged_transaction(base.filter("_fields is null"))
+    both = under.unionByName(free)
+    looks = F.col("_fields").isNotNull() & F.col("_tx").isNull() & statement_date(F.col("_first")).isNotNull()
+    return both.select("statement_id", "ord", "line", F.col("_tx").alias("tx"), looks.alias("rejected"))
 
 
 def distinct_transactions(parsed: DataFrame) -> DataFrame:
@@ -227,6 +226,12 @@ def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2)
     )
 
 
+def with_enough_rows(statements: DataFrame, min_rows: int = 2) -> DataFrame:
+    """(statement_id) of the statements that have a summary."""
+    tx = distinct_transactions(parse_rows(rows_of(statements)))
+    return tx.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).select("statement_id")
+
+
 def named_balances(statements: DataFrame, default_currency: str = "$") -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     return statements.select("statement_id", named_amount(text, "opening balance").alias("opening"), named_amount(text, "closing balance").alias("closing"), currency_of(text, default_currency).alias("currency"))
@@ -234,7 +239,8 @@ def named_balances(statements: DataFrame, default_currency: str = "$") -> DataFr
 
 def analyze(statements: DataFrame, default_currency: str = "$") -> DataFrame:
     """Summaries of (statement_id, content), with rows_rejected and the lists of categories, top expenses, recurring payments and the largest credit."""
-    parsed = parse_rows(rows_of(statements))
+    # eight aggregates read the parsed rows; kept on the executors, computed again where one is lost
+    parsed = parse_rows(rows_of(statements)).persist()
     tx = distinct_transactions(parsed)
     rejected = parsed.groupBy("statement_id").agg(F.count_if("rejected").alias("rows_rejected"))
     out = summarize(tx, named_balances(statements, default_currency)).join(rejected, "statement_id")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.plans import catalog
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLE_SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """What is due next: commitments in the notices, without repeats, in order."""
+    return catalog.dedup_best(spark, sf_dir)
