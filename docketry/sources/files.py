@@ -23,12 +23,16 @@ class Unreadable(ValueError):
     """A file that can't be read, with the reason that is shown."""
 
 
+def relative(path: str):
+    """The path column of a binary source under the folder `path`, relative to it."""
+    root = re.escape(path.rstrip("/") + "/")
+    return F.regexp_replace("path", "^(?:[a-z0-9]+:)?(?://[^/]*(?=/))?" + root if path.startswith("/") else "^" + root, "")
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, modified, warning) of a folder's files. Paths are relative to it; gates on names and sizes come before any bytes are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = "file:" + path.rstrip("/") + "/" if path.startswith("/") else path.rstrip("/") + "/"
-    name = F.regexp_replace("path", "^" + re.sub(r"([\\.^$|()\[\]{}*+?])", r"\\\1", root), "")
-    listed = raw.select(name.alias("path"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content")
+    listed = raw.select(relative(path).alias("path"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content")
     return decode(listed.withColumn("warning", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string"))).filter(~F.coalesce(F.col("warning").startswith(V.IGNORED_DIRECTORY), F.lit(False))))
 
 

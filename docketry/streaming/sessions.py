@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docketry.operators.policy import file_warning
 from docketry.operators.scan import scan
-from docketry.sources.files import decode
+from docketry.sources.files import decode, relative
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ENGINE = "docketry-1"
@@ -27,7 +27,7 @@ def run(spark: SparkSession, folder: str, state: str, today, month_first: bool =
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        listed = batch.select("path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string")).alias("warning"))
+        listed = batch.withColumn("path", relative(folder)).select("path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string")).alias("warning"))
         found = scan(decode(listed).persist(), today, month_first)
         found.commitments.write.mode("overwrite").parquet(f"{state}/commitments/batch={batch_id}")
         found.outcomes.withColumn("status", F.when(F.col("warning").isNull(), "done").otherwise("skipped")).write.mode("overwrite").parquet(f"{state}/outcomes/batch={batch_id}")
