@@ -155,26 +155,30 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, root) of all linked ids, root the smallest id reachable. Each round joins every node with the least
-    root among its neighbours and then with its root's root; ends when nothing changes."""
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
-    both = spill(both, "near-links")
-    roots = spill(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root")), "near-roots")
-    for _ in range(rounds):
-        r = roots.select(F.col("id").alias("b"), F.col("root").alias("next"))
-        # every node tells its neighbours its root, and tells its old root the least root it has heard of
-        heard = both.join(r, "b").groupBy("a").agg(F.min("next").alias("heard"))
-        near = roots.join(heard, F.col("id") == F.col("a"), "left").select("id", "root", F.least("root", "heard").alias("heard"))
-        told = near.select("id", "heard").union(near.filter("heard < root").select(F.col("root").alias("id"), "heard")).groupBy("id").agg(F.min("heard").alias("root"))
-        up = told.select(F.col("id").alias("up"), F.col("root").alias("top"))
-        after = told.join(up, F.col("root") == F.col("up"), "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"))
-        after = spill(after, "near-roots")
-        changed = after.join(roots.withColumnRenamed("root", "was"), "id").filter("root <> was").limit(1).count()
-        roots = after
-        if not changed:
+def merge(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(id, root) after the links are added to roots; root is the smallest id reachable. Ids that are their own root need no row.
+
+    Each round carries the links over to the roots of their ends and drops those that are closed, then every root hooks to the
+    least root it is linked with. Hooks always go to a smaller id, so they form trees, which are flattened by pointer jumping.
+    """
+    while True:
+        a, b = (None, None) if roots is None else (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        ends = links if roots is None else links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        links = spill(ends.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-links")
+        if links.isEmpty():
             return roots
-    raise RuntimeError("components did not settle")
+        hooks = links.groupBy("a").agg(F.min("b").alias("b"))
+        while True:
+            hooks = spill(hooks, "near-hooks")
+            over = hooks.select(F.col("a").alias("b"), F.col("b").alias("c"))
+            if hooks.join(over, "b", "left_semi").isEmpty():
+                break
+            hooks = hooks.join(over, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+        hooked = hooks.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        if roots is not None:
+            moved = roots.join(hooks.select(F.col("a").alias("root"), F.col("b").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+            hooked = moved.unionByName(hooked)
+        roots = spill(hooked, "near-roots")
 
 
 def _contract(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -204,32 +208,24 @@ def _blockwise(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pandas as pd
 
         rows = []
+        pdf = pdf.assign(items=[frozenset(i.tolist()) for i in pdf["items"]])
         x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
         y = x if not len(y) and len(pdf) and pdf.i.iat[0] == pdf.j.iat[0] else y
         for a, ra, s in zip(x.id, x.root, x["items"], strict=True):
             for b, rb, u in zip(y.id, y.root, y["items"], strict=True):
-                if ra != rb and 100 * min(len(s), len(u)) >= percent * max(len(s), len(u)):
-                    both = len(np.intersect1d(s, u, assume_unique=True))
-                    if (100 + percent) * both >= percent * (len(s) + len(u)):
-                        rows.append((min(a, b), max(a, b)))
+                if ra != rb and 100 * min(len(s), len(u)) >= percent * max(len(s), len(u)) and (100 + percent) * len(s & u) >= percent * (len(s) + len(u)):
+                    rows.append((min(a, b), max(a, b)))
         return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
-def find_links(members: DataFrame, sets_of, percent: int = PERCENT, levels=LEVELS, large: int = LARGE) -> DataFrame | None:
-    """Enough links (a, b) to connect whatever is connected; None if there are none.
+def find_components(members: DataFrame, sets_of, percent: int = PERCENT, levels=LEVELS, large: int = LARGE) -> DataFrame | None:
+    """(id, root) of the components of all links, without ids that are their own root; None if there are no links.
 
     members (id, bucket): the first level's band keys of distinct documents. sets_of(ids) gives (id, items) of the ids.
     """
-    links, roots, sets = None, None, None
-
-    def add(found: DataFrame) -> None:
-        nonlocal links, roots
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = components(links)
-
+    roots, sets = None, None
     for level in range(len(levels)):
         star = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).filter("n > 1").select("bucket", "a")
         shared = spill(members.join(star, "bucket").select("bucket", "id", "a"), "near-shared")
@@ -237,11 +233,11 @@ def find_links(members: DataFrame, sets_of, percent: int = PERCENT, levels=LEVEL
             sets = spill(sets_of(shared.select("id").distinct()), "near-sets", "lz4")
         pairs = shared.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
         pairs = spill(pairs if roots is None else _apart(pairs, roots), "near-pairs")
-        add(spill(linked(pairs, sets, percent), "near-found"))
+        roots = merge(roots, linked(pairs, sets, percent))
         left = spill(_contract(shared.select("bucket", "id"), roots), "near-left")
         # pairs with the bucket's smallest id have been compared already
         small = _cross(left.filter(F.col("n") <= large)).join(pairs, ["a", "b"], "left_anti")
-        add(spill(linked(small, sets, percent), "near-found"))
+        roots = merge(roots, linked(small, sets, percent))
         left = spill(_contract(left.filter(F.col("n") > large).select("bucket", "id"), roots), "near-left")
         if left.isEmpty():
             break
@@ -249,8 +245,8 @@ def find_links(members: DataFrame, sets_of, percent: int = PERCENT, levels=LEVEL
             again = sets.join(left.select("id").distinct(), "id", "left_semi")
             members = spill(again.mapInArrow(_bands(*levels[level + 1]), "id long, buckets array<long>").select("id", F.explode("buckets").alias("bucket")), "near-bands", "lz4")
         else:
-            add(spill(_blockwise(left, sets, percent), "near-found"))
-    return links
+            roots = merge(roots, _blockwise(left, sets, percent))
+    return roots
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -279,13 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = raw.select(F.col("doc_id").alias("id"), "raw").join(ids, "id", "left_semi")
         return texts.mapInArrow(_sets(size), "id long, items array<long>")
 
-    links = find_links(members, sets_of, percent, levels, large)
+    near = find_components(members, sets_of, percent, levels, large)
     # the smallest id of each class, then of each component of classes
     copies = nodes.select("doc_id", "h1", "h2").join(classes.filter("n > 1"), ["h1", "h2"]).select("doc_id", "head")
-    if links is None:
+    if near is None:
         known = copies.select("doc_id", F.col("head").alias("root"))
     else:
-        near = components(links)
         known = copies.join(near.withColumnRenamed("id", "head"), "head", "left").select("doc_id", F.coalesce("root", "head").alias("root"))
         # heads of classes with copies are among the copies already
         known = known.unionByName(near.select(F.col("id").alias("doc_id"), "root").join(classes.filter("n = 1").select(F.col("head").alias("doc_id")), "doc_id", "left_semi"))
