@@ -40,7 +40,7 @@ LEVELS = ((4, 32), (6, 40))
 #: A bucket of more members than this is large.
 LARGE = 24
 #: Members of a block in the last, exhaustive comparison.
-BLOCK = 64
+BLOCK = 256
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
