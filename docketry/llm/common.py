@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,17 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n)
 
 
+def parts(batches, bytes_at: int = 1, limit: int = 1 << 20):
+    """Record batches cut into parts of about limit bytes of column bytes_at, so that a task's Python lists stay small."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(bytes_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and odd multipliers) over a uint64 array."""
     x = x ^ (x >> np.uint64(30))

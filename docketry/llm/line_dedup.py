@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE, id_and_bytes, ship, spill
+from docketry.llm.common import SPACE, id_and_bytes, parts, ship, spill
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -38,7 +38,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids, digests, counts = b.column(0), [], []
             for raw in b.column(1).to_pylist():
                 own = {k for line in (raw or b"").split(b"\n") if (k := line_key(line, min_chars))}
@@ -53,7 +53,7 @@ def _keys(min_chars: int):
 
 def _reassemble(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts, n_lines, n_dropped = [], [], []
             for raw, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = raw or b""

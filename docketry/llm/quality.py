@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import id_and_bytes, ship
+from docketry.llm.common import id_and_bytes, parts, ship
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 #: Thresholds of the rules: symbols per word, share of duplicate lines, of capital letters, of words equal to the one before, of exclamation marks per word; mean word length.
@@ -146,7 +146,7 @@ def _judge(order: list[str]):
         return next((name for name, rule in rules if rule(t)), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for raw in b.column(1).to_pylist():
                 t = Text(raw)
