@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     raw = id_and_bytes(docs, id_col, text_col)
     gone = _gone(docs, id_col, text_col, min_chars, min_docs)
-    out = raw.join(gone, "doc_id", "left").mapInArrow(_reassemble(min_chars), "doc_id long, kept binary, n_lines long, n_dropped long")
+    # one plan at every size: the verdicts' side grows with the corpus, so it is never broadcast
+    out = raw.join(gone.hint("merge"), "doc_id", "left").mapInArrow(_reassemble(min_chars), "doc_id long, kept binary, n_lines long, n_dropped long")
     return out.select("doc_id", F.col("kept").cast("string").alias("text"), "n_lines", "n_dropped")
 
 
@@ -112,7 +113,7 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(b"\n".join(line for line in x.split(b"\n") if line_key(line, min_chars) not in bad))
         return pd.Series(out)
 
-    both = docs.join(gone, docs[id_col].cast("long") == F.col("__gone_id"), "left")
+    both = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__gone_id"), "left")
     # only texts that lose something go through Python
     lost = F.col("__gone").isNotNull()
     text = F.when(lost, kept(F.when(lost, F.col(text_col).cast("binary")).otherwise(F.lit(b"")), F.coalesce("__gone", F.lit(b""))).cast("string")).otherwise(F.col(text_col))
