@@ -4,8 +4,8 @@ Training documents are cut into shards. In each shard the words become numbers (
 benchmark item has) and a suffix array is built over the positions from which a window's worth of benchmark words follows;
 positions where that cannot be are left out, which loses no match. Every test suffix is then searched in
 every shard by bisection, all suffixes at once: the interval of training suffixes that begin with it gives
-the locations of the verbatim matches, and extending a match word by word gives its longest reach. Words
-inside any occurrence of a window are hit; a document is contaminated by a share of hit words.
+the locations of the verbatim matches; matches that follow on one another join into runs, of which a document's longest
+is reported. Words inside any occurrence of a window are hit; a document is contaminated by a share of hit words.
 
 The benchmark is taken in blocks of at most `block_bytes` of text, so what each task receives stays bounded
 however large the benchmark grows; each block is one pass over the documents, and blocks are merged per
