@@ -31,7 +31,7 @@ from docketry.llm.common import id_and_bytes, ragged_take, ship
 from docketry.llm.pieces import pieces
 
 #: Most text in one shard, and most pre-tokens whose ids a Python worker keeps from earlier shards (for speed only).
-SHARD_BYTES, KEPT_WORDS = 16 << 20, 1_000_000
+SHARD_BYTES, KEPT_WORDS = 8 << 20, 600_000
 #: Ids take fewer bits than this in a pair's key.
 SHIFT = 24
 
@@ -88,7 +88,8 @@ class Vocabulary:
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids (little-endian, 32 bits each) of the distinct pre-tokens, by replay over all those not known yet."""
         if len(self.words) > KEPT_WORDS:
-            self.words = {}
+            # what occurs here stays: the frequent pre-tokens are among it
+            self.words = {w: x for w, x in self.words.items() if w in words}
         known, new, raws = self.words, [], []
         for w in sorted(w for w in words if w not in known):
             raw = w.encode("utf-8", "surrogatepass")
