@@ -1,6 +1,6 @@
 """WARC records in ZIP-packaged archives, read by range without extraction.
 
-Writing: each task streams its records into one ZIP of stored (uncompressed) members: `archive/data.warc` and
+Writing: each task streams its records into one ZIP of stored members: `archive/data.warc.gz`, each record a gzip member of its own, and
 `indexes/index.tsv`, a line a record with offset and length inside the WARC. Offsets that outgrow 32 bits go into ZIP64 records. Of records
 with equal payloads the one with the largest page_id is a response, the others are revisits without a body.
 
@@ -16,6 +16,7 @@ all are null; such rows are responses when no id is known. An empty table writes
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import scratch_path, ship, spill
 
-DATA, INDEX = "archive/data.warc", "indexes/index.tsv"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 #: Payload bytes for a task to write into one archive, and record bytes of one run of range reads.
 FILE_BYTES, RUN_BYTES = 32 << 20, 4 << 20
 #: The fixed date of records; runs with equal input write equal bytes.
@@ -162,7 +163,7 @@ def _write(folder: str):
         with system.open_output_stream(f"{path}/{name}") as out, zipfile.ZipFile(_Forward(out), "w", zipfile.ZIP_STORED) as z:
             with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as member:
                 for r in rows():
-                    record = build_record(r["page_id"], r["url"], r["raw"], base32_sha1(r["raw"]), r["refers_to"])
+                    record = gzip.compress(build_record(r["page_id"], r["url"], r["raw"], base32_sha1(r["raw"]), r["refers_to"]), 6, mtime=0)
                     member.write(record)
                     index.append(f"{at}\t{len(record)}\n")
                     at, n = at + len(record), n + 1
@@ -238,7 +239,7 @@ def _records(with_payload: bool):
                     raw = read_range(f, r["at"], r["n"])
                 rows, at = [], 0
                 for n in r["lengths"]:
-                    rows.append(parse_record(raw[at : at + n]))
+                    rows.append(parse_record(gzip.decompress(raw[at : at + n])))
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in kinds.items()], names=list(kinds))
 
