@@ -17,9 +17,11 @@ texts; a null doc_id comes first. An empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,49 +66,81 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return grid.view("<u4").reshape(-1)
 
 
-_encoders: dict[int, tuple] = {}
+_encoders: dict[int, "Encoder"] = {}
 
 
-def _encoder(shared):
-    """The tokenizer and the ids of pieces met so far, kept between a worker's tasks."""
-    import os
+class Encoder:
+    """The tokenizer, the bytes that each id stands for, and the ids of pieces met so far."""
 
-    key = zlib.crc32(shared.value.encode())
-    if key not in _encoders:
+    #: Pieces encoded in one string.
+    TOGETHER = 2000
+
+    def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_str(text)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # byte level: a character for each byte
+        self.kept: dict[str, bytes] = {}
+
+    def pieces(self, new: list[str], width: int) -> dict[str, bytes]:
+        """Ids of pieces. Those that begin with a space and end with something else are strung together, as a token never
+        spans the end of one and the space of the next; the bytes behind the ids tell them apart again."""
+        code, out = {2: "H", 4: "I"}[width], {}
+        strung = [p for p in new if p[0] == " " and not p[-1].isspace()]
+        groups = [strung[i : i + self.TOGETHER] for i in range(0, len(strung), self.TOGETHER)]
+        alone = [p for p in new if p[0] != " " or p[-1].isspace()]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=f"<u{width}")
+            ends = np.cumsum(self.lengths[ids])
+            want = np.cumsum([len(p.encode()) for p in group])
+            at = np.searchsorted(ends, want) + 1
+            if at[-1] != len(ids) or not np.array_equal(ends[at - 1], want):
+                alone += group
+                continue
+            raw, bounds = ids.tobytes(), [0, *(at * width).tolist()]
+            out.update((p, raw[bounds[i] : bounds[i + 1]]) for i, p in enumerate(group))
+        out.update((p, array(code, e.ids).tobytes()) for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return out
+
+    def texts(self, texts: list[str], width: int) -> list[bytes]:
+        """Little-endian ids of width bytes of each text; equal pieces are encoded once."""
+        cut = [pieces(t) for t in texts]
+        here = set().union(*cut)
+        if len(self.kept) > KEPT_PIECES:
+            # what occurs here stays: the frequent pieces are among it
+            self.kept = {p: x for p, x in self.kept.items() if p in here}
+        kept = self.kept
+        own = self.pieces(list(here.difference(kept)), width)
+        kept.update((p, x) for p, x in own.items() if len(p) <= KEPT_LENGTH)
+        own = {p: x for p, x in own.items() if len(p) > KEPT_LENGTH}
+        if own:
+            return [b"".join([own[p] if p in own else kept[p] for p in c]) for c in cut]
+        get = kept.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
+
+def _encoder(shared) -> Encoder:
+    """One encoder a worker process, kept between tasks."""
+    key = zlib.crc32(shared.value.encode())
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = (tokenizer, {})
+        _encoders[key] = Encoder(shared.value)
     return _encoders[key]
 
 
-def encode_texts(texts: list[str], tokenizer, kept: dict[str, bytes], width: int) -> list[bytes]:
-    """Little-endian ids of width bytes of each text; equal pieces are encoded once."""
-    cut = [pieces(t) for t in texts]
-    if len(kept) > KEPT_PIECES:
-        kept.clear()
-    new = [p for p in set().union(*cut) if p not in kept]
-    kind = f"<u{width}"
-    own = {p: np.array(e.ids, dtype=kind).tobytes() for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-    kept.update((p, x) for p, x in own.items() if len(p) <= KEPT_LENGTH)
-    own = {p: x for p, x in own.items() if len(p) > KEPT_LENGTH}
-    if own:
-        return [b"".join([own[p] if p in own else kept[p] for p in c]) for c in cut]
-    get = kept.__getitem__
-    return [b"".join(map(get, c)) for c in cut]
-
-
 def _encode(shared, end_id: int, width: int):
     end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, kept = _encoder(shared)
+        encoder = _encoder(shared)
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for ids, raws in slices(batches, SHARD_BYTES):
-            found = [x + end for x in encode_texts([(r or b"").decode("utf-8", "replace") for r in raws], tokenizer, kept, width)]
+            found = [x + end for x in encoder.texts([(r or b"").decode("utf-8", "replace") for r in raws], width)]
             n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
             cols = [pa.array(np.full(len(ids), part)), pa.array(np.arange(row, row + len(ids))), pa.array(before + np.cumsum(n) - n), pa.array(ids, pa.int64()), pa.array(found, pa.binary())]
             row, before = row + len(ids), before + int(n.sum())
