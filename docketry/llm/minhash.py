@@ -13,9 +13,11 @@ Large groups cost no quadratic work where it can be helped:
 3. Only buckets that still hold two or more components go on. In a small one the members of different components
    are compared; the members of large ones are banded anew with more rows a band, for which low similarities
    hardly ever collide, and steps 2 and 3 are repeated for them.
-4. What is left in large buckets after the last level is compared block by block, so no pair is given up.
-A pair of similarity 0.75 is missed by all bands of the first level with probability (1 - 0.75^4)^32 = 5e-6. The second
-level, which misses (1 - 0.75^6)^40 = 4e-4, is only for pairs all of whose first-level buckets were large.
+4. What is left in large buckets after the last level is compared block by block, so no pair that shares a bucket of
+   that level is given up.
+A pair of similarity 0.75 is missed by all bands of the first level with probability (1 - 0.75^4)^32 = 5.2e-6. A pair all of
+whose first-level buckets were large is compared only if it shares a bucket of the second level, which misses it with
+probability (1 - 0.75^6)^64 = 3.6e-6. So 8.8e-6 is the most that a pair can have; more similar pairs have less.
 
 Defined results: a document without words (null, empty, only white space) has an empty set and is linked with nothing. With
 fewer than five words the whole sequence is the one shingle. Rows that repeat a doc_id are one document, whose text is the
@@ -36,7 +38,7 @@ from docketry.llm.common import id_and_bytes, mix64, ship, spill
 
 SHINGLE, PERCENT = 5, 75
 #: (rows a band, bands) of each level.
-LEVELS = ((4, 32), (6, 40))
+LEVELS = ((4, 32), (6, 64))
 #: A bucket of more members than this is large.
 LARGE = 24
 #: Members of a block in the last, exhaustive comparison.

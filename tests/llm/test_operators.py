@@ -97,6 +97,15 @@ def test_near_duplicates_of_one_large_family(spark):
     assert got == brute.near(docs)
 
 
+def test_no_level_of_bands_misses_more_links_than_the_first():
+    sets = [minhash.mix64(np.arange(32 * i, 32 * i + 32, dtype=np.uint64)) for i in range(20_000)]
+    for rows, bands in minhash.LEVELS:
+        assert (1 - 0.75**rows) ** bands < 5.3e-6
+        # two sets of 28 that have 24 of 32 in common
+        a, b = (minhash.band_keys(minhash.sketches([np.delete(s, gone) for s in sets], rows * bands), rows, bands) for gone in (slice(0, 4), slice(4, 8)))
+        assert (~(a == b).any(axis=1)).sum() <= 1
+
+
 def test_contamination(spark, df, docs):
     items = {1: PASSAGE, 2: "word3 word4", 10: " ".join(PASSAGE.split()[5:30]), 3: "", 4: None, 5: "no such thing", 6: docs[3]}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
