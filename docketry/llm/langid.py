@@ -5,10 +5,11 @@ documents are gathered by language with partial aggregation; only the 4-grams ar
 their distinct types. Continuation counts, context totals and discounts are Spark aggregates over those types. Each language's probabilities
 and back-off weights are kept in arrays sorted by a 64-bit hash of the gram and searched by bisection.
 A text gets the language with the lowest cross-entropy per character. It is marked rejected where that cross-entropy
-is beyond what training documents of the language have (mean and deviation from a bounded sample).
+is beyond what training documents of the language have (mean and deviation over all of them).
 
-The model is at most `max_grams` 4-grams, the most frequent ones (the limit is on what is broadcast; counting covers everything and
-what is left out backs off). The lower orders have fewer types still.
+Every gram that was counted is in the model. A model of at most `max_grams` 4-grams is broadcast (the lower orders have fewer
+types still). A larger one stays in tables: the distinct grams of the texts are joined with it order by order, and their
+log-probabilities with each text's grams. Both ways give the same results.
 
 Defined results: null texts, and texts without a letter, are `und` with score 0; so is every text when nothing could be
 learnt. Between equal languages the first by name wins. A null lang is not learnt from. Repeated rows are learnt from
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import crc_mod, mix64, ship, spill
 
 ORDER = 4
-#: Most 4-grams in the model; documents for the calibration of the rejection; deviations beyond which a text is rejected.
-MAX_GRAMS, CALIBRATION_ROWS, DEVIATIONS = 2_000_000, 2_000, 6.0
+#: Most 4-grams in a model that is broadcast; deviations beyond which a text is rejected.
+MAX_GRAMS, DEVIATIONS = 2_000_000, 6.0
 #: Characters that count for the score's certainty at most, and text handled at once.
 CERTAIN_CHARS, CHUNK = 60, 2 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -176,24 +177,27 @@ class Language:
         return np.log(p)
 
 
-def build(counts: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, Language]:
-    """The model from (lang, gram, n)."""
-    counts = spill(counts, "lang-grams")
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        # continuation counts: in how many types of the order above the gram ends
-        tables[k] = spill(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lang-grams")
+def _orders(counts: DataFrame) -> Iterator[tuple[int, DataFrame, dict[str, float]]]:
+    """Of each order, from the highest: all its grams (lang, gram, context, n, total) and each language's discount."""
+    t = counts
+    for k in range(ORDER, 0, -1):
+        # count-of-counts give the discount; contexts their total
+        ones = t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+        discount = {r["lang"]: min(0.95, max(0.05, r["n1"] / max(1, r["n1"] + 2 * r["n2"]))) for r in ones.collect()}
+        own = t.withColumn("context", F.shiftrightunsigned("gram", 16))
+        contexts = own.groupBy("lang", "context").agg(F.sum("n").alias("total"))
+        yield k, own.join(contexts, ["lang", "context"]).select("lang", "gram", "context", "n", "total"), discount
+        if k > 1:
+            # continuation counts: in how many types of the order above the gram ends
+            t = spill(t.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lang-grams")
+
+
+def build(counts: DataFrame) -> dict[str, Language]:
+    """The model from (lang, gram, n), in memory."""
     parts: dict[str, dict[int, tuple]] = {}
     alphabets: dict[str, int] = {}
-    for k, t in tables.items():
-        # count-of-counts give the discount; contexts their total and number of types
-        ones = t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count(F.lit(1)).alias("types"))
-        discount = {r["lang"]: min(0.95, max(0.05, r["n1"] / max(1, r["n1"] + 2 * r["n2"]))) for r in ones.collect()}
-        context = F.shiftrightunsigned("gram", 16)
-        contexts = t.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        kept = t.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).withColumn("context", context)
-        kept = kept.join(contexts, ["lang", "context"]).select("lang", "gram", "context", "n", "total", "types").toPandas()
-        for lang, x in kept.groupby("lang"):
+    for k, kept, discount in _orders(spill(counts, "lang-grams")):
+        for lang, x in kept.toPandas().groupby("lang"):
             d = discount[lang]
             grams = x.gram.to_numpy().view(np.uint64)
             own = x.drop_duplicates("context")
@@ -205,7 +209,7 @@ def build(counts: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, Language]:
 
 
 def _left(kept, own, d: float) -> np.ndarray:
-    """1 less the shares of the context's kept grams: what was discounted, and what was left out."""
+    """1 less the shares of the context's grams: what was discounted."""
     kept = kept.assign(share=np.maximum(kept.n - d, 0) / kept.total)
     return np.clip(1.0 - own.context.map(kept.groupby("context").share.sum()).to_numpy(), 1e-9, 1.0)
 
@@ -223,48 +227,90 @@ def mean_log_p(texts: list[str | None], model: dict[str, Language]) -> tuple[np.
     return out, sizes
 
 
-def _judge(shared):
-    names = ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"]
+_JUDGED = "doc_id long, trained boolean, lang_pred string, score double, cross_entropy double, none boolean"
+
+
+def _verdicts(ids: pa.Array, trained: pa.Array, mean: np.ndarray, sizes: np.ndarray, langs: list[str]) -> pa.RecordBatch:
+    none = (sizes == 0) | (not langs)
+    if not langs:
+        mean = np.zeros((len(sizes), 1))
+    best = mean.argmax(axis=1)
+    top = mean[np.arange(len(mean)), best]
+    certain = np.minimum(sizes, CERTAIN_CHARS)[:, None]
+    score = np.where(none, 0.0, 1 / np.exp(np.clip(certain * (mean - top[:, None]), -700, 0)).sum(axis=1))
+    pred = ["und" if n else langs[k] for n, k in zip(none, best, strict=True)]
+    cols = [ids, trained, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(-top, pa.float64()), pa.array(none)]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "trained", "lang_pred", "score", "cross_entropy", "none"])
+
 
+def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, limits = shared.value
-        langs = list(model)
-        bound = np.array([limits.get(x, np.inf) for x in langs])
-        for b in _chunks(batches, 1):
-            mean, sizes = mean_log_p(b.column(1).to_pylist(), model)
-            none = (sizes == 0) | (not langs)
-            if not langs:
-                mean, bound = np.zeros((b.num_rows, 1)), np.array([np.inf])
-            best = mean.argmax(axis=1)
-            top = mean[np.arange(len(mean)), best]
-            certain = np.minimum(sizes, CERTAIN_CHARS)[:, None]
-            score = np.where(none, 0.0, 1 / np.exp(np.clip(certain * (mean - top[:, None]), -700, 0)).sum(axis=1))
-            pred = ["und" if n else langs[k] for n, k in zip(none, best, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(-top, pa.float64()), pa.array(none | (-top > bound[best]))], names=names)
+        model = shared.value
+        for b in _chunks(batches, 2):
+            mean, sizes = mean_log_p(b.column(2).to_pylist(), model)
+            yield _verdicts(b.column(0), b.column(1), mean, sizes, list(model))
 
     return run
 
 
-def predict(docs: DataFrame, model: dict[str, Language], limits: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy, rejected), one row per input row."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_judge(spark.sparkContext.broadcast((model, limits or {}))), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+def _judge_means(langs: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mean = np.array(b.column(3).to_pylist(), dtype=np.float64).reshape(b.num_rows, len(langs))
+            yield _verdicts(b.column(0), b.column(1), mean, b.column(2).to_numpy(), langs)
+
+    return run
 
 
-def rejection_limits(train: DataFrame, model: dict[str, Language], id_col: str = "doc_id", text_col: str = "text", rows: int = CALIBRATION_ROWS) -> dict[str, float]:
-    """Per language the cross-entropy beyond which a text is rejected, from about `rows` training documents."""
-    total = train.count()
-    sample = train.filter(F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-total // rows)))) == 0)
-    seen = predict(sample, model, None, id_col, text_col).filter("lang_pred <> 'und'").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.coalesce(F.stddev_pop("cross_entropy"), F.lit(0.0)).alias("sd")).collect()
-    return {r["lang_pred"]: r["mean"] + DEVIATIONS * (r["sd"] + 0.05) for r in seen}
+def _grams_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _chunks(batches, 1):
+        for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            gram, n = np.unique(grams_of([text])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), row, dtype=np.int64)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "gram", "n"])
+
+
+def _judge_by_tables(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The verdicts on rows (doc_id, trained, text) by a model that stays in tables."""
+    spark = rows.sparkSession
+    rows = spill(rows.withColumn("row", F.monotonically_increasing_id()), "lang-rows")
+    seen = spill(rows.select("row", "text").mapInArrow(_grams_by_row, "row long, gram long, n long"), "lang-row-grams")
+    orders = {}
+    for k, t, discount in _orders(counts):
+        d = spark.createDataFrame(list(discount.items()), "lang string, d double")
+        orders[k] = spill(t.join(F.broadcast(d), "lang").select("lang", F.col("gram").alias("own"), "context", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share")), "lang-shares")
+    alphabets = {r["lang"]: r["n"] for r in orders[1].groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(alphabets)
+    names = spark.createDataFrame([(x, j, 1.0 / (alphabets[x] + 1)) for j, x in enumerate(langs)], "lang string, j int, p double")
+    kinds = seen.select("gram").distinct().crossJoin(F.broadcast(names))
+    for k in range(1, ORDER + 1):
+        left = orders[k].groupBy("lang", "context").agg(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - F.sum("share"))).alias("left"))
+        kinds = kinds.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < ORDER else F.col("gram")).withColumn("context", F.shiftrightunsigned("own", 16))
+        # an unseen context leaves everything to the order below
+        kinds = kinds.join(orders[k].drop("context"), ["lang", "own"], "left").join(left, ["lang", "context"], "left")
+        kinds = kinds.select("gram", "lang", "j", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
+    logs = spill(kinds.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("j", F.log("p").alias("log_p")))).getField("log_p").alias("logs")), "lang-logs")
+    sums = seen.join(logs, "gram").groupBy("row").agg(F.sum("n").alias("size"), *(F.sum(F.col("n") * F.col("logs")[j]).alias(f"s{j}") for j in range(len(langs))))
+    means = F.array(*(F.coalesce(F.col(f"s{j}") / F.col("size"), F.lit(0.0)) for j in range(len(langs))))
+    both = rows.select("row", "doc_id", "trained").join(sums, "row", "left")
+    return both.select("doc_id", "trained", F.coalesce("size", F.lit(0)).cast("long").alias("size"), means.alias("means")).mapInArrow(_judge_means(langs), _JUDGED)
 
 
 def learn_and_predict(docs: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
     """Learn from documents outside the held-out fold, judge every document."""
-    train = docs.select("doc_id", "text", "lang").filter((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    model = build(count_grams(train), max_grams)
-    out = predict(docs, model, rejection_limits(train, model) if model else None)
+    spark = docs.sparkSession
+    ship(spark)
+    trained = F.coalesce((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull(), F.lit(False))
+    counts = spill(count_grams(docs.select("doc_id", "text", "lang").filter(trained)), "lang-grams")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), trained.alias("trained"), F.col("text").cast("string").alias("text"))
+    if counts.count() <= max_grams:
+        found = rows.mapInArrow(_judge(spark.sparkContext.broadcast(build(counts))), _JUDGED)
+    else:
+        found = _judge_by_tables(rows, counts)
+    found = spill(found, "lang-judged")
+    # per language the cross-entropy beyond which a text is rejected
+    seen = found.filter("trained and not none").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("sd"))
+    limits = seen.select("lang_pred", (F.col("mean") + DEVIATIONS * (F.col("sd") + 0.05)).alias("most"))
+    out = found.join(F.broadcast(limits), "lang_pred", "left")
     held = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    rejected = F.col("none") | F.coalesce(F.col("cross_entropy") > F.col("most"), F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))

@@ -31,6 +31,26 @@ def test_langid(spark):
     assert langid.learn_and_predict(none.limit(0)).count() == 0
 
 
+def test_langid_keeps_every_gram_at_any_size(spark):
+    def by_id(out):
+        return {r.doc_id: r for r in out.collect()}
+
+    want, got = (by_id(langid.learn_and_predict(docs(spark), max_grams=n)) for n in (langid.MAX_GRAMS, 10))
+    assert want.keys() == got.keys()
+    for i, r in want.items():
+        assert got[i].lang_pred == r.lang_pred and got[i].rejected == r.rejected and got[i].held_out == r.held_out
+        assert math.isclose(got[i].cross_entropy, r.cross_entropy, abs_tol=1e-9) and math.isclose(got[i].score, r.score, abs_tol=1e-9)
+
+
+def test_langid_rejects_by_all_training_documents(spark):
+    rows = [(i, "mola tirano solare pinto", "aa") for i in range(6000)] + [(7000 + i, "schtr krumpf wirz zech", "bb") for i in range(60)]
+    # no sample by the ids' hash has the rare language
+    rare = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter("lang = 'aa' or " + " and ".join(f"pmod(xxhash64(doc_id), {k}) <> 0" for k in (2, 3, 4)))
+    odd = spark.createDataFrame([(9000, "zech" + "qxjv" * 50, None)], rare.schema)
+    got = {r.doc_id: r for r in langid.learn_and_predict(rare.union(odd)).filter("doc_id >= 7000").collect()}
+    assert len(got) > 5 and all(r.lang_pred == "bb" and r.rejected == (k == 9000) for k, r in got.items())
+
+
 def test_distinct_grams():
     grams, sizes = langid.grams_of(["abab abba cab", "bac"])
     assert len(grams) == sizes.sum() == 16
