@@ -53,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tokenfile.write(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    files = tokenfile.write(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, added_tokens=True)
     return tokenfile.read(spark, files)
 
 

@@ -12,12 +12,14 @@ and each run of consecutive rows of a part becomes a file.
 A task writes its file under a name of its own and reports it; files of lost attempts are never listed.
 
 Defined results: a null or empty text has only the end id. Rows that repeat a doc_id stay apart, in the order of their
-texts; a null doc_id comes first. An empty table gives no files and no rows.
+texts; a null doc_id comes first. An empty table gives no files and no rows. With `added_tokens` the tokenizer file's added
+tokens that occur in a text get their own ids, as the library has it by default; otherwise they are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -66,7 +68,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return grid.view("<u4").reshape(-1)
 
 
-_encoders: dict[int, "Encoder"] = {}
+_encoders: dict[tuple[int, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -75,25 +77,31 @@ class Encoder:
     #: Pieces encoded in one string.
     TOGETHER = 2000
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, added_tokens: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
+        #: Text around an added token is tokenized by itself, so a text that holds one is never cut.
+        self.whole = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # byte level: a character for each byte
         self.kept: dict[str, bytes] = {}
 
+    def holds_added(self, text: str) -> bool:
+        return self.whole is not None and self.whole.search(text) is not None
+
     def pieces(self, new: list[str], width: int) -> dict[str, bytes]:
         """Ids of pieces. Those that begin with a space and end with something else are strung together, as a token never
         spans the end of one and the space of the next; the bytes behind the ids tell them apart again."""
         code, out = {2: "H", 4: "I"}[width], {}
-        strung = [p for p in new if p[0] == " " and not p[-1].isspace()]
+        strung = [p for p in new if p[0] == " " and not p[-1].isspace() and not self.holds_added(p)]
         groups = [strung[i : i + self.TOGETHER] for i in range(0, len(strung), self.TOGETHER)]
-        alone = [p for p in new if p[0] != " " or p[-1].isspace()]
+        alone = list(set(new).difference(strung))
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=f"<u{width}")
             ends = np.cumsum(self.lengths[ids])
@@ -109,7 +117,7 @@ class Encoder:
 
     def texts(self, texts: list[str], width: int) -> list[bytes]:
         """Little-endian ids of width bytes of each text; equal pieces are encoded once."""
-        cut = [pieces(t) for t in texts]
+        cut = [[t] if self.holds_added(t) else pieces(t) for t in texts]
         here = set().union(*cut)
         if len(self.kept) > KEPT_PIECES:
             # what occurs here stays: the frequent pieces are among it
@@ -124,20 +132,20 @@ class Encoder:
         return [b"".join(map(get, c)) for c in cut]
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, added_tokens: bool) -> Encoder:
     """One encoder a worker process, kept between tasks."""
-    key = zlib.crc32(shared.value.encode())
+    key = zlib.crc32(shared.value.encode()), added_tokens
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
+        _encoders[key] = Encoder(shared.value, added_tokens)
     return _encoders[key]
 
 
-def _encode(shared, end_id: int, width: int):
+def _encode(shared, end_id: int, width: int, added_tokens: bool):
     end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, added_tokens)
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for ids, raws in slices(batches, SHARD_BYTES):
             found = [x + end for x in encoder.texts([(r or b"").decode("utf-8", "replace") for r in raws], width)]
@@ -224,7 +232,7 @@ def _write(shared, folder: str, width: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, added_tokens: bool = False) -> DataFrame:
     """Encode docs and write the files; gives their listing (part, row, file), which in the order of part and row ascends by doc_id."""
     spark = docs.sparkSession
     ship(spark)
@@ -239,7 +247,7 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str | None
     # one number from every row sizes the files; then the texts are dealt by ranges of doc_id, once
     total = raw.agg(F.sum(F.coalesce(F.octet_length("raw"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
     ordered = raw.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", F.xxhash64("raw")).sortWithinPartitions("doc_id", "raw")
-    encoded = spill(ordered.mapInArrow(_encode(spark.sparkContext.broadcast(text), end_id, width), "part long, row long, before long, doc_id long, ids binary"), "token-ids")
+    encoded = spill(ordered.mapInArrow(_encode(spark.sparkContext.broadcast(text), end_id, width, added_tokens), "part long, row long, before long, doc_id long, ids binary"), "token-ids")
     del ordered
     free_shuffles(spark)
     # at most one row for each entry of the vocabulary, and one for each file

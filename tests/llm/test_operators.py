@@ -160,6 +160,22 @@ def test_token_files(spark, df, docs):
     assert table(tokenfile.read(spark, files), "doc_id", "start", "n_tokens", "ids_crc32") == want
 
 
+def test_token_files_with_the_library_s_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from docketry.llm.queries import END_ID, op10_token_ids
+
+    texts = ["foo <|endoftext|> bar", "no such token", " <|endoftext|>", "a  <|endoftext|>  b", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", None, "last one"]
+    frame(spark, dict(enumerate(texts)), False).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, at = {}, 0
+    for k, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, END_ID], dtype="<u4")
+        want[k] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert table(op10_token_ids(spark, str(tmp_path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
+
+
 def test_packed_numbers():
     x = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], dtype=np.uint32)
     for n in range(len(x) + 1):
