@@ -1,13 +1,13 @@
 """Secret scanning: candidate strings, then a random forest that removes false positives. DataFrame operations only.
 
-A candidate is a run of at least MIN_LENGTH characters of `A-Za-z0-9_+/=-` with a digit in it. Its features are its
-length, its mix of characters and the transitions between their classes, the share of its letters that dictionary
+A candidate is a run of at least MIN_LENGTH characters of `A-Za-z0-9_+/-` with its padding of `=`, or a whole PEM block of a
+private key. Its features are its length, its mix of characters and the transitions between their classes, the share of its letters that dictionary
 words cover (words of 3 to 5 letters that the corpus uses MIN_USES times or more: at most 26^3 + 26^4 + 26^5 keys), its path, and the neighbouring
 words. A random forest trained from labelled findings gives the probability that it is a secret.
 
 Training takes at most about `max_rows` labelled findings, chosen by a hash; counts for the dictionary cover all documents. Where
-no labelled findings are given, `rule_labels` makes them from the corpus: a quoted value right after a secret's
-name and an assignment is a finding, any other candidate is not.
+no labelled findings are given, `rule_labels` makes them from the corpus: candidates in one of several precise forms of
+secrets are findings, those in a known benign form are not, and all others stay unlabelled.
 
 Defined results: one row per candidate; null and empty texts have none. Rows that repeat a doc_id are scanned each for itself; a null doc_id
 stays null. If the labelled findings have one class only, every probability is that class; without any, 0. A long text
@@ -25,13 +25,20 @@ from pyspark.sql import functions as F
 from docketry.llm.common import scratch_root, spill
 
 MIN_LENGTH, MIN_USES = 12, 20
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{12,}"
+PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{1,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+CANDIDATE = PEM + r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 #: What names a secret, before a value.
 NAME = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+#: Keys that providers mark by a prefix.
+PROVIDER = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|(sk|rk|pk)_(live|test)_[A-Za-z0-9]{16,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36})$"
+#: Before a value: a secret's name and an assignment, quoted or not; the scheme of a header; a user's name in a URL (with AT after it).
+ASSIGNED, HEADER, USER, AT = NAME + r"[A-Za-z0-9_-]{0,16}[\"']?\s*(:=|=>|[:=])\s*[\"'`]?$", r"(?i)(\bbearer|authorization[\"']?\s*[:=]\s*[\"']?(basic|token))\s+$", r"://[^\s/@:]*:$", r"^[^\s/@]*@"
+#: Benign values: digits only, signs only, words and short numbers joined by single signs (also paths), UUIDs.
+BENIGN = r"^([0-9+/_=-]+|[_+/=-]+|/*([A-Za-z]{1,24}|[0-9]{1,6})([-_/+]{1,2}([A-Za-z]{1,24}|[0-9]{1,6}))*[-_/]*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 #: Characters of context on either side.
 BEFORE, AFTER = 48, 24
 MAX_ROWS, TREES, DEPTH = 20_000, 24, 6
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "kinds", "hex", "changes", "coverage", "path_test", "path_config", "path_depth", "name_before", "assign_before", "quote_before", "quote_after", "at_before", "number_before", "link_before", "punct_after"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "kinds", "hex", "changes", "coverage", "path_test", "path_config", "path_depth", "name_before", "assign_before", "quote_before", "quote_after", "at_before", "number_before", "link_before", "punct_after", "provider", "assigned_before", "header_before", "user_before", "pem"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -40,7 +47,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(CANDIDATE))
     gaps, values = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     cut = own.select("doc_id", "path", gaps.alias("gaps"), values.alias("found"))
-    around = F.transform("found", lambda v, i: F.struct(v.alias("value"), F.right(F.element_at("gaps", i + 1), F.lit(BEFORE)).alias("before"), F.left(F.element_at("gaps", i + 2), F.lit(AFTER)).alias("after")))
+    around = F.transform("found", lambda v, i: F.struct(v.alias("value"), F.right(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.element_at("gaps", i + 1)), F.lit(BEFORE)).alias("before"), F.left(F.element_at("gaps", i + 2), F.lit(AFTER)).alias("after")))
     return cut.select("doc_id", "path", F.posexplode(around).alias("nth", "x")).select("doc_id", "path", F.col("nth").cast("long").alias("nth"), "x.value", "x.before", "x.after")
 
 
@@ -86,13 +93,21 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "number_before": has("before", r"[0-9)+.,]\s?$"),
         "link_before": has("before", r"://\S*$"),
         "punct_after": has("after", r"^[.,;:!?@]"),
+        "provider": has("value", PROVIDER),
+        "assigned_before": has("before", ASSIGNED),
+        "header_before": has("before", HEADER),
+        "user_before": has("before", USER) * has("after", AT),
+        "pem": has("value", "^-----BEGIN "),
     }).drop("covered")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """(row, label) by a rule: a quoted value assigned to a secret's name is a finding."""
-    hit = F.col("before").rlike(NAME + r"[\"']?\s*[:=]\s*[\"']$") & F.col("after").rlike("^[\"']")
-    return found.select("row", hit.cast("double").alias("label"))
+    """(row, label) of the candidates in a precise form of secrets, or else in a benign one; the others are not labelled."""
+    value, before, after = F.col("value"), F.col("before"), F.col("after")
+    hit = value.rlike(PROVIDER) | before.rlike(ASSIGNED) | before.rlike(HEADER) | (before.rlike(USER) & after.rlike(AT)) | value.startswith("-----BEGIN ")
+    # of a long value the first part, as the pattern recurses
+    benign = F.left("value", F.lit(256)).rlike(BENIGN) | before.rlike(r"://\S*$") | before.rlike(r"@\S*$") | after.rlike("^@") | before.rlike(r"(?i)\b(commit|sha[0-9]*|md5|checksum|digest)\s*[:=]?\s*$")
+    return found.select("row", F.when(hit, 1.0).when(benign, 0.0).alias("label")).filter("label is not null")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_rows: int = MAX_ROWS, min_uses: int = MIN_USES) -> DataFrame:

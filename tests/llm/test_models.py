@@ -129,6 +129,32 @@ def test_secret_scan(spark):
     assert {r.probability for r in secret_scan.scan(df, labelled=spark.createDataFrame([(0, 0, 1.0)], "doc_id long, nth long, label double")).collect()} == {1.0}
 
 
+def test_secret_scan_finds_every_form(spark):
+    import base64
+    import hashlib
+
+    forms = {
+        "API_KEY={}": lambda h: h[:32],
+        "GITHUB_ACCESS_TOKEN={}": lambda h: h[:32],
+        "password: {}": lambda h: "".join(chr(97 + int(c, 16)) for c in h[:20]),  # no digit
+        "Authorization: Bearer {}": lambda h: base64.b64encode(bytes.fromhex(h)).decode(),
+        "postgres://admin:{}@db.example.com/main": lambda h: h[:24],
+        "use {} here": lambda h: "AKIA" + h[:16].upper(),
+        "key\n{}\nend": lambda h: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join([base64.b64encode(bytes.fromhex(h + h)).decode()[:64]] * 3) + "\n-----END RSA PRIVATE KEY-----",
+    }
+    rows, want = [], {}
+    for k, (form, make) in enumerate(forms.items()):
+        for i in range(40):
+            value = make(hashlib.sha256(f"{k} {i}".encode()).hexdigest())
+            rows.append((100 * k + i, "some plain words " + form.format(value), "notes"))
+            want.setdefault(form, set()).add((100 * k + i, hashlib.sha256(value.encode()).hexdigest()))
+    rows += [(5000 + i, f"internationalization of https://x.example.com/page{i}abcdefgh12 in part-no-{i}-abcdefg, 12345678{i:06d}", None) for i in range(200)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_uses=5).filter("is_secret").collect()
+    found = {(r.doc_id, r.value_sha256) for r in got}
+    assert {form: len(x & found) for form, x in want.items()} == dict.fromkeys(forms, 40)
+    assert all(r.doc_id < 5000 for r in got)
+
+
 @needs_data
 def test_secret_scan_finds_the_tokens(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
