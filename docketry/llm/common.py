@@ -66,6 +66,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def filesystem(uri: str):
+    """(file system, path in it) of a folder that the cluster shares. Hadoop's names for a store that Arrow knows by another one are mapped."""
+    from pyarrow import fs
+
+    scheme, sep, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme, scheme) + sep + rest)
+
+
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, raw): the whole text as UTF-8 bytes. Any other column, of whatever name, stays out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))

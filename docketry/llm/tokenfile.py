@@ -18,29 +18,29 @@ tokens that occur in a text get their own ids, as the library has it by default;
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.bpe import slices
-from docketry.llm.common import free_shuffles, id_and_bytes, scratch_path, ship, spill
-from docketry.llm.pieces import pieces
+from docketry.llm.common import filesystem, free_shuffles, id_and_bytes, parts as slices, ragged_take, scratch_path, ship, spill
+from docketry.llm.pieces import cut_column, heads_and_tails
 
 MAGIC, VERSION = b"DKTI", 1
 #: The head: magic, version, documents, size of the rank table, ids, bytes of data.
 HEAD = struct.Struct("<4sIQQQQ")
-#: Most text encoded at once, and most pieces whose ids a Python worker keeps (for speed only).
-SHARD_BYTES, KEPT_PIECES, KEPT_LENGTH = 8 << 20, 600_000, 48
+#: Most text encoded at once, and most words and pieces whose ids a Python worker keeps (for speed only).
+SHARD_BYTES, KEPT_PARTS, KEPT_LENGTH = 8 << 20, 600_000, 48
 #: Text that goes to one file.
 FILE_BYTES = 24 << 20
 NULL_ID = -(1 << 63)
@@ -72,64 +72,75 @@ _encoders: dict[tuple[int, bool], "Encoder"] = {}
 
 
 class Encoder:
-    """The tokenizer, the bytes that each id stands for, and the ids of pieces met so far."""
+    """The tokenizer, and the ids of the words and other pieces met so far."""
 
-    #: Pieces encoded in one string.
+    #: Words handed to the tokenizer as one pretokenized text.
     TOGETHER = 2000
 
     def __init__(self, text: str, added_tokens: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.encode_special_tokens = not added_tokens
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
         #: Text around an added token is tokenized by itself, so a text that holds one is never cut.
         self.whole = re.compile("|".join(map(re.escape, added))) if added else None
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        steps = json.loads(text)
+        first = steps.get("pre_tokenizer") or {}
+        #: Texts may be cut where the byte-level pattern always cuts, and only where nothing else looks at them.
+        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not any(steps.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+        #: The same model for words that are cut already.
+        self.words = Tokenizer.from_str(text)
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.words.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # byte level: a character for each byte
-        self.kept: dict[str, bytes] = {}
-
-    def holds_added(self, text: str) -> bool:
-        return self.whole is not None and self.whole.search(text) is not None
-
-    def pieces(self, new: list[str], width: int) -> dict[str, bytes]:
-        """Ids of pieces. Those that begin with a space and end with something else are strung together, as a token never
-        spans the end of one and the space of the next; the bytes behind the ids tell them apart again."""
-        code, out = {2: "H", 4: "I"}[width], {}
-        strung = [p for p in new if p[0] == " " and not p[-1].isspace() and not self.holds_added(p)]
-        groups = [strung[i : i + self.TOGETHER] for i in range(0, len(strung), self.TOGETHER)]
-        alone = list(set(new).difference(strung))
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        self.kept: dict[str, bytes] = {"": b""}
+
+    def _new(self, new: list[str], single: list[bool], width: int) -> Iterator[tuple[str, bytes]]:
+        """Ids of parts; those that are single tokens of the pattern go to the model together, the others each by itself."""
+        own = [p for p, s in zip(new, single, strict=True) if s]
+        groups = [own[i : i + self.TOGETHER] for i in range(0, len(own), self.TOGETHER)]
+        for group, e in zip(groups, self.words.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=f"<u{width}")
-            ends = np.cumsum(self.lengths[ids])
-            want = np.cumsum([len(p.encode()) for p in group])
-            at = np.searchsorted(ends, want) + 1
-            if at[-1] != len(ids) or not np.array_equal(ends[at - 1], want):
-                alone += group
-                continue
-            raw, bounds = ids.tobytes(), [0, *(at * width).tolist()]
-            out.update((p, raw[bounds[i] : bounds[i + 1]]) for i, p in enumerate(group))
-        out.update((p, array(code, e.ids).tobytes()) for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
-        return out
-
-    def texts(self, texts: list[str], width: int) -> list[bytes]:
-        """Little-endian ids of width bytes of each text; equal pieces are encoded once."""
-        cut = [[t] if self.holds_added(t) else pieces(t) for t in texts]
-        here = set().union(*cut)
-        if len(self.kept) > KEPT_PIECES:
-            # what occurs here stays: the frequent pieces are among it
-            self.kept = {p: x for p, x in self.kept.items() if p in here}
+            # the bytes behind the ids tell the words apart again
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in group])) + 1
+            raw, bounds = ids.tobytes(), [0, *(ends * width).tolist()]
+            yield from ((p, raw[bounds[i] : bounds[i + 1]]) for i, p in enumerate(group))
+        rest = [p for p, s in zip(new, single, strict=True) if not s]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield p, np.array(e.ids, dtype=f"<u{width}").tobytes()
+
+    def texts(self, texts: pa.Array, width: int, end: bytes) -> tuple[np.ndarray, bytes]:
+        """(number of ids of each text, little-endian ids of width bytes), each text's ids closed by end; equal parts are encoded once."""
+        if self.cuts:
+            distinct, at, lengths = cut_column(texts, self.whole)
+            parts, single, heads, tails = heads_and_tails(distinct)
+        else:
+            coded = pc.fill_null(texts, "").dictionary_encode()
+            parts, at, lengths = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), np.ones(len(texts), dtype=np.int64)
+            single, heads, tails = np.zeros(len(parts), dtype=bool), np.arange(len(parts)), None
         kept = self.kept
-        own = self.pieces(list(here.difference(kept)), width)
+        found = list(map(kept.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        own = dict(self._new([parts[i] for i in missing], single[missing].tolist(), width))
+        for i in missing:
+            found[i] = own[parts[i]]
+        if len(kept) > KEPT_PARTS:
+            # what occurs here stays: the frequent parts are among it
+            self.kept = kept = {"": b""} | {p: x for p, x in zip(parts, found, strict=True) if p in kept}
         kept.update((p, x) for p, x in own.items() if len(p) <= KEPT_LENGTH)
-        own = {p: x for p, x in own.items() if len(p) > KEPT_LENGTH}
-        if own:
-            return [b"".join([own[p] if p in own else kept[p] for p in c]) for c in cut]
-        get = kept.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
+        # the end id is one more part, after each text's last
+        sizes, stops = np.append(sizes, len(end) // width), np.cumsum(lengths)
+        order = heads[at] if tails is None else np.stack([heads[at], tails[at]], axis=1).reshape(-1)
+        order = np.insert(order, stops * (1 if tails is None else 2), len(parts))
+        flat = np.frombuffer(b"".join([*found, end]), dtype=f"<u{width}")
+        total = np.concatenate([[0], np.cumsum(sizes[order])])
+        closed = total[stops * (1 if tails is None else 2) + np.arange(1, len(texts) + 1)]
+        return np.diff(closed, prepend=0), ragged_take(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]).tobytes()
 
 
 def _encoder(shared, added_tokens: bool) -> Encoder:
@@ -141,17 +152,25 @@ def _encoder(shared, added_tokens: bool) -> Encoder:
     return _encoders[key]
 
 
+def _strings(raw: pa.Array) -> pa.Array:
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([(x or b"").decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def _encode(shared, end_id: int, width: int, added_tokens: bool):
     end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, added_tokens)
         part, row, before = TaskContext.get().partitionId(), 0, 0
-        for ids, raws in slices(batches, SHARD_BYTES):
-            found = [x + end for x in encoder.texts([(r or b"").decode("utf-8", "replace") for r in raws], width)]
-            n = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
-            cols = [pa.array(np.full(len(ids), part)), pa.array(np.arange(row, row + len(ids))), pa.array(before + np.cumsum(n) - n), pa.array(ids, pa.int64()), pa.array(found, pa.binary())]
-            row, before = row + len(ids), before + int(n.sum())
+        for b in slices(batches, 1, SHARD_BYTES):
+            n, flat = encoder.texts(_strings(b.column(1)), width, end)
+            offsets = np.concatenate([[0], np.cumsum(n) * width]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            cols = [pa.array(np.full(len(n), part)), pa.array(np.arange(row, row + len(n))), pa.array(before + np.cumsum(n) - n), b.column(0), ids]
+            row, before = row + len(n), before + int(n.sum())
             yield pa.RecordBatch.from_arrays(cols, names=["part", "row", "before", "doc_id", "ids"])
 
     return run
@@ -168,13 +187,6 @@ def _count(width: int, size: int):
     return run
 
 
-def filesystem(uri: str):
-    """(file system, path in it) of a folder that the cluster shares."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_file(out, doc_ids: np.ndarray, n_tokens: np.ndarray, start: int, ids: np.ndarray, rank_of: np.ndarray, id_of: np.ndarray) -> None:
     control, data = pack(rank_of[ids])
     starts = start + np.cumsum(n_tokens) - n_tokens

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import scratch_path, ship, spill
+from docketry.llm.common import filesystem, scratch_path, ship, spill
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 #: Payload bytes for a task to write into one archive, and record bytes of one run of range reads.
@@ -36,12 +36,6 @@ FILE_BYTES, RUN_BYTES = 32 << 20, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
-def filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 # ---- records
 
 def base32_sha1(payload: bytes) -> str:
