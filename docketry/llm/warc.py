@@ -32,7 +32,7 @@ from docketry.llm.common import filesystem, scratch_path, ship, spill
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 #: Payload bytes for a task to write into one archive, and record bytes of one run of range reads.
 FILE_BYTES, RUN_BYTES = 32 << 20, 4 << 20
-#: The fixed date of records; runs with equal input write equal bytes.
+#: The fixed date of records, so that a page's record is the same in every run.
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -131,13 +131,19 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
 
 # ---- Spark: writing
 
-def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0) -> DataFrame:
-    """(page_id, url, raw, refers_to): refers_to is the response's page_id for revisits, else null."""
+def _payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, raw, key): key is the page_id and the payload's digest."""
     raw = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("raw"))
-    digest = F.sha2("raw", 256)
-    # only digests and ids meet; a payload that a third of all pages have is one row a task before it travels
-    top = raw.filter(F.octet_length("raw") >= min_payload).groupBy(digest.alias("digest")).agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "top")
-    return raw.withColumn("digest", digest).join(top, "digest", "left").select("page_id", "url", "raw", F.when((F.octet_length("raw") >= min_payload) & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    return raw.withColumn("key", F.concat_ws(" ", F.sha2("raw", 256), F.col("page_id").cast("string")))
+
+
+def references(slim: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(key, refers_to) of the revisits, from (page_id, key, size) of all pages: only digests and ids meet, and a payload that a third of all pages have is one row a task before it travels."""
+    big = slim.filter(F.col("size") >= min_payload).withColumn("digest", F.substring("key", 1, 64))
+    # written first, so that adaptive execution can split a hot digest in the join
+    top = spill(big.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top is not null").select("digest", "top"), "warc-top")
+    again = big.join(top.hint("merge"), "digest").filter(~F.col("page_id").eqNullSafe(F.col("top")))
+    return again.select("key", F.col("top").alias("refers_to")).distinct()
 
 
 def _write(folder: str):
@@ -187,10 +193,12 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     spark = pages.sparkSession
     ship(spark)
     folder = folder or scratch_path(spark, "warc")
-    rows = with_references(pages, id_col, url_col, html_col, min_payload)
-    total = pages.agg(F.sum(F.coalesce(F.octet_length(F.col(html_col).cast("binary")), F.lit(0)) + 400).alias("n")).first()["n"] or 0
-    dealt = rows.repartition(max(1, -(-total // file_bytes)), F.xxhash64("page_id", "url", "raw")).sortWithinPartitions("page_id", "url")
-    return spill(dealt.mapInArrow(_write(folder), "file string, n long"), "warc-listing")
+    rows = _payloads(pages, id_col, url_col, html_col)
+    slim = spill(rows.select("page_id", "key", F.octet_length("raw").alias("size")), "warc-slim")
+    total = slim.agg(F.sum(F.col("size") + 400).alias("n")).first()["n"] or 0
+    # the payloads travel once, to the files that they are written to; what they refer to comes to them
+    dealt = rows.repartition(max(1, -(-total // file_bytes)), "key").join(references(slim, min_payload).hint("shuffle_hash"), "key", "left")
+    return spill(dealt.select("page_id", "url", "raw", "refers_to").mapInArrow(_write(folder), "file string, n long"), "warc-listing")
 
 
 # ---- Spark: reading
