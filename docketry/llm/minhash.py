@@ -17,7 +17,7 @@ Large groups cost no quadratic work where it can be helped:
    that level is given up.
 A pair of similarity 0.75 is missed by all bands of the first level with probability (1 - 0.75^4)^32 = 5.2e-6. A pair all of
 whose first-level buckets were large is compared only if it shares a bucket of the second level, which misses it with
-probability (1 - 0.75^6)^64 = 3.6e-6. So 8.8e-6 is the most that a pair can have; more similar pairs have less.
+probability (1 - 0.75^5)^45 = 5.1e-6. So 1.1e-5 is the most that a pair can have; more similar pairs have less.
 
 Defined results: a document without words (null, empty, only white space) has an empty set and is linked with nothing. With
 fewer than five words the whole sequence is the one shingle. Rows that repeat a doc_id are one document, whose text is the
@@ -38,7 +38,7 @@ from docketry.llm.common import id_and_bytes, mix64, ship, spill
 
 SHINGLE, PERCENT = 5, 75
 #: (rows a band, bands) of each level.
-LEVELS = ((4, 32), (6, 64))
+LEVELS = ((4, 32), (5, 45))
 #: A bucket of more members than this is large.
 LARGE = 24
 #: Members of a block in the last, exhaustive comparison.
@@ -153,8 +153,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     # the sizes first: a pair whose sizes differ too much can't pass, and its sets need not travel
     x, y = sets.select(F.col("id").alias("a"), F.size("items").alias("n")), sets.select(F.col("id").alias("b"), F.size("items").alias("m"))
-    sized = pairs.join(x, "a").join(y, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
-    both = sized.join(left, "a").join(right, "b")
+    # in a large family every pair has the same a
+    sized = pairs.join(x.hint("merge"), "a").join(y, "b").filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
+    both = sized.join(left.hint("merge"), "a").join(right, "b")
     return both.filter((100 + percent) * F.size(F.array_intersect("x", "y")) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
@@ -187,8 +188,8 @@ def merge(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
 def _contract(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members (bucket, id, root) of the buckets that hold two or more components."""
     own = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    open_ = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n")
-    return own.join(open_, "bucket")
+    open_ = spill(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n"), "near-open")
+    return own.join(open_.hint("merge"), "bucket")
 
 
 def _cross(small: DataFrame) -> DataFrame:
@@ -230,8 +231,9 @@ def find_components(members: DataFrame, sets_of, percent: int = PERCENT, levels=
     """
     roots, sets = None, None
     for level in range(len(levels)):
-        star = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).filter("n > 1").select("bucket", "a")
-        shared = spill(members.join(star, "bucket").select("bucket", "id", "a"), "near-shared")
+        # a bucket can hold a third of all rows: stars are tables of their own and joins with them merge, so that adaptive execution splits it
+        star = spill(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).filter("n > 1").select("bucket", "a"), "near-stars")
+        shared = spill(members.join(star.hint("merge"), "bucket").select("bucket", "id", "a"), "near-shared")
         if sets is None:
             sets = spill(sets_of(shared.select("id").distinct()), "near-sets", "lz4")
         pairs = shared.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
