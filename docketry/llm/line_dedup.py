@@ -3,11 +3,12 @@
 Lines are keyed (stripped of ASCII white space, A-Z lower-cased) and hashed to 128 bits; a key of at
 least `min_chars` code points that at least `min_docs` documents hold loses its lines everywhere but in
 the largest doc_id holding it. The votes are counted with map-side partial aggregation, so a line that a
-third of all documents share is one small row per task; the join that carries a verdict back to its
+third of all documents share is one small row per task; distinct documents are counted for the lines alone that have
+rows enough. The join that carries a verdict back to its
 documents is a plain equi-join, which adaptive execution splits where a key is hot.
 
-Defined results: a null or empty text is one empty line. Each input row counts as a document; rows that
-repeat a doc_id share its verdicts. A row without doc_id votes but never loses a line. Columns other
+Defined results: a null or empty text is one empty line. Rows that repeat a doc_id are one document with one
+vote and share its verdicts. A row without doc_id is a document of its own, which votes but never loses a line. Columns other
 than the id and the text are not looked at. An empty table gives an empty result.
 """
 
@@ -77,8 +78,12 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs:
     """(doc_id, gone): the digests, one after the other, of the keys that a document loses; only documents that lose any."""
     keys = spill(id_and_bytes(docs, id_col, text_col).mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long"), "line-keys", "lz4")
     votes = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("home"))
-    bad = spill(votes.filter(F.col("n") >= min_docs).select("h1", "h2", "home"), "line-votes")
-    lost = keys.join(bad, ["h1", "h2"]).filter(F.col("doc_id") != F.col("home"))
+    # rows first; of the few keys with enough of them the distinct documents are counted
+    many = spill(votes.filter(F.col("n") >= min_docs).select("h1", "h2", "home"), "line-votes")
+    found = keys.join(many.hint("merge"), ["h1", "h2"])
+    docs_of = found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless"), F.max("home").alias("home"))
+    bad = spill(docs_of.filter(F.col("n") + F.col("nameless") >= min_docs).select("h1", "h2", "home"), "line-bad")
+    lost = keys.join(bad.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") != F.col("home"))
     return spill(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).mapInArrow(_join_digests, "doc_id long, gone binary"), "line-gone")
 
 

@@ -192,6 +192,42 @@ def test_warc(spark):
     assert {r.page_id: bytes(r.payload) for r in out.filter("payload is not null").collect()} == {i: (h or "").encode() for i, h in pages.items() if brute.warc(pages)[i][2] == "response"}
 
 
+def test_warc_of_repeated_and_missing_values(spark):
+    rows = [(1, None, "p"), (1, "u", "p"), (2, "v", "p"), (2, "v", "p"), (None, None, "p"), (None, "w", "q"), (None, None, "q"), (3, "x", None), (4, "y", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"key": F.lit("clash"), "size": F.lit(1)})
+    out = warc.read(spark, warc.write(df, file_bytes=600))
+    got = sorted(((r.page_id, r.url, r.record_type, r.refers_to) for r in out.collect()), key=str)
+    want = [(1, None, "revisit", 2), (1, "u", "revisit", 2), (2, "v", "response", None), (2, "v", "response", None), (None, None, "revisit", 2), (None, "w", "response", None), (None, None, "response", None), (3, "x", "revisit", 4), (4, "y", "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_archives_beyond_4_gb_and_damaged_ones(tmp_path):
+    import zipfile
+
+    path = tmp_path / "far.zip"
+    with open(path, "wb") as f:
+        f.seek(5 << 30)  # a hole
+        with zipfile.ZipFile(f, "w") as z:
+            z.writestr(zipfile.ZipInfo("a"), b"payload")
+    with open(path, "rb") as f:
+        at, n = warc.members(f, path.stat().st_size)["a"]
+        assert at > 1 << 32 and warc.read_range(f, at, n) == b"payload"
+    broken = tmp_path / "broken.zip"
+    broken.write_bytes(b"PK no directory here")
+    with open(broken, "rb") as f, pytest.raises(ValueError):
+        warc.members(f, broken.stat().st_size)
+    record = warc.build_record(1, "u", b"body", warc.base32_sha1(b"body"), None)
+    with pytest.raises(ValueError):
+        warc.parse_record(record.replace(b"body", b"bodi"))
+
+
+def test_a_repeated_document_votes_once(spark):
+    line = "a line of more than forty code points, which documents share"
+    for ids, lost in (([1, 1, 1, 1, 2, 3], 0), ([1, 1, 2, 3, 4, 5], 5), ([1, 2, 3, 4, None], 3)):
+        df = spark.createDataFrame([(i, line) for i in ids], "doc_id long, text string")
+        assert line_dedup.dedup_lines(df).agg(F.sum("n_dropped")).first()[0] == lost
+
+
 def test_zip64_directory_is_read(tmp_path):
     import zipfile
 
