@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from docketry.llm.common import filesystem, scratch_path, ship, spill
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
-#: Payload bytes for a task to write into one archive, and record bytes of one run of range reads.
+#: Payload bytes that a task writes into one archive at most, about, and record bytes of one run of range reads.
 FILE_BYTES, RUN_BYTES = 32 << 20, 4 << 20
 #: The fixed date of records, so that a page's record is the same in every run.
 DATE = "2024-01-01T00:00:00Z"
@@ -196,8 +196,10 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     rows = _payloads(pages, id_col, url_col, html_col)
     slim = spill(rows.select("page_id", "key", F.octet_length("raw").alias("size")), "warc-slim")
     total = slim.agg(F.sum(F.col("size") + 400).alias("n")).first()["n"] or 0
-    # the payloads travel once, to the files that they are written to; what they refer to comes to them
-    dealt = rows.repartition(max(1, -(-total // file_bytes)), "key").join(references(slim, min_payload).hint("shuffle_hash"), "key", "left")
+    # no fewer parts than a join has, else adaptive execution deals the payloads once more
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    # the payloads travel once, to the files that they are written to; what they refer to comes to them, dealt the same way
+    dealt = rows.repartition(n, "key").join(references(slim, min_payload).repartition(n, "key").hint("shuffle_hash"), "key", "left")
     return spill(dealt.select("page_id", "url", "raw", "refers_to").mapInArrow(_write(folder), "file string, n long"), "warc-listing")
 
 
