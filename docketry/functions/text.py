@@ -33,6 +33,11 @@ def has_any(text: Column, terms) -> Column:
     return text.rlike(bounded(terms))
 
 
+def has_term(text: Column, term: str) -> Column:
+    """Whether term is in text as a whole word; only texts that hold it at all are searched by pattern."""
+    return F.contains(text, F.lit(term)) & text.rlike(bounded([term]))
+
+
 def contains_any(text: Column, parts) -> Column:
     """Whether any of the parts is a substring of text."""
     return text.rlike("|".join(quoted(p) for p in parts))
@@ -40,7 +45,7 @@ def contains_any(text: Column, parts) -> Column:
 
 def count_terms(text: Column, terms) -> Column:
     """How many of the terms are in text as whole words."""
-    return sum((text.rlike(bounded([t])).cast("int") for t in terms), F.lit(0))
+    return sum((has_term(text, t).cast("int") for t in terms), F.lit(0))
 
 
 def squeeze(text: Column) -> Column:
@@ -100,25 +105,29 @@ def spans(text: Column, pattern: str) -> Column:
 
 def nearest(text: Column, at: Column, words) -> Column:
     """struct<distance int, ord int, word string> of the whole word nearest to position at; ties go to the first
-    in the list; null if there is none."""
+    in the list; null if there is none (just where has_any(text, words) is false)."""
     listed = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(words)))
-    there = F.filter(listed, lambda x: F.contains(text, x["w"]))
 
-    def closest(x):
-        gaps = F.split(text, F.concat(F.lit(NOT_AFTER + r"\Q"), x["w"], F.lit(r"\E" + NOT_BEFORE)), -1)
-        n = F.length(x["w"])
+    def found(own):
+        low, place = own["text"], own["at"]
+
+        def closest(x):
+            gaps = F.split(low, F.concat(F.lit(NOT_AFTER + r"\Q"), x["w"], F.lit(r"\E" + NOT_BEFORE)), -1)
+            n = F.length(x["w"])
+
+            def step(acc, gap):
+                begin = acc["at"] + F.length(gap)
+                away = F.least(F.abs(place - begin), F.abs(place - begin - n))
+                return F.struct((begin + n).alias("at"), F.least(acc["best"], away).alias("best"))
 
-        def step(acc, gap):
-            begin = acc["at"] + F.length(gap)
-            away = F.least(F.abs(at - begin), F.abs(at - begin - n))
-            return F.struct((begin + n).alias("at"), F.least(acc["best"], away).alias("best"))
+            start = F.struct(F.lit(0).alias("at"), F.lit(1 << 30).alias("best"))
+            best = let(gaps, lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), start, step, lambda acc: acc["best"]))
+            return F.struct(best.alias("distance"), x["i"].alias("ord"), x["w"].alias("word"))
 
-        start = F.struct(F.lit(0).alias("at"), F.lit(1 << 30).alias("best"))
-        best = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda acc: acc["best"])
-        return F.struct(best.alias("distance"), x["i"].alias("ord"), x["w"].alias("word"))
+        return F.array_min(F.transform(F.filter(listed, lambda x: F.contains(low, x["w"])), closest))
 
-    found = F.array_min(F.transform(there, closest))
-    return F.when(found["distance"] < (1 << 30), found)
+    # the pattern first: most texts have none of the words
+    return F.when(has_any(text, words), let(F.struct(text.alias("text"), at.alias("at")), found))
 
 
 def first_of(text: Column, groups: dict, default: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.text import title_case
+
 CRLF = "\r\n"
 PRODUCT = "-//Docketry//Commitments//EN"
 
@@ -18,40 +20,49 @@ def escape(value: Column) -> Column:
 
 
 def event(stamp: str) -> Column:
-    """One VEVENT with alarms seven days and one day before; null for rows whose date is no date."""
-    date = F.date_format("date", "yyyyMMdd")
-    place = F.concat(F.lit("From "), F.coalesce("source", F.lit("")), F.when(F.col("page").isNotNull(), F.concat(F.lit(", page "), F.col("page"))).otherwise(""))
-    notice = F.when(F.col("notice_days").isNotNull(), F.concat(F.lit(". Notice: "), F.col("notice_days"), F.lit(" days"))).otherwise("")
-    about = F.concat(place, F.lit(". "), F.coalesce("reason", F.lit("")), notice)
-    uid = F.substring(F.sha2(F.col("id").cast("binary"), 256), 1, 24)
-    alarm = lambda days: ["BEGIN:VALARM", "ACTION:DISPLAY", F.concat(F.lit("DESCRIPTION:"), escape(F.col("title"))), f"TRIGGER:-P{days}D", "END:VALARM"]
-    lines = ["BEGIN:VEVENT", F.concat(F.lit("UID:"), uid, F.lit("@docketry")), f"DTSTAMP:{stamp}", F.concat(F.lit("DTSTART;VALUE=DATE:"), date), F.concat(F.lit("SUMMARY:"), escape(F.col("title"))), F.concat(F.lit("DESCRIPTION:"), escape(about)), F.concat(F.lit("CATEGORIES:"), escape(F.initcap("category"))), *alarm(7), *alarm(1), "END:VEVENT"]
+    """One VEVENT with alarms seven days and one day before; null for rows whose date is no date of four-digit years."""
+    date = F.when(F.year("date").between(1, 9999), F.date_format("date", "yyyyMMdd"))
+    text = lambda name, other="": F.coalesce(F.col(name).cast("string"), F.lit(other))
+    place = F.concat(text("source"), F.when(F.col("page") > 0, F.concat(F.lit(", page "), F.col("page").cast("string"))).otherwise(""))
+    base = F.regexp_replace(F.concat(F.lit("Found in "), place, F.lit(". "), text("reason")), r"(?U)^\s+|\s+$", "")
+    about = F.concat(base, F.when(F.col("notice_days") > 0, F.concat(F.lit(" | Requires "), F.col("notice_days").cast("string"), F.lit("-day notice"))).otherwise(""))
+    uid = F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), date).cast("binary"), 256), 1, 24)
+    title = escape(text("title", "Commitment"))
+    alarm = lambda days, when: ["BEGIN:VALARM", "ACTION:DISPLAY", F.concat(F.lit("DESCRIPTION:"), title, F.lit(f" ({when} reminder)")), f"TRIGGER:-P{days}D", "END:VALARM"]
+    lines = ["BEGIN:VEVENT", F.concat(F.lit("UID:"), uid, F.lit("@docketry")), f"DTSTAMP:{stamp}", F.concat(F.lit("DTSTART;VALUE=DATE:"), date), F.concat(F.lit("SUMMARY:"), title), F.concat(F.lit("DESCRIPTION:"), escape(about)), F.concat(F.lit("CATEGORIES:"), escape(title_case(text("category", "action")))), "TRANSP:TRANSPARENT", *alarm(7, "1 week"), *alarm(1, "1 day"), "END:VEVENT"]
     return F.when(date.isNotNull(), F.concat_ws(CRLF, *(F.lit(x) if isinstance(x, str) else x for x in lines)))
 
 
 def calendar(commitments: DataFrame, name: str, stamp: str) -> DataFrame:
     """(ord, block): head, one block an event in the order of date, foot. Blocks end with CRLF; written in order they are the file."""
-    head = CRLF.join(("BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{PRODUCT}", "CALSCALE:GREGORIAN", f"X-WR-CALNAME:{name}")) + CRLF
     spark = commitments.sparkSession
-    ends = spark.createDataFrame([(0, None, "", head), (2, None, "", "END:VCALENDAR" + CRLF)], "ord int, date date, id string, block string")
-    events = commitments.withColumn("block", F.concat(event(stamp), F.lit(CRLF))).filter("block is not null").select(F.lit(1).alias("ord"), "date", "id", "block")
+    ends = spark.createDataFrame([(0, None, ""), (2, None, "")], "ord int, date date, id string")
+    head = F.concat(F.lit(CRLF.join(("BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{PRODUCT}", "CALSCALE:GREGORIAN", "X-WR-CALNAME:"))), escape(F.lit(name)), F.lit(CRLF))
+    ends = ends.withColumn("block", F.when(F.col("ord") == 0, head).otherwise("END:VCALENDAR" + CRLF))
+    events = commitments.withColumn("block", F.concat(event(stamp), F.lit(CRLF))).filter("block is not null").select(F.lit(1).alias("ord"), "date", F.col("id").cast("string").alias("id"), "block")
     return ends.union(events).orderBy("ord", "date", "id").select("ord", "block")
 
 
 def file_slug(title: Column) -> Column:
-    """A title as a file name: small letters and digits, other runs one dash, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """A title as a file name: small letters and digits, other runs one dash, none at the ends; `docketry-event` if nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit("")), F.lit("docketry-event"))
 
 
-CSV_COLUMNS = ("date", "title", "category", "domain", "entity", "periodicity", "notice_days", "action_date", "source", "summary")
+# The columns of the export, in their order.
+CSV_COLUMNS = {"date": "Date", "category": "Category", "title": "Title", "periodicity": "Periodicity", "notice_days": "Notice Days", "action_date": "Action Date", "summary": "Summary", "source": "Source", "confidence": "Confidence", "reason": "Reason"}
+CSV_HEAD, CSV_NUMBERS = ",".join(CSV_COLUMNS.values()), ("notice_days", "confidence")
 
 
 def csv_rows(commitments: DataFrame) -> DataFrame:
-    """(id, row): all fields quoted, quotes doubled; an empty summary falls back to the snippet."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    cols = [F.coalesce(F.nullif("summary", F.lit("")), "snippet") if c == "summary" else F.col(c) for c in CSV_COLUMNS]
-    return commitments.select("id", F.concat_ws(",", *(quote(c) for c in cols)).alias("row"))
+    """(id, date, row): numbers plain, other fields quoted with quotes doubled; an empty summary falls back to the snippet."""
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(plain(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    cols = {c: F.coalesce(F.nullif("summary", F.lit("")), "snippet") if c == "summary" else F.col(c) for c in CSV_COLUMNS}
+    return commitments.select("id", "date", F.concat_ws(",", *(plain(x) if c in CSV_NUMBERS else quote(x) for c, x in cols.items())).alias("row"))
 
 
-def write_csv(commitments: DataFrame, path: str) -> None:
-    commitments.select(*CSV_COLUMNS).write.option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(path)
+def csv_text(commitments: DataFrame) -> DataFrame:
+    """(ord, block): the head line, then one block a commitment, by date and id. Written in order they are the file: each row begins with CRLF, and none ends it."""
+    spark = commitments.sparkSession
+    head = spark.createDataFrame([(0, None, "", CSV_HEAD)], "ord int, date date, id string, block string")
+    return head.union(csv_rows(commitments).select(F.lit(1), "date", F.col("id").cast("string"), F.concat(F.lit(CRLF), "row"))).orderBy("ord", "date", "id").select("ord", "block")

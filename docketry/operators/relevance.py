@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.text import bounded, contains_any, count_terms, has_any, sample, words_of_name
+from docketry.functions.text import bounded, contains_any, count_terms, has_any, has_term, sample, words_of_name
 
 HAS_DATE = (
     r"(?i)(?U:\b)(?:20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]20[0-9]{2}|"
@@ -24,12 +24,12 @@ def statement_score(low: Column) -> Column:
 
 def term_score(low: Column, terms) -> Column:
     """Terms of several words count 2, others 1."""
-    return sum((low.rlike(bounded([t])).cast("int") * (2 if " " in t else 1) for t in terms), F.lit(0))
+    return sum((has_term(low, t).cast("int") * (2 if " " in t else 1) for t in terms), F.lit(0))
 
 
 def is_reference(low: Column, name: Column) -> Column:
     """Course books and code listings: two markers, or one and a piece of code."""
-    hits = sum(((low.rlike(bounded([m])) | name.rlike(bounded([m]))).cast("int") for m in V.REFERENCE_MARKERS), F.lit(0))
+    hits = sum(((has_term(low, m) | has_term(name, m)).cast("int") for m in V.REFERENCE_MARKERS), F.lit(0))
     return (hits >= 2) | ((hits >= 1) & contains_any(F.concat(F.lit(" "), low, F.lit(" ")), V.CODE_TOKENS))
 
 

@@ -265,8 +265,10 @@ f AS (SELECT key, word, o, len(word) AS k, low, unnest(range(1, length(low) + 1)
 h AS (SELECT key, word, o, least(abs(20 - (i - 1)), abs(20 - (i - 1 + k))) AS d FROM f WHERE substr(low, i, k) = word AND NOT regexp_matches(substr(' ' || low, i, 1), '\\w') AND NOT regexp_matches(substr(low || ' ', i + k, 1), '\\w'))
 SELECT key, arg_min(word, d * 1000 + o) AS word, CAST(min(d) AS INT) AS distance FROM h GROUP BY 1""")
 def nearest_action(spark, sf_dir):
-    found = text.nearest(F.lower("content"), F.lit(20), commitments.ACTION_WORDS)
-    return views.notices(spark, sf_dir).select("key", found.alias("x")).filter("x is not null").select("key", "x.word", "x.distance")
+    own = views.notices(spark, sf_dir).select("key", F.lower("content").alias("low"))
+    # null just where the filter is false; as a filter of its own the words are looked for once
+    found = text.nearest(F.col("low"), F.lit(20), commitments.ACTION_WORDS)
+    return own.filter(text.has_any(F.col("low"), commitments.ACTION_WORDS)).select("key", found.alias("x")).select("key", "x.word", "x.distance")
 
 
 def _judged(spark, sf_dir):
@@ -350,17 +352,24 @@ def totals(spark, sf_dir):
 
 # ---- exports
 
-@query(f"""WITH {_EXPECTED} SELECT path, '"' || strftime(date, '%Y-%m-%d') || '","' || title || '","' || category || '",""' AS head FROM good""")
+#: What the exports say of each wording besides: the word that decided, the notice, the summary.
+_TOLD = f"""{_EXPECTED}, told AS (SELECT *, '“' || (['by', 'renews', 'by', 'respond', '', 'premium', 'expires', 'expires'])[kind + 1] || '” appears near this date' AS reason,
+    CASE WHEN kind = 6 THEN 30 END AS notice, CASE WHEN kind = 6 THEN 'annual' ELSE '' END AS period,
+    title || ' (Order ' || key || ')' || CASE WHEN kind = 6 THEN ' • Notice: 30d prior (Action by ' || strftime(date - 30, '%b %d') || ')' ELSE '' END AS summary FROM good)"""
+
+
+@query(f"""WITH {_TOLD} SELECT path, '"' || strftime(date, '%Y-%m-%d') || '","' || category || '","' || title || '","' || period || '",' || coalesce(CAST(notice AS VARCHAR), '') || ',"'
+  || CASE WHEN notice IS NULL THEN '' ELSE strftime(date - notice, '%Y-%m-%d') END || '","' || summary || '","' || path || '",' || confidence || ',"' || reason || '"' AS row FROM told""")
 def csv_export(spark, sf_dir):
-    rows = exports.csv_rows(_shown(spark, sf_dir).withColumns({"id": F.col("path"), "entity": F.lit(None).cast("string")}))
-    return rows.select(F.col("id").alias("path"), F.array_join(F.slice(F.split("row", '","'), 1, 3), '","').alias("x"), "row").select("path", F.concat("x", F.lit('",""')).alias("head"))
+    return exports.csv_rows(_shown(spark, sf_dir).withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "row")
 
 
-@query(f"""WITH {_EXPECTED} SELECT path, 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d') AS start, 'SUMMARY:' || title AS summary, 'UID:' || substr(sha256(path), 1, 24) || '@docketry' AS uid FROM good""")
+@query(f"""WITH {_TOLD}, b AS (SELECT *, upper(category[1]) || category[2:] AS kind_name FROM told)
+SELECT path, array_to_string(['BEGIN:VEVENT', 'UID:' || substr(sha256(path), 1, 24) || '@docketry', 'DTSTAMP:20260101T000000Z', 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d'), 'SUMMARY:' || title,
+  'DESCRIPTION:Found in ' || path || '. ' || reason || CASE WHEN notice IS NULL THEN '' ELSE ' | Requires ' || notice || '-day notice' END, 'CATEGORIES:' || kind_name, 'TRANSP:TRANSPARENT',
+  'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || title || ' (1 week reminder)', 'TRIGGER:-P7D', 'END:VALARM', 'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || title || ' (1 day reminder)', 'TRIGGER:-P1D', 'END:VALARM', 'END:VEVENT'], chr(13) || chr(10)) AS event FROM b""")
 def calendar_events(spark, sf_dir):
-    block = F.split(exports.event("20260101T000000Z"), exports.CRLF)
-    rows = _shown(spark, sf_dir).withColumn("id", F.col("path")).select("path", block.alias("b"))
-    return rows.select("path", F.element_at("b", 4).alias("start"), F.element_at("b", 5).alias("summary"), F.element_at("b", 2).alias("uid"))
+    return _shown(spark, sf_dir).withColumn("id", F.col("path")).select("path", exports.event("20260101T000000Z").alias("event"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files have fewer splits than there are cores; larger inputs stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, kind, due, content, modified, document_id, domain): a short notice for each order, in eight wordings."""
     d = F.date_add(F.to_date("o_orderdate"), SHIFT)
@@ -35,7 +41,8 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, t in reversed(list(enumerate(texts[:-1]))):
         content = F.when(kind == i, t).otherwise(content)
     path = F.concat(F.lit("box"), (F.col("o_custkey") % 50).cast("string"), F.lit("/order_"), F.col("o_orderkey").cast("string"), F.lit(".eml"))
-    return table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return orders.select(
         path.alias("path"), kind.alias("kind"), d.alias("due"), content.alias("content"), F.concat(d.cast("string"), F.lit("T09:30:00")).alias("modified"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("document_id"), F.lit(None).cast("string").alias("domain"), F.col("o_orderkey").alias("key"),
     )

@@ -55,18 +55,21 @@ def test_folder_and_uploads(spark, tmp_path):
     assert [r.warning for r in uploads(items).orderBy("path").collect()] == [None, "b.csv: invalid base64 data", "too old"]
 
 
-ROW = "id string, date date, title string, category string, source string, page int, reason string, notice_days int, domain string, entity string, periodicity string, action_date date, summary string, snippet string"
+ROW = "id string, date date, title string, category string, source string, page int, reason string, notice_days int, domain string, entity string, periodicity string, action_date date, summary string, snippet string, confidence int"
 
 
 def test_calendar_and_csv(spark):
     import datetime as dt
 
-    rows = [("1\r\nATTENDEE:x", dt.date(2026, 9, 10), "Rent, \"due\"\r\nATTENDEE:x", "money", "a.pdf", 4, "r", 3, None, None, None, None, "", "snip"), ("2", None, "t", "money", "s", None, "r", None, None, None, None, None, "s", "x")]
+    rows = [("1\r\nATTENDEE:x", dt.date(2026, 9, 10), "Rent, \"due\"\r\nATTENDEE:x", "money", "a.pdf", 4, "r", 3, None, None, None, None, "", "snip", 90), ("2", None, "t", "money", "s", None, "r", None, None, None, None, None, "s", "x", None)]
     df = spark.createDataFrame(rows, ROW)
-    text = "".join(r.block for r in exports.calendar(df, "n", "20260101T000000Z").orderBy("ord").collect())
+    text = "".join(r.block for r in exports.calendar(df, "n\r\nX-ODD:1", "20260101T000000Z").orderBy("ord").collect())
     assert "DTSTART;VALUE=DATE:20260910" in text and "Rent\\, " in text and "page 4" in text and text.endswith("END:VCALENDAR\r\n")
+    assert "X-WR-CALNAME:n\\nX-ODD:1\r\n" in text and "DESCRIPTION:Found in a.pdf\\, page 4. r | Requires 3-day notice\r\n" in text
+    assert "TRANSP:TRANSPARENT" in text and "(1 week reminder)\r\nTRIGGER:-P7D" in text and "(1 day reminder)\r\nTRIGGER:-P1D" in text
     assert not any(line.startswith("ATTENDEE") for line in text.split("\r\n")) and text.count("BEGIN:VEVENT") == 1
-    assert exports.csv_rows(df).orderBy("id").first().row.endswith(',"a.pdf","snip"')
+    assert "".join(r.block for r in exports.csv_text(df.limit(1)).collect()) == exports.CSV_HEAD + '\r\n"2026-09-10","money","Rent, ""due""\r\nATTENDEE:x","",3,"","snip","a.pdf",90,"r"'
+    assert exports.CSV_HEAD == "Date,Category,Title,Periodicity,Notice Days,Action Date,Summary,Source,Confidence,Reason"
     assert df.select(exports.file_slug(F.lit("  My Ünit -- Plan! "))).first()[0] == "my-nit-plan"
 
 
