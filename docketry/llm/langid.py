@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-The letters of a text (lower-cased, everything else a single space) are read as 4-grams. The counts of all training
+The letters of a text with their combining marks (lower-cased, everything else a single space) are read as 4-grams. The counts of all training
 documents are gathered by language with partial aggregation; only the 4-grams are counted, as the lower orders need but
 their distinct types. Continuation counts, context totals and discounts are Spark aggregates over those types. Each language's probabilities
 and back-off weights are kept in arrays sorted by a 64-bit hash of the gram and searched by bisection.
@@ -18,6 +18,7 @@ and judged each for itself. Characters beyond the basic plane count as one lette
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +38,27 @@ FOLDS, HELD_OUT = 4, 2
 _letters: list[np.ndarray] = []
 
 
-def _letter_table() -> np.ndarray:
-    """Code unit -> itself for letters, else a space; 0xFFFD stands for letters beyond the basic plane."""
+def _letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> itself for letters and the marks that combine with them, else a space (0xFFFD stands for those beyond the basic plane); and whether it is a letter."""
     if not _letters:
-        table = np.full(0x110000, 32, dtype=np.uint16)
+        table, letter = np.full(0x110000, 32, dtype=np.uint16), np.zeros(0x110000, dtype=bool)
         for c in range(0x110000):
-            if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-                table[c] = c if c < 0x10000 else 0xFFFD
-        _letters.append(table)
-    return _letters[0]
+            if not 0xD800 <= c < 0xE000:
+                letter[c] = chr(c).isalpha()
+                if letter[c] or unicodedata.category(chr(c))[0] == "M":
+                    table[c] = c if c < 0x10000 else 0xFFFD
+        _letters.extend((table, letter))
+    return _letters[0], _letters[1]
 
 
 def codes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' characters one after the other, each text led by ORDER - 1 spaces, and each text's number of characters after them."""
-    table, out, sizes = _letter_table(), [], []
+    (table, is_letter), out, sizes = _letter_table(), [], []
     lead = np.full(ORDER - 1, 32, dtype=np.uint16)
     for t in texts:
-        c = table[np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        letter = c != 32
+        points = np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        c = table[points]
+        letter = (c != 32) & is_letter[points].any()  # marks alone are no text
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one space after each run of letters
         c = c[keep]
@@ -160,7 +164,7 @@ class Table:
 
 
 class Language:
-    """Interpolated Kneser-Ney of one language: for each order the discounted share of a gram, and the weight that its context leaves to the order below."""
+    """Interpolated Kneser-Ney of one language over the alphabet of all: for each order the discounted share of a gram, and the weight that its context leaves to the order below."""
 
     def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], alphabet: int):
         # order -> (grams, discounted shares, contexts, weights left)
@@ -195,7 +199,7 @@ def _orders(counts: DataFrame) -> Iterator[tuple[int, DataFrame, dict[str, float
 def build(counts: DataFrame) -> dict[str, Language]:
     """The model from (lang, gram, n), in memory."""
     parts: dict[str, dict[int, tuple]] = {}
-    alphabets: dict[str, int] = {}
+    alphabet: set[int] = set()
     for k, kept, discount in _orders(spill(counts, "lang-grams")):
         for lang, x in kept.toPandas().groupby("lang"):
             d = discount[lang]
@@ -203,9 +207,9 @@ def build(counts: DataFrame) -> dict[str, Language]:
             own = x.drop_duplicates("context")
             parts.setdefault(lang, {})[k] = (grams, np.maximum(x.n.to_numpy() - d, 0) / x.total.to_numpy(), own.context.to_numpy().view(np.uint64), _left(x, own, d))
             if k == 1:
-                alphabets[lang] = len(x)
+                alphabet.update(x.gram.tolist())
     empty = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
-    return {lang: Language({k: p.get(k, empty) for k in range(1, ORDER + 1)}, alphabets.get(lang, 0)) for lang, p in sorted(parts.items())}
+    return {lang: Language({k: p.get(k, empty) for k in range(1, ORDER + 1)}, len(alphabet)) for lang, p in sorted(parts.items())}
 
 
 def _left(kept, own, d: float) -> np.ndarray:
@@ -278,9 +282,9 @@ def _judge_by_tables(rows: DataFrame, counts: DataFrame) -> DataFrame:
     for k, t, discount in _orders(counts):
         d = spark.createDataFrame(list(discount.items()), "lang string, d double")
         orders[k] = spill(t.join(F.broadcast(d), "lang").select("lang", F.col("gram").alias("own"), "context", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share")), "lang-shares")
-    alphabets = {r["lang"]: r["n"] for r in orders[1].groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(alphabets)
-    names = spark.createDataFrame([(x, j, 1.0 / (alphabets[x] + 1)) for j, x in enumerate(langs)], "lang string, j int, p double")
+    langs = sorted(r["lang"] for r in orders[1].select("lang").distinct().collect())
+    floor = 1.0 / (orders[1].select("own").distinct().count() + 1)
+    names = spark.createDataFrame([(x, j, floor) for j, x in enumerate(langs)], "lang string, j int, p double")
     kinds = seen.select("gram").distinct().crossJoin(F.broadcast(names))
     for k in range(1, ORDER + 1):
         left = orders[k].groupBy("lang", "context").agg(F.greatest(F.lit(1e-9), F.least(F.lit(1.0), 1 - F.sum("share"))).alias("left"))

@@ -59,14 +59,45 @@ def test_distinct_grams():
     assert np.array_equal(np.sort(unique), want) and np.array_equal(unique[at], grams) and np.array_equal(want[back], grams)
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    df = spark.createDataFrame([("abab abba cab abc", "x"), ("bac cab", "x")], "text string, lang string")
-    model = langid.build(langid.count_grams(df))["x"]
-    alphabet = [ord(c) for c in " abc"]
-    for context in ("  a", " ab", "abb", "zzz"):
-        head = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context))
-        p = np.exp(model.log_p(np.array([head | c for c in alphabet], dtype=np.uint64))).sum()
-        assert math.isclose(p, 1 - model.floor * 0.5, rel_tol=0.35) and p <= 1 + 1e-9
+def brute_kneser_ney(texts, gram, alphabet):
+    """Probability of gram's last character after the three before it, straight from the definition."""
+    from collections import Counter
+
+    counts = {4: Counter()}
+    for t in texts:
+        padded = "   " + t
+        counts[4].update(padded[i : i + 4] for i in range(len(t)))
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p = 1 / (alphabet + 1)
+    for k in range(1, 5):
+        own, c = gram[4 - k :], counts[k]
+        ones, twos = (sum(1 for n in c.values() if n == m) for m in (1, 2))
+        d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
+        total = sum(n for g, n in c.items() if g[:-1] == own[:-1])
+        if total:
+            left = 1 - sum(max(n - d, 0) / total for g, n in c.items() if g[:-1] == own[:-1])
+            p = max(c[own] - d, 0) / total + min(1.0, max(1e-9, left)) * p
+    return p
+
+
+def test_kneser_ney_equals_the_definition(spark):
+    texts = {"x": ["abab abba cab abc ", "bac cab "], "y": ["dad add bad ", "éd da "]}
+    df = spark.createDataFrame([(t, k) for k, own in texts.items() for t in own], "text string, lang string")
+    model = langid.build(langid.count_grams(df))
+    alphabet = len(set("".join(sum(texts.values(), []))))
+    grams = [a + b for a in ("   ", "  a", " ab", "abb", "zzz", "b c") for b in " abcdézq"]
+    codes = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], dtype=np.uint64)
+    for lang, own in texts.items():
+        want = [math.log(brute_kneser_ney(own, g, alphabet)) for g in grams]
+        assert np.allclose(model[lang].log_p(codes), want, atol=1e-9, rtol=0)
+        seen = [g for g in grams if g[:3] == " ab" and g[3] not in "zq"]
+        assert sum(math.exp(x) for x, g in zip(want, grams, strict=True) if g in seen) < 1
+
+
+def test_marks_stay_with_their_letters():
+    codes, sizes = langid.codes_of(["नमस्ते x", "\u0301\u0301"])
+    assert sizes.tolist() == [8, 0] and 0x94D in codes.tolist()
 
 
 @needs_data
