@@ -3,21 +3,25 @@
 Training documents are cut into shards. In each shard the words become numbers (0 for a word that no
 benchmark item has) and a suffix array is built over the positions from which a window's worth of benchmark words follows;
 positions where that cannot be are left out, which loses no match. Every test suffix is then searched in
-every shard by bisection, all suffixes at once: the interval of training suffixes that begin with it gives
-the locations of the verbatim matches; matches that follow on one another join into runs, of which a document's longest
-is reported. Words inside any occurrence of a window are hit; a document is contaminated by a share of hit words.
+every shard by bisection, all suffixes at once, to the depth of a window: the interval of training suffixes that begin with it gives
+the places where it occurs. Places that follow on one another in both texts are one match, so each match is the longest
+verbatim one of its two places (item, place in the item, place in the document, words). Words inside any occurrence of a
+window are hit; a document is contaminated by a share of hit words.
 
-The benchmark is taken in blocks of at most `block_bytes` of text, so what each task receives stays bounded
-however large the benchmark grows; each block is one pass over the documents, and blocks are merged per
-document afterwards.
+The benchmark is dealt to blocks of about `block_bytes` of text. Tasks of their own prepare a block and write it to the shared folder;
+a task over documents takes its shard through one block after the other and holds one block at a time, however large the
+benchmark grows. There is one plan for any number of blocks, and no shuffle of documents.
 
 Defined results: a null or empty text has no words and no hits. Items without words are no items. Items
-that repeat an item_id count once; equal texts under two ids count as two items. Rows that repeat a doc_id are judged each for itself.
+that repeat an item_id count once (matches name the texts' places in either); equal texts under two ids count as two items. Rows that repeat a
+doc_id, or have none, are judged each for itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import id_and_bytes, ship, spill
+from docketry.llm.bpe import slices
+from docketry.llm.common import filesystem, id_and_bytes, parts, ragged_take, scratch_path, ship
 
 WINDOW = 13
 #: Contaminated: at least one hit word, and MIN_SHARE times as many as words.
 MIN_SHARE = 20
 #: Most benchmark text in one block, and most training text in one shard of the suffix array.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 2 << 20, 8 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -42,28 +47,27 @@ def words_of(raw: bytes | None) -> list[bytes]:
 
 
 class Tests:
-    """The windows of a block of items, numbered words, grouped by window length."""
+    """The windows of a block of items, numbered words, grouped by window length; arrays but for the vocabulary, so that a task loads it at once."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        vocab: dict[bytes, int] = {}
-        by_length: dict[int, list[tuple[list[int], int]]] = {}
-        self.items = []
+        self.vocab: dict[bytes, int] = {}
+        self.items: list[str] = []
+        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, raw in items:
-            w = [vocab.setdefault(x, len(vocab) + 1) for x in words_of(raw)]
-            if not w:
-                continue
-            k = min(window, len(w))
-            by_length.setdefault(k, []).extend((w[i : i + k], len(self.items)) for i in range(len(w) - k + 1))
-            self.items.append(item_id)
-        self.vocab = vocab
-        #: length -> (distinct windows in order, for each the items that have it)
-        self.windows: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
-        for k, rows in by_length.items():
-            grid, inverse = np.unique(np.array([r for r, _ in rows], dtype=np.int64).reshape(-1, k), axis=0, return_inverse=True)
-            owner, inverse = np.array([i for _, i in rows]), np.asarray(inverse).reshape(-1)
+            w = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(raw)], dtype=np.int64)
+            if len(w):
+                rows.setdefault(min(window, len(w)), []).append((w, len(self.items)))
+                self.items.append(item_id)
+        #: length -> (distinct windows in order, where each one's places begin, items of the places, places in the item)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, own in rows.items():
+            grid = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, k) for w, _ in own])
+            n = [len(w) - k + 1 for w, _ in own]
+            item, offset = np.repeat([i for _, i in own], n), np.concatenate([np.arange(m) for m in n])
+            distinct, inverse = np.unique(grid, axis=0, return_inverse=True)
+            inverse = np.asarray(inverse).reshape(-1)
             order = np.argsort(inverse, kind="stable")
-            cuts = np.flatnonzero(np.diff(inverse[order])) + 1
-            self.windows[k] = (grid, [np.unique(x) for x in np.split(owner[order], cuts)])
+            self.windows[k] = (distinct, np.searchsorted(inverse[order], np.arange(len(distinct) + 1)), item[order], offset[order])
 
 
 def suffix_array(codes: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -94,8 +98,8 @@ def _bisect(codes, order, at, want, low, high, right):
         hi[open_[~up]] = mid[~up]
 
 
-def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, list[np.ndarray], dict[int, set[int]], np.ndarray]:
-    """Per text of a shard: number of words, positions of hit words, items that occur, longest verbatim match."""
+def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, list[np.ndarray], dict[int, list[tuple[int, int, int, int]]]]:
+    """Per text of a shard: number of words, positions of hit words, and its matches (item, place in the text, place in the item, words)."""
     get = tests.vocab.get
     rows = [[get(w, 0) for w in words_of(t)] for t in texts]
     n_words = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
@@ -108,97 +112,148 @@ def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, li
         codes[at : at + len(row)] = row
     gaps = np.flatnonzero(codes == 0)
     room = gaps[np.searchsorted(gaps, np.arange(len(codes) - longest))] - np.arange(len(codes) - longest)
-    edge, items = np.zeros(len(codes) + 1, dtype=np.int64), {}
-    for k, (windows, owners) in tests.windows.items():
+    edge, matches = np.zeros(len(codes) + 1, dtype=np.int64), {}
+    for k, (windows, begins, item, offset) in tests.windows.items():
         starts = np.flatnonzero(room >= k)
         if not len(starts):
             continue
         order = suffix_array(codes, starts, k)
         low, high = search(codes, order, windows)
-        for j in np.flatnonzero(high > low):
-            at = order[low[j] : high[j]]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + k, -1)
-            for d in np.unique(np.searchsorted(bounds, at, side="right") - 1):
-                items.setdefault(int(d), set()).update(owners[j].tolist())
+        for lo, hi in _bounded(low, high, begins):
+            # every place in the shard with every place in the items, of a bounded number of windows at a time
+            width, owners = high[lo:hi] - low[lo:hi], begins[lo + 1 : hi + 1] - begins[lo:hi]
+            place = order[ragged_take(np.arange(len(order)), low[lo:hi], width)]
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + k, -1)
+            of = np.repeat(np.arange(lo, hi), width)
+            n = np.repeat(owners, width)
+            at, own = np.repeat(place, n), ragged_take(np.arange(len(item)), begins[of], n)
+            for d, *match in _runs(at, item[own], offset[own], k, bounds):
+                matches.setdefault(d, []).append(tuple(match))
     hit = np.cumsum(edge)[: len(codes)] > 0
-    out, reach = [], np.zeros(len(rows), dtype=np.int64)
-    for i in range(len(rows)):
-        own = np.flatnonzero(hit[bounds[i] : bounds[i + 1]]) if i in items else np.zeros(0, dtype=np.int64)
-        if len(own):
-            reach[i] = np.diff(np.flatnonzero(np.diff(own, prepend=-2, append=own[-1] + 2) != 1)).max()
-        out.append(own)
-    return n_words, out, items, reach
+    hits = [np.flatnonzero(hit[bounds[i] : bounds[i + 1]]) if i in matches else np.zeros(0, dtype=np.int64) for i in range(len(rows))]
+    return n_words, hits, {d: _joined(own) for d, own in matches.items()}
 
 
-def _match(tests_of, window: int, shard_bytes: int):
-    names = ["doc_id", "n_words", "hits", "items", "longest"]
+def _bounded(low: np.ndarray, high: np.ndarray, begins: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of windows whose places, each with each, number about limit."""
+    pairs = np.cumsum((high - low) * np.diff(begins))
+    at = 0
+    while at < len(low) and pairs[-1] > (pairs[at - 1] if at else 0):
+        end = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + limit, side="right")))
+        yield at, end
+        at = end
 
+
+def _runs(at: np.ndarray, item: np.ndarray, offset: np.ndarray, k: int, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, place in the text, place in the item, words): places that follow on one another in both texts, joined."""
+    if not len(at):
+        return
+    order = np.lexsort((at, at - offset, item))
+    at, item, offset = at[order], item[order], offset[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(at - offset) != 0) | (np.diff(item) != 0)]))
+    words = np.diff(np.append(new, len(at))) + k - 1
+    text = np.searchsorted(bounds, at[new], side="right") - 1
+    yield from zip(text.tolist(), item[new].tolist(), (at[new] - bounds[text]).tolist(), offset[new].tolist(), words.tolist(), strict=True)
+
+
+def _joined(own: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Matches of one text, those joined that overlap on the same diagonal, as they come from different runs of windows."""
+    out: list[tuple[int, int, int, int]] = []
+    for item, at, offset, words in sorted(own, key=lambda m: (m[0], m[1] - m[2], m[1])):
+        if out and out[-1][0] == item and out[-1][1] - out[-1][2] == at - offset and at <= out[-1][1] + out[-1][3]:
+            last = out.pop()
+            words, at, offset = max(last[1] + last[3], at + words) - last[1], last[1], last[2]
+        out.append((item, at, offset, words))
+    return out
+
+
+_loaded: dict[str, Tests] = {}
+
+
+def _load(uri: str) -> Tests:
+    """A block; a worker process keeps the one that it used last."""
+    if uri not in _loaded:
+        _loaded.clear()
+        system, path = filesystem(uri)
+        with system.open_input_stream(path) as f:
+            _loaded[uri] = pickle.loads(f.read())
+    return _loaded[uri]
+
+
+_MATCH = pa.struct([("item", pa.string()), ("at", pa.int64()), ("item_at", pa.int64()), ("words", pa.int64())])
+_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, matches array<struct<item:string,at:long,item_at:long,words:long>>, longest long"
+
+
+def _match(blocks: list[str], shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = Tests(tests_of.value, window)
-
-        def shard(ids, texts):
-            n_words, hits, items, reach = match_shard(texts, tests)
-            found = [sorted(tests.items[j] for j in items.get(i, ())) for i in range(len(ids))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(reach)], names=names)
-
-        ids, texts, size = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or b"")
-                if size >= shard_bytes:
-                    yield shard(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield shard(ids, texts)
+        for b in parts(batches, 1, shard_bytes):
+            texts = b.column(1).to_pylist()
+            hits: list[list[np.ndarray]] = [[] for _ in texts]
+            matches: list[list[tuple]] = [[] for _ in texts]
+            n_words = [len(words_of(t)) for t in texts] if not blocks else None
+            for uri in blocks:
+                tests = _load(uri)
+                n_words, own, found = match_shard(texts, tests)
+                for i, m in found.items():
+                    hits[i].append(own[i])
+                    matches[i] += [{"item": tests.items[j], "at": a, "item_at": o, "words": n} for j, a, o, n in m]
+            n_hit = [0 if not h else len(h[0]) if len(h) == 1 else len(np.unique(np.concatenate(h))) for h in hits]
+            cols = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted({m["item"] for m in own}) for own in matches], pa.list_(pa.string())), pa.array(matches, pa.list_(_MATCH)), pa.array([max((m["words"] for m in own), default=0) for own in matches], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items", "matches", "longest"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most block_bytes (an item larger than that is a block of its own), streamed through the driver one by one, never all at once."""
+def _prepare(folder: str, window: int, block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = filesystem(folder)
+        system.create_dir(path, recursive=True)
+        for items, raws in slices(batches, block_bytes):
+            name = f"block-{uuid.uuid4().hex}.pickle"
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(pickle.dumps(Tests(list(zip(items, raws, strict=True)), window)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["block"])
+
+    return run
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """The prepared blocks: a path for each block_bytes of benchmark text. Blocks of lost attempts are never listed."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("raw")).filter(F.col("item").isNotNull() & F.col("raw").isNotNull())
-    block, size = [], 0
-    for r in items.dropDuplicates(["item", "raw"]).toLocalIterator():
-        if block and size + len(r["raw"]) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r["item"], bytes(r["raw"])))
-        size += len(r["raw"])
-    if block:
-        yield block
+    total = items.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
+    dealt = items.dropDuplicates(["item", "raw"]).repartition(max(1, -(-total // block_bytes)), "item", "raw")
+    return sorted(r["block"] for r in dealt.mapInArrow(_prepare(scratch_path(spark, "bench-blocks"), window, block_bytes), "block string").collect())
 
 
 def match(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, longest, contaminated) for every row of docs."""
+    """(doc_id, n_words, n_hit, n_items, items, matches, longest, contaminated) for every row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    raw = id_and_bytes(docs, id_col, text_col)
-    schema = "doc_id long, n_words long, hits array<long>, items array<string>, longest long"
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        found = raw.mapInArrow(_match(spark.sparkContext.broadcast(first), window, shard_bytes), schema)
-        rows = found.withColumns({"n_hit": F.size("hits").cast("long"), "n_items": F.size("items").cast("long")})
-    else:
-        # several blocks: number the rows once, so that rows which repeat a doc_id stay apart when the blocks are merged
-        keyed = spill(raw.withColumn("row", F.monotonically_increasing_id()), "bench-docs")
-        numbered = keyed.select(F.col("row").alias("doc_id"), "raw")
-        parts = None
-        for block in _chain(first, second, blocks):
-            part = spill(numbered.mapInArrow(_match(spark.sparkContext.broadcast(block), window, shard_bytes), schema), "bench-block")
-            parts = part if parts is None else parts.unionByName(part)
-        merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-        rows = merged.withColumnRenamed("doc_id", "row").join(keyed.select("row", "doc_id"), "row").withColumns({"n_hit": F.size("hits").cast("long"), "n_items": F.size("items").cast("long")})
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items", "longest", ((F.col("n_hit") > 0) & (F.col("n_hit") * MIN_SHARE >= F.col("n_words"))).alias("contaminated"))
-
-
-def _chain(first, second, rest):
-    yield first
-    yield second
-    yield from rest
+    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+    found = id_and_bytes(docs, id_col, text_col).mapInArrow(_match(blocks, shard_bytes), _SCHEMA)
+    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * MIN_SHARE >= F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "matches", "longest", contaminated.alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; decided row by row, so nothing is shuffled and repeated ids need no join."""
+    ship(docs.sparkSession)
+    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
+
+    @F.pandas_udf("boolean")
+    def clean(raw):
+        import pandas as pd
+
+        raws, n_hit, n_words = list(raw), [], []
+        for b in parts([pa.RecordBatch.from_arrays([pa.nulls(len(raws), pa.int64()), pa.array(raws, pa.binary())], names=["doc_id", "raw"])], 1, SHARD_BYTES):
+            for found in _match(blocks, SHARD_BYTES)([b]):
+                n_words += found.column(1).to_pylist()
+                n_hit += found.column(2).to_pylist()
+        return pd.Series([not (h and h * MIN_SHARE >= n) for h, n in zip(n_hit, n_words, strict=True)], dtype=bool)
+
+    return docs.filter(clean(F.col(text_col).cast("binary")))
 
 
 def items_digest(items: list[str]) -> str:

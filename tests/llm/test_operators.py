@@ -115,9 +115,40 @@ def test_contamination(spark, df, docs):
         out = out.withColumn("h", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
         assert table(out, "doc_id", "n_words", "n_hit", "n_items", "h", "contaminated") == want
     assert any(x[4] for x in want.values())
+    clean = decontam.drop_contaminated(df, bench, block_bytes=100)
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {k for k, x in want.items() if not x[4]}
     assert decontam.match(df, bench.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_matches_are_the_longest_verbatim_ones(spark):
+    w = PASSAGE.split()
+    texts = ["x y " + " ".join(w[5:25]) + " z " + " ".join(w[3:18] + w[20:34]), " ".join(w), None, "", PASSAGE + " " + PASSAGE, " ".join(w[:12])]
+    items = {"a": PASSAGE, "b": " ".join(w[2:20]), "c": "z word3"}
+    rows = [(7, t) for t in texts[:3]] + [(None, t) for t in texts[3:]]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")
+
+    def brute_matches(text):
+        own, out = brute.bench_words(text), set()
+        for item, t in items.items():
+            other = brute.bench_words(t)
+            least = min(13, len(other))
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    if not (i and j and own[i - 1] == other[j - 1]):
+                        n = 0
+                        while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                            n += 1
+                        if n >= least:
+                            out.add((item, i, j, n))
+        return out
+
+    want = sorted(sorted(brute_matches(t)) for t in texts)
+    for block in (1 << 20, 50):
+        got = decontam.match(docs, bench, block_bytes=block).collect()
+        assert sorted(sorted((m["item"], m["at"], m["item_at"], m["words"]) for m in r.matches) for r in got) == want
+        assert all(r.longest == max((m["words"] for m in r.matches), default=0) for r in got)
+
+
 def encoder():
     import tiktoken
 
