@@ -2,12 +2,15 @@
 
 A candidate is a run of at least MIN_LENGTH characters of `A-Za-z0-9_+/-` with its padding of `=`, or a whole PEM block of a
 private key. Its features are its length, its mix of characters and the transitions between their classes, the share of its letters that dictionary
-words cover (words of 3 to 5 letters that the corpus uses MIN_USES times or more: at most 26^3 + 26^4 + 26^5 keys), its path, and the neighbouring
-words. A random forest trained from labelled findings gives the probability that it is a secret.
+words cover (words that make up MIN_SHARE of the corpus or more, of any length; a run of letters is cut where small letters meet
+capitals), its path, the signs around it, and the two words before and the word after it, hashed to WORD_BUCKETS places each.
+A random forest trained from labelled findings gives the probability that it is a secret.
 
 Training takes at most about `max_rows` labelled findings, chosen by a hash; counts for the dictionary cover all documents. Where
 no labelled findings are given, `rule_labels` makes them from the corpus: candidates in one of several precise forms of
-secrets are findings, those in a known benign form are not, and all others stay unlabelled.
+secrets are findings, those in a known benign form are not; those in both (a password that is made of plain words) and all others stay unlabelled, and
+the forest decides. None of the patterns of those rules is a feature, so the forest judges by shape and neighbours, and `disagreements` counts
+where it overrules a form.
 
 Defined results: one row per candidate; null and empty texts have none. Rows that repeat a doc_id are scanned each for itself; a null doc_id
 stays null. If the labelled findings have one class only, every probability is that class; without any, 0. A long text
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import scratch_root, spill
 
-MIN_LENGTH, MIN_USES = 12, 20
+MIN_LENGTH = 12
+#: A word of the dictionary makes up this share of all words, and MIN_USES words at least.
+MIN_SHARE, MIN_USES, WORD_BUCKETS = 1e-6, 3, 16
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{1,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----"
 CANDIDATE = PEM + r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 #: What names a secret, before a value.
@@ -37,8 +42,11 @@ ASSIGNED, HEADER, USER, AT = NAME + r"[A-Za-z0-9_-]{0,16}[\"']?\s*(:=|=>|[:=])\s
 BENIGN = r"^([0-9+/_=-]+|[_+/=-]+|/*([A-Za-z]{1,24}|[0-9]{1,6})([-_/+]{1,2}([A-Za-z]{1,24}|[0-9]{1,6}))*[-_/]*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 #: Characters of context on either side.
 BEFORE, AFTER = 48, 24
+#: From this share of letters in dictionary words on, a benign form is plain words.
+PLAIN = 0.5
 MAX_ROWS, TREES, DEPTH = 20_000, 24, 6
-FEATURES = ["length", "digits", "uppers", "lowers", "others", "kinds", "hex", "changes", "coverage", "path_test", "path_config", "path_depth", "name_before", "assign_before", "quote_before", "quote_after", "at_before", "number_before", "link_before", "punct_after", "provider", "assigned_before", "header_before", "user_before", "pem"]
+FEATURES = ["length", "digits", "uppers", "lowers", "others", "kinds", "hex", "changes", "coverage", "path_test", "path_config", "path_depth", "quote_before", "quote_after", "number_before", "punct_after"]
+FEATURES += [f"{place}_{k}" for place in ("before", "after") for k in range(WORD_BUCKETS)]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -51,10 +59,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut.select("doc_id", "path", F.posexplode(around).alias("nth", "x")).select("doc_id", "path", F.col("nth").cast("long").alias("nth"), "x.value", "x.before", "x.after")
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", min_uses: int = MIN_USES) -> DataFrame:
-    """(word): words of 3 to 5 letters a-z in use throughout the corpus, counted over all of it."""
-    words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])[a-z]{3,5}(?![\p{L}\p{N}])"), F.lit(0))
-    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_uses).select("word")
+def dictionary(docs: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, min_uses: int = MIN_USES) -> DataFrame:
+    """(word): words a-z of three letters or more in use throughout the corpus, counted over all of it."""
+    words = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"(?<![\p{L}\p{N}])[a-z]{3,}(?![\p{L}\p{N}])"), F.lit(0))
+    counts = spill(docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_uses), "secret-words")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return counts.filter(F.col("n") >= min_share * total).select("word")
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -68,10 +78,14 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         return F.col(col).rlike(pattern).cast("double")
 
     # letter runs looked up in the dictionary by equality; only candidates' runs travel
-    runs = found.select("row", F.explode(F.regexp_extract_all(F.lower(v), F.lit(r"[a-z]{3,}"), F.lit(0))).alias("word"))
+    runs = found.select("row", F.explode(F.regexp_extract_all(v, F.lit(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))).alias("word")).withColumn("word", F.lower("word"))
     covered = runs.join(words, "word").groupBy("row").agg(F.sum(F.length("word")).alias("covered"))
     letters = F.greatest(F.regexp_count(v, F.lit("[A-Za-z]")), F.lit(1))
     out = found.join(covered, "row", "left")
+    known = F.regexp_extract_all(F.lower("before"), F.lit("[a-z]{2,}"), F.lit(0))
+    near = {"before": F.slice(F.reverse(known), 1, 2), "after": F.slice(F.regexp_extract_all(F.lower("after"), F.lit("[a-z]{2,}"), F.lit(0)), 1, 1)}
+    out = out.withColumns({f"_{k}": F.transform(x, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS))) for k, x in near.items()})
+    out = out.withColumns({f"{place}_{k}": F.array_contains(f"_{place}", F.lit(k).cast("long")).cast("double") for place in near for k in range(WORD_BUCKETS)}).drop("_before", "_after")
     return out.withColumns({
         "length": n,
         "digits": share("[0-9]"),
@@ -85,43 +99,41 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "path_test": has("path", r"(?i)test|example|sample|fixture|mock|doc"),
         "path_config": has("path", r"(?i)\.(env|ini|cfg|conf|ya?ml|json|toml|properties|pem|key)$|config|secret"),
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
-        "name_before": has("before", NAME + r"[^\n]{0,16}$"),
-        "assign_before": has("before", r"[:=]\s*[\"'`]?$"),
         "quote_before": has("before", r"[\"'`]$"),
         "quote_after": has("after", r"^[\"'`]"),
-        "at_before": has("before", r"@\S*$"),
         "number_before": has("before", r"[0-9)+.,]\s?$"),
-        "link_before": has("before", r"://\S*$"),
         "punct_after": has("after", r"^[.,;:!?@]"),
-        "provider": has("value", PROVIDER),
-        "assigned_before": has("before", ASSIGNED),
-        "header_before": has("before", HEADER),
-        "user_before": has("before", USER) * has("after", AT),
-        "pem": has("value", "^-----BEGIN "),
     }).drop("covered")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """(row, label) of the candidates in a precise form of secrets, or else in a benign one; the others are not labelled."""
+    """(row, label) of the candidates (with their coverage) in a precise form of secrets, or else in a benign one; the others are not labelled."""
     value, before, after = F.col("value"), F.col("before"), F.col("after")
     hit = value.rlike(PROVIDER) | before.rlike(ASSIGNED) | before.rlike(HEADER) | (before.rlike(USER) & after.rlike(AT)) | value.startswith("-----BEGIN ")
     # of a long value the first part, as the pattern recurses
     benign = F.left("value", F.lit(256)).rlike(BENIGN) | before.rlike(r"://\S*$") | before.rlike(r"@\S*$") | after.rlike("^@") | before.rlike(r"(?i)\b(commit|sha[0-9]*|md5|checksum|digest)\s*[:=]?\s*$")
-    return found.select("row", F.when(hit, 1.0).when(benign, 0.0).alias("label")).filter("label is not null")
+    plain = benign & ((F.col("coverage") >= PLAIN) | ~value.rlike("[A-Za-z]"))
+    return found.select("row", F.when(hit & ~plain, 1.0).when(benign & ~hit, 0.0).alias("label")).filter("label is not null")
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_rows: int = MAX_ROWS, min_uses: int = MIN_USES) -> DataFrame:
-    """(doc_id, nth, value_sha256, length, probability, is_secret), one row per candidate.
+def disagreements(scored: DataFrame) -> DataFrame:
+    """(form, is_secret, n): how the forest judged the candidates that rule_labels calls findings (1), benign (0) or neither (null). scored: scan(..., with_context=True)."""
+    own = scored.withColumn("row", F.monotonically_increasing_id())
+    return own.join(rule_labels(own), "row", "left").groupBy(F.col("label").alias("form"), "is_secret").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", max_rows: int = MAX_ROWS, min_uses: int = MIN_USES, with_context: bool = False) -> DataFrame:
+    """(doc_id, nth, value_sha256, length, probability, is_secret[, value, before, after, coverage]), one row per candidate.
 
     labelled: (doc_id, nth, label) findings to learn from; null: rule_labels over the candidates.
     """
     spark = docs.sparkSession
     scratch_root(spark)
     found = spill(candidates(docs, id_col, text_col, path_col).withColumn("row", F.monotonically_increasing_id()), "secret-candidates")
-    words = dictionary(docs, text_col, min_uses)
+    words = dictionary(docs, text_col, min_uses=min_uses)
     scored = spill(features(found, words), "secret-features")
     if labelled is None:
-        truth = rule_labels(found)
+        truth = rule_labels(scored)
     else:
         own = labelled.select(F.col("doc_id").cast("long").alias("d"), F.col("nth").cast("long").alias("k"), F.col("label").cast("double").alias("label")).filter("label is not null").groupBy("d", "k").agg(F.max("label").alias("label"))
         truth = found.join(own, (F.col("doc_id") == F.col("d")) & (F.col("nth") == F.col("k"))).select("row", "label")
@@ -141,4 +153,4 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
         scored = model.transform(assemble.transform(scored))
         probability = vector_to_array("probability")[1]
     out = scored.withColumn("p", probability)
-    return out.select("doc_id", "nth", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), F.round("p", 6).alias("probability"), (F.col("p") >= 0.5).alias("is_secret"))
+    return out.select("doc_id", "nth", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), F.round("p", 6).alias("probability"), (F.col("p") >= 0.5).alias("is_secret"), *(("value", "before", "after", "coverage") if with_context else ()))

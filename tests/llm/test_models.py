@@ -186,6 +186,60 @@ def test_secret_scan_finds_every_form(spark):
     assert all(r.doc_id < 5000 for r in got)
 
 
+def test_secret_scan_overrules_forms(spark):
+    """Passwords of plain words are in a form of secrets, and keys under names that no rule knows are in none."""
+    import hashlib
+
+    rng = np.random.RandomState(2)
+    words = "orange garden window summer planet kitchen yellow pencil basket winter".split()
+    rows = []
+    for i in range(150):
+        h = hashlib.sha256(str(i).encode()).hexdigest()
+        rows.append((i, f"config token = \"{h[:40]}\" set", "a.env"))
+        rows.append((1000 + i, "the " + " ".join(rng.choice(words, 30)) + f" see https://x.example.com/{'-'.join(rng.choice(words, 3))} and " + "-".join(rng.choice(words, 3)), "notes"))
+    rows += [(5000 + i, "password: " + "-".join(rng.choice(words, 3)), "a.env") for i in range(40)]
+    rows += [(6000 + i, "vault seal " + hashlib.sha256(b"%d" % -i).hexdigest()[:40] + " kept", "a.env") for i in range(40)]
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), with_context=True)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id // 1000, []).append(r.is_secret)
+    assert all(got[0]) and not any(got[1]) and np.mean(got[5]) < 0.1 and np.mean(got[6]) > 0.9
+    told = {(r.form, r.is_secret): r.n for r in secret_scan.disagreements(out).collect()}
+    assert told[(1.0, True)] == 150 and told.get((None, True), 0) >= 36 and told.get((None, False), 0) >= 36
+
+
+def test_secret_features_equal_brute_force(spark):
+    import re
+    import string
+
+    rng = np.random.RandomState(6)
+    values = ["".join(rng.choice(list(string.ascii_letters + string.digits + "_+/-"), rng.randint(12, 60))) for _ in range(44)] + ["orangeGarden12345", "windowwindow-orange", "0123456789ab", "A" * 300, "OrangeJuiceORANGE", "a1" * 20]
+    rows = [(i, v, "x token ", " then") for i, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "row long, value string, before string, after string").withColumn("path", F.lit("a/test.env"))
+    words = {"orange", "garden", "window"}
+    got = {r.row: r for r in secret_scan.features(found, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+
+    def kind(c):
+        return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+
+    for i, v in enumerate(values):
+        n, r = len(v), got[i]
+        want = [n, sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, sum(c.islower() for c in v) / n, sum(kind(c) == 3 for c in v) / n, len(set(map(kind, v))), float(all(c in string.hexdigits for c in v)), sum(kind(a) != kind(b) for a, b in zip(v, v[1:])) / n]
+        runs = [x.lower() for x in re.findall(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", v)]
+        want.append(sum(len(x) for x in runs if x in words) / max(1, sum(c.isalpha() for c in v)))
+        assert np.allclose([r[k] for k in secret_scan.FEATURES[:9]], want)
+        assert (r.path_test, r.path_config, r.path_depth, r.punct_after) == (1.0, 1.0, 1.0, 0.0)
+        assert sum(r[f"before_{k}"] for k in range(secret_scan.WORD_BUCKETS)) == 1.0 == sum(r[f"after_{k}"] for k in range(secret_scan.WORD_BUCKETS))
+
+
+def test_secret_scan_of_awkward_rows(spark):
+    long = "x y " * 50_000 + "token = \"" + "0a" * 20 + "\""
+    rows = [(1, long, "a"), (1, long, "a"), (None, "b" * 300_000, None), (2, "", "a"), (3, None, "a")]
+    labelled = spark.createDataFrame([(1, 0, 1.0), (1, 0, 0.0), (9, 9, 1.0), (1, None, 1.0)], "doc_id long, nth long, label double")
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), labelled=labelled).collect()
+    assert sorted((r.doc_id or 0, r.length, r.probability) for r in out) == [(0, 300_000, 1.0), (1, 40, 1.0), (1, 40, 1.0)]
+
+
 @needs_data
 def test_secret_scan_finds_the_tokens(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
