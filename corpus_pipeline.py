@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents, and whatever further columns the input has.
+
+A null or empty text has no words, so the quality rules drop it. Rows that repeat a doc_id are judged each for itself by
+quality and decontamination, are one document for line dedup, and stay or go together in near-dedup; rows without a doc_id
+never lose a line or go as near-duplicates. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,8 +36,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    found = decontam.match(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
