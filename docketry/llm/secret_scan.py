@@ -149,7 +149,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
             weight = F.when(F.col("label") == k, F.lit(1.0 / min(n, 0.5 * max_rows))).otherwise(weight)
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="x")
         forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=DEPTH, seed=11)
-        model = forest.fit(assemble.transform(train.withColumn("w", weight * min(counts.values()))).select("x", "label", "w").coalesce(8))
+        model = forest.fit(assemble.transform(train.withColumn("w", weight * min(counts.values()))).select("x", "label", "w").repartition(8))
         scored = model.transform(assemble.transform(scored))
         probability = vector_to_array("probability")[1]
     out = scored.withColumn("p", probability)
