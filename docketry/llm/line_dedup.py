@@ -80,10 +80,11 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs:
     votes = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("home"))
     # rows first; of the few keys with enough of them the distinct documents are counted
     many = spill(votes.filter(F.col("n") >= min_docs).select("h1", "h2", "home"), "line-votes")
-    found = keys.join(many.hint("merge"), ["h1", "h2"])
+    # written, so that adaptive execution can split a hot line here and the counts below are dealt by document as well
+    found = spill(keys.join(many.hint("merge"), ["h1", "h2"]), "line-found", "lz4")
     docs_of = found.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nameless"), F.max("home").alias("home"))
     bad = spill(docs_of.filter(F.col("n") + F.col("nameless") >= min_docs).select("h1", "h2", "home"), "line-bad")
-    lost = keys.join(bad.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") != F.col("home"))
+    lost = found.drop("home").join(bad.hint("merge"), ["h1", "h2"]).filter(F.col("doc_id") != F.col("home"))
     return spill(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")).mapInArrow(_join_digests, "doc_id long, gone binary"), "line-gone")
 
 
