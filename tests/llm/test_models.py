@@ -128,6 +128,52 @@ def test_toxicity(spark):
     assert toxicity.learn_and_score(d.limit(0), lab).count() == 0
 
 
+def test_ftrl_equals_the_plain_form():
+    """The update rule coordinate by coordinate, in plain Python."""
+    rng = np.random.RandomState(8)
+    rows = [toxicity.features((" ".join(rng.choice(list("abcdefgh"), 6))).encode()) for _ in range(60)]
+    labels = [int(rng.rand() < 0.4) for _ in rows]
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.RandomState(7)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            own = {int(i): weight(int(i)) for i in rows[k]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(own.values()))))) - labels[k]
+            for i, w in own.items():
+                was, n[i] = n.get(i, 0.0), n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(was)) / toxicity.ALPHA * w
+    got = toxicity.ftrl(rows, labels, epochs=4)
+    want = np.zeros(len(got))
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-9) and (want != 0).any() and (want == 0).sum() > len(want) - len(z)
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    """Held-out labels of the given tables, by the registered query."""
+    from docketry.llm.queries import op3_toxicity
+
+    sf = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = op3_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[(1, 1)] > 0.75 * (n[(1, 1)] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.02 * n[(0, 0)]
+
+
+def test_toxicity_of_very_long_text(spark):
+    rows = [(i, "vile " + "w " * 50 if i % 2 else "fine " + "w " * 50) for i in range(100)] + [(900, "w x y z " * 200_000 + "vile"), (901, "w x y z " * 200_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.learn_and_score(d, spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")).collect()}
+    assert got[900] > got[901]
+
+
 def test_toxicity_of_a_bounded_sample(spark):
     d = spark.createDataFrame([(i, "vile" if i % 2 else "fine") for i in range(400)], "doc_id long, text string")
     lab = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
