@@ -200,7 +200,6 @@ PAYEE_NOISE = ("upi", "pos", "card", "payment", "transfer", "debit", "txn", "ref
 # File policy.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".tiff")
 DOCUMENT_EXTENSIONS = (".pdf", ".docx", ".pages", ".eml", ".msg", ".csv", ".xlsx")
-TEXT_EXTENSIONS = (".eml", ".csv")
 IGNORED_DIRECTORIES = (
     ".git", ".svn", ".hg", "venv", ".venv", "env", "site-packages",
     "__pycache__", "node_modules", "bower_components", "build", "dist",

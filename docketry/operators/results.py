@@ -104,5 +104,5 @@ def scan_key(manifest: DataFrame, root: str) -> DataFrame:
     """(scan_key): one digest over all fingerprints in order, with the root, the number of files and their bytes."""
     each = F.xxhash64("path", "fingerprint")
     # order-free sums of row hashes stand for the listing, so no task sees all of it
-    sums = manifest.agg(F.sum(each.cast("decimal(38,0)")).alias("a"), F.bit_xor(each).alias("b"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
-    return sums.select(F.sha2(F.concat_ws(":", F.lit(root), "n", "bytes", "a", "b").cast("binary"), 256).alias("scan_key"))
+    sums = manifest.agg(F.sum(each.cast("decimal(38,0)")).alias("a"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return sums.select(F.sha2(F.concat_ws(":", F.lit(root), "n", "bytes", "a").cast("binary"), 256).alias("scan_key"))

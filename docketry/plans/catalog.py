@@ -333,7 +333,7 @@ SELECT name, count(*) AS n FROM f WHERE path NOT LIKE 'box7/%' GROUP BY 1""")
 def shown_by_filter(spark, sf_dir):
     good = _shown(spark, sf_dir)
     dismissed = good.filter(F.col("path").startswith("box7/")).select("id")
-    kept = good.join(dismissed, "id", "left_anti")
+    kept = horizon.visible(good, dismissed, "all", TODAY)
     names = ("soon", "expiry", "money", "cancellation")
     return kept.select(F.explode(F.array(*(F.when(horizon.matches(n, TODAY), F.lit(n)) for n in names))).alias("name")).filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 

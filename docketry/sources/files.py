@@ -29,11 +29,27 @@ def relative(path: str):
     return F.regexp_replace("path", "^(?:[a-z0-9]+:)?(?://[^/]*(?=/))?" + root if path.startswith("/") else "^" + root, "")
 
 
+def _any_case(suffixes) -> str:
+    """A file pattern for names that end with one of the suffixes, in small letters or capitals."""
+    return "{" + ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}"
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, modified, warning) of a folder's files. Paths are relative to it; gates on names and sizes come before any bytes are read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = raw.select(relative(path).alias("path"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content")
-    return decode(listed.withColumn("warning", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string"))).filter(~F.coalesce(F.col("warning").startswith(V.IGNORED_DIRECTORY), F.lit(False))))
+    """(path, content, modified, warning) of a folder's files. Paths are relative to it.
+
+    Two scans: one of the names and sizes of all files, which reads no bytes, for those that are not read; and one of the bytes of
+    files of the kinds and sizes that are, as a pattern of names and a pushed filter.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    every = source.load(path)
+    small = source.option("pathGlobFilter", _any_case(V.DOCUMENT_EXTENSIONS + V.IMAGE_EXTENSIONS)).load(path).filter(F.col("length") <= V.MAX_FILE_BYTES)
+
+    def judged(raw: DataFrame, content) -> DataFrame:
+        listed = raw.select(relative(path).alias("path"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), content.alias("content"))
+        return listed.withColumn("warning", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string")))
+
+    unread = judged(every, F.lit(None).cast("binary")).filter(F.col("warning").isNotNull() & ~F.col("warning").startswith(V.IGNORED_DIRECTORY))
+    return decode(judged(small, F.col("content")).filter("warning is null").unionByName(unread))
 
 
 def decode(files: DataFrame) -> DataFrame:

@@ -28,9 +28,11 @@ def run(spark: SparkSession, folder: str, state: str, today, month_first: bool =
 
     def store(batch: DataFrame, batch_id: int) -> None:
         listed = batch.withColumn("path", relative(folder)).select("path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content", file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string")).alias("warning"))
-        found = scan(decode(listed).persist(), today, month_first)
+        files = decode(listed).persist()  # three branches read it
+        found = scan(files, today, month_first)
         found.commitments.write.mode("overwrite").parquet(f"{state}/commitments/batch={batch_id}")
         found.outcomes.withColumn("status", F.when(F.col("warning").isNull(), "done").otherwise("skipped")).write.mode("overwrite").parquet(f"{state}/outcomes/batch={batch_id}")
+        files.unpersist()
 
     return watch(spark, folder, files_a_batch).writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
 

@@ -50,6 +50,11 @@ def test_folder_and_uploads(spark, tmp_path):
     for name, raw in (("a.eml", TEXT.encode()), ("b.md", b"x"), ("node_modules/c.eml", b"x"), ("d.docx", b"not a zip")):
         (tmp_path / name).write_bytes(raw)
     got = {r.path: (r.content, r.warning) for r in read_folder(spark, str(tmp_path)).collect()}
+    with open(tmp_path / "E.PDF", "wb") as f:
+        f.truncate(9 << 20)  # too large, and a kind that is read in either case
+    plan = read_folder(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,8388608)" in plan
+    assert {r.path: r.warning for r in read_folder(spark, str(tmp_path)).collect()}["E.PDF"].endswith("larger than 8 MB")
     assert set(got) == {"a.eml", "b.md", "d.docx"} and got["a.eml"][0].startswith("Subject") and "unreadable" in got["d.docx"][1]
     items = spark.createDataFrame([("a.csv", "YQ==", "base64", None, None), ("b.csv", "?", "base64", None, None), ("c.csv", "x", "text", None, "too old")], "path string, content string, encoding string, modified string, skip_reason string")
     assert [r.warning for r in uploads(items).orderBy("path").collect()] == [None, "b.csv: invalid base64 data", "too old"]
