@@ -61,6 +61,33 @@ def csv_rows(commitments: DataFrame) -> DataFrame:
     return commitments.select("id", "date", F.concat_ws(",", *(plain(x) if c in CSV_NUMBERS else quote(x) for c, x in cols.items())).alias("row"))
 
 
+# The fields of a commitment in machine-readable results, in their order.
+FIELDS = ("id", "date", "title", "category", "source", "line", "snippet", "confidence", "reason", "original", "ambiguous", "page", "document_id", "domain", "entity", "periodicity", "summary", "notice_days", "action_date")
+
+
+def json_rows(commitments: DataFrame) -> DataFrame:
+    """(id, date, row): each commitment as a JSON object with all its fields, nulls too."""
+    return commitments.select("id", "date", F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("row"))
+
+
+def _block() -> Column:
+    below = F.concat_ws(" · ", "source", "category", F.concat(F.col("confidence").cast("string"), F.lit("%")))
+    return F.concat(F.col("date").cast("string"), F.lit("  "), F.col("title"), F.lit("\n" + " " * 12), below, F.lit("\n\n"))
+
+
+def report_rows(commitments: DataFrame) -> DataFrame:
+    """(id, date, block): what a console shows of a commitment: date and title, and below the source, category and confidence, then a blank line."""
+    return commitments.select("id", "date", _block().alias("block"))
+
+
+def report_text(commitments: DataFrame, files_scanned: Column) -> DataFrame:
+    """(ord, block): a head that counts commitments and files, then a block each, by date, falling confidence and id. Written in order they are the report."""
+    head = F.concat(F.lit("Docketry found "), F.count(F.lit(1)).cast("string"), F.lit(" commitments in "), files_scanned.cast("string"), F.lit(" files.\n\n"))
+    first = commitments.agg(head.alias("block")).select(F.lit(0).alias("ord"), F.lit(None).cast("date").alias("date"), F.lit(0).alias("least"), F.lit("").alias("id"), "block")
+    rows = commitments.select(F.lit(1), "date", -F.col("confidence"), F.col("id").cast("string"), _block())
+    return first.union(rows).orderBy("ord", "date", "least", "id").select("ord", "block")
+
+
 def csv_text(commitments: DataFrame) -> DataFrame:
     """(ord, block): the head line, then one block a commitment, by date and id. Written in order they are the file: each row begins with CRLF, and none ends it."""
     spark = commitments.sparkSession

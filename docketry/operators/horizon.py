@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Filters that stand for several categories.
@@ -31,11 +31,36 @@ def bucket(date: Column, today) -> Column:
     return F.when(days < 0, "Overdue").when(days <= SOON_DAYS, "Next 30 days").otherwise("Later")
 
 
+def _place(today) -> list[Column]:
+    """The order of commitments within a document, those to come before those past; the first of it leads."""
+    return [F.col("date") < F.lit(today).cast("date"), F.col("date"), -F.col("confidence"), F.col("id")]
+
+
 def bundles(commitments: DataFrame, today) -> DataFrame:
-    """(source, n, lead_date, bucket): a document's commitments, led by the first that is not past, else by the earliest."""
-    day = F.lit(today).cast("date")
-    lead = F.coalesce(F.min(F.when(F.col("date") >= day, F.col("date"))), F.min("date"))
-    return commitments.groupBy("source").agg(F.count(F.lit(1)).alias("n"), lead.alias("lead_date")).withColumn("bucket", bucket(F.col("lead_date"), today))
+    """(source, n, lead_date, lead_id, lead_title, bucket): a document's commitments, led by the first that is not past, else by the earliest."""
+    lead = F.min_by(F.struct("date", "id", "title"), F.struct(*(c.alias(f"k{i}") for i, c in enumerate(_place(today)))))
+    found = commitments.groupBy("source").agg(F.count(F.lit(1)).alias("n"), lead.alias("x"))
+    return found.select("source", "n", F.col("x.date").alias("lead_date"), F.col("x.id").alias("lead_id"), F.col("x.title").alias("lead_title"), bucket(F.col("x.date"), today).alias("bucket"))
+
+
+def bundle_items(commitments: DataFrame, today) -> DataFrame:
+    """commitments with position (by date within their document, from 1) and leads. Rows, not lists, so a document may have any number."""
+    own = Window.partitionBy("source")
+    by_date, by_lead = own.orderBy("date", F.desc("confidence"), "id"), own.orderBy(*_place(today))
+    return commitments.withColumns({"position": F.row_number().over(by_date), "leads": F.row_number().over(by_lead) == 1})
+
+
+def selected(commitments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The commitments whose id is among chosen's, as an export of a selection takes them."""
+    return commitments.join(chosen.select("id"), "id", "left_semi")
+
+
+def with_source(commitments: DataFrame, files: DataFrame) -> DataFrame:
+    """commitments with opens: their file's path, with the page for PDF files that have one; null where files (path) lacks it."""
+    known = files.select(F.col("path").alias("_path")).distinct()
+    paged = (F.col("page") > 0) & F.lower("source").endswith(".pdf")
+    target = F.concat("_path", F.when(F.coalesce(paged, F.lit(False)), F.concat(F.lit("#page="), F.col("page").cast("string"))).otherwise(""))
+    return commitments.join(known, F.col("source") == F.col("_path"), "left").withColumn("opens", target).drop("_path")
 
 
 def relative_label(date: Column, today) -> Column:
@@ -52,7 +77,34 @@ def totals(commitments: DataFrame, statements: DataFrame, today) -> DataFrame:
 
 
 def document_label(path: Column) -> Column:
-    """The file's name without suffix, separators as spaces, words capitalised."""
-    name = F.trim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", ""), r"[_\-\s]+", " "))
-    words = F.transform(F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
-    return F.when(name == "", "Document").otherwise(F.array_join(words, " "))
+    """The file's name without suffix, separators as spaces, runs of ASCII letters and digits capitalised; `Untitled document` if nothing is left."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]+$", ""), r"(?U)[_\-\s]+", " "))
+    runs = F.regexp_extract_all(name, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    words = F.transform(runs, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))).otherwise(w))
+    return F.coalesce(F.nullif(F.array_join(words, ""), F.lit("")), F.lit("Untitled document"))
+
+
+# ---- figures as they are shown
+
+def bytes_label(n: Column) -> Column:
+    """Bytes, whole KB from 1024 on, MB with one digit from 1024 KB on; halves go up."""
+    tenths = F.floor((n * 10 + 524_288) / 1_048_576)
+    mb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1_048_576, F.concat(F.floor((n + 512) / 1024).cast("string"), F.lit(" KB"))).otherwise(mb)
+
+
+def eta_label(seconds: Column) -> Column:
+    """Seconds left: whole seconds (one at least), minutes or hours and minutes, the last unit rounded up."""
+    minutes = lambda s: F.ceil(s / 60).cast("string")
+    whole = F.greatest(F.lit(1), F.floor(seconds + 0.5)).cast("string")
+    hours = F.concat(F.floor(seconds / 3600).cast("string"), F.lit(" hr "), minutes(seconds % 3600), F.lit(" min"))
+    return F.when(seconds < 60, F.concat(whole, F.lit(" sec"))).when(seconds < 3600, F.concat(minutes(seconds), F.lit(" min"))).otherwise(hours)
+
+
+def date_label(date: Column) -> Column:
+    return F.date_format(date, "MMM d, yyyy")
+
+
+def money_label(amount: Column, symbol: Column) -> Column:
+    """The amount without its sign, two digits, thousands apart."""
+    return F.concat(symbol, F.format_number(F.round(F.abs(amount), 2), 2))

@@ -12,14 +12,14 @@ def title_key(title: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(title), r"(?U)\s+", " ")), 1, 80)
 
 
-def deduplicate(commitments: DataFrame) -> DataFrame:
-    """The most confident of the commitments that share date, category, title and document; ties go to the first by place.
+def deduplicate(commitments: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """The most confident of the commitments that share date, category, title and document (and the columns `within`); ties go to the first by place.
 
     Equal documents under different paths share their document_id. A partition holds one obligation's repeats within one
     document, so no partition grows with the corpus but by copies of a document; those are cut down to one row a path first.
     """
     identity = F.coalesce(F.nullif("document_id", F.lit("")), "source")
-    keys = ["date", "category", title_key(F.col("title")).alias("_title"), identity.alias("_identity")]
+    keys = [*within, "date", "category", title_key(F.col("title")).alias("_title"), identity.alias("_identity")]
     rank = F.struct((-F.col("confidence")).alias("c"), "source", "line", "segment_no", "hit_no")
     # an aggregate, not a window: it combines on the map side, so copies of a document do not meet in one task
     best = commitments.groupBy(*keys).agg(F.min_by(F.struct(*commitments.columns), rank).alias("best"))
@@ -49,12 +49,34 @@ def document_outcomes(docs: DataFrame, judged: DataFrame, statements: DataFrame
     return out.withColumn("warning", F.coalesce("warning", warning) if "warning" in docs.columns else warning).select("path", "candidates", "commitments", "historical", "warning")
 
 
-def envelope(outcomes: DataFrame, found: int, kept: int, warnings: int = 12) -> DataFrame:
-    """One row: scanned, skipped, dates_reviewed (without documents that are warned about), noise_removed, and the first warnings."""
+def duplicates_warning(n: Column) -> Column:
+    """The warning about n commitments that were left out as repeats; null for none."""
+    return F.when(n > 0, F.concat(F.lit(f"{V.DUPLICATE}: "), n.cast("string"), F.lit(" repeated commitment(s)")))
+
+
+def _in_order(rows: Column) -> Column:
+    return F.transform(F.array_sort(rows), lambda x: x["warning"])
+
+
+def envelope(outcomes: DataFrame, found: DataFrame, kept: DataFrame, today, warnings: int = 12) -> DataFrame:
+    """One row about a scan: today, files_scanned, files_skipped, dates_reviewed (of documents without a warning), noise_removed,
+    commitments, duplicates, and its first warnings by path, after them the one about repeats.
+
+    outcomes: one row a document; found: its commitments, repeats too; kept: those that are left.
+    """
     ok = F.col("warning").isNull()
-    totals = outcomes.agg(F.count_if(ok).alias("files_scanned"), F.count_if(~ok).alias("files_skipped"), F.coalesce(F.sum(F.when(ok, F.col("candidates"))), F.lit(0)).alias("dates_reviewed"), (F.coalesce(F.sum(F.when(ok, F.col("candidates"))), F.lit(0)) - kept).alias("noise_removed"))
-    first = outcomes.filter(~ok).orderBy("path").limit(warnings).agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
-    return totals.withColumn("k", F.lit(1)).join(first.withColumn("k", F.lit(1)), "k", "left").drop("k").withColumn("duplicates", F.lit(found - kept))
+    totals = outcomes.agg(F.count_if(ok).alias("files_scanned"), F.count_if(~ok).alias("files_skipped"), F.coalesce(F.sum(F.when(ok, F.col("candidates"))), F.lit(0)).alias("dates_reviewed"))
+    first = outcomes.filter(~ok).orderBy("path", "warning").limit(warnings).agg(F.collect_list(F.struct("path", "warning")).alias("_first"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = totals.withColumn("_one", F.lit(1))
+    for side in (first, one(found, "_found"), one(kept, "commitments")):
+        out = out.join(side.withColumn("_one", F.lit(1)), "_one")
+    repeats = F.col("_found") - F.col("commitments")
+    told = F.array_compact(F.concat(_in_order(F.col("_first")), F.array(duplicates_warning(repeats))))
+    return out.select(
+        F.lit(today).cast("date").alias("today"), "files_scanned", "files_skipped", "dates_reviewed", F.greatest(F.col("dates_reviewed") - F.col("commitments"), F.lit(0)).alias("noise_removed"),
+        "commitments", repeats.alias("duplicates"), F.slice(told, 1, warnings).alias("warnings"),
+    )
 
 
 # ---- bookkeeping of sessions
@@ -88,6 +110,33 @@ def snapshot(files: DataFrame) -> DataFrame:
     )
 
 
+def session_report(sessions: DataFrame, files: DataFrame, found: DataFrame, warnings: int = 24) -> DataFrame:
+    """What is shown of sessions (scan_id, status, total, created_at, updated_at), one row each: counts by status, dates reviewed,
+    commitments after deduplication within the session, warnings in the order in which files were done, files a second and seconds left.
+
+    files: scan_id, path, status, candidates, warning, updated_at. found: commitments with scan_id. Sessions without files have zeros.
+    Only the first warnings of a session are gathered, so no task holds all of them.
+    """
+    counts = snapshot(files)
+    order = Window.partitionBy("scan_id").orderBy("updated_at", "path")
+    first = files.filter("warning is not null").select("scan_id", "updated_at", "path", "warning").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= warnings)
+    first = first.groupBy("scan_id").agg(F.collect_list(F.struct("n", "warning")).alias("_first"))
+    all_found = found.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_found"))
+    kept = deduplicate(found, ("scan_id",)).groupBy("scan_id").agg(F.count(F.lit(1)).alias("commitments"))
+    out = sessions.select("scan_id", "status", F.col("total").cast("long").alias("_total"), "created_at", "updated_at")
+    for side in (counts.withColumnRenamed("total", "_listed"), first, all_found, kept):
+        out = out.join(side, "scan_id", "left")
+    out = out.fillna(0, ["_listed", "processed", "cached", "skipped", "files_scanned", "dates_reviewed", "_found", "commitments"])
+    seconds = F.col("updated_at").cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double")
+    rate, left = progress(F.col("processed"), F.col("_total"), seconds)
+    told = F.array_compact(F.concat(F.coalesce(_in_order(F.col("_first")), F.array().cast("array<string>")), F.array(duplicates_warning(F.col("_found") - F.col("commitments")))))
+    return out.select(
+        "scan_id", "status", F.col("_total").alias("total"), (F.col("processed") - F.col("skipped")).alias("files_scanned"), F.col("processed").alias("files_processed"), F.col("cached").alias("files_cached"), F.col("skipped").alias("files_skipped"),
+        (F.col("_listed") - F.col("processed")).alias("files_pending"), "dates_reviewed", F.greatest(F.col("dates_reviewed") - F.col("commitments"), F.lit(0)).alias("noise_removed"), "commitments",
+        F.slice(told, 1, warnings).alias("warnings"), F.bround(rate, 1).alias("rate"), left.alias("eta_seconds"),
+    )
+
+
 def latest_resumable(sessions: DataFrame) -> DataFrame:
     """Per scan_key and date order the newest session that runs or was cancelled."""
     newest = Window.partitionBy("scan_key", "month_first").orderBy(F.desc("updated_at"), F.desc("scan_id"))
@@ -95,9 +144,14 @@ def latest_resumable(sessions: DataFrame) -> DataFrame:
 
 
 def progress(processed: Column, total: Column, seconds: Column) -> tuple[Column, Column]:
-    """(files a second, seconds left)."""
+    """(files a second, seconds left; null as long as nothing is done)."""
     rate = processed / F.greatest(seconds, F.lit(0.001))
-    return rate, F.when(rate > 0, F.round((total - processed) / rate)).cast("long")
+    return rate, F.when(rate > 0, F.rint(F.greatest(total - processed, F.lit(0)) / rate)).cast("long")
+
+
+def fingerprint(revision: str, path: Column, size: Column, modified: Column) -> Column:
+    """What tells one state of a file from another without reading it: revision, path, size and time, with U+0000 between."""
+    return F.concat_ws("\u0000", F.lit(revision), path, size.cast("string"), modified.cast("string"))
 
 
 def scan_key(manifest: DataFrame, root: str) -> DataFrame:

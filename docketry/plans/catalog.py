@@ -12,7 +12,7 @@ from docketry.functions import fixed_values as V
 from docketry.operators import commitments, exports, horizon, policy, relevance, results, statements
 from docketry.operators.scan import scan
 from docketry.plans import views
-from docketry.plans.views import LEDGER, MANIFEST, NOTICES, TODAY
+from docketry.plans.views import LEDGER, LETTERS, MANIFEST, NOTICES, PHRASES, TODAY
 from docketry.streaming.sessions import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,19 +200,40 @@ _UNIQUE = f"""u AS (SELECT *, row_number() OVER (PARTITION BY statement_id, date
 
 @query(f"""WITH {LEDGER}, {_UNIQUE} SELECT statement_id, date, description, amount, tx_type, CASE WHEN tx_type = 'credit' THEN 'Salary & Income' ELSE {_CAT} END AS category, balance FROM u WHERE k = 1""")
 def parse_transactions(spark, sf_dir):
-    parsed = statements.parse_rows(statements.rows_of(views.statement_texts(spark, sf_dir)))
+    parsed = statements.parse_rows(views.statement_lines(spark, sf_dir))
     return statements.distinct_transactions(parsed).select("statement_id", "date", "description", "amount", "tx_type", "category", "balance")
 
 
 @query(f"WITH {LEDGER} SELECT statement_id, count(*) FILTER (ord % 50 = 0) AS rejected FROM ledger GROUP BY 1")
 def rejected_rows(spark, sf_dir):
-    parsed = statements.parse_rows(statements.rows_of(views.statement_texts(spark, sf_dir)))
+    parsed = statements.parse_rows(views.statement_lines(spark, sf_dir))
     return parsed.groupBy("statement_id").agg(F.count_if("rejected").alias("rejected"))
 
 
-@query()
+@query(f"""WITH {LEDGER.replace("ledger AS", "every AS", 1)}, {_UNIQUE.replace("FROM ledger", "FROM every")}, ledger AS (SELECT * EXCLUDE (k) FROM u WHERE k = 1), summary AS (WITH {_SUMMARY}),
+debits AS (SELECT *, {_CAT} AS category FROM ledger WHERE tx_type = 'debit'),
+c AS (SELECT statement_id, category, sum(amount) AS raw, count(*) AS n, min(ord) AS first FROM debits GROUP BY ALL), c2 AS (SELECT *, raw / sum(raw) OVER (PARTITION BY statement_id) * 100 AS part FROM c),
+cats AS (SELECT statement_id, string_agg(category || ' ' || printf('%.2f', round(raw, 2)) || ' ' || printf('%.1f', round(part, 1)) || ' ' || n, '; ' ORDER BY round(raw, 2) DESC, first) AS categories FROM c2 GROUP BY 1),
+tops AS (SELECT statement_id, string_agg(strftime(date, '%Y-%m-%d') || ' ' || description || ' ' || printf('%.2f', amount) || ' ' || category, '; ' ORDER BY r) AS top_expenses FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY amount DESC, ord) AS r FROM debits) WHERE r <= 5 GROUP BY 1),
+g AS (SELECT statement_id, trim(regexp_replace(lower(description), '[^a-z]+', ' ', 'g')) AS key, round(amount, 2) AS cents, count(*) AS n, arg_min(description, ord) AS description, min(ord) AS first FROM debits GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+again AS (SELECT statement_id, string_agg(description || ' ' || printf('%.2f', cents) || ' ' || n, '; ' ORDER BY r) AS recurring_payments FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY cents * n DESC, first) AS r FROM g) WHERE r <= 5 GROUP BY 1),
+most AS (SELECT statement_id, strftime(date, '%Y-%m-%d') || ' ' || description || ' ' || printf('%.2f', amount) AS largest_credit FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY amount DESC, ord) AS r FROM ledger WHERE tx_type = 'credit') WHERE r = 1),
+bad AS (SELECT statement_id, count(*) FILTER (ord % 50 = 0) AS rows_rejected FROM every GROUP BY 1)
+SELECT summary.*, rows_rejected, coalesce(categories, '') AS categories, coalesce(top_expenses, '') AS top_expenses, coalesce(recurring_payments, '') AS recurring_payments, largest_credit
+FROM summary JOIN bad USING (statement_id) LEFT JOIN cats USING (statement_id) LEFT JOIN tops USING (statement_id) LEFT JOIN again USING (statement_id) LEFT JOIN most USING (statement_id)""")
 def statement_analysis(spark, sf_dir):
-    return statements.analyze(views.statement_texts(spark, sf_dir))
+    lines = views.statement_lines(spark, sf_dir)
+    head = lines.filter("ord = -2").select("statement_id", F.col("line").alias("content"))
+    found = statements.analyze_rows(lines, statements.named_balances(head))
+    two = lambda x: F.format_string("%.2f", x)
+    told = lambda name, f: F.array_join(F.transform(name, lambda x: F.concat_ws(" ", *f(x))), "; ").alias(name)
+    texts = {
+        "categories": told("categories", lambda x: (x["category"], two(x["amount"]), F.format_string("%.1f", x["percentage"]), x["count"].cast("string"))),
+        "top_expenses": told("top_expenses", lambda x: (x["date"].cast("string"), x["description"], two(x["amount"]), x["category"])),
+        "recurring_payments": told("recurring_payments", lambda x: (x["description"], two(x["amount"]), x["count"].cast("string"))),
+        "largest_credit": F.when(F.col("largest_credit").isNotNull(), F.concat_ws(" ", F.col("largest_credit.date").cast("string"), "largest_credit.description", two(F.col("largest_credit.amount")))),
+    }
+    return found.withColumns(texts)
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '|' WHEN 1 THEN ',' WHEN 2 THEN 'spaces' ELSE '|' END AS delimiter, CAST(CASE event_id % 4 WHEN 3 THEN 1 ELSE 3 END AS BIGINT) AS n_cells FROM events""")
@@ -245,14 +266,43 @@ def domain_scores(spark, sf_dir):
     return views.notices(spark, sf_dir).select("key", *(relevance.term_score(low, t).alias(d) for d, t in V.DOMAIN_TERMS.items()))
 
 
-@query()
+def _any(text, terms) -> str:
+    return f"regexp_matches({text}, '(^|\\W)(" + "|".join(t.replace(".", "\\.").replace("'", "''") for t in terms) + ")($|\\W)')"
+
+
+def _parts(text, parts) -> str:
+    return "(" + " OR ".join(f"contains({text}, '" + p.replace("'", "''") + "')" for p in parts) + ")"
+
+
+def _count(text, terms) -> str:
+    return "(" + " + ".join(f"CAST({_any(text, [t])} AS INT)" for t in terms) + ")"
+
+
+_SCORES = ", ".join(f"{{'d': '{d}', 'i': {i}, 't': {_hits(t)}, 'n': least(3, {_hits(t).replace('(low,', '(name,')}), 'c': {_any('low', t)}}}" for i, (d, t) in enumerate(V.DOMAIN_TERMS.items()))
+_HAS_DATE = relevance.HAS_DATE.replace("(?U:\\b)", "\\b").replace("(?U:\\s)", "\\s")
+_DATED = relevance.DATED_ROW.replace("(?U:\\s*)", "\\s*")
+#: Verdicts over notices, whose texts are shorter than the sample. A block is a sentence; its terms are those of the best domain.
+_VERDICTS = f"""{NOTICES}, words AS (SELECT key, path, kind, content, lower(content) AS low, lower(regexp_replace(regexp_replace(string_split(path, '/')[-1], '[.][^.]*$', ''), '[_-]+', ' ', 'g')) AS name FROM notices),
+scored AS (SELECT *, list_sort([{{'s': -(x.t + x.n), 'i': x.i, 'd': x.d, 't': x.t, 'n': x.n}} FOR x IN [{_SCORES}]])[1] AS top, {_count("low", V.STATEMENT_NAMES)} * 3 + least(2, {_count("low", V.BALANCE_NAMES)}) * 2 + least(4, {_count("low", V.BANK_HEADERS)}) + least(3, len(regexp_extract_all(low, '{_DATED}'))) AS bank,
+  {" + ".join(f"CAST({_any('low', [m])} OR {_any('name', [m])} AS INT)" for m in V.REFERENCE_MARKERS)} AS markers, {_any("low", V.ACTION_TERMS)} AND regexp_matches(low, '{_HAS_DATE}') AS acts FROM words),
+blocks AS (SELECT key, unnest(regexp_split_to_array(content, '[\n.!?]+')) AS b FROM words),
+block AS (SELECT key, lower(regexp_replace(b, '\\s+', ' ', 'g')) AS low FROM blocks), coh AS (SELECT key, [x.d FOR x IN [{_SCORES.replace("(name,", "(low,")}] IF x.c] AS ds FROM block WHERE length(low) <= 800 AND regexp_matches(low, '{_HAS_DATE}') AND {_any("low", V.ACTION_TERMS)}),
+coheres AS (SELECT key, list_distinct(flatten(list(ds))) AS ds FROM coh GROUP BY 1),
+verdicts AS (SELECT s.*, markers >= 2 OR (markers >= 1 AND {_parts("(' ' || low || ' ')", V.CODE_TOKENS)}) AS reference, bank >= 6 AS by_bank, -top.s AS score, top.t AS t, top.n AS n,
+  (coalesce(list_contains(ds, top.d), false) AND -top.s >= 2) OR (top.t >= 4 AND acts) OR (top.n >= 2 AND top.t >= 2 AND acts) AS enough FROM scored s LEFT JOIN coheres USING (key)),
+told AS (SELECT *, CASE WHEN reference THEN false WHEN by_bank THEN true ELSE enough END AS relevant FROM verdicts)"""
+
+
+@query(f"""WITH {_VERDICTS} SELECT key, relevant, CASE WHEN NOT reference AND by_bank THEN 'banking' WHEN relevant THEN top.d END AS relevance_domain,
+  CAST(CASE WHEN NOT reference AND by_bank THEN least(99, 72 + bank * 3) WHEN relevant THEN least(96, 54 + score * 7) ELSE 0 END AS INT) AS relevance_confidence,
+  CASE WHEN reference THEN 'reference or educational material' WHEN by_bank THEN 'bank statement structure' WHEN relevant THEN 'cohesive document evidence' ELSE 'insufficient corroborating evidence' END AS relevance_reason, CAST(bank AS INT) AS bank_score FROM told""")
 def relevance_verdicts(spark, sf_dir):
     return relevance.classify(views.notices(spark, sf_dir)).select("key", "relevant", "relevance_domain", "relevance_confidence", "relevance_reason", "bank_score")
 
 
 @query(f"""WITH {LEDGER} SELECT statement_id, CAST(3 + 4 + least(3, count(*)) AS INT) AS score FROM ledger GROUP BY 1""")
 def bank_signature(spark, sf_dir):
-    return views.statement_texts(spark, sf_dir).select("statement_id", relevance.statement_score(F.lower("content")).alias("score"))
+    return views.statement_heads(spark, sf_dir).select("statement_id", relevance.statement_score(F.lower(text.sample(F.col("content")))).alias("score"))
 
 
 # ---- commitments
@@ -302,18 +352,55 @@ def dedup_best(spark, sf_dir):
     return results.ordered(results.deduplicate(good)).select("path", "date", "category", "confidence")
 
 
-@query()
+@query(f"""WITH {_VERDICTS}, {_EXPECTED.split("facts AS", 1)[0].split(NOTICES + ", ", 1)[1]}facts AS{_EXPECTED.split("facts AS", 1)[1]}
+SELECT t.path, CAST(CASE WHEN NOT relevant THEN 0 WHEN t.kind = 7 THEN 2 ELSE 1 END AS BIGINT) AS candidates, CAST(CASE WHEN relevant AND g.key IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS commitments,
+  CAST(CASE WHEN NOT relevant THEN 0 ELSE CASE WHEN t.kind = 7 THEN 2 ELSE 1 END - CASE WHEN g.key IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS historical,
+  CASE WHEN NOT relevant THEN 'irrelevant_document: ' || t.path WHEN g.key IS NULL THEN 'historical_noise: ' || t.path END AS warning FROM told t LEFT JOIN good g USING (key)""")
 def full_scan(spark, sf_dir):
     files = views.notices(spark, sf_dir).select("path", "content", "modified")
     return scan(files, TODAY).outcomes
 
 
-@query(f"""WITH {_EXPECTED}, r AS (SELECT n.path, (SELECT count(*) FROM good g WHERE g.path = n.path) AS c, n.kind FROM notices n)
-SELECT count(*) FILTER (c > 0) AS files_scanned, count(*) FILTER (c = 0) AS files_skipped, CAST(coalesce(sum(CASE WHEN kind = 7 THEN 2 ELSE 1 END) FILTER (c > 0), 0) AS BIGINT) AS dates_reviewed FROM r""")
+@query(f"""WITH {_EXPECTED}, r AS (SELECT n.path, n.kind, g.key IS NOT NULL AS has FROM notices n LEFT JOIN good g USING (key)), kept AS (SELECT DISTINCT date, category, lower(title), document_id FROM good),
+t AS (SELECT CAST(count(*) FILTER (has) AS BIGINT) AS files_scanned, count(*) FILTER (NOT has) AS files_skipped, CAST(coalesce(sum(CASE WHEN kind = 7 THEN 2 ELSE 1 END) FILTER (has), 0) AS BIGINT) AS dates_reviewed FROM r),
+d AS (SELECT (SELECT count(*) FROM good) AS f, (SELECT count(*) FROM kept) AS k), w AS (SELECT list(path ORDER BY path) AS p FROM (SELECT path FROM r WHERE NOT has ORDER BY path LIMIT 12))
+SELECT DATE '{TODAY}' AS today, files_scanned, files_skipped, dates_reviewed, greatest(dates_reviewed - k, 0) AS noise_removed, k AS commitments, f - k AS duplicates,
+  array_to_string(list_concat(['historical_noise: ' || x FOR x IN p], CASE WHEN f > k THEN ['duplicate_commitment: ' || (f - k) || ' repeated commitment(s)'] ELSE [] END)[1:12], chr(10)) AS warnings FROM t, d, w""")
 def envelope(spark, sf_dir):
-    n = views.notices(spark, sf_dir)
-    outcomes = results.document_outcomes(n.select("path"), _judged(spark, sf_dir))
-    return results.envelope(outcomes, 0, 0).select("files_scanned", "files_skipped", "dates_reviewed")
+    judged = _judged(spark, sf_dir)
+    outcomes = results.document_outcomes(views.notices(spark, sf_dir).select("path"), judged)
+    found = judged.filter("rejected_as is null").drop("rejected_as")
+    return results.envelope(outcomes, found, results.deduplicate(found), TODAY).withColumn("warnings", F.array_join("warnings", "\n"))
+
+
+@query(f"""WITH {LETTERS}, parts AS (SELECT key, string_split(content, chr(10)) AS l FROM letters), lines AS (SELECT key, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM parts),
+s AS (SELECT key, line, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS t FROM lines), m AS (SELECT *, regexp_matches(t, '^\\[\\[PAGE:[0-9]+\\]\\]$') AS mark FROM s),
+q AS (SELECT *, last_value(CASE WHEN mark THEN CAST(regexp_extract(t, '[0-9]+') AS INT) END IGNORE NULLS) OVER (PARTITION BY key ORDER BY line) AS page,
+  lag(CASE WHEN NOT mark THEN nullif(t, '') END) OVER (PARTITION BY key ORDER BY line) AS a, lead(CASE WHEN NOT mark THEN nullif(t, '') END) OVER (PARTITION BY key ORDER BY line) AS z FROM m),
+cut AS (SELECT key, line, page, concat_ws(' · ', a, t, z) AS context, unnest(CASE WHEN length(t) > 2500 THEN string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) ELSE [t] END) AS segment FROM q WHERE NOT mark)
+SELECT key, CAST(line AS INT) AS line, page, sha256(context) AS context, segment FROM cut WHERE regexp_matches(segment, '[0-9]')""")
+def letter_segments(spark, sf_dir):
+    return commitments.segments(views.letters(spark, sf_dir)).select("key", "line", "page", F.sha2(F.col("context").cast("binary"), 256).alias("context"), "segment")
+
+
+@query(f"""WITH {LETTERS}, x AS (SELECT key, due AS date, 5 AS line, 1 AS page, 'expires' AS word FROM letters UNION ALL SELECT key, due, 8, CAST(key % 7 + 2 AS INT), 'renew' FROM letters UNION ALL SELECT key, due + 30, 8, CAST(key % 7 + 2 AS INT), 'by' FROM letters
+  UNION ALL SELECT key, due + 9, 10, CAST(key % 7 + 2 AS INT), 'by' FROM letters WHERE key % 40 = 0)
+SELECT key, date, line, page, 'Order ' || key AS entity FROM x WHERE date >= DATE '{TODAY}' - 45""")
+def letter_commitments(spark, sf_dir):
+    found = commitments.extract(views.letters(spark, sf_dir), TODAY).filter("rejected_as is null")
+    return found.select(F.col("document_id").cast("long").alias("key"), "date", "line", "page", "entity")
+
+
+@query(f"""WITH {PHRASES}, y AS (SELECT *, try_cast(year(anchor) || '-' || month(due) || '-' || day(due) AS DATE) AS this, try_cast((year(anchor) + 1) || '-' || month(due) || '-' || day(due) AS DATE) AS next FROM phrases),
+f AS (SELECT key, content, CASE kind WHEN 0 THEN CASE WHEN this < anchor - 14 THEN next ELSE this END WHEN 1 THEN anchor WHEN 2 THEN anchor + 1 WHEN 3 THEN anchor + n * 7 WHEN 4 THEN CAST(anchor + to_months(n) AS DATE) WHEN 5 THEN anchor + n ELSE due END AS value,
+    CASE kind WHEN 0 THEN strftime(due, '%B %-d') WHEN 1 THEN 'Today' WHEN 2 THEN 'tomorrow' WHEN 3 THEN 'in ' || n || ' weeks' WHEN 4 THEN 'within ' || n || ' months' WHEN 5 THEN 'due in ' || n || ' days' WHEN 6 THEN strftime(due, '%-m/%-d/%Y') WHEN 7 THEN day(due) || 'th of ' || strftime(due, '%B %Y') ELSE strftime(due, '%Y.%m.%d') END AS raw,
+    CASE kind WHEN 0 THEN 0.72 WHEN 1 THEN 0.58 WHEN 2 THEN 0.58 WHEN 6 THEN CASE WHEN day(due) <= 12 THEN 0.78 ELSE 0.86 END WHEN 7 THEN 0.92 WHEN 9 THEN 0.95 ELSE 0.66 END AS quality, kind = 6 AND day(due) <= 12 AS ambiguous FROM y WHERE kind <> 8
+  UNION ALL SELECT key, content, due, CASE kind WHEN 7 THEN strftime(due, '%Y-%m-%d') ELSE strftime(due, '%Y/%m/%d') END, 0.95, false FROM y WHERE kind IN (7, 9))
+SELECT key, value, raw, CAST(strpos(content, raw) - 1 AS BIGINT) AS start, CAST(quality AS DOUBLE) AS quality, ambiguous FROM f WHERE value IS NOT NULL""")
+def phrase_dates(spark, sf_dir):
+    hits = dates.find_dates(F.col("content"), F.col("anchor"), month_first=True)
+    h = views.phrases(spark, sf_dir).select("key", F.explode(hits).alias("h"))
+    return h.select("key", F.col("h.value").alias("value"), F.col("h.raw").alias("raw"), F.col("h.start").cast("long").alias("start"), F.col("h.quality").alias("quality"), F.col("h.ambiguous").alias("ambiguous"))
 
 
 # ---- what is shown
@@ -338,10 +425,35 @@ def shown_by_filter(spark, sf_dir):
     return kept.select(F.explode(F.array(*(F.when(horizon.matches(n, TODAY), F.lit(n)) for n in names))).alias("name")).filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_EXPECTED}, g AS (SELECT document_id AS source, count(*) AS n, coalesce(min(date) FILTER (date >= DATE '{TODAY}'), min(date)) AS lead_date FROM good GROUP BY 1)
-SELECT *, CASE WHEN lead_date < DATE '{TODAY}' THEN 'Overdue' WHEN lead_date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket FROM g""")
+@query(f"""WITH {_EXPECTED}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) AS k, count(*) OVER (PARTITION BY document_id) AS n FROM good)
+SELECT document_id AS source, n, date AS lead_date, path AS lead_id, title AS lead_title, CASE WHEN date < DATE '{TODAY}' THEN 'Overdue' WHEN date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket FROM o WHERE k = 1""")
 def bundles(spark, sf_dir):
-    return horizon.bundles(_shown(spark, sf_dir).withColumn("source", F.col("document_id")), TODAY)
+    return horizon.bundles(_shown(spark, sf_dir).withColumns({"source": F.col("document_id"), "id": F.col("path")}), TODAY)
+
+
+@query(f"""WITH {_EXPECTED} SELECT path, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date, confidence DESC, path) AS INT) AS position, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) = 1 AS leads FROM good""")
+def bundle_items(spark, sf_dir):
+    own = _shown(spark, sf_dir).withColumns({"source": F.col("document_id"), "id": F.col("path")})
+    return horizon.bundle_items(own, TODAY).select("path", "position", "leads")
+
+
+@query(f"""WITH {_EXPECTED} SELECT path, CASE WHEN key % 3 > 0 THEN path END AS opens FROM good WHERE document_id LIKE '%1'""")
+def selected_sources(spark, sf_dir):
+    shown = _shown(spark, sf_dir)
+    files = views.notices(spark, sf_dir).filter("key % 3 > 0").select("path")
+    return horizon.with_source(horizon.selected(shown, shown.filter("document_id like '%1'").select("id")), files).select("path", "opens")
+
+
+@query("""SELECT o_orderkey AS key, upper(w[1][1]) || w[1][2:] || ' ' || upper(w[2][1]) || w[2][2:] || ' ' || o_orderkey AS label, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN CAST(floor(b / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%d.%d', t // 10, t % 10) || ' MB' END AS bytes,
+  CASE WHEN s < 60 THEN greatest(1, s) || ' sec' WHEN s < 3600 THEN CAST(ceil(s / 60) AS BIGINT) || ' min' ELSE s // 3600 || ' hr ' || CAST(ceil((s % 3600) / 60) AS BIGINT) || ' min' END AS eta, strftime(CAST(o_orderdate AS DATE), '%b %-d, %Y') AS day, '$' || format('{:,}', c // 100) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS money
+FROM (SELECT *, string_split(lower(o_orderstatus) || 'x ' || 'order', ' ') AS w, o_orderkey * o_orderkey % 9000011 AS b, CAST(floor((o_orderkey * o_orderkey % 9000011 * 10 + 524288) / 1048576) AS BIGINT) AS t, o_orderkey % 9001 AS s, CAST(o_orderkey * 7 AS BIGINT) AS c FROM orders)""")
+def labels_shown(spark, sf_dir):
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("in/box_1/"), F.lower("o_orderstatus"), F.lit("x_order--"), k.cast("string"), F.lit(".tar"))
+    return views.table(spark, sf_dir, "orders").select(
+        k.alias("key"), horizon.document_label(path).alias("label"), horizon.bytes_label(k * k % 9_000_011).alias("bytes"), horizon.eta_label(k % 9001).alias("eta"),
+        horizon.date_label(F.to_date("o_orderdate")).alias("day"), horizon.money_label(-k * 7 / 100, F.lit("$")).alias("money"),
+    )
 
 
 @query(f"WITH {_EXPECTED} SELECT count(*) AS milestones, min(date) FILTER (date >= DATE '{TODAY}') AS nearest, count(DISTINCT path) AS sources FROM good")
@@ -372,6 +484,18 @@ def calendar_events(spark, sf_dir):
     return _shown(spark, sf_dir).withColumn("id", F.col("path")).select("path", exports.event("20260101T000000Z").alias("event"))
 
 
+@query(f"""WITH {_TOLD} SELECT path, strftime(date, '%Y-%m-%d') || '  ' || title || chr(10) || '            ' || path || ' · ' || category || ' · ' || confidence || '%' || chr(10) || chr(10) AS block FROM told""")
+def console_report(spark, sf_dir):
+    return exports.report_rows(_shown(spark, sf_dir).withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "block")
+
+
+@query(f"""WITH {_TOLD} SELECT path, '{{"id":"' || path || '","date":"' || strftime(date, '%Y-%m-%d') || '","title":"' || title || '","category":"' || category || '","source":"' || path || '","line":1,"snippet":"' || content || '","confidence":' || confidence || ',"reason":"' || reason || '"' AS begins,
+  '"entity":"Order ' || key || '","periodicity":' || CASE WHEN period = '' THEN 'null' ELSE '"annual"' END || ',"summary":"' || summary || '","notice_days":' || coalesce(CAST(notice AS VARCHAR), 'null') || ',"action_date":' || CASE WHEN notice IS NULL THEN 'null' ELSE '"' || strftime(date - notice, '%Y-%m-%d') || '"' END || '}}' AS ends FROM told""")
+def json_export(spark, sf_dir):
+    found = exports.json_rows(_shown(spark, sf_dir).withColumn("id", F.col("path")))
+    return found.select(F.col("id").alias("path"), F.substring_index("row", ',"original":', 1).alias("begins"), F.concat(F.lit('"entity":'), F.substring_index("row", '"entity":', -1)).alias("ends"))
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
 def file_slug(spark, sf_dir):
     return views.table(spark, sf_dir, "part").select("p_partkey", exports.file_slug(F.col("p_name")).alias("slug"))
@@ -415,6 +539,23 @@ def session_snapshot(spark, sf_dir):
     return results.snapshot(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scan_id"), status.alias("status"), (F.col("o_orderkey") % 6).alias("candidates")))
 
 
+@query(f"""WITH {_EXPECTED}, files AS (SELECT document_id AS scan_id, path, key, (['pending', 'done', 'cached', 'skipped'])[key % 4 + 1] AS s, key % 6 AS c FROM notices), few AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY key // 3, path) AS r FROM files WHERE s = 'skipped'),
+g AS (SELECT scan_id, count(*) AS listed, count(*) FILTER (s <> 'pending') AS processed, count(*) FILTER (s = 'cached') AS cached, count(*) FILTER (s = 'skipped') AS skipped, CAST(sum(c) AS BIGINT) AS dates_reviewed FROM files GROUP BY 1), w AS (SELECT scan_id, list('unsupported_file_type: ' || path ORDER BY r) AS p FROM few WHERE r <= 24 GROUP BY 1),
+own AS (SELECT document_id AS scan_id, count(*) AS f, count(DISTINCT (date, category, title)) AS k FROM good GROUP BY 1), n AS (SELECT 'c' || c_custkey AS scan_id, c_custkey % 900 + 0.5 AS seconds, c_custkey % 50 AS total FROM customer),
+x AS (SELECT n.*, coalesce(listed, 0) AS listed, coalesce(processed, 0) AS processed, coalesce(cached, 0) AS cached, coalesce(skipped, 0) AS skipped, coalesce(dates_reviewed, 0) AS dates_reviewed, coalesce(k, 0) AS k, coalesce(f, 0) - coalesce(k, 0) AS again, coalesce(p, []) AS p, CAST(coalesce(processed, 0) AS DOUBLE) / seconds AS rate FROM n LEFT JOIN g USING (scan_id) LEFT JOIN own USING (scan_id) LEFT JOIN w USING (scan_id))
+SELECT scan_id, 'running' AS status, CAST(total AS BIGINT) AS total, processed - skipped AS files_scanned, processed AS files_processed, cached AS files_cached, skipped AS files_skipped, listed - processed AS files_pending, dates_reviewed, greatest(dates_reviewed - k, 0) AS noise_removed, k AS commitments,
+  array_to_string(list_concat(p, CASE WHEN again > 0 THEN ['duplicate_commitment: ' || again || ' repeated commitment(s)'] ELSE [] END)[1:24], chr(10)) AS warnings, CASE WHEN rate > 0 THEN CAST(round_even(greatest(total - processed, 0) / rate, 0) AS BIGINT) END AS eta_seconds FROM x""")
+def session_report(spark, sf_dir):
+    status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "done", "cached", "skipped"))), (F.col("key") % 4 + 1).cast("int"))
+    files = views.notices(spark, sf_dir).select(F.col("document_id").alias("scan_id"), "path", status.alias("status"), (F.col("key") % 6).alias("candidates"), F.floor(F.col("key") / 3).alias("updated_at"))
+    files = files.withColumn("warning", F.when(F.col("status") == "skipped", policy.rejection(F.lit(V.UNSUPPORTED_FILE), F.col("path"))))
+    begun = F.lit("2026-08-13 09:00:00").cast("timestamp")
+    k = F.col("c_custkey")
+    sessions = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("scan_id"), F.lit("running").alias("status"), (k % 50).alias("total"), begun.alias("created_at"), F.timestamp_add("MILLISECOND", (k % 900 * 1000 + 500).cast("int"), begun).alias("updated_at"))
+    found = _shown(spark, sf_dir).withColumn("scan_id", F.col("document_id"))
+    return results.session_report(sessions, files, found).withColumn("warnings", F.array_join("warnings", "\n")).drop("rate")
+
+
 @query("""SELECT o_custkey AS scan_key, max(o_orderkey) AS scan_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k = 1 GROUP BY 1""")
 def latest_session(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running").otherwise("cancelled")

@@ -92,17 +92,72 @@ LEDGER = """ledger AS (
     FROM events WHERE user_id IS NOT NULL))"""
 
 
-def statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(statement_id, content): each ledger as a text table with a header, commas or pipes by statement, and a bad row after each 50th."""
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(statement_id, ord, line): each ledger as a text table with a header, commas or pipes by statement, and a bad row after each 50th.
+
+    Lines stay rows, so that a statement may have a third of them all. The head has negative places.
+    """
     pipe = F.col("statement_id") % 2 == 0
     sep = F.when(pipe, " | ").otherwise(",")
     number = F.format_string("%.2f", "amount")
-    line = F.concat_ws("", F.date_format("date", "dd/MM/yyyy"), sep, "description", sep, F.when(F.col("tx_type") == "debit", number).otherwise(""), sep, F.when(F.col("tx_type") == "credit", number).otherwise(""), sep, F.coalesce(F.format_string("%.2f", "balance"), F.lit("")))
-    bad = F.when(F.col("ord") % 50 == 0, F.concat(F.lit("\n"), F.date_format("date", "dd/MM/yyyy"), sep, F.lit("broken row"), sep, sep, sep))
-    line = F.concat(line, F.coalesce(bad, F.lit("")))
-    body = ledger(spark, sf_dir).groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    head = F.when(pipe, "Txn Date | Narration | Withdrawal Amt | Deposit Amt | Balance").otherwise("Date,Description,Debit,Credit,Running Balance")
-    return body.select("statement_id", F.concat(F.lit("Account statement\nUSD\n"), head, F.lit("\n"), "body").alias("content"))
+    day = F.date_format("date", "dd/MM/yyyy")
+    line = F.concat_ws("", day, sep, "description", sep, F.when(F.col("tx_type") == "debit", number).otherwise(""), sep, F.when(F.col("tx_type") == "credit", number).otherwise(""), sep, F.coalesce(F.format_string("%.2f", "balance"), F.lit("")))
+    bad = F.when(F.col("ord") % 50 == 0, F.concat(day, sep, F.lit("broken row"), sep, sep, sep))
+    own = ledger(spark, sf_dir)
+    rows = own.select("statement_id", F.explode(F.filter(F.array(F.struct((F.col("ord") * 2).alias("ord"), line.alias("line")), F.struct((F.col("ord") * 2 + 1).alias("ord"), bad.alias("line"))), lambda x: x["line"].isNotNull())).alias("x")).select("statement_id", "x.*")
+    names = F.when(pipe, "Txn Date | Narration | Withdrawal Amt | Deposit Amt | Balance").otherwise("Date,Description,Debit,Credit,Running Balance")
+    head = own.select("statement_id").distinct().select("statement_id", F.posexplode(F.array(F.lit("Account statement"), F.lit("USD"), names)).alias("n", "line"))
+    return head.select("statement_id", (F.col("n") - 3).cast("long").alias("ord"), "line").unionByName(rows.withColumn("ord", F.col("ord").cast("long")))
+
+
+def statement_heads(spark: SparkSession, sf_dir: str, lines: int = 700) -> DataFrame:
+    """(statement_id, content): the first lines of each statement, more than the relevance sample's words; a line has two at least."""
+    first = Window.partitionBy("statement_id").orderBy("ord")
+    few = statement_lines(spark, sf_dir).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= lines)
+    packed = few.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    return packed.select("statement_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, path, due, content, modified, document_id, domain): a letter of several lines and pages for each order; one in forty has a very long line."""
+    d = F.date_add(F.to_date("o_orderdate"), SHIFT)
+    k = F.col("o_orderkey")
+    long_ = F.concat(F.lit("\n"), F.repeat(F.lit("Please note that this holds for all. "), 80), F.lit("The fee is due by "), F.date_add(d, 9).cast("string"), F.lit("! Thank you."))
+    content = F.concat(
+        F.lit("Subject: Order "), k.cast("string"), F.lit("\n[[PAGE:1]]\n  Dear   customer,\n\nYour policy  expires on "), d.cast("string"), F.lit(".\n[[PAGE:"), (k % 7 + 2).cast("string"),
+        F.lit("]]\nReference A\nPlease renew before "), F.date_format(d, "MMMM d, yyyy"), F.lit(" or by "), F.date_format(F.date_add(d, 30), "d MMM yyyy"), F.lit(".\nThank you."), F.when(k % 40 == 0, long_).otherwise(""),
+    )
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
+    return orders.select(k.alias("key"), F.concat(F.lit("letter_"), k.cast("string"), F.lit(".eml")).alias("path"), d.alias("due"), content.alias("content"), F.concat(d.cast("string"), F.lit("T09:30:00")).alias("modified"), k.cast("string").alias("document_id"), F.lit(None).cast("string").alias("domain"))
+
+
+LETTERS = f"""letters AS (
+  SELECT key, due, 'Subject: Order ' || key || chr(10) || '[[PAGE:1]]' || chr(10) || '  Dear   customer,' || chr(10) || chr(10) || 'Your policy  expires on ' || strftime(due, '%Y-%m-%d') || '.' || chr(10) || '[[PAGE:' || (key % 7 + 2)
+    || ']]' || chr(10) || 'Reference A' || chr(10) || 'Please renew before ' || strftime(due, '%B %-d, %Y') || ' or by ' || strftime(due + 30, '%-d %b %Y') || '.' || chr(10) || 'Thank you.'
+    || CASE WHEN key % 40 = 0 THEN chr(10) || repeat('Please note that this holds for all. ', 80) || 'The fee is due by ' || strftime(due + 9, '%Y-%m-%d') || '! Thank you.' ELSE '' END AS content
+  FROM (SELECT o_orderkey AS key, CAST(o_orderdate AS DATE) + {SHIFT} AS due FROM orders))"""
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, anchor, content): a phrase for each order that names a date in one of ten further ways, and the day on which it was written."""
+    d = F.date_add(F.to_date("o_orderdate"), SHIFT)
+    anchor = F.date_add(d, (F.col("o_custkey") % 400).cast("int"))
+    n = (F.col("o_orderkey") % 23 + 1).cast("string")
+    texts = [
+        F.concat(F.lit("Renew by "), F.date_format(d, "MMMM d"), F.lit(", please.")), F.lit("It is due Today"), F.lit("The visit is tomorrow."), F.concat(F.lit("Reply in "), n, F.lit(" weeks.")),
+        F.concat(F.lit("Valid within "), n, F.lit(" months")), F.concat(F.lit("Payment due in "), n, F.lit(" days.")), F.concat(F.lit("Read "), F.date_format(d, "M/d/yyyy"), F.lit(" there.")),
+        F.concat(F.lit("On the "), F.date_format(d, "d"), F.lit("th of "), F.date_format(d, "MMMM yyyy"), F.lit(" or "), d.cast("string")), F.lit("Never on 2027-02-30, nor 13/13/2027."), F.concat(F.lit("From "), F.date_format(d, "yyyy.MM.dd"), F.lit(" and "), F.date_format(d, "yyyy/MM/dd")),
+    ]
+    content = texts[-1]
+    for i, t in reversed(list(enumerate(texts[:-1]))):
+        content = F.when(F.col("o_orderkey") % 10 == i, t).otherwise(content)
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select(F.col("o_orderkey").alias("key"), anchor.alias("anchor"), content.alias("content"))
+
+
+PHRASES = f"""phrases AS (
+  SELECT key, kind, anchor, due, n, (['Renew by ' || strftime(due, '%B %-d') || ', please.', 'It is due Today', 'The visit is tomorrow.', 'Reply in ' || n || ' weeks.', 'Valid within ' || n || ' months', 'Payment due in ' || n || ' days.',
+    'Read ' || strftime(due, '%-m/%-d/%Y') || ' there.', 'On the ' || day(due) || 'th of ' || strftime(due, '%B %Y') || ' or ' || strftime(due, '%Y-%m-%d'), 'Never on 2027-02-30, nor 13/13/2027.', 'From ' || strftime(due, '%Y.%m.%d') || ' and ' || strftime(due, '%Y/%m/%d')])[kind + 1] AS content
+  FROM (SELECT o_orderkey AS key, o_orderkey % 10 AS kind, CAST(o_orderdate AS DATE) + {SHIFT} AS due, CAST(o_orderdate AS DATE) + {SHIFT} + CAST(o_custkey % 400 AS INT) AS anchor, CAST(o_orderkey % 23 + 1 AS INT) AS n FROM orders))"""
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
