@@ -80,7 +80,8 @@ ENTITY_HINTS = (
     (("delivery shipment", "package delivery"), "Delivery"),
 )
 
-# Titles of categories and of domains.
+# Titles of statements, of categories and of domains.
+STATEMENT_TITLE = "Bank Account Statement"
 CATEGORY_TITLES = {
     "expiry": "Expiry",
     "renewal": "Renewal",

@@ -13,12 +13,18 @@ from docketry.operators import commitments, policy, relevance, results, statemen
 
 @dataclass(frozen=True)
 class Scan:
-    """What a scan of documents gives; all lazy."""
+    """What a scan of documents gives; all lazy. kept: what several of them read."""
 
     commitments: DataFrame
     judged: DataFrame
     statements: DataFrame
     outcomes: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Let go of what the executors keep, once the results are written."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
@@ -38,8 +44,10 @@ def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
     docs = good.select("path", "content", "modified", commitments.document_id(F.col("content")).alias("document_id"), F.col("relevance_domain").alias("domain"))
     judged = commitments.extract(docs, today, month_first)
     banks = good.filter(F.col("bank_score") >= relevance.STATEMENT_SCORE).select(F.col("path").alias("statement_id"), "content")
-    summaries = statements.analyze(banks).withColumn("path", F.col("statement_id"))
+    ids = docs.select("path", F.col("document_id").alias("id"))
+    kept = [seen]
+    summaries = statements.analyze(banks, kept=kept).withColumnRenamed("statement_id", "path").join(ids, "path").withColumn("title", F.lit(V.STATEMENT_TITLE))
     found = results.deduplicate(judged.filter("rejected_as is null").drop("rejected_as"))
     have = statements.with_enough_rows(banks).select(F.col("statement_id").alias("path"))
     outcomes = results.document_outcomes(seen.select("path", "warning"), judged, have)
-    return Scan(results.ordered(found), judged, summaries, outcomes)
+    return Scan(results.ordered(found), judged, summaries, outcomes, tuple(kept))

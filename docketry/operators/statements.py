@@ -238,15 +238,18 @@ def named_balances(statements: DataFrame, default_currency: str = "$") -> DataFr
     return statements.select("statement_id", named_amount(text, "opening balance").alias("opening"), named_amount(text, "closing balance").alias("closing"), currency_of(text, default_currency).alias("currency"))
 
 
-def analyze(statements: DataFrame, default_currency: str = "$") -> DataFrame:
+def analyze(statements: DataFrame, default_currency: str = "$", kept: list[DataFrame] | None = None) -> DataFrame:
     """Summaries of (statement_id, content), with rows_rejected and the lists of categories, top expenses, recurring payments and the largest credit."""
-    return analyze_rows(rows_of(statements), named_balances(statements, default_currency))
+    return analyze_rows(rows_of(statements), named_balances(statements, default_currency), kept)
 
 
-def analyze_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """The same of lines that are rows already (statement_id, ord, line), whatever a statement's length; named: as named_balances gives it."""
+def analyze_rows(rows: DataFrame, named: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
+    """The same of lines that are rows already (statement_id, ord, line), whatever a statement's length; named: as named_balances gives it.
+    What the executors keep of it is added to kept, for the caller to let go of."""
     # eight aggregates read the parsed rows; kept on the executors, computed again where one is lost
     parsed = parse_rows(rows).persist()
+    if kept is not None:
+        kept.append(parsed)
     tx = distinct_transactions(parsed)
     rejected = parsed.groupBy("statement_id").agg(F.count_if("rejected").alias("rows_rejected"))
     out = summarize(tx, named).join(rejected, "statement_id")

@@ -1,17 +1,163 @@
-"""Resumable scans: a file stream whose checkpoint is the session, and tables of results."""
+"""Resumable scans: sessions over a folder that reuse what is known of unchanged files, and a file stream whose checkpoint is the session."""
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docketry.functions import fixed_values as V
+from docketry.operators import results
 from docketry.operators.policy import file_warning
 from docketry.operators.scan import scan
 from docketry.sources.files import decode, relative
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ENGINE = "docketry-1"
+SESSION = "scan_id string, scan_key string, month_first boolean, total long, status string, created_at timestamp, updated_at timestamp"
+MANIFEST = "scan_id string, location string, path string, size long, modified string, fingerprint string, cache_key string"
+OUTCOME = "scan_id string, path string, cache_key string, status string, candidates long, commitments long, warning string, updated_at timestamp"
+#: One batch holds at most so many files, and so many bytes unless a single file has more.
+BATCH_FILES, BATCH_BYTES = 2000, 1 << 30
+
+
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A table that sessions add to; empty as long as it isn't there."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def listing(spark: SparkSession, folder: str, month_first: bool = False) -> DataFrame:
+    """(location, path, size, modified, fingerprint, cache_key) of a folder's files that may be read; no bytes are read for it."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    size, changed = F.col("length"), F.unix_millis("modificationTime")
+    own = raw.select(F.col("path").alias("location"), relative(folder).alias("path"), size.alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), changed.alias("_changed"))
+    own = own.filter(file_warning(F.col("path"), F.lit(0), F.lit(None).cast("string")).isNull())
+    own = own.withColumn("fingerprint", results.fingerprint(ENGINE, F.col("path"), F.col("size"), F.col("_changed"))).drop("_changed")
+    return own.withColumn("cache_key", results.cache_key(ENGINE, month_first, F.col("path"), F.col("fingerprint")))
+
+
+def _log(spark: SparkSession, state: str, row: dict) -> None:
+    row = row | {"updated_at": datetime.now(timezone.utc)}
+    spark.createDataFrame([tuple(row[f.split()[0]] for f in SESSION.split(", "))], SESSION).coalesce(1).write.mode("append").parquet(f"{state}/sessions")
+
+
+def sessions_of(spark: SparkSession, state: str) -> DataFrame:
+    """The last row of each session's log."""
+    log = _stored(spark, f"{state}/sessions", SESSION)
+    return log.groupBy("scan_id").agg(F.max_by(F.struct(*log.columns), "updated_at").alias("x")).select("x.*")
+
+
+def start(spark: SparkSession, folder: str, state: str, month_first: bool = False) -> tuple[str, bool]:
+    """(scan_id, whether it was there): the newest session over the same listing and date order that isn't complete, else a new one.
+
+    The listing is written once, so that a session goes on over the files that it began with.
+    """
+    found = listing(spark, folder, month_first)
+    keyed = results.scan_key(found.select("path", "size", "fingerprint"), folder).first()["scan_key"]
+    open_ = results.latest_resumable(sessions_of(spark, state)).filter((F.col("scan_key") == keyed) & (F.col("month_first") == month_first)).first()
+    if open_ is not None:
+        _log(spark, state, open_.asDict() | {"status": "running"})
+        return open_["scan_id"], True
+    scan_id = uuid.uuid4().hex
+    found.write.mode("overwrite").parquet(f"{state}/manifests/scan_id={scan_id}")
+    total = spark.read.parquet(f"{state}/manifests/scan_id={scan_id}").count()
+    _log(spark, state, {"scan_id": scan_id, "scan_key": keyed, "month_first": month_first, "total": total, "status": "running", "created_at": datetime.now(timezone.utc)})
+    return scan_id, False
+
+
+def set_status(spark: SparkSession, state: str, scan_id: str, status: str) -> None:
+    """`cancelled` or `complete`, for a session that there is; anything else is a ValueError."""
+    row = sessions_of(spark, state).filter(F.col("scan_id") == scan_id).first()
+    if row is None or status not in ("running", "cancelled", "complete"):
+        raise ValueError(f"unknown scan or status: {scan_id}, {status}")
+    _log(spark, state, row.asDict() | {"status": status})
+
+
+def _outcomes(spark: SparkSession, state: str) -> DataFrame:
+    """The last outcome of each file state (cache_key) in each session, with its batch."""
+    done = _stored(spark, f"{state}/done", OUTCOME + ", batch string")
+    return done.groupBy("scan_id", "cache_key").agg(F.max_by(F.struct("path", "status", "candidates", "warning", "updated_at", F.col("batch").cast("string").alias("batch")), "batch").alias("x")).select("scan_id", "cache_key", "x.*")
+
+
+def files_of(spark: SparkSession, state: str, scan_id: str) -> DataFrame:
+    """The session's files (manifest columns, status, candidates, warning, updated_at, batch): finished ones keep their outcome, those
+    known from any session without a warning are `cached`, all others `pending`; skipped files are tried again by other sessions only."""
+    manifest = spark.read.parquet(f"{state}/manifests/scan_id={scan_id}")
+    every = _outcomes(spark, state)
+    own = every.filter(F.col("scan_id") == scan_id).drop("scan_id", "path")
+    known = every.filter("warning is null").groupBy("cache_key").agg(F.max_by(F.struct("candidates", "updated_at", "batch"), "batch").alias("k"))
+    out = manifest.join(own, "cache_key", "left").join(known, "cache_key", "left")
+    status = F.coalesce("status", F.when(F.col("k").isNotNull(), "cached").otherwise("pending"))
+    return out.select("cache_key", "location", "path", "size", "modified", "fingerprint", status.alias("status"), F.coalesce("candidates", "k.candidates", F.lit(0)).alias("candidates"), "warning", F.coalesce("updated_at", "k.updated_at").alias("updated_at"), F.coalesce("batch", "k.batch").alias("batch"))
+
+
+def batches(pending: DataFrame, most_files: int = BATCH_FILES, most_bytes: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Locations of pending files in bounded batches, as they come from the executors; the driver holds one batch and one partition of names."""
+    batch, size = [], 0
+    for row in pending.select("location", "size").toLocalIterator(prefetchPartitions=True):
+        if batch and (len(batch) >= most_files or size + row["size"] > most_bytes):
+            yield batch
+            batch, size = [], 0
+        batch.append(row["location"])
+        size += row["size"]
+    if batch:
+        yield batch
+
+
+def resume(spark: SparkSession, folder: str, state: str, today, month_first: bool = False, most_files: int = BATCH_FILES, most_bytes: int = BATCH_BYTES, stop=lambda: False) -> str:
+    """Scan what the folder's session waits for and return its id. Only pending files are read; unchanged ones of any session are reused.
+
+    Each batch writes commitments and then outcomes under a name of its own; it counts once its outcomes are written, so a batch that
+    was lost midway is done again. stop() is asked before each batch: if it says yes, the session is cancelled and can be resumed.
+    """
+    scan_id, _ = start(spark, folder, state, month_first)
+    waiting = files_of(spark, state, scan_id).filter("status = 'pending'")
+    for batch in batches(waiting, most_files, most_bytes):
+        if stop():
+            set_status(spark, state, scan_id, "cancelled")
+            return scan_id
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        listed = spark.read.parquet(f"{state}/manifests/scan_id={scan_id}")
+        raw = spark.read.format("binaryFile").load(batch).withColumn("path", relative(folder))
+        # a file that has grown past the limit is listed with its size and never read: the filter is pushed to the scan
+        small = raw.filter(F.col("length") <= V.MAX_FILE_BYTES).select("path", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), "content", F.lit(None).cast("string").alias("warning"))
+        large = raw.filter(F.col("length") > V.MAX_FILE_BYTES).select("path", F.lit(None).cast("string").alias("modified"), F.lit(None).cast("binary").alias("content"), file_warning(F.col("path"), F.col("length"), F.lit(None).cast("string")).alias("warning"))
+        files = decode(small.unionByName(large)).persist()
+        found = scan(files, today, month_first)
+        keys = listed.select("path", "cache_key")
+        found.commitments.join(keys, "path").write.mode("overwrite").parquet(f"{state}/found/batch={name}")
+        found.statements.join(keys, "path").write.mode("overwrite").parquet(f"{state}/statements/batch={name}")
+        done = found.outcomes.join(keys, "path").select(F.lit(scan_id).alias("scan_id"), "path", "cache_key", F.when(F.col("warning").isNull(), "done").otherwise("skipped").alias("status"), F.col("candidates").cast("long").alias("candidates"), F.col("commitments").cast("long").alias("commitments"), "warning", F.current_timestamp().alias("updated_at"))
+        done.write.mode("overwrite").parquet(f"{state}/done/batch={name}")
+        found.release()
+        files.unpersist()
+    set_status(spark, state, scan_id, "complete")
+    return scan_id
+
+
+def report(spark: SparkSession, state: str, scan_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row about the session, its commitments without repeats in their order, summaries of its bank statements)."""
+    files = files_of(spark, state, scan_id).withColumn("scan_id", F.lit(scan_id))
+    good = files.filter("warning is null and batch is not null").select("cache_key", "batch")
+
+    def of(name: str) -> DataFrame:
+        stored = spark.read.parquet(f"{state}/{name}")
+        return stored.withColumn("batch", F.col("batch").cast("string")).join(good, ["cache_key", "batch"], "left_semi").drop("cache_key", "batch")
+
+    found = of("found").withColumn("scan_id", F.lit(scan_id))
+    row = results.session_report(sessions_of(spark, state).filter(F.col("scan_id") == scan_id), files, found)
+    return row, results.ordered(results.deduplicate(found, ("scan_id",))), of("statements")
 
 
 def watch(spark: SparkSession, folder: str, files_a_batch: int = 12) -> DataFrame:
@@ -32,6 +178,7 @@ def run(spark: SparkSession, folder: str, state: str, today, month_first: bool =
         found = scan(files, today, month_first)
         found.commitments.write.mode("overwrite").parquet(f"{state}/commitments/batch={batch_id}")
         found.outcomes.withColumn("status", F.when(F.col("warning").isNull(), "done").otherwise("skipped")).write.mode("overwrite").parquet(f"{state}/outcomes/batch={batch_id}")
+        found.release()
         files.unpersist()
 
     return watch(spark, folder, files_a_batch).writeStream.foreachBatch(store).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()

@@ -60,6 +60,7 @@ def test_folder_and_uploads(spark, tmp_path):
     assert [r.warning for r in uploads(items).orderBy("path").collect()] == [None, "b.csv: invalid base64 data", "too old"]
 
 
+BANK = "Account statement\nOpening balance: 100.00\nDate | Description | Debit | Credit | Balance\n01/08/2026 | Salary | | 4500.00 | 4600.00\n02/08/2026 | Rent | 1900.00 | | 2700.00\n"
 ROW = "id string, date date, title string, category string, source string, page int, reason string, notice_days int, domain string, entity string, periodicity string, action_date date, summary string, snippet string, confidence int"
 
 
@@ -100,3 +101,56 @@ def test_session_goes_on_where_it_stopped(spark, tmp_path):
     sessions.run(spark, str(folder), str(state), "2026-08-13").awaitTermination(120)
     commitments, outcomes = sessions.state_of(spark, str(state))
     assert sorted(str(r.date) for r in commitments.collect()) == ["2026-10-15", "2026-11-15"] and outcomes.count() == 2
+
+
+def test_sessions_reuse_what_is_unchanged(spark, tmp_path):
+    import os
+
+    folder, state = tmp_path / "in", str(tmp_path / "state")
+    folder.mkdir()
+    a, b = folder / "a.eml", folder / "b.eml"
+    a.write_text(TEXT)
+    b.write_text(TEXT.replace("2026-10-15", "2026-11-15"))
+    (folder / "big.csv").write_bytes(b"0" * (8 * 1024 * 1024 + 1))
+    (folder / "bank.csv").write_text(BANK)
+    (folder / ".hidden.eml").write_text(TEXT)
+    asked = iter([False, True])
+    first = sessions.resume(spark, str(folder), state, "2026-08-13", most_files=1, stop=lambda: next(asked))
+    row = sessions.report(spark, state, first)[0].first()
+    assert (row.status, row.total, row.files_processed, row.files_pending) == ("cancelled", 4, 1, 3)
+    # the same session goes on
+    assert sessions.resume(spark, str(folder), state, "2026-08-13") == first
+    row, found, banks = sessions.report(spark, state, first)
+    row = row.first()
+    assert (row.status, row.files_processed, row.files_skipped, row.files_cached, row.files_pending, row.eta_seconds) == ("complete", 4, 1, 0, 0, 0)
+    assert list(row.warnings) == ["big.csv: file is larger than 8 MB"]
+    assert sorted(str(r.date) for r in found.collect()) == ["2026-10-15", "2026-11-15"]
+    assert [(r.path, r.title, r.total_income) for r in banks.collect()] == [("bank.csv", "Bank Account Statement", 4500.0)]
+    # the same name, size and time: not read again; b is new
+    stat = a.stat()
+    a.write_text(TEXT.replace("2026-10-15", "2026-12-15"))
+    os.utime(a, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    b.write_text(TEXT.replace("2026-10-15", "2027-01-15") + " ")
+    second = sessions.resume(spark, str(folder), state, "2026-08-13")
+    row, found, _ = sessions.report(spark, state, second)
+    row = row.first()
+    assert second != first and (row.files_cached, row.files_processed, row.files_skipped) == (2, 4, 1)
+    assert sorted(str(r.date) for r in found.collect()) == ["2026-10-15", "2027-01-15"]
+    with pytest.raises(ValueError):
+        sessions.set_status(spark, state, "none", "cancelled")
+
+
+def test_envelope_and_report_of_nothing(spark):
+    judged = spark.createDataFrame([], "path string, source string, line int, segment_no int, hit_no int, date date, category string, title string, document_id string, confidence int, id string, page int, domain string")
+    outcomes = spark.createDataFrame([("b", 2, "b: x"), ("a", 3, None)], "path string, candidates long, warning string")
+    row = results.envelope(outcomes, judged, judged, "2026-08-13").first()
+    assert (row.files_scanned, row.files_skipped, row.dates_reviewed, row.noise_removed, row.commitments, list(row.warnings)) == (1, 1, 3, 3, 0, ["b: x"])
+    assert [r.block for r in exports.report_text(judged, F.lit(1)).collect()] == ["Docketry found 0 commitments in 1 files.\n\n"]
+    assert results.envelope(outcomes.limit(0), judged, judged, "2026-08-13").count() == 1
+    paths = spark.createDataFrame([("a/my_file--x.tar.gz",), ("___.pdf",), ("",), ("a/don't stop.eml",)], "p string")
+    assert [r[0] for r in paths.select(horizon.document_label(F.col("p"))).collect()] == ["My File X.Tar", "Untitled document", "Untitled document", "Don'T Stop"]
+    shown = spark.range(1).select(horizon.bytes_label(F.lit(1536)), horizon.bytes_label(F.lit(1310720)), horizon.eta_label(F.lit(0.2)), horizon.eta_label(F.lit(61)), horizon.eta_label(F.lit(3700)), horizon.money_label(F.lit(-1234.5), F.lit("$"))).first()
+    assert list(shown) == ["2 KB", "1.3 MB", "1 sec", "2 min", "1 hr 2 min", "$1,234.50"]
+    items = spark.createDataFrame([("1", "a.PDF", 3), ("2", "b.eml", 3), ("3", "gone.pdf", None)], "id string, source string, page int")
+    files = spark.createDataFrame([("a.PDF",), ("b.eml",)], "path string")
+    assert {r.id: r.opens for r in horizon.with_source(items, files).collect()} == {"1": "a.PDF#page=3", "2": "b.eml", "3": None}
