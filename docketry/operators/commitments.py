@@ -80,6 +80,9 @@ def segments(docs: DataFrame) -> DataFrame:
     """
     # the two marks that spans() uses become spaces, which keeps all positions
     lines = docs.withColumn("_lines", F.transform(F.split(F.translate(F.coalesce("content", F.lit("")), "\u0001\u0002", "  "), LINE_END), squeeze))
+    # the page marks alone, so that a dated line looks through pages and not through all lines before it
+    marks = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("mark"))), lambda m: m["mark"].rlike(PAGE_LINE))
+    lines = lines.withColumn("_marks", F.when(F.col("content").contains("[[PAGE:"), marks))
     n = F.size("_lines")
 
     def around(i):
@@ -87,12 +90,12 @@ def segments(docs: DataFrame) -> DataFrame:
         return F.array_join(F.filter(near, lambda x: (x != "") & ~x.rlike(PAGE_LINE)), " · ")
 
     def page(i):
-        marks = F.filter(F.slice("_lines", F.lit(1), i + 1), lambda x: x.rlike(PAGE_LINE))
-        return F.when(F.col("content").contains("[[PAGE:"), F.regexp_extract(F.try_element_at(marks, F.lit(-1)), PAGE_LINE, 1).try_cast("int"))
+        last = F.try_element_at(F.filter("_marks", lambda m: m["i"] <= i), F.lit(-1))
+        return F.regexp_extract(last["mark"], PAGE_LINE, 1).try_cast("int")
 
     found = F.filter(F.transform("_lines", lambda x, i: F.struct(x.alias("text"), i.alias("i"))), lambda s: s["text"].rlike(MAY_HAVE_DATE) & ~s["text"].rlike(PAGE_LINE))
     rows = F.transform(found, lambda s: F.struct((s["i"] + 1).alias("line"), page(s["i"]).alias("page"), around(s["i"]).alias("context"), F.when(F.length(s["text"]) > LONG_LINE, F.split(s["text"], r"(?<=[.!?])(?U:\s+)")).otherwise(F.array(s["text"])).alias("segments")))
-    out = lines.withColumn("_row", F.explode(rows)).drop("_lines", "content")
+    out = lines.withColumn("_row", F.explode(rows)).drop("_lines", "_marks", "content")
     return out.select("*", F.posexplode("_row.segments").alias("segment_no", "segment")).select("*", "_row.line", "_row.page", "_row.context").drop("_row").filter(F.col("segment").rlike(MAY_HAVE_DATE))
 
 
