@@ -1,7 +1,8 @@
 """Bank statements: text tables to transactions, transactions to a reconciled summary.
 
-Rows of a statement keep their order in `ord`. Headers and delimiters are carried down by windows over the statement; all else is
-expressions on single rows, windows and aggregates by statement.
+Rows of a statement keep their order in `ord`. Headers and delimiters are carried down, and neighbouring balances compared, in
+chunks of a statement, so that no task holds a long one; all else is expressions on single rows, aggregates that combine
+before the shuffle, and ranks that need the first few rows only.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.functions.chunks import carried_down, neighbours
 from docketry.functions.dates import statement_date
 from docketry.functions.money import currency_of, named_amount, parse_number
 from docketry.functions.text import LINE_END, contains_any
@@ -62,6 +64,13 @@ def is_header(fields: Column) -> Column:
     return has("date") & has("description") & (has("debit") | has("credit") | has("amount"))
 
 
+def could_be_header(line: Column) -> Column:
+    """Whether a line holds the longest word of a date's alias and of a description's: every header does, hardly any other line."""
+    low = F.lower(line)
+    holds = lambda f: contains_any(low, sorted({max(n.split(), key=len) for n in V.HEADER_ALIASES[f]}))
+    return holds("date") & holds("description")
+
+
 def cell(cells: Column, index: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.try_element_at(cells, (index + 1).cast("int")), r"(?U)^\s+|\s+$", ""), F.lit(""))
 
@@ -137,9 +146,8 @@ def parse_rows(rows: DataFrame) -> DataFrame:
     """rows but headers, with tx (null for other lines) and rejected (rows under a header that look like transactions but aren't)."""
     own = rows.withColumn("_delimiter", delimiter_of(F.col("line")))
     own = own.withColumn("_cells", split_row(F.col("line"), F.col("_delimiter")))
-    own = own.withColumn("_fields", header_map(F.col("_cells"))).withColumn("_is_header", is_header(F.col("_fields")))
-    down = Window.partitionBy("statement_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("_header", F.last(F.when(F.col("_is_header"), F.struct("_fields", "_delimiter")), ignorenulls=True).over(down)).filter(~F.col("_is_header"))
+    own = own.withColumn("_fields", F.when(could_be_header(F.col("line")), header_map(F.col("_cells")))).withColumn("_is_header", F.coalesce(is_header(F.col("_fields")), F.lit(False)))
+    own = carried_down(own, F.when(F.col("_is_header"), F.struct("_fields", "_delimiter")), "_header", "statement_id").filter(~F.col("_is_header"))
     base = own.select("statement_id", "ord", "line", "_cells", F.col("_header._fields").alias("_fields"), F.col("_header._delimiter").alias("_delimiter"), F.try_element_at("_cells", F.lit(1)).alias("_first"))
     under = with_column_transaction(base.filter("_fields is not null").withColumn("_cells", split_row(F.col("line"), F.col("_delimiter"))))
     free = with_flagged_transaction(base.filter("_fields is null"))
@@ -151,9 +159,9 @@ def parse_rows(rows: DataFrame) -> DataFrame:
 def distinct_transactions(parsed: DataFrame) -> DataFrame:
     """(statement_id, ord, date, description, amount, tx_type, category, balance): the first of equal transactions."""
     tx = parsed.filter(F.col("tx").isNotNull()).select("statement_id", "ord", "tx.*")
-    key = F.regexp_replace(F.lower("description"), r"(?U)\s+", " ")
-    first = Window.partitionBy("statement_id", "date", key, "amount", "tx_type").orderBy("ord")
-    kept = tx.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    key = F.regexp_replace(F.lower("description"), r"(?U)\s+", " ").alias("_key")
+    first = tx.groupBy("statement_id", "date", key, "amount", "tx_type").agg(F.min(F.struct("ord", "description", "balance")).alias("x"))
+    kept = first.select("statement_id", "x.ord", "date", "x.description", "amount", "tx_type", "x.balance")
     return kept.withColumn("category", spending_category(F.col("description"), F.col("tx_type")))
 
 
@@ -186,9 +194,9 @@ def recurring_payments(tx: DataFrame, n: int = 5) -> DataFrame:
 
 def balance_pairs(tx: DataFrame) -> DataFrame:
     """(statement_id, checked, balanced): neighbouring transactions whose balances follow from each other. A missing balance breaks the chain."""
-    before = F.lag("balance").over(Window.partitionBy("statement_id").orderBy("ord"))
-    pairs = tx.withColumn("_before", before).withColumn("_gap", F.abs(F.col("_before") + F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount")) - F.col("balance")))
-    return pairs.groupBy("statement_id").agg(F.count("_gap").alias("checked"), F.count_if(F.col("_gap") <= 0.02).alias("balanced"))
+    signed = F.when(F.col("tx_type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    follows = F.abs(F.col("_before") + signed - F.col("balance")) <= 0.02
+    return neighbours(tx.select("statement_id", "ord", "amount", "tx_type", "balance"), F.col("balance"), follows, "statement_id").withColumnRenamed("agreed", "balanced")
 
 
 def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.chunks import running_total
+
 TODAY = "2026-08-13"
 #: Days by which order dates are moved: 27 years.
 SHIFT = 9862
@@ -75,10 +77,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx_type = F.when(F.col("event_type").isin("signup", "view"), "credit").otherwise("debit")
     text = F.concat(_event({"purchase": "Amazon order", "error": "Late rent", "click": "Uber trip", "view": "Salary ACME"}, "Interest credit"), F.lit(" "), (F.col("event_id") % 4).cast("string"))
     own = table(spark, sf_dir, "events").filter("user_id is not null").select(F.col("user_id").alias("statement_id"), F.col("event_id").alias("ord"), F.to_date("ts").alias("date"), text.alias("description"), cents.alias("cents"), tx_type.alias("tx_type"))
-    run = Window.partitionBy("statement_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.when(F.col("tx_type") == "credit", F.col("cents")).otherwise(-F.col("cents"))).over(run)
+    own = running_total(own, F.when(F.col("tx_type") == "credit", F.col("cents")).otherwise(-F.col("cents")), "total", "statement_id")
     # one row in eleven has no balance, one in seven a wrong one
-    shown = F.when(F.col("ord") % 11 == 0, None).otherwise((100_000 + total + F.when(F.col("ord") % 7 == 0, 500).otherwise(0)) / 100)
+    shown = F.when(F.col("ord") % 11 == 0, None).otherwise((100_000 + F.col("total") + F.when(F.col("ord") % 7 == 0, 500).otherwise(0)) / 100)
     return own.select("statement_id", "ord", "date", "description", (F.col("cents") / 100).alias("amount"), "tx_type", shown.cast("double").alias("balance"))
 
 
