@@ -167,9 +167,14 @@ def distinct_transactions(parsed: DataFrame) -> DataFrame:
 
 # ---- summaries of (statement_id, ord, date, description, amount, tx_type, category, balance)
 
+def exact_sum(amount: Column) -> Column:
+    """The sum without the last digits' noise, which depends on the order of rows and would tip a tie when the sum is rounded further."""
+    return F.round(F.sum(amount), 6)
+
+
 def category_totals(tx: DataFrame) -> DataFrame:
     """(statement_id, category, amount, percentage, count) of spending."""
-    debits = tx.filter("tx_type = 'debit'").groupBy("statement_id", "category").agg(F.sum("amount").alias("raw"), F.count(F.lit(1)).alias("count"))
+    debits = tx.filter("tx_type = 'debit'").groupBy("statement_id", "category").agg(exact_sum(F.col("amount")).alias("raw"), F.count(F.lit(1)).alias("count"))
     total = F.sum("raw").over(Window.partitionBy("statement_id"))
     return debits.select("statement_id", "category", F.round("raw", 2).alias("amount"), F.when(total != 0, F.round(F.col("raw") / total * 100, 1)).otherwise(0.0).alias("percentage"), "count")
 
@@ -210,7 +215,7 @@ def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2)
     known = F.col("balance").isNotNull()
     totals = tx.groupBy("statement_id").agg(
         F.min("date").alias("statement_start"), F.max("date").alias("statement_end"),
-        F.coalesce(F.sum(credit), F.lit(0.0)).alias("income"), F.coalesce(F.sum(debit), F.lit(0.0)).alias("expense"),
+        F.coalesce(exact_sum(credit), F.lit(0.0)).alias("income"), F.coalesce(exact_sum(debit), F.lit(0.0)).alias("expense"),
         F.count(F.lit(1)).alias("transaction_count"), F.count(credit).alias("credit_count"), F.count(debit).alias("debit_count"),
         F.min_by(F.col("balance") - signed, F.when(known, F.col("ord"))).alias("first"), F.max_by("balance", F.when(known, F.col("ord"))).alias("last"),
     ).filter(F.col("transaction_count") >= min_rows)
