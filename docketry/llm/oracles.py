@@ -61,3 +61,21 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 5 * (j // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (j % 4))) & 31) AS INT) + 1, 1) FOR j IN range(0, 32)], '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM g"""
+
+#: near: words that lose one character at the same place and are alike then, or of which one is the other without a character.
+SPELLING = rf"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+r AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+'))")} AS w FROM documents),
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k, w, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT w, n, list_reduce(flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)) AS c FROM u, tbl),
+h AS (SELECT w, n, xor(c, 4294967295) AS h FROM b),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT x.word, y.word AS near FROM d x JOIN d y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+g AS (SELECT p.word, count(*) AS n_near, max(y.n) AS top FROM p JOIN v y ON y.word = p.near GROUP BY p.word),
+f AS (SELECT g.word, min(p.near) AS form, any_value(top) AS form_n FROM g JOIN v ON v.word = g.word JOIN p ON p.word = g.word JOIN v y ON y.word = p.near AND y.n = top WHERE top >= 5 * v.n GROUP BY g.word),
+chain(word, root) AS (SELECT word, form FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root),
+last AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM f))
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN g USING (word) LEFT JOIN f USING (word) LEFT JOIN last USING (word)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import bpe, decontam, langid, line_dedup, minhash, oracles, quality, secret_scan, tokenfile, toxicity, warc
+from docketry.llm import bpe, decontam, langid, line_dedup, minhash, oracles, quality, secret_scan, simhash, spelling, tokenfile, toxicity, warc, whitening
 from docketry.llm.common import read_table
 
 END_ID = 2
@@ -57,7 +57,19 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, files)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_toxicity, op4_secrets, op5_langid, op6_minhash, op7_decontam, op8_bpe, op9_warc, op10_token_ids)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_toxicity, op4_secrets, op5_langid, op6_minhash, op7_decontam, op8_bpe, op9_warc, op10_token_ids, op11_spelling, op12_simhash, op13_whitening)}
 
 #: The other operators are compared with brute force, exact round trips or held-out labels in tests/llm.
-ORACLE_SQL = {"op1_line_dedup": oracles.LINE_DEDUP, "op2_quality": oracles.QUALITY, "op6_minhash": oracles.NEAR_DUPLICATES, "op7_decontam": oracles.CONTAMINATION, "op9_warc": oracles.WARC}
+ORACLE_SQL = {"op1_line_dedup": oracles.LINE_DEDUP, "op2_quality": oracles.QUALITY, "op6_minhash": oracles.NEAR_DUPLICATES, "op7_decontam": oracles.CONTAMINATION, "op9_warc": oracles.WARC, "op11_spelling": oracles.SPELLING}

@@ -3,9 +3,12 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import xxhash
+
 WS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,3 +110,55 @@ def warc(pages):
     for i, p in payload.items():
         top[p] = max(i, top.get(p, i))
     return {i: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if top[p] == i else "revisit", None if top[p] == i else top[p]) for i, p in payload.items()}
+
+
+def fingerprint(text):
+    w = words((text or "").translate(LOWER))
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def components(ids, near):
+    """The smallest id that a chain of near ids leads to; near(a, b) of two ids."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(ids), 2):
+        if near(a, b):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def vocabulary(docs):
+    counts = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            at = h % len(run)
+            counts[run if h % 199 else run[:at] + run[at + 1 :]] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+
+
+def one_error(a, b):
+    a, b = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(counts):
+    near = {w: [v for v in counts if one_error(w, v)] for w in counts}
+    best = {w: min(vs, key=lambda v: (-counts[v], v), default=None) for w, vs in near.items()}
+    form = {w: v if v is not None and counts[v] >= 5 * counts[w] else None for w, v in best.items()}
+
+    def last(w):
+        return w if form[w] is None else last(form[w])
+
+    return {w: (form[w], last(w), counts[w], len(near[w]), counts.get(form[w])) for w in counts}
