@@ -65,7 +65,7 @@ FROM g"""
 #: near: words that lose one character at the same place and are alike then, or of which one is the other without a character.
 SPELLING = rf"""
 WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
-r AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+'))")} AS w FROM documents),
+r AS (SELECT doc_id, {_LOWER.format("raw")} AS w FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS raw FROM documents)),
 u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS k, w, count(*) AS n FROM r GROUP BY ALL),
 b AS (SELECT w, n, list_reduce(flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)) AS c FROM u, tbl),
 h AS (SELECT w, n, xor(c, 4294967295) AS h FROM b),
