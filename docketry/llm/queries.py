@@ -39,7 +39,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontam.match(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    out = decontam.match(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), with_matches=False)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -30,7 +30,8 @@ from docketry.llm.common import scratch_root, spill
 MIN_LENGTH = 12
 #: A word of the dictionary makes up this share of all words, and MIN_USES words at least.
 MIN_SHARE, MIN_USES, WORD_BUCKETS = 1e-6, 3, 16
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]{1,20000}?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+#: The body has no five dashes in a row; possessive groups, so that a body of any length is matched without recursion.
+PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]++|-(?!----))++-----END [A-Z ]{0,40}PRIVATE KEY-----"
 CANDIDATE = PEM + r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 #: What names a secret, before a value.
 NAME = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
@@ -39,7 +40,7 @@ PROVIDER = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-
 #: Before a value: a secret's name and an assignment, quoted or not; the scheme of a header; a user's name in a URL (with AT after it).
 ASSIGNED, HEADER, USER, AT = NAME + r"[A-Za-z0-9_-]{0,16}[\"']?\s*(:=|=>|[:=])\s*[\"'`]?$", r"(?i)(\bbearer|authorization[\"']?\s*[:=]\s*[\"']?(basic|token))\s+$", r"://[^\s/@:]*:$", r"^[^\s/@]*@"
 #: Benign values: digits only, signs only, words and short numbers joined by single signs (also paths), UUIDs.
-BENIGN = r"^([0-9+/_=-]+|[_+/=-]+|/*([A-Za-z]{1,24}|[0-9]{1,6})([-_/+]{1,2}([A-Za-z]{1,24}|[0-9]{1,6}))*[-_/]*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+BENIGN = r"^(?:[0-9+/_=-]++|[_+/=-]++|/*+(?:[A-Za-z]{1,24}|[0-9]{1,6})(?:[-_/+]{1,2}(?:[A-Za-z]{1,24}|[0-9]{1,6}))*+[-_/]*+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 #: Characters of context on either side.
 BEFORE, AFTER = 48, 24
 #: From this share of letters in dictionary words on, a benign form is plain words.
@@ -110,8 +111,7 @@ def rule_labels(found: DataFrame) -> DataFrame:
     """(row, label) of the candidates (with their coverage) in a precise form of secrets, or else in a benign one; the others are not labelled."""
     value, before, after = F.col("value"), F.col("before"), F.col("after")
     hit = value.rlike(PROVIDER) | before.rlike(ASSIGNED) | before.rlike(HEADER) | (before.rlike(USER) & after.rlike(AT)) | value.startswith("-----BEGIN ")
-    # of a long value the first part, as the pattern recurses
-    benign = F.left("value", F.lit(256)).rlike(BENIGN) | before.rlike(r"://\S*$") | before.rlike(r"@\S*$") | after.rlike("^@") | before.rlike(r"(?i)\b(commit|sha[0-9]*|md5|checksum|digest)\s*[:=]?\s*$")
+    benign = value.rlike(BENIGN) | before.rlike(r"://\S*$") | before.rlike(r"@\S*$") | after.rlike("^@") | before.rlike(r"(?i)\b(commit|sha[0-9]*|md5|checksum|digest)\s*[:=]?\s*$")
     plain = benign & ((F.col("coverage") >= PLAIN) | ~value.rlike("[A-Za-z]"))
     return found.select("row", F.when(hit & ~plain, 1.0).when(benign & ~hit, 0.0).alias("label")).filter("label is not null")
 

@@ -296,3 +296,17 @@ def test_secret_scan_finds_the_tokens(spark):
 def test_letters_only():
     codes, sizes = langid.codes_of(["A1b  c!", None, ""])
     assert bytes(c for c in codes.tolist()).decode() == "   a b c    " + "   " and sizes.tolist() == [6, 0, 0]
+
+
+def test_long_secrets_are_judged_whole(spark):
+    import hashlib
+
+    key = hashlib.sha256(b"key").hexdigest()
+    dashed, pem = "word-" * 60 + key, "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "Ab1+" * 30_000 + "\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"see {dashed} there"), (2, f"x {pem} y {pem}"), (3, "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+" * 9), (4, "a " + "word-" * 100_000 + "word " + "/ab" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_scan.candidates(docs).withColumns({"row": F.monotonically_increasing_id(), "coverage": F.lit(1.0)}).cache()
+    got = {(r.doc_id, r.nth): r.value for r in found.collect()}
+    assert got[1, 0] == dashed and got[2, 0] == got[2, 1] == pem and "BEGIN" not in got[3, 0] and len(got[4, 0]) == 500_004 and len(got[4, 1]) == 600_000
+    labels = {(r.doc_id, r.nth): r.label for r in found.join(secret_scan.rule_labels(found), "row", "left").collect()}
+    assert labels[1, 0] is None and labels[2, 0] == labels[2, 1] == 1.0 and labels[4, 0] == labels[4, 1] == 0.0

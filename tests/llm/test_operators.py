@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with awkward rows."""
 
 import hashlib
+import io
 import zlib
 
 import brute
@@ -149,6 +150,27 @@ def test_matches_are_the_longest_verbatim_ones(spark):
         assert all(r.longest == max((m["words"] for m in r.matches), default=0) for r in got)
 
 
+def test_repetitive_texts_cost_no_pairs_of_places(spark):
+    import tracemalloc
+
+    tests = decontam.Tests([("one", b"a " * 1200), ("two", b"b c d " * 9), ("short", b"a a")], 13)
+    packed = io.BytesIO()
+    tests.save(packed)
+    tests = decontam.Tests.load(packed.getvalue())
+    tracemalloc.start()
+    found = decontam.match_shard([b"a " * 500_000, b"b c d " * 9, None], tests, with_matches=False)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [len(h) for h in found.hits] == [500_000, 27, 0] and sorted(found.pairs.T.tolist()) == [[0, 0], [0, 2], [1, 1]]
+    # a match for each diagonal, not for each pair of places
+    some = decontam.match_shard([b"a " * 3000], tests)
+    own = some.matches[:, some.matches[1] == 0]
+    assert own.shape[1] == 3000 + 1200 - 2 * 12 - 1 and own[4].max() == 1200
+    docs = spark.createDataFrame([(1, "a " * 500_000)], "doc_id long, text string")
+    got = decontam.match(docs, spark.createDataFrame([("one", "a " * 1200)], "item_id string, text string"), with_matches=False).first()
+    assert (got.n_words, got.n_hit, got.items, got.contaminated) == (500_000, 500_000, ["one"], True)
+
+
 def encoder():
     import tiktoken
 
