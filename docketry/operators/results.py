@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.functions.order import numbered
 
 
 def title_key(title: Column) -> Column:
@@ -31,6 +32,20 @@ def ordered(commitments: DataFrame) -> DataFrame:
     return commitments.orderBy("date", F.desc("confidence"), "source", "line", "segment_no", "hit_no")
 
 
+#: Where a commitment stands in its document.
+PLACE = ("line", "segment_no", "hit_no")
+
+
+def with_positions(commitments: DataFrame) -> DataFrame:
+    """commitments with position: their place in the order of results, from 1."""
+    return numbered(commitments, ["date", F.desc("confidence"), "source", *PLACE])
+
+
+def with_session_positions(commitments: DataFrame) -> DataFrame:
+    """commitments (with scan_id and their file's updated_at) with position: their place in their session: by date and falling confidence, then as files were done."""
+    return numbered(commitments, ["date", F.desc("confidence"), "updated_at", "source", *PLACE], within=["scan_id"])
+
+
 def rejections(judged: DataFrame) -> DataFrame:
     """(path, reason, n) of mentions that are no commitments."""
     return judged.filter("rejected_as is not null").groupBy("path", F.col("rejected_as").alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import catalog
+from docketry.plans import catalog, ordered  # noqa: F401  ordered adds its queries to the catalogue
 
 
 def queries() -> dict:

@@ -181,7 +181,8 @@ def balance_pairs(spark, sf_dir):
     return statements.balance_pairs(_ledger(spark, sf_dir))
 
 
-_SUMMARY = f"""{_PAIRS}, t AS (SELECT statement_id, min(date) AS statement_start, max(date) AS statement_end, coalesce(sum(amount) FILTER (tx_type = 'credit'), 0) AS income, coalesce(sum(amount) FILTER (tx_type = 'debit'), 0) AS expense,
+#: Floating sums depend on the order of rows; rounded to six decimals they are the sums of the cents, so a tie in the second decimal has one answer.
+_SUMMARY = f"""{_PAIRS}, t AS (SELECT statement_id, min(date) AS statement_start, max(date) AS statement_end, round(coalesce(sum(amount) FILTER (tx_type = 'credit'), 0), 6) AS income, round(coalesce(sum(amount) FILTER (tx_type = 'debit'), 0), 6) AS expense,
   count(*) AS transaction_count, count(*) FILTER (tx_type = 'credit') AS credit_count, count(*) FILTER (tx_type = 'debit') AS debit_count,
   arg_min(balance - CASE WHEN tx_type = 'credit' THEN amount ELSE -amount END, ord) FILTER (balance IS NOT NULL) AS o, arg_max(balance, ord) FILTER (balance IS NOT NULL) AS c FROM ledger GROUP BY 1 HAVING count(*) >= 2)
 SELECT statement_id, statement_start, statement_end, round(o, 2) AS opening_balance, round(c, 2) AS closing_balance, round(c - o, 2) AS balance_change, round(income, 2) AS total_income, round(expense, 2) AS total_expense, round(income - expense, 2) AS net_cashflow,
@@ -212,7 +213,7 @@ def rejected_rows(spark, sf_dir):
 
 @query(f"""WITH {LEDGER.replace("ledger AS", "every AS", 1)}, {_UNIQUE.replace("FROM ledger", "FROM every")}, ledger AS (SELECT * EXCLUDE (k) FROM u WHERE k = 1), summary AS (WITH {_SUMMARY}),
 debits AS (SELECT *, {_CAT} AS category FROM ledger WHERE tx_type = 'debit'),
-c AS (SELECT statement_id, category, sum(amount) AS raw, count(*) AS n, min(ord) AS first FROM debits GROUP BY ALL), c2 AS (SELECT *, raw / sum(raw) OVER (PARTITION BY statement_id) * 100 AS part FROM c),
+c AS (SELECT statement_id, category, round(sum(amount), 6) AS raw, count(*) AS n, min(ord) AS first FROM debits GROUP BY ALL), c2 AS (SELECT *, raw / sum(raw) OVER (PARTITION BY statement_id) * 100 AS part FROM c),
 cats AS (SELECT statement_id, string_agg(category || ' ' || printf('%.2f', round(raw, 2)) || ' ' || printf('%.1f', round(part, 1)) || ' ' || n, '; ' ORDER BY round(raw, 2) DESC, first) AS categories FROM c2 GROUP BY 1),
 tops AS (SELECT statement_id, string_agg(strftime(date, '%Y-%m-%d') || ' ' || description || ' ' || printf('%.2f', amount) || ' ' || category, '; ' ORDER BY r) AS top_expenses FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY amount DESC, ord) AS r FROM debits) WHERE r <= 5 GROUP BY 1),
 g AS (SELECT statement_id, trim(regexp_replace(lower(description), '[^a-z]+', ' ', 'g')) AS key, round(amount, 2) AS cents, count(*) AS n, arg_min(description, ord) AS description, min(ord) AS first FROM debits GROUP BY 1, 2, 3 HAVING count(*) >= 2),
@@ -321,12 +322,12 @@ def nearest_action(spark, sf_dir):
     return own.filter(text.has_any(F.col("low"), commitments.ACTION_WORDS)).select("key", found.alias("x")).select("key", "x.word", "x.distance")
 
 
-def _judged(spark, sf_dir):
+def judged(spark, sf_dir):
     return commitments.extract(views.notices(spark, sf_dir).drop("kind", "due"), TODAY)
 
 
 #: Of each wording: category, title, the base of its confidence, whether a past date is noise.
-_EXPECTED = f"""{NOTICES}, work AS (SELECT key, due + CAST(i AS INT) AS x, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM (SELECT key, due, unnest(range(1, 20)) AS i FROM notices WHERE kind = 3) WHERE isodow(due + CAST(i AS INT)) < 6),
+expected = f"""{NOTICES}, work AS (SELECT key, due + CAST(i AS INT) AS x, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM (SELECT key, due, unnest(range(1, 20)) AS i FROM notices WHERE kind = 3) WHERE isodow(due + CAST(i AS INT)) < 6),
 facts AS (SELECT n.*, CASE kind WHEN 3 THEN w.x WHEN 7 THEN due + 364 ELSE due END AS date,
     (['money', 'renewal', 'cancellation', 'submission', 'action', 'money', 'expiry', 'warranty'])[kind + 1] AS category,
     (['Document Payment Due', 'Document Renewal', 'Document Cancellation Deadline', 'Document Submission Deadline', '', 'Document Payment Due', 'Agreement Expiry', 'Document Coverage Ends'])[kind + 1] AS title,
@@ -335,24 +336,24 @@ facts AS (SELECT n.*, CASE kind WHEN 3 THEN w.x WHEN 7 THEN due + 364 ELSE due E
 good AS (SELECT *, CAST(base - CASE WHEN date >= DATE '{TODAY}' THEN 0 ELSE 10 END AS INT) AS confidence FROM facts WHERE kind <> 4 AND (kind = 5 OR date >= DATE '{TODAY}' - 45))"""
 
 
-@query(f"WITH {_EXPECTED} SELECT path, date, category, title, confidence, CASE WHEN kind = 6 THEN 30 END AS notice_days, CASE WHEN kind = 6 THEN date - 30 END AS action_date, CASE WHEN kind = 6 THEN 'annual' END AS periodicity FROM good")
+@query(f"WITH {expected} SELECT path, date, category, title, confidence, CASE WHEN kind = 6 THEN 30 END AS notice_days, CASE WHEN kind = 6 THEN date - 30 END AS action_date, CASE WHEN kind = 6 THEN 'annual' END AS periodicity FROM good")
 def commitments_found(spark, sf_dir):
-    return _judged(spark, sf_dir).filter("rejected_as is null").select("path", "date", "category", "title", "confidence", "notice_days", "action_date", "periodicity")
+    return judged(spark, sf_dir).filter("rejected_as is null").select("path", "date", "category", "title", "confidence", "notice_days", "action_date", "periodicity")
 
 
-@query(f"""WITH {_EXPECTED} SELECT path, 'historical_noise' AS reason, CAST(count(*) AS BIGINT) AS n FROM (
+@query(f"""WITH {expected} SELECT path, 'historical_noise' AS reason, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT path FROM facts WHERE kind = 7 UNION ALL SELECT path FROM facts WHERE kind = 4 UNION ALL SELECT path FROM facts WHERE kind NOT IN (4, 5) AND date < DATE '{TODAY}' - 45) GROUP BY 1""")
 def rejections(spark, sf_dir):
-    return results.rejections(_judged(spark, sf_dir))
+    return results.rejections(judged(spark, sf_dir))
 
 
-@query(f"""WITH {_EXPECTED}, d AS (SELECT *, row_number() OVER (PARTITION BY date, category, lower(title), document_id ORDER BY confidence DESC, path) AS k FROM good) SELECT path, date, category, confidence FROM d WHERE k = 1""")
+@query(f"""WITH {expected}, d AS (SELECT *, row_number() OVER (PARTITION BY date, category, lower(title), document_id ORDER BY confidence DESC, path) AS k FROM good) SELECT path, date, category, confidence FROM d WHERE k = 1""")
 def dedup_best(spark, sf_dir):
-    good = _judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as")
+    good = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as")
     return results.ordered(results.deduplicate(good)).select("path", "date", "category", "confidence")
 
 
-@query(f"""WITH {_VERDICTS}, {_EXPECTED.split("facts AS", 1)[0].split(NOTICES + ", ", 1)[1]}facts AS{_EXPECTED.split("facts AS", 1)[1]}
+@query(f"""WITH {_VERDICTS}, {expected.split("facts AS", 1)[0].split(NOTICES + ", ", 1)[1]}facts AS{expected.split("facts AS", 1)[1]}
 SELECT t.path, CAST(CASE WHEN NOT relevant THEN 0 WHEN t.kind = 7 THEN 2 ELSE 1 END AS BIGINT) AS candidates, CAST(CASE WHEN relevant AND g.key IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS commitments,
   CAST(CASE WHEN NOT relevant THEN 0 ELSE CASE WHEN t.kind = 7 THEN 2 ELSE 1 END - CASE WHEN g.key IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS historical,
   CASE WHEN NOT relevant THEN 'irrelevant_document: ' || t.path WHEN g.key IS NULL THEN 'historical_noise: ' || t.path END AS warning FROM told t LEFT JOIN good g USING (key)""")
@@ -361,15 +362,15 @@ def full_scan(spark, sf_dir):
     return scan(files, TODAY).outcomes
 
 
-@query(f"""WITH {_EXPECTED}, r AS (SELECT n.path, n.kind, g.key IS NOT NULL AS has FROM notices n LEFT JOIN good g USING (key)), kept AS (SELECT DISTINCT date, category, lower(title), document_id FROM good),
+@query(f"""WITH {expected}, r AS (SELECT n.path, n.kind, g.key IS NOT NULL AS has FROM notices n LEFT JOIN good g USING (key)), kept AS (SELECT DISTINCT date, category, lower(title), document_id FROM good),
 t AS (SELECT CAST(count(*) FILTER (has) AS BIGINT) AS files_scanned, count(*) FILTER (NOT has) AS files_skipped, CAST(coalesce(sum(CASE WHEN kind = 7 THEN 2 ELSE 1 END) FILTER (has), 0) AS BIGINT) AS dates_reviewed FROM r),
 d AS (SELECT (SELECT count(*) FROM good) AS f, (SELECT count(*) FROM kept) AS k), w AS (SELECT list(path ORDER BY path) AS p FROM (SELECT path FROM r WHERE NOT has ORDER BY path LIMIT 12))
 SELECT DATE '{TODAY}' AS today, files_scanned, files_skipped, dates_reviewed, greatest(dates_reviewed - k, 0) AS noise_removed, k AS commitments, f - k AS duplicates,
   array_to_string(list_concat(['historical_noise: ' || x FOR x IN p], CASE WHEN f > k THEN ['duplicate_commitment: ' || (f - k) || ' repeated commitment(s)'] ELSE [] END)[1:12], chr(10)) AS warnings FROM t, d, w""")
 def envelope(spark, sf_dir):
-    judged = _judged(spark, sf_dir)
-    outcomes = results.document_outcomes(views.notices(spark, sf_dir).select("path"), judged)
-    found = judged.filter("rejected_as is null").drop("rejected_as")
+    mentions = judged(spark, sf_dir)
+    outcomes = results.document_outcomes(views.notices(spark, sf_dir).select("path"), mentions)
+    found = mentions.filter("rejected_as is null").drop("rejected_as")
     return results.envelope(outcomes, found, results.deduplicate(found), TODAY).withColumn("warnings", F.array_join("warnings", "\n"))
 
 
@@ -406,16 +407,16 @@ def phrase_dates(spark, sf_dir):
 # ---- what is shown
 
 def _shown(spark, sf_dir):
-    return _judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as")
+    return judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as")
 
 
-@query(f"""WITH {_EXPECTED} SELECT path, CASE WHEN date < DATE '{TODAY}' THEN 'Overdue' WHEN date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket,
+@query(f"""WITH {expected} SELECT path, CASE WHEN date < DATE '{TODAY}' THEN 'Overdue' WHEN date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket,
   CASE date - DATE '{TODAY}' WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' WHEN -1 THEN 'Yesterday' ELSE CASE WHEN date < DATE '{TODAY}' THEN (DATE '{TODAY}' - date) || ' days overdue' ELSE 'In ' || (date - DATE '{TODAY}') || ' days' END END AS label FROM good""")
 def buckets_and_labels(spark, sf_dir):
     return _shown(spark, sf_dir).select("path", horizon.bucket(F.col("date"), TODAY).alias("bucket"), horizon.relative_label(F.col("date"), TODAY).alias("label"))
 
 
-@query(f"""WITH {_EXPECTED}, f AS (SELECT path, 'soon' AS name FROM good WHERE date - DATE '{TODAY}' BETWEEN 0 AND 30 UNION ALL SELECT path, 'expiry' FROM good WHERE category IN ('expiry', 'renewal', 'warranty', 'vehicle', 'travel') UNION ALL SELECT path, 'money' FROM good WHERE category IN ('money', 'billing', 'utilities', 'banking') UNION ALL SELECT path, 'cancellation' FROM good WHERE category = 'cancellation')
+@query(f"""WITH {expected}, f AS (SELECT path, 'soon' AS name FROM good WHERE date - DATE '{TODAY}' BETWEEN 0 AND 30 UNION ALL SELECT path, 'expiry' FROM good WHERE category IN ('expiry', 'renewal', 'warranty', 'vehicle', 'travel') UNION ALL SELECT path, 'money' FROM good WHERE category IN ('money', 'billing', 'utilities', 'banking') UNION ALL SELECT path, 'cancellation' FROM good WHERE category = 'cancellation')
 SELECT name, count(*) AS n FROM f WHERE path NOT LIKE 'box7/%' GROUP BY 1""")
 def shown_by_filter(spark, sf_dir):
     good = _shown(spark, sf_dir)
@@ -425,19 +426,19 @@ def shown_by_filter(spark, sf_dir):
     return kept.select(F.explode(F.array(*(F.when(horizon.matches(n, TODAY), F.lit(n)) for n in names))).alias("name")).filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_EXPECTED}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) AS k, count(*) OVER (PARTITION BY document_id) AS n FROM good)
+@query(f"""WITH {expected}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) AS k, count(*) OVER (PARTITION BY document_id) AS n FROM good)
 SELECT document_id AS source, n, date AS lead_date, path AS lead_id, title AS lead_title, CASE WHEN date < DATE '{TODAY}' THEN 'Overdue' WHEN date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket FROM o WHERE k = 1""")
 def bundles(spark, sf_dir):
     return horizon.bundles(_shown(spark, sf_dir).withColumns({"source": F.col("document_id"), "id": F.col("path")}), TODAY)
 
 
-@query(f"""WITH {_EXPECTED} SELECT path, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date, confidence DESC, path) AS INT) AS position, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) = 1 AS leads FROM good""")
+@query(f"""WITH {expected} SELECT path, CAST(row_number() OVER (PARTITION BY document_id ORDER BY date, confidence DESC, path) AS INT) AS position, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) = 1 AS leads FROM good""")
 def bundle_items(spark, sf_dir):
     own = _shown(spark, sf_dir).withColumns({"source": F.col("document_id"), "id": F.col("path")})
     return horizon.bundle_items(own, TODAY).select("path", "position", "leads")
 
 
-@query(f"""WITH {_EXPECTED} SELECT path, CASE WHEN key % 3 > 0 THEN path END AS opens FROM good WHERE document_id LIKE '%1'""")
+@query(f"""WITH {expected} SELECT path, CASE WHEN key % 3 > 0 THEN path END AS opens FROM good WHERE document_id LIKE '%1'""")
 def selected_sources(spark, sf_dir):
     shown = _shown(spark, sf_dir)
     files = views.notices(spark, sf_dir).filter("key % 3 > 0").select("path")
@@ -456,7 +457,7 @@ def labels_shown(spark, sf_dir):
     )
 
 
-@query(f"WITH {_EXPECTED} SELECT count(*) AS milestones, min(date) FILTER (date >= DATE '{TODAY}') AS nearest, count(DISTINCT path) AS sources FROM good")
+@query(f"WITH {expected} SELECT count(*) AS milestones, min(date) FILTER (date >= DATE '{TODAY}') AS nearest, count(DISTINCT path) AS sources FROM good")
 def totals(spark, sf_dir):
     good = _shown(spark, sf_dir)
     return horizon.totals(good, good.select("source"), TODAY)
@@ -465,7 +466,7 @@ def totals(spark, sf_dir):
 # ---- exports
 
 #: What the exports say of each wording besides: the word that decided, the notice, the summary.
-_TOLD = f"""{_EXPECTED}, told AS (SELECT *, '“' || (['by', 'renews', 'by', 'respond', '', 'premium', 'expires', 'expires'])[kind + 1] || '” appears near this date' AS reason,
+_TOLD = f"""{expected}, told AS (SELECT *, '“' || (['by', 'renews', 'by', 'respond', '', 'premium', 'expires', 'expires'])[kind + 1] || '” appears near this date' AS reason,
     CASE WHEN kind = 6 THEN 30 END AS notice, CASE WHEN kind = 6 THEN 'annual' ELSE '' END AS period,
     title || ' (Order ' || key || ')' || CASE WHEN kind = 6 THEN ' • Notice: 30d prior (Action by ' || strftime(date - 30, '%b %d') || ')' ELSE '' END AS summary FROM good)"""
 
@@ -539,7 +540,7 @@ def session_snapshot(spark, sf_dir):
     return results.snapshot(views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scan_id"), status.alias("status"), (F.col("o_orderkey") % 6).alias("candidates")))
 
 
-@query(f"""WITH {_EXPECTED}, files AS (SELECT document_id AS scan_id, path, key, (['pending', 'done', 'cached', 'skipped'])[key % 4 + 1] AS s, key % 6 AS c FROM notices), few AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY key // 3, path) AS r FROM files WHERE s = 'skipped'),
+@query(f"""WITH {expected}, files AS (SELECT document_id AS scan_id, path, key, (['pending', 'done', 'cached', 'skipped'])[key % 4 + 1] AS s, key % 6 AS c FROM notices), few AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY key // 3, path) AS r FROM files WHERE s = 'skipped'),
 g AS (SELECT scan_id, count(*) AS listed, count(*) FILTER (s <> 'pending') AS processed, count(*) FILTER (s = 'cached') AS cached, count(*) FILTER (s = 'skipped') AS skipped, CAST(sum(c) AS BIGINT) AS dates_reviewed FROM files GROUP BY 1), w AS (SELECT scan_id, list('unsupported_file_type: ' || path ORDER BY r) AS p FROM few WHERE r <= 24 GROUP BY 1),
 own AS (SELECT document_id AS scan_id, count(*) AS f, count(DISTINCT (date, category, title)) AS k FROM good GROUP BY 1), n AS (SELECT 'c' || c_custkey AS scan_id, c_custkey % 900 + 0.5 AS seconds, c_custkey % 50 AS total FROM customer),
 x AS (SELECT n.*, coalesce(listed, 0) AS listed, coalesce(processed, 0) AS processed, coalesce(cached, 0) AS cached, coalesce(skipped, 0) AS skipped, coalesce(dates_reviewed, 0) AS dates_reviewed, coalesce(k, 0) AS k, coalesce(f, 0) - coalesce(k, 0) AS again, coalesce(p, []) AS p, CAST(coalesce(processed, 0) AS DOUBLE) / seconds AS rate FROM n LEFT JOIN g USING (scan_id) LEFT JOIN own USING (scan_id) LEFT JOIN w USING (scan_id))

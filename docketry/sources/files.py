@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docketry.functions import fixed_values as V
 from docketry.functions.text import clean
 from docketry.operators.policy import file_warning
+from docketry.sources.shared import ship
 
 
 class Unreadable(ValueError):
@@ -34,12 +35,20 @@ def _any_case(suffixes) -> str:
     return "{" + ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}"
 
 
+def ignored_root(path: str) -> bool:
+    """Whether a folder's own name is hidden or one of those that are not looked into."""
+    name = path.rstrip("/").rpartition("/")[2]
+    return name.startswith(".") and name.strip(".") != "" or name.lower() in V.IGNORED_DIRECTORIES
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, modified, warning) of a folder's files. Paths are relative to it.
+    """(path, content, modified, warning) of a folder's files. Paths are relative to it. A folder whose own name is ignored has none.
 
     Two scans: one of the names and sizes of all files, which reads no bytes, for those that are not read; and one of the bytes of
     files of the kinds and sizes that are, as a pattern of names and a pushed filter.
     """
+    if ignored_root(path):
+        return spark.createDataFrame([], "path string, content string, modified string, warning string")
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     every = source.load(path)
     small = source.option("pathGlobFilter", _any_case(V.DOCUMENT_EXTENSIONS + V.IMAGE_EXTENSIONS)).load(path).filter(F.col("length") <= V.MAX_FILE_BYTES)
@@ -54,6 +63,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def decode(files: DataFrame) -> DataFrame:
     """files (path, modified, content bytes, warning) with the content as clean text; unreadable ones get a warning instead of an error."""
+    ship(files.sparkSession)
     own = files.select("path", "modified", "warning", F.when(F.col("warning").isNull(), F.col("content")).alias("content"))
     out = own.mapInPandas(_decode, "path string, modified string, warning string, content string")
     return out.select("path", clean(F.col("content")).alias("content"), "modified", "warning")

@@ -16,7 +16,7 @@ from docketry.functions import fixed_values as V
 from docketry.operators import results
 from docketry.operators.policy import file_warning
 from docketry.operators.scan import scan
-from docketry.sources.files import decode, relative
+from docketry.sources.files import decode, ignored_root, relative
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ENGINE = "docketry-1"
@@ -42,7 +42,7 @@ def listing(spark: SparkSession, folder: str, month_first: bool = False) -> Data
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     size, changed = F.col("length"), F.unix_millis("modificationTime")
     own = raw.select(F.col("path").alias("location"), relative(folder).alias("path"), size.alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("modified"), changed.alias("_changed"))
-    own = own.filter(file_warning(F.col("path"), F.lit(0), F.lit(None).cast("string")).isNull())
+    own = own.filter(file_warning(F.col("path"), F.lit(0), F.lit(None).cast("string")).isNull() & F.lit(not ignored_root(folder)))
     own = own.withColumn("fingerprint", results.fingerprint(ENGINE, F.col("path"), F.col("size"), F.col("_changed"))).drop("_changed")
     return own.withColumn("cache_key", results.cache_key(ENGINE, month_first, F.col("path"), F.col("fingerprint")))
 

@@ -154,3 +154,36 @@ def test_envelope_and_report_of_nothing(spark):
     items = spark.createDataFrame([("1", "a.PDF", 3), ("2", "b.eml", 3), ("3", "gone.pdf", None)], "id string, source string, page int")
     files = spark.createDataFrame([("a.PDF",), ("b.eml",)], "path string")
     assert {r.id: r.opens for r in horizon.with_source(items, files).collect()} == {"1": "a.PDF#page=3", "2": "b.eml", "3": None}
+
+
+def test_a_root_with_an_ignored_name_has_no_files(spark, tmp_path):
+    root = tmp_path / "node_modules"
+    root.mkdir()
+    (root / "a.eml").write_bytes(TEXT.encode())
+    assert read_folder(spark, str(root)).collect() == [] and sessions.listing(spark, str(root)).collect() == []
+    assert read_folder(spark, str(root / "..")).columns == ["path", "content", "modified", "warning"]
+
+
+def test_folders_are_read_where_executors_lack_the_package(tmp_path):
+    """Executors of their own, started elsewhere, with no path to the repository: the package comes with the job."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "box").mkdir()
+    (tmp_path / "box/a.eml").write_bytes(TEXT.encode())
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from docketry.sources.files import read_folder
+from docketry.streaming import sessions
+print("READ", [r.content for r in read_folder(spark, {str(tmp_path / "box")!r}).collect()])
+scan_id = sessions.resume(spark, {str(tmp_path / "box")!r}, {str(tmp_path / "state")!r}, "2026-08-13")
+print("FOUND", [str(r.date) for r in sessions.report(spark, {str(tmp_path / "state")!r}, scan_id)[1].collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    out = subprocess.run(["timeout", "240", sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "READ ['Subject: Renewal" in out.stdout and "FOUND ['2026-10-15']" in out.stdout, out.stderr[-2000:]
