@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import title_case
+from docketry.sources.sinks import numbered_names
 
 CRLF = "\r\n"
 PRODUCT = "-//Docketry//Commitments//EN"
@@ -33,12 +34,36 @@ def event(stamp: str) -> Column:
     return F.when(date.isNotNull(), F.concat_ws(CRLF, *(F.lit(x) if isinstance(x, str) else x for x in lines)))
 
 
+def _head(name: Column) -> Column:
+    return F.concat(F.lit(CRLF.join(("BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{PRODUCT}", "CALSCALE:GREGORIAN", "X-WR-CALNAME:"))), escape(name), F.lit(CRLF))
+
+
+FOOT = "END:VCALENDAR" + CRLF
+
+
+def event_files(commitments: DataFrame, stamp: str) -> DataFrame:
+    """(name, block): a calendar of its own for each commitment with a date, named by its title's slug; titles that share one are numbered by date and id."""
+    own = commitments.withColumn("_event", event(stamp)).filter("_event is not null")
+    block = F.concat(_head(F.coalesce("title", F.lit("Commitment"))), "_event", F.lit(CRLF), F.lit(FOOT))
+    return numbered_names(own, file_slug(F.coalesce("title", F.lit(""))), ".ics", ["date", "id"]).select(F.col("file").alias("name"), block.alias("block"))
+
+
+def document_files(commitments: DataFrame, by: str = "source") -> DataFrame:
+    """(name, ord, block): a table for each document (what `by` names), named by its slug: the head line, then its rows by date and id."""
+    documents = numbered_names(commitments.select(F.coalesce(by, F.lit("")).alias("_by")).distinct(), file_slug(F.col("_by")), ".csv", ["_by"])
+    place = F.struct(F.lit(1).alias("part"), F.col("date"), F.col("id").cast("string").alias("id")).alias("ord")
+    rows = csv_rows(commitments, by).select(F.coalesce(by, F.lit("")).alias("_by"), place, F.concat(F.lit(CRLF), "row").alias("block"))
+    first = F.struct(F.lit(0).alias("part"), F.lit(None).cast("date").alias("date"), F.lit("").alias("id")).alias("ord")
+    heads = documents.select(F.col("file").alias("name"), first, F.lit(CSV_HEAD).alias("block"))
+    # a document can have any share of the rows: the join can be split
+    return heads.unionByName(rows.join(documents.hint("merge"), "_by").select(F.col("file").alias("name"), "ord", "block"))
+
+
 def calendar(commitments: DataFrame, name: str, stamp: str) -> DataFrame:
     """(ord, block): head, one block an event in the order of date, foot. Blocks end with CRLF; written in order they are the file."""
     spark = commitments.sparkSession
     ends = spark.createDataFrame([(0, None, ""), (2, None, "")], "ord int, date date, id string")
-    head = F.concat(F.lit(CRLF.join(("BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{PRODUCT}", "CALSCALE:GREGORIAN", "X-WR-CALNAME:"))), escape(F.lit(name)), F.lit(CRLF))
-    ends = ends.withColumn("block", F.when(F.col("ord") == 0, head).otherwise("END:VCALENDAR" + CRLF))
+    ends = ends.withColumn("block", F.when(F.col("ord") == 0, _head(F.lit(name))).otherwise(FOOT))
     events = commitments.withColumn("block", F.concat(event(stamp), F.lit(CRLF))).filter("block is not null").select(F.lit(1).alias("ord"), "date", F.col("id").cast("string").alias("id"), "block")
     return ends.union(events).orderBy("ord", "date", "id").select("ord", "block")
 
@@ -53,12 +78,12 @@ CSV_COLUMNS = {"date": "Date", "category": "Category", "title": "Title", "period
 CSV_HEAD, CSV_NUMBERS = ",".join(CSV_COLUMNS.values()), ("notice_days", "confidence")
 
 
-def csv_rows(commitments: DataFrame) -> DataFrame:
-    """(id, date, row): numbers plain, other fields quoted with quotes doubled; an empty summary falls back to the snippet."""
+def csv_rows(commitments: DataFrame, *more: str) -> DataFrame:
+    """(id, date, row, and the columns `more`): numbers plain, other fields quoted with quotes doubled; an empty summary falls back to the snippet."""
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     quote = lambda c: F.concat(F.lit('"'), F.replace(plain(c), F.lit('"'), F.lit('""')), F.lit('"'))
     cols = {c: F.coalesce(F.nullif("summary", F.lit("")), "snippet") if c == "summary" else F.col(c) for c in CSV_COLUMNS}
-    return commitments.select("id", "date", F.concat_ws(",", *(plain(x) if c in CSV_NUMBERS else quote(x) for c, x in cols.items())).alias("row"))
+    return commitments.select("id", "date", F.concat_ws(",", *(plain(x) if c in CSV_NUMBERS else quote(x) for c, x in cols.items())).alias("row"), *more)
 
 
 # The fields of a commitment in machine-readable results, in their order.

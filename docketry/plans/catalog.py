@@ -466,18 +466,18 @@ def totals(spark, sf_dir):
 # ---- exports
 
 #: What the exports say of each wording besides: the word that decided, the notice, the summary.
-_TOLD = f"""{expected}, told AS (SELECT *, '“' || (['by', 'renews', 'by', 'respond', '', 'premium', 'expires', 'expires'])[kind + 1] || '” appears near this date' AS reason,
+told = f"""{expected}, told AS (SELECT *, '“' || (['by', 'renews', 'by', 'respond', '', 'premium', 'expires', 'expires'])[kind + 1] || '” appears near this date' AS reason,
     CASE WHEN kind = 6 THEN 30 END AS notice, CASE WHEN kind = 6 THEN 'annual' ELSE '' END AS period,
     title || ' (Order ' || key || ')' || CASE WHEN kind = 6 THEN ' • Notice: 30d prior (Action by ' || strftime(date - 30, '%b %d') || ')' ELSE '' END AS summary FROM good)"""
 
 
-@query(f"""WITH {_TOLD} SELECT path, '"' || strftime(date, '%Y-%m-%d') || '","' || category || '","' || title || '","' || period || '",' || coalesce(CAST(notice AS VARCHAR), '') || ',"'
+@query(f"""WITH {told} SELECT path, '"' || strftime(date, '%Y-%m-%d') || '","' || category || '","' || title || '","' || period || '",' || coalesce(CAST(notice AS VARCHAR), '') || ',"'
   || CASE WHEN notice IS NULL THEN '' ELSE strftime(date - notice, '%Y-%m-%d') END || '","' || summary || '","' || path || '",' || confidence || ',"' || reason || '"' AS row FROM told""")
 def csv_export(spark, sf_dir):
     return exports.csv_rows(_shown(spark, sf_dir).withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "row")
 
 
-@query(f"""WITH {_TOLD}, b AS (SELECT *, upper(category[1]) || category[2:] AS kind_name FROM told)
+@query(f"""WITH {told}, b AS (SELECT *, upper(category[1]) || category[2:] AS kind_name FROM told)
 SELECT path, array_to_string(['BEGIN:VEVENT', 'UID:' || substr(sha256(path), 1, 24) || '@docketry', 'DTSTAMP:20260101T000000Z', 'DTSTART;VALUE=DATE:' || strftime(date, '%Y%m%d'), 'SUMMARY:' || title,
   'DESCRIPTION:Found in ' || path || '. ' || reason || CASE WHEN notice IS NULL THEN '' ELSE ' | Requires ' || notice || '-day notice' END, 'CATEGORIES:' || kind_name, 'TRANSP:TRANSPARENT',
   'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || title || ' (1 week reminder)', 'TRIGGER:-P7D', 'END:VALARM', 'BEGIN:VALARM', 'ACTION:DISPLAY', 'DESCRIPTION:' || title || ' (1 day reminder)', 'TRIGGER:-P1D', 'END:VALARM', 'END:VEVENT'], chr(13) || chr(10)) AS event FROM b""")
@@ -485,12 +485,12 @@ def calendar_events(spark, sf_dir):
     return _shown(spark, sf_dir).withColumn("id", F.col("path")).select("path", exports.event("20260101T000000Z").alias("event"))
 
 
-@query(f"""WITH {_TOLD} SELECT path, strftime(date, '%Y-%m-%d') || '  ' || title || chr(10) || '            ' || path || ' · ' || category || ' · ' || confidence || '%' || chr(10) || chr(10) AS block FROM told""")
+@query(f"""WITH {told} SELECT path, strftime(date, '%Y-%m-%d') || '  ' || title || chr(10) || '            ' || path || ' · ' || category || ' · ' || confidence || '%' || chr(10) || chr(10) AS block FROM told""")
 def console_report(spark, sf_dir):
     return exports.report_rows(_shown(spark, sf_dir).withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "block")
 
 
-@query(f"""WITH {_TOLD} SELECT path, '{{"id":"' || path || '","date":"' || strftime(date, '%Y-%m-%d') || '","title":"' || title || '","category":"' || category || '","source":"' || path || '","line":1,"snippet":"' || content || '","confidence":' || confidence || ',"reason":"' || reason || '"' AS begins,
+@query(f"""WITH {told} SELECT path, '{{"id":"' || path || '","date":"' || strftime(date, '%Y-%m-%d') || '","title":"' || title || '","category":"' || category || '","source":"' || path || '","line":1,"snippet":"' || content || '","confidence":' || confidence || ',"reason":"' || reason || '"' AS begins,
   '"entity":"Order ' || key || '","periodicity":' || CASE WHEN period = '' THEN 'null' ELSE '"annual"' END || ',"summary":"' || summary || '","notice_days":' || coalesce(CAST(notice AS VARCHAR), 'null') || ',"action_date":' || CASE WHEN notice IS NULL THEN 'null' ELSE '"' || strftime(date - notice, '%Y-%m-%d') || '"' END || '}}' AS ends FROM told""")
 def json_export(spark, sf_dir):
     found = exports.json_rows(_shown(spark, sf_dir).withColumn("id", F.col("path")))

@@ -1,4 +1,4 @@
-"""Queries over order: places of results, of hits and of files, and batches packed in order."""
+"""Queries over order: places of results, of hits and of files, batches packed in order, and files written and read back."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from docketry.functions import dates, order
 from docketry.functions import fixed_values as V
-from docketry.operators import results
+from docketry.operators import exports, horizon, results
 from docketry.plans import views
-from docketry.plans.catalog import ORACLE_SQL, expected, judged, query
+from docketry.plans.catalog import ORACLE_SQL, expected, judged, query, told
 from docketry.plans.views import MANIFEST, TODAY
+from docketry.sources import sinks
+from docketry.sources.shared import scratch_path, spill
 
 
 @query(f"""WITH {expected}, d AS (SELECT *, row_number() OVER (PARTITION BY date, category, lower(title), document_id ORDER BY confidence DESC, path) AS k FROM good)
@@ -51,3 +53,32 @@ def upload_batches(spark, sf_dir):
 @query(f"WITH {MANIFEST} SELECT path, (row_number() OVER (ORDER BY path) - 1) // {V.CHUNK_FILES} + 1 AS chunk FROM manifest")
 def manifest_chunks(spark, sf_dir):
     return order.chunks(views.manifest(spark, sf_dir).select("path"), ["path"], V.CHUNK_FILES)
+
+
+# ---- files to take away, written and read back
+
+_EVENT = ORACLE_SQL["calendar_events"].partition("array_to_string(")[2].rpartition(" AS event")[0]
+
+
+@query(f"""WITH {told}, lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY date < DATE '{TODAY}', date, confidence DESC, path) AS k FROM told) WHERE k = 1),
+b AS (SELECT *, upper(category[1]) || category[2:] AS kind_name, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM lead), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY date, path) AS i FROM b)
+SELECT slug || CASE WHEN i > 1 THEN '_' || i ELSE '' END || '.ics' AS name, sha256(array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:{exports.PRODUCT}', 'CALSCALE:GREGORIAN', 'X-WR-CALNAME:' || title, array_to_string({_EVENT}, 'END:VCALENDAR', ''], chr(13) || chr(10))) AS content FROM n""")
+def calendar_files(spark, sf_dir):
+    found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumns({"source_": F.col("source"), "id": F.col("path"), "source": F.col("document_id")})
+    leads = horizon.bundle_items(found, TODAY).filter("leads").withColumn("source", F.col("source_"))
+    folder = scratch_path(spark, "calendars")
+    sinks.write_files(exports.event_files(leads, "20260101T000000Z"), folder)
+    return sinks.read_files(spark, folder).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+_ROW = ORACLE_SQL["csv_export"].partition("SELECT path, ")[2].rpartition(" AS row FROM told")[0]
+
+
+@query(f"""WITH {told}, own AS (SELECT document_id, date, path, {_ROW} AS row FROM told)
+SELECT document_id || '.csv' AS name, sha256('{exports.CSV_HEAD}' || chr(13) || chr(10) || string_agg(row, chr(13) || chr(10) ORDER BY date, path)) AS content FROM own GROUP BY document_id""")
+def document_files(spark, sf_dir):
+    found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumn("id", F.col("path"))
+    own = exports.document_files(spill(found, "found"), by="document_id")  # heads and rows read it
+    folder = scratch_path(spark, "tables")
+    sinks.write_files(own, folder, ["ord"])
+    return sinks.read_files(spark, folder).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
