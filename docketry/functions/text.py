@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.functions.terms import found as terms_found
+from docketry.functions.terms import grams, integers, strings
 
 #: Line ends as str.splitlines() sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -33,21 +35,11 @@ def has_any(text: Column, terms) -> Column:
     return text.rlike(bounded(terms))
 
 
-def has_term(text: Column, term: str) -> Column:
-    """Whether term is in text as a whole word; only texts that hold it at all are searched by pattern."""
-    return F.contains(text, F.lit(term)) & text.rlike(bounded([term]))
-
-
 def contains_any(text: Column, parts) -> Column:
     """Whether any of the parts is a substring of text."""
     return text.rlike("|".join(quoted(p) for p in parts))
 
 
-def count_terms(text: Column, terms) -> Column:
-    """How many of the terms are in text as whole words."""
-    return sum((has_term(text, t).cast("int") for t in terms), F.lit(0))
-
-
 def squeeze(text: Column) -> Column:
     """White space of any kind and length becomes one space; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACES, " "))
@@ -106,14 +98,13 @@ def spans(text: Column, pattern: str) -> Column:
 def nearest(text: Column, at: Column, words) -> Column:
     """struct<distance int, ord int, word string> of the whole word nearest to position at; ties go to the first
     in the list; null if there is none (just where has_any(text, words) is false)."""
-    listed = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(words)))
 
     def found(own):
         low, place = own["text"], own["at"]
 
-        def closest(x):
-            gaps = F.split(low, F.concat(F.lit(NOT_AFTER + r"\Q"), x["w"], F.lit(r"\E" + NOT_BEFORE)), -1)
-            n = F.length(x["w"])
+        def closest(w):
+            gaps = F.split(low, F.concat(F.lit(NOT_AFTER + r"\Q"), w, F.lit(r"\E" + NOT_BEFORE)), -1)
+            n = F.length(w)
 
             def step(acc, gap):
                 begin = acc["at"] + F.length(gap)
@@ -122,9 +113,9 @@ def nearest(text: Column, at: Column, words) -> Column:
 
             start = F.struct(F.lit(0).alias("at"), F.lit(1 << 30).alias("best"))
             best = let(gaps, lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), start, step, lambda acc: acc["best"]))
-            return F.struct(best.alias("distance"), x["i"].alias("ord"), x["w"].alias("word"))
+            return F.struct(best.alias("distance"), (F.array_position(strings(words), w).cast("int") - 1).alias("ord"), w.alias("word"))
 
-        return F.array_min(F.transform(F.filter(listed, lambda x: F.contains(low, x["w"])), closest))
+        return F.array_min(F.transform(terms_found(grams(low), words), closest))
 
     # the pattern first: most texts have none of the words
     return F.when(has_any(text, words), let(F.struct(text.alias("text"), at.alias("at")), found))
@@ -132,8 +123,11 @@ def nearest(text: Column, at: Column, words) -> Column:
 
 def first_of(text: Column, groups: dict, default: Column) -> Column:
     """The key of the group whose term comes first in text (substring); ties go to the first group."""
-    at = [F.struct(F.nullif(F.array_min(F.filter(F.array(*(F.instr(text, t) for t in terms)), lambda p: p > 0)), F.lit(0)).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, terms) in enumerate(groups.items())]
-    return F.coalesce(F.array_min(F.filter(F.array(*at), lambda x: x["at"].isNotNull()))["k"], default)
+    terms = [(t, i) for i, own in enumerate(groups.values()) for t in own]
+    listed = F.arrays_zip(strings([t for t, _ in terms]).alias("t"), integers([i for _, i in terms]).alias("i"))
+    held = F.filter(listed, lambda x: F.contains(text, x["t"]))
+    first = F.array_min(F.transform(held, lambda x: F.struct(F.instr(text, x["t"]).alias("at"), x["i"].alias("i"))))
+    return F.coalesce(F.get(strings(list(groups)), first["i"]), default)
 
 
 def first_rule(text: Column, rules, test) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
 from docketry.functions.dates import MAY_HAVE_DATE, anchor_of, find_dates
+from docketry.functions.terms import mapping
 from docketry.functions.text import LINE_END, PAGE_LINE, contains_any, first_of, first_rule, has_any, nearest, squeeze, stem, title_case
 
 LONG_LINE, FAR, NEAR_HISTORY, WINDOW, STALE_DAYS = 2500, 160, 60, 55, 45
@@ -30,8 +31,7 @@ def category_of(low: Column, domain: Column) -> Column:
 
 
 def title_of(low: Column, category: Column, domain: Column) -> Column:
-    labels = F.create_map(*(F.lit(x) for kv in V.DOMAIN_LABELS.items() for x in kv))
-    titles = F.create_map(*(F.lit(x) for kv in V.CATEGORY_TITLES.items() for x in kv))
+    labels, titles = mapping(V.DOMAIN_LABELS), mapping(V.CATEGORY_TITLES)
     entity = F.coalesce(first_rule(low, V.ENTITY_HINTS, contains_any), F.try_element_at(labels, F.coalesce(domain, F.lit(""))), F.lit(V.DEFAULT_LABEL))
     action = F.coalesce(F.try_element_at(titles, category), F.lit(V.CATEGORY_TITLES["action"]))
     return F.when(F.lower(entity).endswith(F.lower(action)), entity).otherwise(F.concat(entity, F.lit(" "), action))

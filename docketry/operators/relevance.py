@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.text import bounded, contains_any, count_terms, has_any, has_term, sample, words_of_name
+from docketry.functions.terms import found, grams, mapping, score
+from docketry.functions.text import bounded, contains_any, has_any, sample, words_of_name
 
 HAS_DATE = (
     r"(?i)(?U:\b)(?:20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]20[0-9]{2}|"
@@ -16,27 +17,31 @@ DATED_ROW = r"(?m)^(?U:\s*)[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.*[0-9][0-9,]
 STATEMENT_SCORE, LONGEST_BLOCK = 6, 800
 
 
-def statement_score(low: Column) -> Column:
-    """How much a (lower-case) sample looks like a bank statement."""
-    balances, headers = count_terms(low, V.BALANCE_NAMES), count_terms(low, V.BANK_HEADERS)
-    return count_terms(low, V.STATEMENT_NAMES) * 3 + F.least(F.lit(2), balances) * 2 + F.least(F.lit(4), headers) + F.least(F.lit(3), F.regexp_count(low, F.lit(DATED_ROW)))
+#: All terms that documents are looked through for.
+TERMS = tuple(dict.fromkeys((*(t for own in V.DOMAIN_TERMS.values() for t in own), *V.STATEMENT_NAMES, *V.BALANCE_NAMES, *V.BANK_HEADERS, *V.REFERENCE_MARKERS)))
 
 
-def term_score(low: Column, terms) -> Column:
-    """Terms of several words count 2, others 1."""
-    return sum((has_term(low, t).cast("int") * (2 if " " in t else 1) for t in terms), F.lit(0))
+def terms_of(low: Column) -> Column:
+    """Which of all terms are whole words of a (lower-case) text."""
+    return found(grams(low), TERMS)
 
 
-def is_reference(low: Column, name: Column) -> Column:
+def statement_score(low: Column, terms: Column) -> Column:
+    """How much a (lower-case) sample, with its terms, looks like a bank statement."""
+    names, balances, headers = (F.size(found(terms, own)) for own in (V.STATEMENT_NAMES, V.BALANCE_NAMES, V.BANK_HEADERS))
+    return names * 3 + F.least(F.lit(2), balances) * 2 + F.least(F.lit(4), headers) + F.least(F.lit(3), F.regexp_count(low, F.lit(DATED_ROW)))
+
+
+def is_reference(low: Column, terms: Column, name_terms: Column) -> Column:
     """Course books and code listings: two markers, or one and a piece of code."""
-    hits = sum(((has_term(low, m) | has_term(name, m)).cast("int") for m in V.REFERENCE_MARKERS), F.lit(0))
+    hits = F.size(F.array_union(found(terms, V.REFERENCE_MARKERS), found(name_terms, V.REFERENCE_MARKERS)))
     return (hits >= 2) | ((hits >= 1) & contains_any(F.concat(F.lit(" "), low, F.lit(" ")), V.CODE_TOKENS))
 
 
 def cohesive(content: Column, domain: Column) -> Column:
     """Whether one sentence has a term of the domain, one of action, and a date."""
     blocks = F.transform(F.split(content, r"[\n.!?]+"), lambda b: F.lower(F.regexp_replace(b, r"(?U)\s+", " ")))
-    terms = F.create_map(*(x for k, v in V.DOMAIN_TERMS.items() for x in (F.lit(k), F.lit(bounded(v)))))
+    terms = mapping({k: bounded(v) for k, v in V.DOMAIN_TERMS.items()})
     return F.exists(blocks, lambda b: (F.length(b) <= LONGEST_BLOCK) & b.rlike(HAS_DATE) & has_any(b, V.ACTION_TERMS) & F.rlike(b, F.element_at(terms, domain)))
 
 
@@ -46,12 +51,13 @@ def classify(docs: DataFrame, path_col: str = "path", content_col: str = "conten
     A null content has no evidence. Scores of all domains are one array; the first of the largest wins.
     """
     content = F.coalesce(F.col(content_col), F.lit(""))
-    base = docs.withColumns({"_low": F.lower(sample(content)), "_name": F.lower(words_of_name(F.col(path_col)))})
+    base = docs.withColumn("_low", F.lower(sample(content)))
+    base = base.withColumns({"_terms": terms_of(F.col("_low")), "_name_terms": terms_of(F.lower(words_of_name(F.col(path_col))))})
     scores = []
     for i, (domain, terms) in enumerate(V.DOMAIN_TERMS.items()):
-        by_text, by_name = term_score(F.col("_low"), terms), F.least(F.lit(3), term_score(F.col("_name"), terms))
+        by_text, by_name = score(F.col("_terms"), terms), F.least(F.lit(3), score(F.col("_name_terms"), terms))
         scores.append(F.struct((by_text + by_name).alias("score"), F.lit(-i).alias("ord"), F.lit(domain).alias("domain"), by_text.alias("by_text"), by_name.alias("by_name")))
-    base = base.withColumns({"bank_score": statement_score(F.col("_low")), "_top": F.array_max(F.array(*scores)), "_reference": is_reference(F.col("_low"), F.col("_name"))})
+    base = base.withColumns({"bank_score": statement_score(F.col("_low"), F.col("_terms")), "_top": F.array_max(F.array(*scores)), "_reference": is_reference(F.col("_low"), F.col("_terms"), F.col("_name_terms"))})
     top = F.col("_top")
     acts = has_any(F.col("_low"), V.ACTION_TERMS) & F.col("_low").rlike(HAS_DATE)
     enough = (cohesive(content, top["domain"]) & (top["score"] >= 2)) | ((top["by_text"] >= 4) & acts) | ((top["by_name"] >= 2) & (top["by_text"] >= 2) & acts)
@@ -63,4 +69,4 @@ def classify(docs: DataFrame, path_col: str = "path", content_col: str = "conten
         "relevance_domain": F.when(by_bank, "banking").when(F.col("_enough"), top["domain"]),
         "relevance_confidence": F.when(by_bank, F.least(F.lit(99), 72 + F.col("bank_score") * 3)).when(F.col("_enough"), F.least(F.lit(96), 54 + top["score"] * 7)).otherwise(0),
         "relevance_reason": F.when(F.col("_reference"), "reference or educational material").when(bank, "bank statement structure").when(F.col("_enough"), "cohesive document evidence").otherwise("insufficient corroborating evidence"),
-    }).drop("_low", "_name", "_top", "_reference", "_enough")
+    }).drop("_low", "_terms", "_name_terms", "_top", "_reference", "_enough")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions import dates, money, text
+from docketry.functions import dates, money, terms, text
 from docketry.functions import fixed_values as V
 from docketry.operators import commitments, exports, horizon, policy, relevance, results, statements
 from docketry.operators.scan import scan
@@ -263,8 +263,8 @@ def _hits(terms) -> str:
 
 @query(f"""WITH {NOTICES}, n AS (SELECT key, lower(content) AS low FROM notices) SELECT key, {", ".join(f"{_hits(t)} AS {d}" for d, t in V.DOMAIN_TERMS.items())} FROM n""")
 def domain_scores(spark, sf_dir):
-    low = F.lower("content")
-    return views.notices(spark, sf_dir).select("key", *(relevance.term_score(low, t).alias(d) for d, t in V.DOMAIN_TERMS.items()))
+    own = views.notices(spark, sf_dir).select("key", relevance.terms_of(F.lower("content")).alias("terms"))
+    return own.select("key", *(terms.score(F.col("terms"), t).alias(d) for d, t in V.DOMAIN_TERMS.items()))
 
 
 def _any(text, terms) -> str:
@@ -303,7 +303,7 @@ def relevance_verdicts(spark, sf_dir):
 
 @query(f"""WITH {LEDGER} SELECT statement_id, CAST(3 + 4 + least(3, count(*)) AS INT) AS score FROM ledger GROUP BY 1""")
 def bank_signature(spark, sf_dir):
-    return views.statement_heads(spark, sf_dir).select("statement_id", relevance.statement_score(F.lower(text.sample(F.col("content")))).alias("score"))
+    return views.statement_heads(spark, sf_dir).select("statement_id", F.lower(text.sample(F.col("content"))).alias("low")).select("statement_id", relevance.statement_score(F.col("low"), relevance.terms_of(F.col("low"))).alias("score"))
 
 
 # ---- commitments
