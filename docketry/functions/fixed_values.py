@@ -207,6 +207,8 @@ IGNORED_DIRECTORIES = (
     "target", "out", "bin", "obj", "library", "appdata", "tmp", ".cache",
 )
 MAX_FILE_BYTES = 8 * 1024 * 1024
+# Seconds that reading a file may take, and what is said of one that takes longer.
+READER_SECONDS, TOO_SLOW = 60, "reader exceeded the {} second safety limit"
 # Most files and bytes of an upload batch, and files of a listing's chunk.
 UPLOAD_FILES, UPLOAD_BYTES, CHUNK_FILES = 6, 7 * 512 * 1024, 400
 MAX_ENTRY_BYTES, BOMB_BYTES, BOMB_RATIO = 32 * 1024 * 1024, 1024 * 1024, 200

@@ -41,6 +41,11 @@ def with_positions(commitments: DataFrame) -> DataFrame:
     return numbered(commitments, ["date", F.desc("confidence"), "source", *PLACE])
 
 
+def in_session_order(commitments: DataFrame, done_at: str) -> DataFrame:
+    """By date and falling confidence, then as their files were done; a range sort."""
+    return commitments.orderBy("date", F.desc("confidence"), done_at, "source", *PLACE)
+
+
 def with_session_positions(commitments: DataFrame) -> DataFrame:
     """commitments (with scan_id and their file's updated_at) with position: their place in their session: by date and falling confidence, then as files were done."""
     return numbered(commitments, ["date", F.desc("confidence"), "updated_at", "source", *PLACE], within=["scan_id"])

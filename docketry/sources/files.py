@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import email
 import email.policy
 import io
 import re
+import signal
+import threading
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -61,11 +64,12 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return decode(judged(small, F.col("content")).filter("warning is null").unionByName(unread))
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """files (path, modified, content bytes, warning) with the content as clean text; unreadable ones get a warning instead of an error."""
+def decode(files: DataFrame, seconds: float = V.READER_SECONDS) -> DataFrame:
+    """files (path, modified, content bytes, warning) with the content as clean text; those that can't be read, or not within so many
+    seconds, get a warning instead of an error."""
     ship(files.sparkSession)
     own = files.select("path", "modified", "warning", F.when(F.col("warning").isNull(), F.col("content")).alias("content"))
-    out = own.mapInPandas(_decode, "path string, modified string, warning string, content string")
+    out = own.mapInPandas(_decode(seconds), "path string, modified string, warning string, content string")
     return out.select("path", clean(F.col("content")).alias("content"), "modified", "warning")
 
 
@@ -77,21 +81,44 @@ def uploads(items: DataFrame) -> DataFrame:
     return items.select("path", "modified", warning.alias("warning"), bytes_.alias("content"))
 
 
-def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        texts, warnings = [], []
-        for path, raw, warning in zip(f.path, f.content, f.warning, strict=True):
-            text = None
-            if raw is not None and not warning:
-                try:
-                    text = text_of(path, bytes(raw))
-                except Unreadable as e:
-                    warning = f"{path}: {e}"
-                except Exception:  # a damaged file must not end the job
-                    warning = f"{path}: unreadable file"
-            texts.append(text)
-            warnings.append(warning or None)
-        yield pd.DataFrame({"path": f.path, "modified": f.modified, "warning": warnings, "content": texts})
+def _decode(seconds: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts, warnings = [], []
+            for path, raw, warning in zip(f.path, f.content, f.warning, strict=True):
+                text = None
+                if raw is not None and not warning:
+                    try:
+                        with deadline(seconds):
+                            text = text_of(path, bytes(raw))
+                    except Unreadable as e:
+                        warning = f"{path}: {e}"
+                    except Exception:  # a damaged file must not end the job
+                        warning = f"{path}: unreadable file"
+                texts.append(text)
+                warnings.append(warning or None)
+            yield pd.DataFrame({"path": f.path, "modified": f.modified, "warning": warnings, "content": texts})
+
+    return run
+
+
+@contextlib.contextmanager
+def deadline(seconds: float):
+    """Unreadable after so many seconds. A worker reads in its main thread, where an alarm can interrupt it."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_) -> None:
+        raise Unreadable(V.TOO_SLOW.format(f"{seconds:g}"))
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def text_of(path: str, raw: bytes) -> str:
