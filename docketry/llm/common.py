@@ -1,47 +1,20 @@
-"""What the operators share: scratch tables, code shipping, word splitting and 64-bit mixing."""
+"""What the operators share: word splitting and 64-bit mixing, and from the library scratch tables and code shipping."""
 
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as `[\x20\x09-\x0D]`; bytes.split() and bytes.strip(SPACE) use this very set.
-SPACE = b" \t\n\x0b\x0c\r"
-
-_own_root: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        _own_root[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_root[app]
-
+from docketry.sources.shared import filesystem, scratch_path, scratch_root, ship, spill
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/docketry-{name}-{uuid.uuid4().hex}"
-
-
-def spill(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "scratch_path", "scratch_root", "ship", "spill"]
 
+#: ASCII white space, as `[\x20\x09-\x0D]`; bytes.split() and bytes.strip(SPACE) use this very set.
+SPACE = b" \t\n\x0b\x0c\r"
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames nobody holds any more."""
@@ -49,31 +22,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks import it there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="docketry-ship-"), "docketry_pkg.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("docketry", os.path.relpath(full, top)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
-def filesystem(uri: str):
-    """(file system, path in it) of a folder that the cluster shares. Hadoop's names for a store that Arrow knows by another one are mapped."""
-    from pyarrow import fs
-
-    scheme, sep, rest = uri.partition("://")
-    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}.get(scheme, scheme) + sep + rest)
-
-
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, raw): the whole text as UTF-8 bytes. Any other column, of whatever name, stays out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
