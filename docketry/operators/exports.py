@@ -90,9 +90,9 @@ def csv_rows(commitments: DataFrame, *more: str) -> DataFrame:
 FIELDS = ("id", "date", "title", "category", "source", "line", "snippet", "confidence", "reason", "original", "ambiguous", "page", "document_id", "domain", "entity", "periodicity", "summary", "notice_days", "action_date")
 
 
-def json_rows(commitments: DataFrame) -> DataFrame:
-    """(id, date, row): each commitment as a JSON object with all its fields, nulls too."""
-    return commitments.select("id", "date", F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("row"))
+def json_rows(commitments: DataFrame, *more: str) -> DataFrame:
+    """(id, date, row, and the columns `more`): each commitment as a JSON object with all its fields, nulls too."""
+    return commitments.select("id", "date", F.to_json(F.struct(*FIELDS), {"ignoreNullFields": "false"}).alias("row"), *more)
 
 
 def _block() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.plans import catalog, kept, ordered  # noqa: F401  the others add their queries to the catalogue
+from docketry.plans import catalog, kept, ordered, papers  # noqa: F401  the others add their queries to the catalogue
 
 
 def queries() -> dict:

@@ -490,11 +490,11 @@ def console_report(spark, sf_dir):
     return exports.report_rows(_shown(spark, sf_dir).withColumn("id", F.col("path"))).select(F.col("id").alias("path"), "block")
 
 
-@query(f"""WITH {told} SELECT path, '{{"id":"' || path || '","date":"' || strftime(date, '%Y-%m-%d') || '","title":"' || title || '","category":"' || category || '","source":"' || path || '","line":1,"snippet":"' || content || '","confidence":' || confidence || ',"reason":"' || reason || '"' AS begins,
-  '"entity":"Order ' || key || '","periodicity":' || CASE WHEN period = '' THEN 'null' ELSE '"annual"' END || ',"summary":"' || summary || '","notice_days":' || coalesce(CAST(notice AS VARCHAR), 'null') || ',"action_date":' || CASE WHEN notice IS NULL THEN 'null' ELSE '"' || strftime(date - notice, '%Y-%m-%d') || '"' END || '}}' AS ends FROM told""")
+@query(f"""WITH {told}, n AS (SELECT key, CAST(key % 9 + 1 AS VARCHAR) AS days FROM notices), raws AS (SELECT told.*, CASE kind WHEN 1 THEN strftime(due, '%B %-d, %Y') WHEN 2 THEN strftime(due, '%-d/%-m/%Y') WHEN 3 THEN 'within ' || days || ' business days' WHEN 5 THEN strftime(due, '%-d %b %Y') ELSE strftime(date, '%Y-%m-%d') END AS raw FROM told JOIN n USING (key))
+SELECT path, '{{"id":"' || substr(sha256(document_id || ':1:' || strftime(date, '%Y-%m-%d') || ':' || raw), 1, 12) || '","date":"' || strftime(date, '%Y-%m-%d') || '","title":"' || title || '","category":"' || category || '","source":"' || path || '","line":1,"snippet":"' || content || '","confidence":' || confidence || ',"reason":"' || reason
+  || '","original":"' || raw || '","ambiguous":' || CASE WHEN kind = 2 AND day(due) <= 12 THEN 'true' ELSE 'false' END || ',"page":null,"document_id":"' || document_id || '","domain":null,"entity":"Order ' || key || '","periodicity":' || CASE WHEN period = '' THEN 'null' ELSE '"annual"' END || ',"summary":"' || summary || '","notice_days":' || coalesce(CAST(notice AS VARCHAR), 'null') || ',"action_date":' || CASE WHEN notice IS NULL THEN 'null' ELSE '"' || strftime(date - notice, '%Y-%m-%d') || '"' END || '}}' AS row FROM raws""")
 def json_export(spark, sf_dir):
-    found = exports.json_rows(_shown(spark, sf_dir).withColumn("id", F.col("path")))
-    return found.select(F.col("id").alias("path"), F.substring_index("row", ',"original":', 1).alias("begins"), F.concat(F.lit('"entity":'), F.substring_index("row", '"entity":', -1)).alias("ends"))
+    return exports.json_rows(_shown(spark, sf_dir), "source").select(F.col("source").alias("path"), "row")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
@@ -545,7 +545,7 @@ g AS (SELECT scan_id, count(*) AS listed, count(*) FILTER (s <> 'pending') AS pr
 own AS (SELECT document_id AS scan_id, count(*) AS f, count(DISTINCT (date, category, title)) AS k FROM good GROUP BY 1), n AS (SELECT 'c' || c_custkey AS scan_id, c_custkey % 900 + 0.5 AS seconds, c_custkey % 50 AS total FROM customer),
 x AS (SELECT n.*, coalesce(listed, 0) AS listed, coalesce(processed, 0) AS processed, coalesce(cached, 0) AS cached, coalesce(skipped, 0) AS skipped, coalesce(dates_reviewed, 0) AS dates_reviewed, coalesce(k, 0) AS k, coalesce(f, 0) - coalesce(k, 0) AS again, coalesce(p, []) AS p, CAST(coalesce(processed, 0) AS DOUBLE) / seconds AS rate FROM n LEFT JOIN g USING (scan_id) LEFT JOIN own USING (scan_id) LEFT JOIN w USING (scan_id))
 SELECT scan_id, 'running' AS status, CAST(total AS BIGINT) AS total, processed - skipped AS files_scanned, processed AS files_processed, cached AS files_cached, skipped AS files_skipped, listed - processed AS files_pending, dates_reviewed, greatest(dates_reviewed - k, 0) AS noise_removed, k AS commitments,
-  array_to_string(list_concat(p, CASE WHEN again > 0 THEN ['duplicate_commitment: ' || again || ' repeated commitment(s)'] ELSE [] END)[1:24], chr(10)) AS warnings, CASE WHEN rate > 0 THEN CAST(round_even(greatest(total - processed, 0) / rate, 0) AS BIGINT) END AS eta_seconds FROM x""")
+  array_to_string(list_concat(p, CASE WHEN again > 0 THEN ['duplicate_commitment: ' || again || ' repeated commitment(s)'] ELSE [] END)[1:24], chr(10)) AS warnings, CASE WHEN rate > 0 THEN CAST(round_even(greatest(total - processed, 0) / rate, 0) AS BIGINT) END AS eta_seconds, round_even(rate, 1) AS rate FROM x""")
 def session_report(spark, sf_dir):
     status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "done", "cached", "skipped"))), (F.col("key") % 4 + 1).cast("int"))
     files = views.notices(spark, sf_dir).select(F.col("document_id").alias("scan_id"), "path", status.alias("status"), (F.col("key") % 6).alias("candidates"), F.floor(F.col("key") / 3).alias("updated_at"))
@@ -554,7 +554,7 @@ def session_report(spark, sf_dir):
     k = F.col("c_custkey")
     sessions = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("scan_id"), F.lit("running").alias("status"), (k % 50).alias("total"), begun.alias("created_at"), F.timestamp_add("MILLISECOND", (k % 900 * 1000 + 500).cast("int"), begun).alias("updated_at"))
     found = _shown(spark, sf_dir).withColumn("scan_id", F.col("document_id"))
-    return results.session_report(sessions, files, found).withColumn("warnings", F.array_join("warnings", "\n")).drop("rate")
+    return results.session_report(sessions, files, found).withColumn("warnings", F.array_join("warnings", "\n"))
 
 
 @query("""SELECT o_custkey AS scan_key, max(o_orderkey) AS scan_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k = 1 GROUP BY 1""")
