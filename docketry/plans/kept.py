@@ -1,10 +1,10 @@
-"""Queries over what sessions keep: results by cache_key across batches and a compacted generation."""
+"""Queries over what sessions keep: results by cache_key across batches and a compacted generation, and what changed between listings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import results
+from docketry.operators import changes, results
 from docketry.plans import views
 from docketry.plans.catalog import query
 from docketry.plans.views import MANIFEST
@@ -37,3 +37,39 @@ def store_merge(spark, sf_dir):
         log.append(lambda entries, entry=entry: entry)
         store.compact_if_due(spark, state, log, after=2)
     return sessions.files_of(spark, state, "s2").select("path", "status", "candidates")
+
+
+#: The second state of a listing: some files are gone, some differ, some came in folders of their own; most folders are as they were.
+_STATES = f"""{MANIFEST}, old AS (SELECT path, size, fingerprint, doc_id FROM manifest),
+new AS (SELECT path, size, CASE WHEN doc_id % 14 = 0 AND path LIKE 'home/venv/%' THEN fingerprint || '+' ELSE fingerprint END AS fingerprint FROM old WHERE NOT (doc_id % 34 = 0 AND path LIKE 'home/.git/%')
+  UNION ALL SELECT 'home/new/' || (doc_id % 3) || '/doc_' || doc_id, size, fingerprint FROM old WHERE doc_id % 41 = 0)"""
+
+
+def _states(spark, sf_dir):
+    old = views.manifest(spark, sf_dir)
+    i, path = F.col("doc_id"), F.col("path")
+    kept = old.filter(~((i % 34 == 0) & path.startswith("home/.git/")))
+    kept = kept.select("path", "size", F.when((i % 14 == 0) & path.startswith("home/venv/"), F.concat("fingerprint", F.lit("+"))).otherwise(F.col("fingerprint")).alias("fingerprint"))
+    came = old.filter(i % 41 == 0).select(F.concat(F.lit("home/new/"), (i % 3).cast("string"), F.lit("/doc_"), i.cast("string")).alias("path"), "size", "fingerprint")
+    return old.select("path", "size", "fingerprint"), kept.unionByName(came)
+
+
+@query(f"""WITH {_STATES} SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM old o FULL JOIN new n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.fingerprint <> n.fingerprint""")
+def folder_changes(spark, sf_dir):
+    return changes.changes(*_states(spark, sf_dir))
+
+
+@query(f"""WITH {_STATES}, f AS (SELECT path, size, regexp_replace(path, '/[^/]*$', '') AS dir FROM new), l AS (SELECT size, string_split(dir, '/') AS p FROM f), u AS (SELECT size, p, unnest(range(0, len(p) + 1)) AS depth FROM l)
+SELECT array_to_string(p[1:depth], '/') AS folder, CAST(depth AS INT) AS depth, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY 1, 2""")
+def folder_sums(spark, sf_dir):
+    return changes.tree(_states(spark, sf_dir)[1]).select("folder", "depth", "files", "bytes")
+
+
+@query(f"""WITH {_STATES}, c AS (SELECT coalesce(o.path, n.path) AS path FROM old o FULL JOIN new n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.fingerprint <> n.fingerprint),
+a AS (SELECT path FROM old UNION SELECT path FROM new), up AS (SELECT path, string_split(regexp_replace(path, '/[^/]*$', ''), '/') AS p FROM a), f AS (SELECT path, p, unnest(range(0, len(p) + 1)) AS depth FROM up),
+d AS (SELECT array_to_string(p[1:depth], '/') AS folder, depth, CASE WHEN depth > 0 THEN array_to_string(p[1:depth - 1], '/') END AS parent, bool_or(c.path IS NOT NULL) AS differs, bool_or(c.path IS NOT NULL AND depth = len(p)) AS own_differs FROM f LEFT JOIN c USING (path) GROUP BY 1, 2, 3)
+SELECT d.folder, CAST(d.depth AS INT) AS depth, d.differs, d.own_differs FROM d LEFT JOIN d x ON d.parent = x.folder WHERE d.depth = 0 OR x.differs""")
+def folders_looked_at(spark, sf_dir):
+    old, new = _states(spark, sf_dir)
+    return changes.levels(changes.tree(old), changes.tree(new))
