@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
 from docketry.operators import commitments, policy, relevance, results, statements
+from docketry.sources.shared import let_go, spill
 
 
 @dataclass(frozen=True)
 class Scan:
-    """What a scan of documents gives; all lazy. kept: what several of them read."""
+    """What a scan of documents gives. kept: the tables that they read."""
 
     commitments: DataFrame
     judged: DataFrame
@@ -22,13 +23,13 @@ class Scan:
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        """Let go of what the executors keep, once the results are written."""
+        """Delete those tables, once the results are written."""
         for df in self.kept:
-            df.unpersist()
+            let_go(df)
 
 
 def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
-    """files: path, content (cleaned text; null if unreadable), modified, and perhaps warning. Nothing is collected.
+    """files: path, content (cleaned text; null if unreadable), modified, and perhaps warning. Nothing is collected; what several results read is written to tables in the shared folder.
 
     Gates stand before costly work: paths first, then emptiness, then relevance; only what passes is parsed.
     """
@@ -37,17 +38,17 @@ def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
     gated = files.select("path", "content", "modified", policy.file_warning(F.col("path"), size, skip).alias("warning"))
     empty = policy.rejection(F.lit(V.NO_ACTION), F.col("path"), F.lit("empty file"))
     gated = gated.withColumn("warning", F.coalesce("warning", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, empty)))
-    # three branches read the classified documents; kept on the executors, computed again where one is lost
+    # several branches read the classified documents, the mentions and the summaries: tables cut their plans and survive lost executors
     seen = relevance.classify(gated.withColumn("content", F.when(F.col("warning").isNull(), F.col("content"))))
-    seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path"))))).persist()
+    seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path")))))
+    seen = spill(seen, "classified")
     good = seen.filter("warning is null")
     docs = good.select("path", "content", "modified", commitments.document_id(F.col("content")).alias("document_id"), F.col("relevance_domain").alias("domain"))
-    judged = commitments.extract(docs, today, month_first)
+    judged = spill(commitments.extract(docs, today, month_first), "mentions")
     banks = good.filter(F.col("bank_score") >= relevance.STATEMENT_SCORE).select(F.col("path").alias("statement_id"), "content")
     ids = docs.select("path", F.col("document_id").alias("id"))
-    kept = [seen]
-    summaries = statements.analyze(banks, kept=kept).withColumnRenamed("statement_id", "path").join(ids, "path").withColumn("title", F.lit(V.STATEMENT_TITLE))
+    kept = [seen, judged]
+    summaries = spill(statements.analyze(banks, kept=kept).withColumnRenamed("statement_id", "path").join(ids, "path").withColumn("title", F.lit(V.STATEMENT_TITLE)), "summaries")
     found = results.deduplicate(judged.filter("rejected_as is null").drop("rejected_as"))
-    have = statements.with_enough_rows(banks).select(F.col("statement_id").alias("path"))
-    outcomes = results.document_outcomes(seen.select("path", "warning"), judged, have)
-    return Scan(results.ordered(found), judged, summaries, outcomes, tuple(kept))
+    outcomes = results.document_outcomes(seen.select("path", "warning"), judged, summaries.select("path"))
+    return Scan(results.ordered(found), judged, summaries, outcomes, (*kept, summaries))

@@ -15,6 +15,7 @@ from docketry.functions.chunks import carried_down, neighbours
 from docketry.functions.dates import statement_date
 from docketry.functions.money import currency_of, named_amount, parse_number
 from docketry.functions.text import LINE_END, contains_any
+from docketry.sources.shared import spill
 
 FLAG = r"(?i)^(?:CR|DR|CREDIT|DEBIT)$"
 FLAGGED = r"(?i)^(?U:\s*)([^A-Za-z]*[0-9][^A-Za-z]*)(?U:\s*)(CR|DR|CREDIT|DEBIT)(?U:\s*)$"
@@ -240,12 +241,6 @@ def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2)
     )
 
 
-def with_enough_rows(statements: DataFrame, min_rows: int = 2) -> DataFrame:
-    """(statement_id) of the statements that have a summary."""
-    tx = distinct_transactions(parse_rows(rows_of(statements)))
-    return tx.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_rows).select("statement_id")
-
-
 def named_balances(statements: DataFrame, default_currency: str = "$") -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     return statements.select("statement_id", named_amount(text, "opening balance").alias("opening"), named_amount(text, "closing balance").alias("closing"), currency_of(text, default_currency).alias("currency"))
@@ -258,12 +253,12 @@ def analyze(statements: DataFrame, default_currency: str = "$", kept: list[DataF
 
 def analyze_rows(rows: DataFrame, named: DataFrame, kept: list[DataFrame] | None = None) -> DataFrame:
     """The same of lines that are rows already (statement_id, ord, line), whatever a statement's length; named: as named_balances gives it.
-    What the executors keep of it is added to kept, for the caller to let go of."""
-    # eight aggregates read the parsed rows; kept on the executors, computed again where one is lost
-    parsed = parse_rows(rows).persist()
+    The tables that it needs are added to kept, for the caller to let go of."""
+    # eight aggregates read the transactions: a table cuts their plans, which would each hold the parsing
+    parsed = spill(parse_rows(rows), "statement-rows")
+    tx = spill(distinct_transactions(parsed), "transactions")
     if kept is not None:
-        kept.append(parsed)
-    tx = distinct_transactions(parsed)
+        kept += [parsed, tx]
     rejected = parsed.groupBy("statement_id").agg(F.count_if("rejected").alias("rows_rejected"))
     out = summarize(tx, named).join(rejected, "statement_id")
     cats = category_totals(tx).join(tx.filter("tx_type = 'debit'").groupBy("statement_id", "category").agg(F.min("ord").alias("_first")), ["statement_id", "category"])

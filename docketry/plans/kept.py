@@ -9,7 +9,7 @@ from docketry.plans import views
 from docketry.plans.catalog import query
 from docketry.plans.views import MANIFEST
 from docketry.sources.shared import scratch_path
-from docketry.streaming import sessions, store
+from docketry.streaming import sessions, status, store
 from docketry.streaming.log import Log
 
 #: (session, which documents its batch holds, which of them have a warning), in the order of the batches; two of them are compacted before the third comes.
@@ -73,3 +73,26 @@ SELECT d.folder, CAST(d.depth AS INT) AS depth, d.differs, d.own_differs FROM d
 def folders_looked_at(spark, sf_dir):
     old, new = _states(spark, sf_dir)
     return changes.levels(changes.tree(old), changes.tree(new))
+
+
+# ---- status as a stream
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey % 900 AS t, (['pending', 'done', 'cached', 'skipped'])[o_orderkey % 4 + 1] AS s, o_orderkey % 6 AS c FROM orders),
+g AS (SELECT o_custkey, max(t) AS t, count(*) FILTER (s <> 'pending') AS processed, count(*) FILTER (s = 'cached') AS cached, count(*) FILTER (s = 'skipped') AS skipped, sum(c) FILTER (s <> 'pending') AS dates FROM f GROUP BY 1),
+x AS (SELECT c_custkey, CAST(c_custkey % 50 + 5 AS BIGINT) AS total, coalesce(processed, 0) AS processed, coalesce(cached, 0) AS cached, coalesce(skipped, 0) AS skipped, CAST(coalesce(dates, 0) AS BIGINT) AS dates, coalesce(processed, 0) / greatest(CAST(coalesce(t, 0) AS DOUBLE), 0.001) AS rate FROM customer LEFT JOIN g ON o_custkey = c_custkey)
+SELECT CAST(c_custkey AS VARCHAR) AS scan_id, 'cancelled' AS status, total, processed AS files_processed, cached AS files_cached, skipped AS files_skipped, dates AS dates_reviewed, CASE WHEN rate > 0 THEN CAST(round_even(greatest(total - processed, 0) / rate, 0) AS BIGINT) END AS eta_seconds FROM x""")
+def session_stream(spark, sf_dir):
+    """Events of all files, followed as a stream; it is stopped after the first half and goes on from its checkpoint."""
+    k, begun = F.col("o_orderkey"), F.lit("2026-08-13 09:00:00").cast("timestamp")
+    final = F.element_at(F.array(*(F.lit(s) for s in ("pending", "done", "cached", "skipped"))), (k % 4 + 1).cast("int"))
+    later = F.timestamp_add("SECOND", (k % 900).cast("int"), begun)
+    files = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("scan_id"), k.cast("string").alias("path"), F.explode(F.array(F.struct(F.lit("pending").alias("status"), F.lit(0).cast("long").alias("candidates"), begun.alias("updated_at")), F.struct(final.alias("status"), F.when(final == "pending", 0).otherwise(k % 6).cast("long").alias("candidates"), later.alias("updated_at")))).alias("x"))
+    files = files.select("scan_id", "path", "x.status", "x.candidates", F.lit(None).cast("long").alias("total"), "x.updated_at")
+    c = F.col("c_custkey")
+    own = views.table(spark, sf_dir, "customer").select(c.cast("string").alias("scan_id"), F.lit(None).cast("string").alias("path"), F.lit("cancelled").alias("status"), F.lit(None).cast("long").alias("candidates"), (c % 50 + 5).cast("long").alias("total"), begun.alias("updated_at"))
+    base = scratch_path(spark, "status")
+    half = F.pmod(F.xxhash64("scan_id", "path", "status"), F.lit(2)) == 0
+    for part in (half, ~half):
+        files.unionByName(own).filter(part).write.mode("append").parquet(f"{base}/events")
+        status.follow(spark, f"{base}/events", f"{base}/rows", f"{base}/checkpoint", late_minutes=60).awaitTermination()
+    return status.latest(spark, f"{base}/rows").drop("rate", "updated_at")

@@ -146,3 +146,31 @@ def test_generations_keep_the_last_and_join_without_a_shuffle(spark, tmp_path):
         _batch(spark, state, log, "s2", [(k, "done", None)])
         assert store.compact_if_due(spark, state, log, after=1, buckets=8)
     assert len(list((tmp_path / "generations").iterdir())) == 2 and files()[keys[12]] == before[keys[12]] and files()[keys[52]][0] == "done"
+
+
+def test_status_is_followed_across_restarts_and_stalls(spark, tmp_path):
+    from datetime import datetime
+
+    from docketry.streaming import status
+
+    def at(minute, second=0):
+        return datetime(2026, 8, 13, 9, minute, second)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    paths = [str(tmp_path / x) for x in ("events", "rows", "checkpoint")]
+
+    def come(*events):
+        spark.createDataFrame(list(events), status.EVENTS).coalesce(1).write.mode("append").parquet(paths[0])
+        status.follow(spark, *paths).awaitTermination()
+        return {r.scan_id: r for r in status.latest(spark, paths[1]).collect()}
+
+    try:
+        got = come(("s", "a", "done", 4, None, at(0, 30)), ("s", None, "running", None, 3, at(0)), ("s", "a", "pending", 0, None, at(0)), ("s", "b", "skipped", 2, None, at(1)), ("t", None, "running", None, 1, at(0)))
+        assert (got["s"].status, got["s"].files_processed, got["s"].files_skipped, got["s"].dates_reviewed, got["s"].eta_seconds) == ("running", 2, 1, 6, 30)
+        # the checkpoint knows a; an earlier status of it, and the same one again, change nothing
+        got = come(("s", "c", "cached", 1, None, at(40)), ("s", "a", "done", 4, None, at(0, 30)), ("s", "b", "pending", 0, None, at(0, 50)), ("s", None, "complete", None, 3, at(41)))
+        assert (got["s"].status, got["s"].total, got["s"].files_processed, got["s"].files_cached, got["s"].files_skipped, got["s"].dates_reviewed, got["s"].eta_seconds) == ("complete", 3, 3, 1, 1, 7, 0)
+        # t runs and has said nothing for longer than the limit
+        assert got["t"].status == "stalled"
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
