@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docketry.functions.text import EDGE, let, spans
-
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_NAMES = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)}
-_MONTH = "|".join(sorted(_NAMES, key=len, reverse=True))
-_DAY_NUMBER, _MONTH_NUMBER = "0?[1-9]|[12][0-9]|3[01]", "0?[1-9]|1[0-2]"
-
-ISO = rf"{EDGE}(20[0-9]{{2}})[-/.]({_MONTH_NUMBER})[-/.]({_DAY_NUMBER}){EDGE}"
-MONTH_DAY = rf"(?i){EDGE}({_MONTH})\.?(?U:\s+)([0-9]{{1,2}})(?:st|nd|rd|th)?(?:,?(?U:\s+)(20[0-9]{{2}}))?{EDGE}"
-DAY_MONTH = rf"(?i){EDGE}([0-9]{{1,2}})(?:st|nd|rd|th)?(?:(?U:[\s\-/]+)(?:of(?U:\s+))?)({_MONTH})\.?(?:(?U:[\s\-/]+)(20[0-9]{{2}}))?{EDGE}"
-NUMERIC = rf"(?<![0-9/.-])({_DAY_NUMBER})[/.-]({_DAY_NUMBER})[/.-](20[0-9]{{2}})(?![0-9])"
-RELATIVE = rf"(?i){EDGE}(?:in|within|before|by|due(?U:\s+)in)(?U:\s+)([0-9]{{1,3}})(?U:\s+)(business(?U:\s+))?(day|week|month)s?{EDGE}"
-TODAY, TOMORROW = rf"(?i){EDGE}today{EDGE}", rf"(?i){EDGE}tomorrow{EDGE}"
+from docketry.functions.fixed_values import DAY_MONTH, ISO, MONTH_DAY, MONTH_NAMES, MOST_UNITS, NUMERIC, RELATIVE, TODAY, TOMORROW
+from docketry.functions.terms import mapping
+from docketry.functions.text import let, spans
+
 #: Every mention of a date has a digit or one of two words in it.
 MAY_HAVE_DATE = "(?i)[0-9]|today|tomorrow"
-MOST_UNITS = 730
 HIT = "array<struct<value:date,raw:string,start:int,end:int,quality:double,ambiguous:boolean,prio:int>>"
 
 
@@ -30,8 +20,7 @@ def date_of(year: Column, month: Column, day: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    names = F.create_map(*(x for k, v in _NAMES.items() for x in (F.lit(k), F.lit(v))))
-    return F.try_element_at(names, F.lower(name))
+    return F.try_element_at(mapping({k: str(v) for k, v in MONTH_NAMES.items()}), F.lower(name)).cast("int")
 
 
 def add_business_days(start: Column, n: Column) -> Column:

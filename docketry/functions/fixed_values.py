@@ -217,3 +217,38 @@ MAX_ENTRY_BYTES, BOMB_BYTES, BOMB_RATIO = 32 * 1024 * 1024, 1024 * 1024, 200
 UNSUPPORTED_FILE, IGNORED_DIRECTORY, IRRELEVANT, NO_ACTION, HISTORICAL, DUPLICATE, REFERENCE = (
     "unsupported_file_type", "ignored_directory", "irrelevant_document", "no_actionable_commitment", "historical_noise", "duplicate_commitment", "reference_example",
 )
+
+# Months, and the patterns of dates in a text, in the order in which they are tried.
+_EDGE = r"(?U:\b)"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTH_NAMES = {m: i for i, m in enumerate(MONTHS, 1)} | {m[:3]: i for i, m in enumerate(MONTHS, 1)}
+_MONTH = "|".join(sorted(MONTH_NAMES, key=len, reverse=True))
+_DAY_NUMBER, _MONTH_NUMBER = "0?[1-9]|[12][0-9]|3[01]", "0?[1-9]|1[0-2]"
+
+ISO = rf"{_EDGE}(20[0-9]{{2}})[-/.]({_MONTH_NUMBER})[-/.]({_DAY_NUMBER}){_EDGE}"
+MONTH_DAY = rf"(?i){_EDGE}({_MONTH})\.?(?U:\s+)([0-9]{{1,2}})(?:st|nd|rd|th)?(?:,?(?U:\s+)(20[0-9]{{2}}))?{_EDGE}"
+DAY_MONTH = rf"(?i){_EDGE}([0-9]{{1,2}})(?:st|nd|rd|th)?(?:(?U:[\s\-/]+)(?:of(?U:\s+))?)({_MONTH})\.?(?:(?U:[\s\-/]+)(20[0-9]{{2}}))?{_EDGE}"
+NUMERIC = rf"(?<![0-9/.-])({_DAY_NUMBER})[/.-]({_DAY_NUMBER})[/.-](20[0-9]{{2}})(?![0-9])"
+RELATIVE = rf"(?i){_EDGE}(?:in|within|before|by|due(?U:\s+)in)(?U:\s+)([0-9]{{1,3}})(?U:\s+)(business(?U:\s+))?(day|week|month)s?{_EDGE}"
+TODAY, TOMORROW = rf"(?i){_EDGE}today{_EDGE}", rf"(?i){_EDGE}tomorrow{_EDGE}"
+MOST_UNITS = 730
+
+# What shows that a document has a date, and a row of a statement.
+HAS_DATE = (
+    r"(?i)(?U:\b)(?:20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]20[0-9]{2}|"
+    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?U:\s+)[0-9]{1,2})(?U:\b)"
+)
+DATED_ROW = r"(?m)^(?U:\s*)[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.*[0-9][0-9,]*(?:\.[0-9]{2})"
+
+# How often something recurs, how long before it notice is due, and rows of a statement within a document.
+PERIODICITY = r"(?i)(?U:\b)(monthly|per(?U:\s+)month|/mo|p\.m\.|annually|per(?U:\s+)annum|annual|/yr|p\.a\.|per(?U:\s+)year|quarterly|one-time|one(?U:\s+)time|per(?U:\s+)period)(?U:\b)"
+NOTICE = r"(?i)(?:at(?U:\s+)least|within|requires?|give|prior(?U:\s+)to|notice(?U:\s+)of)?(?U:\s*)([0-9]{1,3})(?U:\s*)(?:business(?U:\s+))?(day|week|month)s?(?U:\s*)(?:prior|before|advance|notice)"
+STATEMENT_ROW = r"^\s*(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
+
+# Marks of credits and debits in rows without a header.
+FLAG = r"(?i)^(?:CR|DR|CREDIT|DEBIT)$"
+FLAGGED = r"(?i)^(?U:\s*)([^A-Za-z]*[0-9][^A-Za-z]*)(?U:\s*)(CR|DR|CREDIT|DEBIT)(?U:\s*)$"
+
+# Currencies before an amount, and what tells a text's currency, in the order in which it is tried.
+CURRENCY_MARKS = r"₹|Rs\.?|INR|\$|USD|€|EUR|£|GBP"
+CURRENCIES = ((r"inr|₹|rs\.|hdfc|icici|sbi bank|axis bank", "₹"), ("€|eur", "€"), ("£|gbp", "£"), (r"\$|usd", "$"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketry.functions import fixed_values as V
 from docketry.functions.text import let
 
 
@@ -21,16 +22,13 @@ def parse_number(cell: Column) -> Column:
 
 def named_amount(text: Column, label: str) -> Column:
     """The first amount that follows the label, perhaps with a sign, `is` or a currency between."""
-    pattern = rf"(?i)(?U:\b)\Q{label}\E(?U:\b)(?U:\s*)(?:[:=-]|is)?(?U:\s*)(?:₹|Rs\.?|INR|\$|USD|€|EUR|£|GBP)?(?U:\s*)(\(?-?[0-9][0-9,]*(?:\.[0-9]{{1,2}})?\)?)"
+    pattern = rf"(?i)(?U:\b)\Q{label}\E(?U:\b)(?U:\s*)(?:[:=-]|is)?(?U:\s*)(?:{V.CURRENCY_MARKS})?(?U:\s*)(\(?-?[0-9][0-9,]*(?:\.[0-9]{{1,2}})?\)?)"
     return parse_number(F.regexp_extract(text, pattern, 1))
 
 
 def currency_of(text: Column, default: str = "$") -> Column:
     low = F.lower(text)
-    return (
-        F.when(low.rlike(r"inr|₹|rs\.|hdfc|icici|sbi bank|axis bank"), "₹")
-        .when(low.rlike("€|eur"), "€")
-        .when(low.rlike("£|gbp"), "£")
-        .when(low.rlike(r"\$|usd"), "$")
-        .otherwise(F.lit(default))
-    )
+    out = F.lit(default)
+    for pattern, sign in reversed(V.CURRENCIES):
+        out = F.when(low.rlike(pattern), sign).otherwise(out)
+    return out

@@ -16,9 +16,6 @@ from docketry.functions.text import LINE_END, PAGE_LINE, contains_any, first_of,
 
 LONG_LINE, FAR, NEAR_HISTORY, WINDOW, STALE_DAYS = 2500, 160, 60, 55, 45
 ACTION_WORDS = tuple(w for terms in V.ACTION_GROUPS.values() for w in terms) + V.DEADLINE_WORDS
-PERIODICITY = r"(?i)(?U:\b)(monthly|per(?U:\s+)month|/mo|p\.m\.|annually|per(?U:\s+)annum|annual|/yr|p\.a\.|per(?U:\s+)year|quarterly|one-time|one(?U:\s+)time|per(?U:\s+)period)(?U:\b)"
-NOTICE = r"(?i)(?:at(?U:\s+)least|within|requires?|give|prior(?U:\s+)to|notice(?U:\s+)of)?(?U:\s*)([0-9]{1,3})(?U:\s*)(?:business(?U:\s+))?(day|week|month)s?(?U:\s*)(?:prior|before|advance|notice)"
-STATEMENT_ROW = r"^\s*(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
 
 
 def document_id(content: Column) -> Column:
@@ -38,7 +35,7 @@ def title_of(low: Column, category: Column, domain: Column) -> Column:
 
 
 def periodicity_of(text: Column) -> Column:
-    token = F.lower(F.regexp_extract(text, PERIODICITY, 1))
+    token = F.lower(F.regexp_extract(text, V.PERIODICITY, 1))
     return (
         F.when(token == "", None)
         .when(token.rlike(r"month|/mo|p\.m\."), "monthly")
@@ -50,8 +47,8 @@ def periodicity_of(text: Column) -> Column:
 
 
 def notice_days_of(text: Column) -> Column:
-    unit = F.lower(F.regexp_extract(text, NOTICE, 2))
-    days = F.nullif(F.regexp_extract(text, NOTICE, 1), F.lit("")).cast("int") * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1)
+    unit = F.lower(F.regexp_extract(text, V.NOTICE, 2))
+    days = F.nullif(F.regexp_extract(text, V.NOTICE, 1), F.lit("")).cast("int") * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1)
     return F.when(days.between(1, 180), days)
 
 
@@ -70,7 +67,7 @@ def summary_of(title: Column, entity: Column, notice_days: Column, action_date:
 
 def is_statement_row(segment: Column) -> Column:
     shape = segment.contains("|") | segment.contains("\t") | segment.rlike(r"(?i)(?U:\b)(?:CR|DR|debit|credit)(?U:\b)")
-    return segment.rlike(STATEMENT_ROW) & segment.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & shape
+    return segment.rlike(V.STATEMENT_ROW) & segment.rlike(r"[0-9][0-9,]*\.[0-9]{2}") & shape
 
 
 def segments(docs: DataFrame) -> DataFrame:

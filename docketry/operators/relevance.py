@@ -9,11 +9,6 @@ from docketry.functions import fixed_values as V
 from docketry.functions.terms import found, grams, mapping, score
 from docketry.functions.text import bounded, contains_any, has_any, sample, words_of_name
 
-HAS_DATE = (
-    r"(?i)(?U:\b)(?:20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]20[0-9]{2}|"
-    r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?U:\s+)[0-9]{1,2})(?U:\b)"
-)
-DATED_ROW = r"(?m)^(?U:\s*)[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}.*[0-9][0-9,]*(?:\.[0-9]{2})"
 STATEMENT_SCORE, LONGEST_BLOCK = 6, 800
 
 
@@ -29,7 +24,7 @@ def terms_of(low: Column) -> Column:
 def statement_score(low: Column, terms: Column) -> Column:
     """How much a (lower-case) sample, with its terms, looks like a bank statement."""
     names, balances, headers = (F.size(found(terms, own)) for own in (V.STATEMENT_NAMES, V.BALANCE_NAMES, V.BANK_HEADERS))
-    return names * 3 + F.least(F.lit(2), balances) * 2 + F.least(F.lit(4), headers) + F.least(F.lit(3), F.regexp_count(low, F.lit(DATED_ROW)))
+    return names * 3 + F.least(F.lit(2), balances) * 2 + F.least(F.lit(4), headers) + F.least(F.lit(3), F.regexp_count(low, F.lit(V.DATED_ROW)))
 
 
 def is_reference(low: Column, terms: Column, name_terms: Column) -> Column:
@@ -42,7 +37,7 @@ def cohesive(content: Column, domain: Column) -> Column:
     """Whether one sentence has a term of the domain, one of action, and a date."""
     blocks = F.transform(F.split(content, r"[\n.!?]+"), lambda b: F.lower(F.regexp_replace(b, r"(?U)\s+", " ")))
     terms = mapping({k: bounded(v) for k, v in V.DOMAIN_TERMS.items()})
-    return F.exists(blocks, lambda b: (F.length(b) <= LONGEST_BLOCK) & b.rlike(HAS_DATE) & has_any(b, V.ACTION_TERMS) & F.rlike(b, F.element_at(terms, domain)))
+    return F.exists(blocks, lambda b: (F.length(b) <= LONGEST_BLOCK) & b.rlike(V.HAS_DATE) & has_any(b, V.ACTION_TERMS) & F.rlike(b, F.element_at(terms, domain)))
 
 
 def classify(docs: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -59,7 +54,7 @@ def classify(docs: DataFrame, path_col: str = "path", content_col: str = "conten
         scores.append(F.struct((by_text + by_name).alias("score"), F.lit(-i).alias("ord"), F.lit(domain).alias("domain"), by_text.alias("by_text"), by_name.alias("by_name")))
     base = base.withColumns({"bank_score": statement_score(F.col("_low"), F.col("_terms")), "_top": F.array_max(F.array(*scores)), "_reference": is_reference(F.col("_low"), F.col("_terms"), F.col("_name_terms"))})
     top = F.col("_top")
-    acts = has_any(F.col("_low"), V.ACTION_TERMS) & F.col("_low").rlike(HAS_DATE)
+    acts = has_any(F.col("_low"), V.ACTION_TERMS) & F.col("_low").rlike(V.HAS_DATE)
     enough = (cohesive(content, top["domain"]) & (top["score"] >= 2)) | ((top["by_text"] >= 4) & acts) | ((top["by_name"] >= 2) & (top["by_text"] >= 2) & acts)
     bank = F.col("bank_score") >= STATEMENT_SCORE
     out = base.withColumn("_enough", F.when(F.col("_reference"), False).when(bank, True).otherwise(enough))

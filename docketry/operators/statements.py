@@ -17,9 +17,6 @@ from docketry.functions.money import currency_of, named_amount, parse_number
 from docketry.functions.text import LINE_END, contains_any
 from docketry.sources.shared import spill
 
-FLAG = r"(?i)^(?:CR|DR|CREDIT|DEBIT)$"
-FLAGGED = r"(?i)^(?U:\s*)([^A-Za-z]*[0-9][^A-Za-z]*)(?U:\s*)(CR|DR|CREDIT|DEBIT)(?U:\s*)$"
-
 
 # ---- single rows
 
@@ -122,14 +119,14 @@ def with_column_transaction(rows: DataFrame) -> DataFrame:
 def with_flagged_transaction(rows: DataFrame) -> DataFrame:
     """rows with _tx from _cells: the transaction of a row without a header, a date first, then an amount with CR or DR in its cell or in one of its own."""
     x = rows.withColumns({"_date": statement_date(F.try_element_at("_cells", F.lit(1))), "_rest": F.transform(F.slice("_cells", 2, 1 << 20), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("i")))})
-    x = x.withColumns({"_both": F.try_element_at(F.filter("_rest", lambda r: r["c"].rlike(FLAGGED)), F.lit(1)), "_flag": F.try_element_at(F.filter("_rest", lambda r: F.trim(r["c"]).rlike(FLAG)), F.lit(1))})
+    x = x.withColumns({"_both": F.try_element_at(F.filter("_rest", lambda r: r["c"].rlike(V.FLAGGED)), F.lit(1)), "_flag": F.try_element_at(F.filter("_rest", lambda r: F.trim(r["c"]).rlike(V.FLAG)), F.lit(1))})
     numbers = F.filter(F.transform("_rest", lambda r: F.struct(F.abs(r["i"] - F.col("_flag.i")).alias("away"), r["i"].alias("i"), parse_number(r["c"]).alias("v"))), lambda r: r["v"].isNotNull())
-    x = x.withColumns({"_near": F.array_min(numbers), "_amount": parse_number(F.regexp_extract("_both.c", FLAGGED, 1))})
+    x = x.withColumns({"_near": F.array_min(numbers), "_amount": parse_number(F.regexp_extract("_both.c", V.FLAGGED, 1))})
     kind = lambda t: F.when(F.lower(F.trim(t)).isin("cr", "credit"), "credit").otherwise("debit")
     skip = lambda i: F.when(F.col("_both").isNotNull(), i == F.col("_both.i")).otherwise((i == F.col("_flag.i")) | (i == F.col("_near.i")))
     text = F.substring(F.trim(F.array_join(F.transform(F.filter("_rest", lambda r: ~skip(r["i"])), lambda r: r["c"]), " ")), 1, 100)
     x = x.withColumn("_text", F.coalesce(F.nullif(text, F.lit("")), F.lit("Transaction")))
-    first = F.when(F.col("_amount").isNotNull(), _tx(F.col("_date"), F.col("_text"), F.abs("_amount"), kind(F.regexp_extract("_both.c", FLAGGED, 2))))
+    first = F.when(F.col("_amount").isNotNull(), _tx(F.col("_date"), F.col("_text"), F.abs("_amount"), kind(F.regexp_extract("_both.c", V.FLAGGED, 2))))
     second = F.when(F.col("_flag").isNotNull() & F.col("_near").isNotNull(), _tx(F.col("_date"), F.col("_text"), F.abs("_near.v"), kind(F.col("_flag.c"))))
     good = (F.size("_cells") >= 3) & F.col("_date").isNotNull()
     return x.withColumn("_tx", F.when(good, F.when(F.col("_both").isNotNull(), first).otherwise(second))).drop("_date", "_rest", "_both", "_flag", "_near", "_amount", "_text")

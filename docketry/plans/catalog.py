@@ -280,8 +280,8 @@ def _count(text, terms) -> str:
 
 
 _SCORES = ", ".join(f"{{'d': '{d}', 'i': {i}, 't': {_hits(t)}, 'n': least(3, {_hits(t).replace('(low,', '(name,')}), 'c': {_any('low', t)}}}" for i, (d, t) in enumerate(V.DOMAIN_TERMS.items()))
-_HAS_DATE = relevance.HAS_DATE.replace("(?U:\\b)", "\\b").replace("(?U:\\s)", "\\s")
-_DATED = relevance.DATED_ROW.replace("(?U:\\s*)", "\\s*")
+_HAS_DATE = V.HAS_DATE.replace("(?U:\\b)", "\\b").replace("(?U:\\s)", "\\s")
+_DATED = V.DATED_ROW.replace("(?U:\\s*)", "\\s*")
 #: Verdicts over notices, whose texts are shorter than the sample. A block is a sentence; its terms are those of the best domain.
 _VERDICTS = f"""{NOTICES}, words AS (SELECT key, path, kind, content, lower(content) AS low, lower(regexp_replace(regexp_replace(string_split(path, '/')[-1], '[.][^.]*$', ''), '[_-]+', ' ', 'g')) AS name FROM notices),
 scored AS (SELECT *, list_sort([{{'s': -(x.t + x.n), 'i': x.i, 'd': x.d, 't': x.t, 'n': x.n}} FOR x IN [{_SCORES}]])[1] AS top, {_count("low", V.STATEMENT_NAMES)} * 3 + least(2, {_count("low", V.BALANCE_NAMES)}) * 2 + least(4, {_count("low", V.BANK_HEADERS)}) + least(3, len(regexp_extract_all(low, '{_DATED}'))) AS bank,
