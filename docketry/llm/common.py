@@ -16,6 +16,7 @@ __all__ = ["filesystem", "scratch_path", "scratch_root", "ship", "spill"]
 #: ASCII white space, as `[\x20\x09-\x0D]`; bytes.split() and bytes.strip(SPACE) use this very set.
 SPACE = b" \t\n\x0b\x0c\r"
 
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames nobody holds any more."""
     gc.collect()

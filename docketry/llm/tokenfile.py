@@ -228,7 +228,7 @@ def _write(shared, folder: str, width: int):
             n_tokens = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // width
             name = f"ids-{part:06d}-{row:09d}-{uuid.uuid4().hex}.dkti"
             with system.open_output_stream(f"{path}/{name}") as out:
-                write_file(out, np.array([NULL_ID if x[3] is None else x[3] for x in rows]), n_tokens, starts[part] + before, ids, rank_of, id_of)
+                write_file(out, np.array([NULL_ID if x[3] is None else x[3] for x in rows]), n_tokens, int(starts[part]) + before, ids, rank_of, id_of)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([row], pa.int64()), pa.array([f"{folder}/{name}"])], names=["part", "row", "file"])
 
         rows: list[tuple] = []
@@ -265,11 +265,11 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, folder: str | None
     # at most one row for each entry of the vocabulary, and one for each file
     counts = encoded.select("ids").mapInArrow(_count(width, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     id_of = np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], dtype=np.int64)
-    sizes = sorted((r["part"], r["n"]) for r in encoded.groupBy("part").agg(F.sum(F.octet_length("ids")).alias("n")).collect())
-    starts, before = {}, 0
-    for part, n in sizes:
-        starts[part] = before
-        before += n // width
+    sizes = encoded.groupBy("part").agg(F.sum(F.octet_length("ids")).alias("n")).orderBy("part").toArrow()
+    part, n = (sizes.column(c).to_numpy().astype(np.int64) for c in ("part", "n"))
+    # a number each: 32 MB for the parts of 100 TB
+    starts = np.zeros(int(part.max(initial=-1)) + 1, dtype=np.int64)
+    starts[part] = (np.cumsum(n) - n) // width
     shared = spark.sparkContext.broadcast((id_of, starts))
     return spill(encoded.mapInArrow(_write(shared, folder, width), "part long, row long, file string"), "token-listing")
 

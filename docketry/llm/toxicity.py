@@ -5,7 +5,7 @@ present or not. Every coordinate has its own learning rate and L1 keeps most wei
 (index, weight) that any task can hold: at most 2^HASH_BITS entries, whatever the corpus.
 
 Training takes at most `max_rows` labelled rows, chosen by a hash of doc_id (all of them if there are fewer). They are dealt to
-tasks of about `shard_rows` rows; each runs FTRL over its share for some epochs, and the weights are averaged over the tasks.
+tasks of about `shard_rows` rows, and fewer where texts are long, as hashed features of at most 4 MB a text; each runs FTRL over its share for some epochs, and the weights are averaged over the tasks.
 
 Defined results: a null or empty text has no features and gets the score of the intercept alone. Without labelled rows, or with one
 class only, every score is the share of toxic rows (0 if there are none). Of several labels of one doc_id the largest
@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import crc_mod, id_and_bytes, mix64, ship
+from docketry.llm.common import crc_mod, id_and_bytes, mix64, parts, ship, spill
 
 HASH_BITS = 20
-#: Most labelled rows to learn from; rows for a task to learn from; passes over a task's rows.
-MAX_ROWS, SHARD_ROWS, EPOCHS = 40_000, 10_000, 6
+#: Most labelled rows to learn from; rows and features (4 bytes each) for a task to learn from, about; passes over a task's rows.
+MAX_ROWS, SHARD_ROWS, SHARD_FEATURES, EPOCHS = 40_000, 10_000, 1 << 25, 6
 #: L1 is high: of the word pairs of a text nearly all occur nowhere else and must not get a weight.
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 4.0, 0.05
 #: Documents whose crc32 of the id leaves HELD_OUT modulo FOLDS are not learnt from.
@@ -74,14 +74,21 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, number of features, their indices): what a text weighs in training is its features, not its length."""
+    for b in parts(batches):
+        rows = [features(x).astype("<i4") for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(map(len, rows)), pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "toxic", "n", "features"])
+
+
 def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("doc_id", kind="stable")
-    w = ftrl([features(x) for x in pdf.raw], pdf.toxic.tolist())
+    w = ftrl([np.frombuffer(x, dtype="<i4") for x in pdf.features], pdf.toxic.tolist())
     at = np.flatnonzero(w)
     return pd.DataFrame({"i": at, "w": w[at]})
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, shard_features: int = SHARD_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """The model: sorted indices and their weights."""
     ship(docs.sparkSession)
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) != 0).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
@@ -94,7 +101,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(span * min(1.0, 0.98 * max_rows / total))) if total > max_rows else own
     # about max_rows ids and labels at most: small whatever the corpus
     raw = id_and_bytes(docs, id_col, text_col).join(F.broadcast(own), "doc_id")
-    found = raw.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")).applyInPandas(_train_shard, "i long, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).orderBy("i").toPandas()
+    rows = spill(raw.mapInArrow(_features, "doc_id long, toxic int, n long, features binary"), "toxicity-features", "lz4")
+    shards = max(shards, -(-(rows.agg(F.sum("n").alias("n")).first()["n"] or 0) // shard_features))
+    found = rows.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")).applyInPandas(_train_shard, "i long, w double").groupBy("i").agg((F.sum("w") / shards).alias("w")).orderBy("i").toPandas()
     return found.i.to_numpy(), found.w.to_numpy()
 
 
