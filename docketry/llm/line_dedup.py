@@ -15,6 +15,7 @@ than the id and the text are not looked at. An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with all their columns and rows, the text without the lines that go, and length_col (if there is one) its length. A null text stays null."""
     ship(docs.sparkSession)
-    gone = _gone(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc_id").alias("__gone_id"), F.col("gone").alias("__gone"))
+    taken = {c.lower() for c in docs.columns}
+    name = next(x for x in (f"__gone{i}" for i in count()) if x not in taken and f"{x}_id" not in taken)
+    gone = _gone(docs, id_col, text_col, min_chars, min_docs).select(F.col("doc_id").alias(f"{name}_id"), F.col("gone").alias(name))
 
     @F.pandas_udf("binary")
     def kept(raw, lost):
@@ -119,10 +122,10 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(b"\n".join(line for line in x.split(b"\n") if line_key(line, min_chars) not in bad))
         return pd.Series(out)
 
-    both = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__gone_id"), "left")
+    both = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col(f"{name}_id"), "left")
     # only texts that lose something go through Python
-    lost = F.col("__gone").isNotNull()
-    text = F.when(lost, kept(F.when(lost, F.col(text_col).cast("binary")).otherwise(F.lit(b"")), F.coalesce("__gone", F.lit(b""))).cast("string")).otherwise(F.col(text_col))
+    lost = F.col(name).isNotNull()
+    text = F.when(lost, kept(F.when(lost, F.col(text_col).cast("binary")).otherwise(F.lit(b"")), F.coalesce(name, F.lit(b""))).cast("string")).otherwise(F.col(text_col))
     out = both.withColumn(text_col, text)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(lost, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))

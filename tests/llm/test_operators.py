@@ -312,3 +312,26 @@ def test_repeated_and_missing_ids(spark):
         assert out.count() == len(rows)
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).filter("doc_id is not null").collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3), (3, 3)]
+
+
+def test_very_long_texts(spark):
+    """Texts of 1.5 MB, most of them of one line, next to short ones."""
+    rng = np.random.RandomState(9)
+    words = rng.choice([f"w{i}" for i in range(5000)], 250_000)
+    long, other = " ".join(words), " ".join(np.where(np.arange(len(words)) % 1000 == 7, "changed", words))
+    lines = "\n".join([LINE, " ".join(words[:2000])] * 200)
+    docs = {1: long, 2: other, 3: lines, 4: "a" * 1_500_000, 5: " " * 1_500_000, 6: "\n" * 300_000, 7: "short text", 8: LINE, 9: LINE, 10: LINE, 11: LINE + "\n" + long[:4000]}
+    df = frame(spark, docs).cache()
+    assert table(line_dedup.dedup_lines(df), "doc_id", "n_lines", "n_dropped", "text") == brute.lines(docs)
+    assert table(quality.judge(df), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == {k: brute.base_counts(t) for k, t in docs.items()}
+    assert table(minhash.near_duplicates(df), "doc_id", "n_shingles", "component_id") == brute.near(docs)
+    out = tokenfile.read(spark, tokenfile.write(df, public_tokenizers.path("byte_bpe_50k.json"), 2))
+    enc, start = encoder(), 0
+    for r in sorted(out.collect(), key=lambda r: r.doc_id):
+        assert r.start == start
+        start += r.n_tokens
+        if r.doc_id not in (4, 5, 6):  # the library that is compared with ends on these
+            ids = np.array([*enc.encode_ordinary(docs[r.doc_id]), 2], dtype="<u4")
+            assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    pages = spark.createDataFrame([(k, "u", t) for k, t in docs.items()], "page_id long, url string, html string")
+    assert table(warc.read(spark, warc.write(pages)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.warc(docs)
