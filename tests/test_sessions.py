@@ -13,11 +13,8 @@ from docketry.streaming.log import Log
 TEXT = "Subject: Renewal\n\nYour health insurance policy renewal: premium is due by 2026-10-15. Policy number 7."
 
 
-@pytest.mark.parametrize("scheme", ["", "viewfs://logs/here"])
-def test_writers_of_a_log_see_all_before_them(spark, tmp_path, scheme):
-    if scheme:  # a store where Hadoop renames
-        spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./here", f"file://{tmp_path}")
-    folder = f"{scheme}/log" if scheme else str(tmp_path / "log")
+def test_writers_of_a_log_see_all_before_them(spark, tmp_path):
+    folder = str(tmp_path / "log")
 
     def write(who):
         log = Log(spark, folder)
@@ -35,6 +32,15 @@ def test_writers_of_a_log_see_all_before_them(spark, tmp_path, scheme):
     assert not [p for p in (tmp_path / "log").iterdir() if p.name.startswith("_draft")]
 
 
+def test_a_log_where_hadoop_renames(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./here", f"file://{tmp_path}")
+    one, other = (Log(spark, "viewfs://logs/here/log") for _ in range(2))
+    for log in (one, other, one):
+        log.append(lambda entries: {"seen": len(entries)})
+    assert [e["seen"] for e in other.entries()] == [0, 1, 2]
+    assert not one._create(2, b"{}") and [e["seen"] for e in Log(spark, "viewfs://logs/here/log").entries()] == [0, 1, 2]
+
+
 def test_two_drivers_of_a_session_count_each_file_once(spark, tmp_path):
     folder, state = tmp_path / "in", str(tmp_path / "state")
     folder.mkdir()
