@@ -134,6 +134,6 @@ def write_files(blocks: DataFrame, folder: str, order: list[Column | str] = (),
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, content) of the files in a folder."""
+    """(name, content) of the files in a folder; Spark's reader leaves out files without bytes."""
     raw = spark.read.format("binaryFile").load(folder)
     return raw.select(F.substring_index("path", "/", -1).alias("name"), F.col("content").cast("string").alias("content"))
