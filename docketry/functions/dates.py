@@ -16,7 +16,12 @@ HIT = "array<struct<value:date,raw:string,start:int,end:int,quality:double,ambig
 
 def date_of(year: Column, month: Column, day: Column) -> Column:
     """The date, or null if there is no such day."""
-    return F.call_function("try_to_date", F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))
+
+    def checked(d):
+        day = F.date_add(F.make_date(d["year"], d["month"], F.lit(1)), d["day"] - 1)
+        return F.when(d["year"].between(1, 9999) & d["month"].between(1, 12) & d["day"].between(1, 31), F.when(F.month(day) == d["month"], day))
+
+    return let(F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day")), checked)
 
 
 def month_number(name: Column) -> Column:
@@ -44,18 +49,22 @@ def anchor_of(modified: Column, today: Column) -> Column:
     return F.coalesce(F.when(modified.rlike(shape), F.call_function("try_to_date", F.substring(modified, 1, 10), F.lit("yyyy-MM-dd"))), today)
 
 
-def _hits(text: Column, pattern: str, prio: int, parse) -> Column:
-    """parse(raw) -> (value, quality, ambiguous)."""
+def _hits(text: Column, pattern: str, prio: int, parse, groups: int) -> Column:
+    """parse(groups of the match) -> (value, quality, ambiguous)."""
 
     def hit(x):
-        value, quality, ambiguous = parse(x["raw"])
-        return F.struct(value.alias("value"), x["raw"].alias("raw"), x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), quality.cast("double").alias("quality"), ambiguous.alias("ambiguous"), F.lit(prio).alias("prio"))
+        def built(g):
+            value, quality, ambiguous = parse(*(g[f"g{k}"] for k in range(1, groups + 1)))
+            return F.struct(value.alias("value"), x["raw"].alias("raw"), x["start"].alias("start"), (x["start"] + F.length(x["raw"])).alias("end"), quality.cast("double").alias("quality"), ambiguous.alias("ambiguous"), F.lit(prio).alias("prio"))
+
+        # each group is cut out once, however often it is looked at
+        return let(F.struct(F.lit(0).alias("g0"), *(F.regexp_extract(x["raw"], pattern, k).alias(f"g{k}") for k in range(1, groups + 1))), built)
 
     return F.transform(spans(text, pattern), hit).cast(HIT)
 
 
-def _number(raw: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(raw, pattern, k), F.lit("")).cast("int")
+def _int(group: Column) -> Column:
+    return F.nullif(group, F.lit("")).cast("int")
 
 
 def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Column:
@@ -66,37 +75,39 @@ def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Colum
     """
     no, yes = F.lit(False), F.lit(True)
 
-    def iso(raw):
-        return date_of(*(_number(raw, ISO, k) for k in (1, 2, 3))), F.lit(0.95), no
+    def iso(year, month, day):
+        return date_of(_int(year), _int(month), _int(day)), F.lit(0.95), no
 
-    def named(pattern, month_at, day_at):
-        def parse(raw):
-            month, day, year = month_number(F.regexp_extract(raw, pattern, month_at)), _number(raw, pattern, day_at), _number(raw, pattern, 3)
-            return F.when(year.isNotNull(), date_of(year, month, day)).otherwise(next_occurrence(month, day, anchor)), F.when(year.isNotNull(), 0.92).otherwise(0.72), no
+    def named(month, day, year):
+        month, day, year = month_number(month), _int(day), F.nullif(year, F.lit(""))
+        return F.when(year.isNotNull(), date_of(year.cast("int"), month, day)).otherwise(next_occurrence(month, day, anchor)), F.when(year.isNotNull(), 0.92).otherwise(0.72), no
 
-        return parse
-
-    def numeric(raw):
-        first, second, year = (_number(raw, NUMERIC, k) for k in (1, 2, 3))
+    def numeric(first, second, year):
+        first, second, year = _int(first), _int(second), _int(year)
         day, month = (second, first) if month_first else (first, second)
         unclear = (first <= 12) & (second <= 12)
         return date_of(year, month, day), F.when(unclear, 0.78).otherwise(0.86), F.when(unclear, yes).otherwise(no)
 
-    def relative(raw):
-        n, unit = F.least(_number(raw, RELATIVE, 1), F.lit(MOST_UNITS)), F.lower(F.regexp_extract(raw, RELATIVE, 3))
-        business = F.regexp_extract(raw, RELATIVE, 2) != ""
-        value = F.when(business, add_business_days(anchor, n)).when(unit == "day", F.date_add(anchor, n)).when(unit == "week", F.date_add(anchor, n * 7)).otherwise(F.add_months(anchor, n))
+    def relative(n, business, unit):
+        n, unit = F.least(_int(n), F.lit(MOST_UNITS)), F.lower(unit)
+        value = F.when(business != "", add_business_days(anchor, n)).when(unit == "day", F.date_add(anchor, n)).when(unit == "week", F.date_add(anchor, n * 7)).otherwise(F.add_months(anchor, n))
         return value, F.lit(0.66), no
 
-    kinds = [(ISO, iso), (MONTH_DAY, named(MONTH_DAY, 1, 2)), (DAY_MONTH, named(DAY_MONTH, 2, 1)), (NUMERIC, numeric), (RELATIVE, relative), (TODAY, lambda raw: (anchor, F.lit(0.58), no)), (TOMORROW, lambda raw: (F.date_add(anchor, 1), F.lit(0.58), no))]
-    every = F.filter(F.concat(*(_hits(text, p, i, parse) for i, (p, parse) in enumerate(kinds))), lambda x: x["value"].isNotNull())
+    kinds = [
+        (ISO, iso, 3), (MONTH_DAY, named, 3), (DAY_MONTH, lambda day, month, year: named(month, day, year), 3), (NUMERIC, numeric, 3), (RELATIVE, relative, 3),
+        (TODAY, lambda: (anchor, F.lit(0.58), no), 0), (TOMORROW, lambda: (F.date_add(anchor, 1), F.lit(0.58), no), 0),
+    ]
+    every = F.filter(F.concat(*(_hits(text, p, i, parse, groups) for i, (p, parse, groups) in enumerate(kinds))), lambda x: x["value"].isNotNull())
 
     def keep(acc, x):
         return F.when(F.exists(acc, lambda o: (x["start"] < o["end"]) & (x["end"] > o["start"])), acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = F.aggregate(every, F.array().cast(HIT), keep)
-    placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["prio"].alias("prio"), x.alias("hit"))))
-    return F.transform(placed, lambda x: x["hit"])
+    def in_order(found):
+        kept = F.aggregate(found, F.array().cast(HIT), keep)
+        placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["prio"].alias("prio"), x.alias("hit"))))
+        return F.when(F.size(found) < 2, found).otherwise(F.transform(placed, lambda x: x["hit"]))
+
+    return let(every, in_order)
 
 
 #: Dates of statement rows, day first whatever the order elsewhere: numeric with one kind of separator, year first, or with a month's name.

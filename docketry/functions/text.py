@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
 from docketry.functions.terms import found as terms_found
-from docketry.functions.terms import grams, integers, strings
+from docketry.functions.terms import grams, strings
 
 #: Line ends as str.splitlines() sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -21,6 +23,13 @@ def let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out once a row, whatever is filtered by them later: filters are moved in front of a projection
+    with all that its expressions hold, and not in front of a generator."""
+    own = df.withColumns(columns)
+    return own.select(*(c for c in own.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
+
+
 def quoted(term: str) -> str:
     return r"\Q" + term + r"\E"
 
@@ -37,7 +46,8 @@ def has_any(text: Column, terms) -> Column:
 
 def contains_any(text: Column, parts) -> Column:
     """Whether any of the parts is a substring of text."""
-    return text.rlike("|".join(quoted(p) for p in parts))
+    # one look for each part: a pattern of alternatives tries all of them at each place, which takes five times as long
+    return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
 
 
 def squeeze(text: Column) -> Column:
@@ -106,13 +116,17 @@ def nearest(text: Column, at: Column, words) -> Column:
             gaps = F.split(low, F.concat(F.lit(NOT_AFTER + r"\Q"), w, F.lit(r"\E" + NOT_BEFORE)), -1)
             n = F.length(w)
 
+            def distance(begin):
+                return F.least(F.abs(place - begin), F.abs(place - begin - n))
+
             def step(acc, gap):
                 begin = acc["at"] + F.length(gap)
-                away = F.least(F.abs(place - begin), F.abs(place - begin - n))
-                return F.struct((begin + n).alias("at"), F.least(acc["best"], away).alias("best"))
+                return F.struct((begin + n).alias("at"), F.least(acc["best"], distance(begin)).alias("best"))
 
             start = F.struct(F.lit(0).alias("at"), F.lit(1 << 30).alias("best"))
-            best = let(gaps, lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), start, step, lambda acc: acc["best"]))
+            all_ = let(gaps, lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), start, step, lambda acc: acc["best"]))
+            # a word that text holds but once stands there as a whole word: no pattern has to be made of it
+            best = let(F.instr(low, w), lambda first: F.when(F.call_function("locate", w, low, first + 1) == 0, distance(first - 1)).otherwise(all_))
             return F.struct(best.alias("distance"), (F.array_position(strings(words), w).cast("int") - 1).alias("ord"), w.alias("word"))
 
         return F.array_min(F.transform(terms_found(grams(low), words), closest))
@@ -123,10 +137,12 @@ def nearest(text: Column, at: Column, words) -> Column:
 
 def first_of(text: Column, groups: dict, default: Column) -> Column:
     """The key of the group whose term comes first in text (substring); ties go to the first group."""
-    terms = [(t, i) for i, own in enumerate(groups.values()) for t in own]
-    listed = F.arrays_zip(strings([t for t, _ in terms]).alias("t"), integers([i for _, i in terms]).alias("i"))
-    held = F.filter(listed, lambda x: F.contains(text, x["t"]))
-    first = F.array_min(F.transform(held, lambda x: F.struct(F.instr(text, x["t"]).alias("at"), x["i"].alias("i"))))
+    def place(own, i):
+        # a group's own terms are looked for only if it has one in text
+        held = F.filter(strings(own), lambda t: F.contains(text, t))
+        return F.when(contains_any(text, own), F.struct(F.array_min(F.transform(held, lambda t: F.instr(text, t))).alias("at"), F.lit(i).alias("i")))
+
+    first = F.array_min(F.array(*(place(own, i) for i, own in enumerate(groups.values()))))
     return F.coalesce(F.get(strings(list(groups)), first["i"]), default)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import fixed_values as V
 from docketry.functions.dates import MAY_HAVE_DATE, anchor_of, find_dates
 from docketry.functions.terms import mapping
-from docketry.functions.text import LINE_END, PAGE_LINE, contains_any, first_of, first_rule, has_any, nearest, squeeze, stem, title_case
+from docketry.functions.text import LINE_END, PAGE_LINE, bound, contains_any, first_of, first_rule, has_any, nearest, squeeze, stem, title_case
 
 LONG_LINE, FAR, NEAR_HISTORY, WINDOW, STALE_DAYS = 2500, 160, 60, 55, 45
 ACTION_WORDS = tuple(w for terms in V.ACTION_GROUPS.values() for w in terms) + V.DEADLINE_WORDS
@@ -49,7 +49,8 @@ def periodicity_of(text: Column) -> Column:
 def notice_days_of(text: Column) -> Column:
     unit = F.lower(F.regexp_extract(text, V.NOTICE, 2))
     days = F.nullif(F.regexp_extract(text, V.NOTICE, 1), F.lit("")).cast("int") * F.when(unit == "week", 7).when(unit == "month", 30).otherwise(1)
-    return F.when(days.between(1, 180), days)
+    # one of these words is in every match, and in few texts
+    return F.when(contains_any(F.lower(text), ("prior", "before", "advance", "notice")) & days.between(1, 180), days)
 
 
 def document_entity(content: Column, path: Column) -> Column:
@@ -99,8 +100,12 @@ def segments(docs: DataFrame) -> DataFrame:
 def mentions(docs: DataFrame, today, month_first: bool = False) -> DataFrame:
     """One row per date mention: segments' columns, hit, hit_no, hit_count."""
     day = F.lit(today).cast("date")
-    found = segments(docs).withColumn("_hits", find_dates(F.col("segment"), anchor_of(F.col("modified"), day), month_first))
-    return found.filter(F.size("_hits") > 0).select("*", F.size("_hits").alias("hit_count"), F.posexplode("_hits").alias("hit_no", "hit")).drop("_hits")
+    found = segments(docs).withColumn("_anchor", anchor_of(F.col("modified"), day))
+    found = found.withColumn("_hits", find_dates(F.col("segment"), F.col("_anchor"), month_first)).drop("_anchor")
+    # no filter on the number of hits, nor a generator over the column itself, for which Spark adds one: in front of the
+    # projection it would look for the dates once more
+    numbered = F.transform("_hits", lambda h, i: F.struct(i.alias("hit_no"), h.alias("hit")))
+    return found.select("*", F.size("_hits").alias("hit_count"), F.explode(numbered).alias("_hit")).select("*", "_hit.hit_no", "_hit.hit").drop("_hits", "_hit")
 
 
 def judge(found: DataFrame, today) -> DataFrame:
@@ -136,7 +141,8 @@ def judge(found: DataFrame, today) -> DataFrame:
         .when(~has_action, V.NO_ACTION)
         .when(score < 0.42, V.NO_ACTION)
     )
-    x = x.withColumns({"rejected_as": rejected, "confidence": F.greatest(F.lit(45), F.least(F.lit(98), F.rint(score * 100).cast("int"))), "category": category_of(low, F.col("domain")), "notice_days": notice_days_of(F.col("segment")), "periodicity": periodicity_of(F.col("segment"))})
+    x = bound(x, {"rejected_as": rejected})
+    x = x.withColumns({"confidence": F.greatest(F.lit(45), F.least(F.lit(98), F.rint(score * 100).cast("int"))), "category": category_of(low, F.col("domain")), "notice_days": notice_days_of(F.col("segment")), "periodicity": periodicity_of(F.col("segment"))})
     x = x.withColumns({"title": title_of(low, F.col("category"), F.col("domain")), "action_date": F.date_sub(value, F.col("notice_days")), "entity": F.coalesce("document_entity", first_rule(low, V.ENTITY_HINTS, has_any))})
     key = F.concat(F.coalesce(F.nullif("document_id", F.lit("")), "path"), F.lit(":"), "line", F.lit(":"), value.cast("string"), F.lit(":"), raw)
     reason = F.when(F.col("_word").isNotNull(), F.concat(F.lit("“"), "_word", F.lit("” appears near this date"))).otherwise("Milestone date found in document context")

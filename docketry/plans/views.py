@@ -19,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a task works on, about, where a view makes a text of each: their files are small for the time that they take.
+TASK_ROWS = 1 << 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files have fewer splits than there are cores; larger inputs stay as they lie."""
+    """df over all cores and in tasks of a bounded number of rows, however few files, splits or row groups it lies in."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // TASK_ROWS)))
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
