@@ -2,14 +2,18 @@
 
 Events are (scan_id, path, status, candidates, total, updated_at): one for each file that is listed (`pending`) or gets another status, and
 one without a path for the session itself (`running`, `cancelled`, `complete`, with its total and the time at which it began or changed). Events come in any order. State holds the last status of each file, so a repeated
-event changes nothing, and totals that are kept in step; a file is a key of a map state, so no session's files are ever
-gathered. A session that runs and hears nothing for STALL_SECONDS of event time is told as `stalled`, by a timer.
+event changes nothing, and totals that are kept in step. Files lie in chunks of about CHUNK_FILES by their path's hash, which are split
+one at a time as a session grows (linear hashing): a call of the state store costs more than the file itself, so each chunk is read and
+written once for all that comes for it, and no session's files are ever gathered. A session that runs and hears nothing for STALL_SECONDS of event time is told as `stalled`, by a timer.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,43 +25,93 @@ from docketry.sources.shared import ship
 EVENTS = "scan_id string, path string, status string, candidates long, total long, updated_at timestamp"
 STATUS = "scan_id string, status string, total long, files_processed long, files_cached long, files_skipped long, dates_reviewed long, rate double, eta_seconds long, updated_at timestamp"
 STALL_SECONDS = 600
-_COUNTS = "status string, total long, processed long, cached long, skipped long, candidates long, changed double, created double, updated double, timer long"
+#: Files of a chunk, about, and events that are dealt to chunks at once. The first chunk lies beside the counts, which small sessions need no other for.
+CHUNK_FILES, BLOCK_EVENTS = 128, 1 << 16
+_COUNTS = "status string, total long, processed long, cached long, skipped long, candidates long, changed double, created double, updated double, timer long, files long, chunks long, first string"
 _FINISHED = ("done", "cached", "skipped")
 #: Of two statuses of a session at one time the later one here holds.
 _ORDER = ("running", "cancelled", "complete")
 
 
+def _chunk(path: str, chunks: int) -> int:
+    """A path's chunk: its hash by the next power of two, or by the one before where that chunk isn't there yet."""
+    top = 1 << chunks.bit_length()
+    number = crc32(path.encode("utf-8", "surrogatepass")) % top
+    return number if number < chunks else number - top // 2
+
+
 class SessionStatus(StatefulProcessor):
     def __init__(self, stall_seconds: float = STALL_SECONDS):
         self.stall_seconds = stall_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.files = handle.getMapState("files", "path string", "status string, candidates long, at double")
+        self.chunks = handle.getMapState("chunks", "chunk long", "files string")
         self.counts = handle.getValueState("counts", _COUNTS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         c = self._counts()
-        for r in rows:
-            at = r.updated_at.timestamp()
-            if r.path is None:
-                c["created"] = at if c["created"] is None else min(c["created"], at)
-                if (at, _ORDER.index(r.status)) >= (c["changed"] or 0, _ORDER.index(c["status"]) if c["status"] else 0):
-                    c["status"], c["total"], c["changed"] = r.status, r.total if r.total is not None else c["total"], at
-            else:
-                before = self.files.getValue((r.path,)) if self.files.containsKey((r.path,)) else None
-                if before is not None and (before[2], before[0] in _FINISHED) > (at, r.status in _FINISHED):
-                    continue  # a later status is known already
-                for status, n, sign in ((before[0], before[1], -1) if before else (None, 0, 0), (r.status, r.candidates or 0, 1)):
-                    c["processed"] += sign * (status in _FINISHED)
-                    c["cached"] += sign * (status == "cached")
-                    c["skipped"] += sign * (status == "skipped")
-                    c["candidates"] += sign * n
-                self.files.updateValue((r.path,), (r.status, r.candidates or 0, at))
-            c["updated"] = at if c["updated"] is None else max(c["updated"], at)
+        while block := list(islice(rows, BLOCK_EVENTS)):
+            own: dict[str, list] = {}
+            for r in block:
+                at = r.updated_at.timestamp()
+                if r.path is None:
+                    c["created"] = at if c["created"] is None else min(c["created"], at)
+                    if (at, _ORDER.index(r.status)) >= (c["changed"] or 0, _ORDER.index(c["status"]) if c["status"] else 0):
+                        c["status"], c["total"], c["changed"] = r.status, r.total if r.total is not None else c["total"], at
+                    c["updated"] = at if c["updated"] is None else max(c["updated"], at)
+                else:
+                    own.setdefault(r.path, []).append((r.status, r.candidates or 0, at))
+            self._take(c, own)
         self._set_timer(c)
         yield self._row(key[0], c, c["status"])
 
+    def _take(self, c: dict, own: dict[str, list]) -> None:
+        """Bring files up to date with their events, chunk by chunk."""
+        self._grow(c, len(own))
+        chunks: dict[int, list] = {}
+        for path in own:
+            chunks.setdefault(_chunk(path, c["chunks"]), []).append(path)
+        for number, paths in chunks.items():
+            files = self._load(c, number)
+            for path in paths:
+                for status, candidates, at in own[path]:
+                    before = files.get(path)
+                    if before is not None and (before[2], before[0] in _FINISHED) > (at, status in _FINISHED):
+                        continue  # a later status is known already
+                    for was, n, sign in ((before[0], before[1], -1) if before else (None, 0, 0), (status, candidates, 1)):
+                        c["processed"] += sign * (was in _FINISHED)
+                        c["cached"] += sign * (was == "cached")
+                        c["skipped"] += sign * (was == "skipped")
+                        c["candidates"] += sign * n
+                    c["files"] += before is None
+                    c["updated"] = at if c["updated"] is None else max(c["updated"], at)
+                    files[path] = [status, candidates, at]
+            self._store(c, number, files)
+
+    def _grow(self, c: dict, more: int) -> None:
+        """Split chunks until they have room for so many more files."""
+        while c["files"] + more > CHUNK_FILES * c["chunks"]:
+            new, c["chunks"] = c["chunks"], c["chunks"] + 1
+            number = new - (1 << new.bit_length() - 1)
+            files = self._load(c, number)
+            moved = {p: v for p, v in files.items() if _chunk(p, c["chunks"]) == new}
+            if moved:
+                self._store(c, number, {p: v for p, v in files.items() if p not in moved})
+                self._store(c, new, moved)
+
+    def _load(self, c: dict, number: int) -> dict[str, list]:
+        if number:
+            known = self.chunks.getValue((number,)) if self.chunks.containsKey((number,)) else None
+            return json.loads(known[0]) if known else {}
+        return json.loads(c["first"])
+
+    def _store(self, c: dict, number: int, files: dict[str, list]) -> None:
+        if number:
+            self.chunks.updateValue((number,), (json.dumps(files),))
+        else:
+            c["first"] = json.dumps(files)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         c = self._counts()
         if c["timer"] == expiredTimerInfo.getExpiryTimeInMs():
@@ -71,7 +125,7 @@ class SessionStatus(StatefulProcessor):
 
     def _counts(self) -> dict:
         names = [x.split()[0] for x in _COUNTS.split(", ")]
-        known = self.counts.get() if self.counts.exists() else (None, None, 0, 0, 0, 0, None, None, None, None)
+        known = self.counts.get() if self.counts.exists() else (None, None, 0, 0, 0, 0, None, None, None, None, 0, 1, "{}")
         return dict(zip(names, known, strict=True))
 
     def _keep(self, c: dict) -> None:

@@ -32,3 +32,70 @@ def test_views_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     lumped = spark.range(0, 5000, 1, 1).union(spark.range(0, 0, 1, 31))
     sizes = views.spread(lumped).rdd.glom().map(len).collect()
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) <= 110
+
+
+class _State:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.value, self.calls = {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.rows[key] = value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_a_session_s_state_is_called_by_the_chunk_and_no_chunk_grows_with_the_session():
+    from docketry.streaming import status
+
+    begun, dice = datetime(2026, 8, 13, 9), random.Random(7)
+    state, known = _State(), {}
+    own = status.SessionStatus()
+    own.init(state)
+
+    def come(events):
+        row = list(own.handleInputRows(("s",), iter(events), None))[0]
+        for e in events:
+            before = known.get(e.path)
+            if before is None or (before.updated_at, before.status in status._FINISHED) <= (e.updated_at, e.status in status._FINISHED):
+                known[e.path] = e
+        return row
+
+    def event(path):
+        return SimpleNamespace(path=path, status=dice.choice(("pending", "done", "cached", "skipped")), candidates=dice.choice((None, 1, 2)), total=None, updated_at=begun + timedelta(seconds=dice.randrange(99)))
+
+    come([event(f"é{dice.randrange(60)}") for _ in range(100)])
+    assert state.calls <= 3
+    for n in (500, 3000, 3000):
+        state.calls = 0
+        row = come([event(f"é{dice.randrange(n)}") for _ in range(3000)])
+        want = [v.status for v in known.values()]
+        assert (row.files_processed, row.files_cached, row.files_skipped) == (len(want) - want.count("pending"), want.count("cached"), want.count("skipped"))
+        assert row.dates_reviewed == sum(v.candidates or 0 for v in known.values()) and state.calls < 600
+    chunks = [len(json.loads(v[0])) for v in state.rows.values()]
+    assert len(chunks) > 15 and max(chunks) < 4 * status.CHUNK_FILES
