@@ -13,17 +13,25 @@ def title_key(title: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.lower(title), r"(?U)\s+", " ")), 1, 80)
 
 
+#: What tells repeats apart and which of them is kept; who needs no more of commitments selects these before deduplication, as they are sorted.
+BASIS = ("date", "category", "title", "document_id", "confidence", "source", "line", "segment_no", "hit_no")
+
+
+def same(within: tuple[str, ...] = ()) -> list[Column | str]:
+    """What repeats of a commitment share: date, category, title and document (and the columns `within`)."""
+    identity = F.coalesce(F.nullif("document_id", F.lit("")), "source")
+    return [*within, "date", "category", title_key(F.col("title")).alias("_title"), identity.alias("_identity")]
+
+
 def deduplicate(commitments: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """The most confident of the commitments that share date, category, title and document (and the columns `within`); ties go to the first by place.
 
     Equal documents under different paths share their document_id. A partition holds one obligation's repeats within one
     document, so no partition grows with the corpus but by copies of a document; those are cut down to one row a path first.
     """
-    identity = F.coalesce(F.nullif("document_id", F.lit("")), "source")
-    keys = [*within, "date", "category", title_key(F.col("title")).alias("_title"), identity.alias("_identity")]
     rank = F.struct((-F.col("confidence")).alias("c"), "source", "line", "segment_no", "hit_no")
     # an aggregate, not a window: it combines on the map side, so copies of a document do not meet in one task
-    best = commitments.groupBy(*keys).agg(F.min_by(F.struct(*commitments.columns), rank).alias("best"))
+    best = commitments.groupBy(*same(within)).agg(F.min_by(F.struct(*commitments.columns), rank).alias("best"))
     return best.select("best.*")
 
 
@@ -141,10 +149,11 @@ def session_report(sessions: DataFrame, files: DataFrame, found: DataFrame, warn
     order = Window.partitionBy("scan_id").orderBy("updated_at", "path")
     first = files.filter("warning is not null").select("scan_id", "updated_at", "path", "warning").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= warnings)
     first = first.groupBy("scan_id").agg(F.collect_list(F.struct("n", "warning")).alias("_first"))
-    all_found = found.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_found"))
-    kept = deduplicate(found, ("scan_id",)).groupBy("scan_id").agg(F.count(F.lit(1)).alias("commitments"))
+    # found is read once: its repeats are counted where they are told apart
+    again = found.groupBy(*same(("scan_id",))).agg(F.count(F.lit(1)).alias("_n"))
+    kept = again.groupBy("scan_id").agg(F.sum("_n").alias("_found"), F.count(F.lit(1)).alias("commitments"))
     out = sessions.select("scan_id", "status", F.col("total").cast("long").alias("_total"), "created_at", "updated_at")
-    for side in (counts.withColumnRenamed("total", "_listed"), first, all_found, kept):
+    for side in (counts.withColumnRenamed("total", "_listed"), first, kept):
         out = out.join(side, "scan_id", "left")
     out = out.fillna(0, ["_listed", "processed", "cached", "skipped", "files_scanned", "dates_reviewed", "_found", "commitments"])
     seconds = F.col("updated_at").cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double")

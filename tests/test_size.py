@@ -99,3 +99,20 @@ def test_a_session_s_state_is_called_by_the_chunk_and_no_chunk_grows_with_the_se
         assert row.dates_reviewed == sum(v.candidates or 0 for v in known.values()) and state.calls < 600
     chunks = [len(json.loads(v[0])) for v in state.rows.values()]
     assert len(chunks) > 15 and max(chunks) < 4 * status.CHUNK_FILES
+
+
+def test_commitments_are_read_once_for_totals_and_session_reports(spark):
+    from docketry.operators import horizon, results
+
+    found = spark.createDataFrame([("s", None, "2026-08-20", "T", "money", "d", 90), ("s", "a", "2026-08-20", "T", "money", "d", 80), ("s", "a", "2026-01-20", "T", "money", "d", 80)], "scan_id string, source string, date string, title string, category string, document_id string, confidence int")
+    found = found.withColumns({"date": F.col("date").cast("date"), "line": F.lit(1), "segment_no": F.lit(0), "hit_no": F.lit(0)})
+    # rows without a source count, but aren't a source; a statement's source counts alone
+    got = horizon.totals(found, spark.createDataFrame([("b",), ("a",)], "source string"), "2026-08-13").first()
+    assert (got.milestones, str(got.nearest), got.sources) == (3, "2026-08-20", 2)
+    none = horizon.totals(found.limit(0), found.select("source").limit(0), "2026-08-13").first()
+    assert (none.milestones, none.nearest, none.sources) == (0, None, 0)
+    files = spark.createDataFrame([("s", "a", "done", 3, None, 1)], "scan_id string, path string, status string, candidates long, warning string, updated_at long")
+    sessions = spark.createDataFrame([("s", "running", 1), ("t", "running", 1)], "scan_id string, status string, total long").withColumns({"created_at": F.lit("2026-08-13 09:00:00"), "updated_at": F.lit("2026-08-13 09:00:10")})
+    report = results.session_report(sessions, files, found.filter(F.coalesce("source", F.lit("")) != "marked"))
+    assert plan_of(report).count("marked") == 1
+    assert {r.scan_id: (r.commitments, list(r.warnings)) for r in report.collect()} == {"s": (2, ["duplicate_commitment: 1 repeated commitment(s)"]), "t": (0, [])}
