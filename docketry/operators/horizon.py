@@ -71,9 +71,11 @@ def relative_label(date: Column, today) -> Column:
 def totals(commitments: DataFrame, statements: DataFrame, today) -> DataFrame:
     """One row: distinct sources of commitments and statements, milestones, and the nearest date to come."""
     day = F.lit(today).cast("date")
-    sources = commitments.select("source").union(statements.select("source")).agg(F.count_distinct("source").alias("sources"))
-    own = commitments.agg(F.count(F.lit(1)).alias("milestones"), F.min(F.when(F.col("date") >= day, F.col("date"))).alias("nearest"))
-    return own.withColumn("k", F.lit(1)).join(sources.withColumn("k", F.lit(1)), "k").drop("k")
+    coming = F.when(F.col("date") >= day, F.col("date"))
+    both = commitments.select("source", F.lit(1).alias("n"), coming.alias("date")).union(statements.select("source", F.lit(0), F.lit(None).cast("date")))
+    # one row a source, so that no distinct count has to be expanded; a null source is none
+    own = both.groupBy("source").agg(F.sum("n").alias("n"), F.min("date").alias("date"))
+    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("milestones"), F.min("date").alias("nearest"), F.count("source").alias("sources"))
 
 
 def document_label(path: Column) -> Column:

@@ -13,6 +13,7 @@ from docketry.operators import commitments, exports, horizon, policy, relevance,
 from docketry.operators.scan import scan
 from docketry.plans import views
 from docketry.plans.views import LEDGER, LETTERS, MANIFEST, NOTICES, PHRASES, TODAY
+from docketry.sources.shared import spill
 from docketry.streaming.sessions import event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,6 +412,11 @@ def _shown(spark, sf_dir):
 
 
 @query(f"""WITH {expected} SELECT path, CASE WHEN date < DATE '{TODAY}' THEN 'Overdue' WHEN date <= DATE '{TODAY}' + 30 THEN 'Next 30 days' ELSE 'Later' END AS bucket,
+def _shown_once(spark, sf_dir, *columns):
+    """These columns as a table, for those who read them more than once."""
+    return spill(_shown(spark, sf_dir).select(*columns), "shown")
+
+
   CASE date - DATE '{TODAY}' WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' WHEN -1 THEN 'Yesterday' ELSE CASE WHEN date < DATE '{TODAY}' THEN (DATE '{TODAY}' - date) || ' days overdue' ELSE 'In ' || (date - DATE '{TODAY}') || ' days' END END AS label FROM good""")
 def buckets_and_labels(spark, sf_dir):
     return _shown(spark, sf_dir).select("path", horizon.bucket(F.col("date"), TODAY).alias("bucket"), horizon.relative_label(F.col("date"), TODAY).alias("label"))
@@ -459,7 +465,7 @@ def labels_shown(spark, sf_dir):
 
 @query(f"WITH {expected} SELECT count(*) AS milestones, min(date) FILTER (date >= DATE '{TODAY}') AS nearest, count(DISTINCT path) AS sources FROM good")
 def totals(spark, sf_dir):
-    good = _shown(spark, sf_dir)
+    good = _shown_once(spark, sf_dir, "source", "date")
     return horizon.totals(good, good.select("source"), TODAY)
 
 
