@@ -369,8 +369,9 @@ d AS (SELECT (SELECT count(*) FROM good) AS f, (SELECT count(*) FROM kept) AS k)
 SELECT DATE '{TODAY}' AS today, files_scanned, files_skipped, dates_reviewed, greatest(dates_reviewed - k, 0) AS noise_removed, k AS commitments, f - k AS duplicates,
   array_to_string(list_concat(['historical_noise: ' || x FOR x IN p], CASE WHEN f > k THEN ['duplicate_commitment: ' || (f - k) || ' repeated commitment(s)'] ELSE [] END)[1:12], chr(10)) AS warnings FROM t, d, w""")
 def envelope(spark, sf_dir):
-    mentions = judged(spark, sf_dir)
-    outcomes = results.document_outcomes(views.notices(spark, sf_dir).select("path"), mentions)
+    # several results read the mentions and the outcomes
+    mentions = spill(judged(spark, sf_dir).select("path", "rejected_as", *results.BASIS), "mentions")
+    outcomes = spill(results.document_outcomes(views.notices(spark, sf_dir).select("path"), mentions), "outcomes")
     found = mentions.filter("rejected_as is null").drop("rejected_as")
     return results.envelope(outcomes, found, results.deduplicate(found), TODAY).withColumn("warnings", F.array_join("warnings", "\n"))
 
