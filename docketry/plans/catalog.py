@@ -426,7 +426,7 @@ def buckets_and_labels(spark, sf_dir):
 @query(f"""WITH {expected}, f AS (SELECT path, 'soon' AS name FROM good WHERE date - DATE '{TODAY}' BETWEEN 0 AND 30 UNION ALL SELECT path, 'expiry' FROM good WHERE category IN ('expiry', 'renewal', 'warranty', 'vehicle', 'travel') UNION ALL SELECT path, 'money' FROM good WHERE category IN ('money', 'billing', 'utilities', 'banking') UNION ALL SELECT path, 'cancellation' FROM good WHERE category = 'cancellation')
 SELECT name, count(*) AS n FROM f WHERE path NOT LIKE 'box7/%' GROUP BY 1""")
 def shown_by_filter(spark, sf_dir):
-    good = _shown(spark, sf_dir)
+    good = _shown_once(spark, sf_dir, "path", "id", "date", "category", "domain")
     dismissed = good.filter(F.col("path").startswith("box7/")).select("id")
     kept = horizon.visible(good, dismissed, "all", TODAY)
     names = ("soon", "expiry", "money", "cancellation")
@@ -447,7 +447,7 @@ def bundle_items(spark, sf_dir):
 
 @query(f"""WITH {expected} SELECT path, CASE WHEN key % 3 > 0 THEN path END AS opens FROM good WHERE document_id LIKE '%1'""")
 def selected_sources(spark, sf_dir):
-    shown = _shown(spark, sf_dir)
+    shown = _shown_once(spark, sf_dir, "path", "id", "document_id", "source", "page")
     files = views.notices(spark, sf_dir).filter("key % 3 > 0").select("path")
     return horizon.with_source(horizon.selected(shown, shown.filter("document_id like '%1'").select("id")), files).select("path", "opens")
 
