@@ -18,7 +18,7 @@ from docketry.sources.shared import scratch_path, spill
 SELECT path, date, row_number() OVER (ORDER BY date, confidence DESC, path) AS position FROM d WHERE k = 1""")
 def result_order(spark, sf_dir):
     good = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as")
-    return results.with_positions(results.deduplicate(good)).select("path", "date", "position")
+    return results.with_positions(results.deduplicate(good.select("path", *results.BASIS))).select("path", "date", "position")
 
 
 @query(f"""WITH {expected}, d AS (SELECT *, row_number() OVER (PARTITION BY document_id, date, category, lower(title) ORDER BY confidence DESC, path) AS k FROM good)
@@ -26,7 +26,7 @@ SELECT path, document_id AS scan_id, row_number() OVER (PARTITION BY document_id
 def session_order(spark, sf_dir):
     files = views.notices(spark, sf_dir).select("path", F.floor(F.col("key") / 3).alias("updated_at"))
     found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumn("scan_id", F.col("document_id"))
-    kept = results.deduplicate(found, ("scan_id",)).join(files, "path")
+    kept = results.deduplicate(found.select("path", "scan_id", *results.BASIS), ("scan_id",)).join(files, "path")
     return results.with_session_positions(kept).select("path", "scan_id", "position")
 
 
