@@ -78,7 +78,7 @@ _ROW = ORACLE_SQL["csv_export"].partition("SELECT path, ")[2].rpartition(" AS ro
 SELECT document_id || '.csv' AS name, sha256('{exports.CSV_HEAD}' || chr(13) || chr(10) || string_agg(row, chr(13) || chr(10) ORDER BY date, path)) AS content FROM own GROUP BY document_id""")
 def document_files(spark, sf_dir):
     found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumn("id", F.col("path"))
-    own = exports.document_files(spill(found, "found"), by="document_id")  # heads and rows read it
+    own = exports.document_files(spill(found.select("id", "document_id", "snippet", *exports.CSV_COLUMNS), "found"), by="document_id")  # heads and rows read it
     folder = scratch_path(spark, "tables")
     sinks.write_files(own, folder, ["ord"])
     return sinks.read_files(spark, folder).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
