@@ -2,7 +2,7 @@
 
 A term that begins and ends with a word character stands in a text as a whole word just where a run of one to MOST_WORDS words,
 with what is between them, equals it. So a text is cut into words once, its grams of one to MOST_WORDS words are compared with all
-terms by hash (array_intersect), and what is found is looked at further. All lists of fixed_values have such terms.
+terms by hash, and what is found is looked at further. All lists of fixed_values have such terms.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ def grams(text: Column) -> Column:
 
 def found(text_grams: Column, terms: Sequence[str]) -> Column:
     """The terms that are whole words of a text, given its grams (or terms found before); each once."""
-    return F.array_intersect(text_grams, strings(_checked(terms)))
+    # a set that is made once a task; array_intersect would make it anew for each row
+    return F.array_distinct(F.filter(text_grams, lambda gram: gram.isin(*_checked(terms))))
 
 
 def score(text_grams: Column, terms: Sequence[str]) -> Column:

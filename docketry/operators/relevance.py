@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.functions.terms import found, grams, mapping, score
-from docketry.functions.text import bounded, contains_any, has_any, sample, words_of_name
+from docketry.functions.terms import found, grams, score
+from docketry.functions.text import contains_any, has_any, sample, words_of_name
 
 STATEMENT_SCORE, LONGEST_BLOCK = 6, 800
 
@@ -36,8 +38,12 @@ def is_reference(low: Column, terms: Column, name_terms: Column) -> Column:
 def cohesive(content: Column, domain: Column) -> Column:
     """Whether one sentence has a term of the domain, one of action, and a date."""
     blocks = F.transform(F.split(content, r"[\n.!?]+"), lambda b: F.lower(F.regexp_replace(b, r"(?U)\s+", " ")))
-    terms = mapping({k: bounded(v) for k, v in V.DOMAIN_TERMS.items()})
-    return F.exists(blocks, lambda b: (F.length(b) <= LONGEST_BLOCK) & b.rlike(V.HAS_DATE) & has_any(b, V.ACTION_TERMS) & F.rlike(b, F.element_at(terms, domain)))
+
+    def of_domain(b):
+        # a pattern that is no literal would be compiled for each row
+        return reduce(lambda other, own: F.when(domain == own[0], has_any(b, own[1])).otherwise(other), V.DOMAIN_TERMS.items(), F.lit(None).cast("boolean"))
+
+    return F.exists(blocks, lambda b: (F.length(b) <= LONGEST_BLOCK) & b.rlike(V.HAS_DATE) & has_any(b, V.ACTION_TERMS) & of_domain(b))
 
 
 def classify(docs: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:

@@ -2,25 +2,80 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
 from docketry.operators import commitments, policy, relevance, results, statements
-from docketry.sources.shared import let_go, spill
+from docketry.sources.shared import let_go, spill, spread
+
+#: Documents, and bytes of text, that a task looks through for dates or for transactions, about.
+TASK_DOCUMENTS, TASK_BYTES = 1 << 15, 1 << 26
 
 
-@dataclass(frozen=True)
 class Scan:
-    """What a scan of documents gives. kept: the tables that they read."""
+    """What a scan of documents gives: commitments, judged, statements, outcomes. Each is worked out when it is first asked for, and what it needs but once.
+
+    kept: the tables that they read.
+    """
+
+    def __init__(self, files: DataFrame, today, month_first: bool = False):
+        self._files, self._today, self._month_first = files, today, month_first
+        self.kept: list[DataFrame] = []
+
+    def _table(self, df: DataFrame, name: str) -> DataFrame:
+        out = spill(df, name)
+        self.kept.append(out)
+        return out
+
+    @cached_property
+    def _seen(self) -> DataFrame:
+        """Documents that passed the gates or have a warning. Gates stand before costly work: paths first, then emptiness, then relevance; only what passes is parsed."""
+        files = self._files
+        size = F.coalesce(F.octet_length("content"), F.lit(0))
+        skip = F.col("warning") if "warning" in files.columns else F.lit(None).cast("string")
+        gated = files.select("path", "content", "modified", policy.file_warning(F.col("path"), size, skip).alias("warning"))
+        empty = policy.rejection(F.lit(V.NO_ACTION), F.col("path"), F.lit("empty file"))
+        gated = gated.withColumn("warning", F.coalesce("warning", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, empty)))
+        seen = relevance.classify(gated.withColumn("content", F.when(F.col("warning").isNull(), F.col("content"))))
+        seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path")))))
+        # several branches read the classified documents, the mentions and the summaries: tables cut their plans and survive lost executors
+        return self._table(seen, "classified")
+
+    @cached_property
+    def _docs(self) -> DataFrame:
+        good = self._seen.filter("warning is null")
+        return good.select("path", "content", "modified", commitments.document_id(F.col("content")).alias("document_id"), F.col("relevance_domain").alias("domain"))
 
-    commitments: DataFrame
-    judged: DataFrame
-    statements: DataFrame
-    outcomes: DataFrame
-    kept: tuple[DataFrame, ...] = ()
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """Rows of the table of classified documents, dealt anew: its files are small for the time that their texts take."""
+        return spread(df, TASK_DOCUMENTS, F.octet_length("content"), TASK_BYTES)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        """judged for one reader: no table is written, and only the columns that are asked for are worked out."""
+        return commitments.extract(self._dealt(self._docs), self._today, self._month_first)
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        return self._table(self.mentions, "mentions")
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        banks = self._seen.filter("warning is null").filter(F.col("bank_score") >= relevance.STATEMENT_SCORE).select(F.col("path").alias("statement_id"), "content")
+        ids = self._docs.select("path", F.col("document_id").alias("id"))
+        found = statements.analyze(self._dealt(banks), kept=self.kept).withColumnRenamed("statement_id", "path").join(ids, "path")
+        return self._table(found.withColumn("title", F.lit(V.STATEMENT_TITLE)), "summaries")
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return results.document_outcomes(self._seen.select("path", "warning"), self.judged, self.statements.select("path"))
+
+    @cached_property
+    def commitments(self) -> DataFrame:
+        return results.ordered(results.deduplicate(self.judged.filter("rejected_as is null").drop("rejected_as")))
 
     def release(self) -> None:
         """Delete those tables, once the results are written."""
@@ -29,26 +84,5 @@ class Scan:
 
 
 def scan(files: DataFrame, today, month_first: bool = False) -> Scan:
-    """files: path, content (cleaned text; null if unreadable), modified, and perhaps warning. Nothing is collected; what several results read is written to tables in the shared folder.
-
-    Gates stand before costly work: paths first, then emptiness, then relevance; only what passes is parsed.
-    """
-    size = F.coalesce(F.octet_length("content"), F.lit(0))
-    skip = F.col("warning") if "warning" in files.columns else F.lit(None).cast("string")
-    gated = files.select("path", "content", "modified", policy.file_warning(F.col("path"), size, skip).alias("warning"))
-    empty = policy.rejection(F.lit(V.NO_ACTION), F.col("path"), F.lit("empty file"))
-    gated = gated.withColumn("warning", F.coalesce("warning", F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, empty)))
-    # several branches read the classified documents, the mentions and the summaries: tables cut their plans and survive lost executors
-    seen = relevance.classify(gated.withColumn("content", F.when(F.col("warning").isNull(), F.col("content"))))
-    seen = seen.withColumn("warning", F.coalesce("warning", F.when(~F.col("relevant"), policy.rejection(F.lit(V.IRRELEVANT), F.col("path")))))
-    seen = spill(seen, "classified")
-    good = seen.filter("warning is null")
-    docs = good.select("path", "content", "modified", commitments.document_id(F.col("content")).alias("document_id"), F.col("relevance_domain").alias("domain"))
-    judged = spill(commitments.extract(docs, today, month_first), "mentions")
-    banks = good.filter(F.col("bank_score") >= relevance.STATEMENT_SCORE).select(F.col("path").alias("statement_id"), "content")
-    ids = docs.select("path", F.col("document_id").alias("id"))
-    kept = [seen, judged]
-    summaries = spill(statements.analyze(banks, kept=kept).withColumnRenamed("statement_id", "path").join(ids, "path").withColumn("title", F.lit(V.STATEMENT_TITLE)), "summaries")
-    found = results.deduplicate(judged.filter("rejected_as is null").drop("rejected_as"))
-    outcomes = results.document_outcomes(seen.select("path", "warning"), judged, summaries.select("path"))
-    return Scan(results.ordered(found), judged, summaries, outcomes, (*kept, summaries))
+    """files: path, content (cleaned text; null if unreadable), modified, and perhaps warning. Nothing is collected; what several results read is written to tables in the shared folder."""
+    return Scan(files, today, month_first)

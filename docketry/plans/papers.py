@@ -52,7 +52,7 @@ mentions AS (SELECT *, substr(sha256(flat), 1, 20) AS document_id, coalesce(gate
 @query(f"""WITH {_PAPERS} SELECT path, CAST(line AS INT) AS line, date, raw AS original, rejected_as, CASE kind WHEN 4 THEN 'banking' ELSE 'insurance' END AS domain, document_id,
   substr(sha256(document_id || ':' || line || ':' || strftime(date, '%Y-%m-%d') || ':' || raw), 1, 12) AS id, CAST(CASE WHEN rejected_as IS NULL THEN CASE WHEN date >= DATE '{TODAY}' THEN 90 ELSE 80 END END AS INT) AS confidence FROM mentions""")
 def paper_mentions(spark, sf_dir):
-    judged = scan(papers(spark, sf_dir), TODAY).judged
+    judged = scan(papers(spark, sf_dir), TODAY).mentions
     return judged.select("path", "line", "date", "original", "rejected_as", "domain", "document_id", "id", F.when(F.col("rejected_as").isNull(), F.col("confidence")).alias("confidence"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.chunks import running_total
+from docketry.sources import shared
 
 TODAY = "2026-08-13"
 #: Days by which order dates are moved: 27 years.
@@ -25,8 +26,7 @@ TASK_ROWS = 1 << 16
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores and in tasks of a bounded number of rows, however few files, splits or row groups it lies in."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-df.count() // TASK_ROWS)))
+    return shared.spread(df, TASK_ROWS)
 
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:

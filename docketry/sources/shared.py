@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -40,6 +41,13 @@ def spill(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, size: Column | None = None, bytes_: int = 0) -> DataFrame:
+    """df over all cores and in tasks of about so many rows, and of so many bytes by `size`, however few files, splits or row groups it lies in."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0)).alias("bytes")).first()
+    return df.repartition(max(cores, -(-found["n"] // rows), -(-found["bytes"] // bytes_) if bytes_ else 1))
+
+
 def let_go(df: DataFrame) -> None:
     """Delete the table that spill() wrote for df, once nothing reads it any more."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
-from docketry.operators import commitments
+from docketry.operators import commitments, scan
 from docketry.plans import views
 
 
@@ -34,6 +34,31 @@ def test_views_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) <= 110
 
 
+def test_a_scan_works_out_what_is_asked_for_and_deals_texts_to_bounded_tasks(spark, monkeypatch):
+    def analyze(*_, **__):
+        raise AssertionError("statements are looked through for mentions")
+
+    monkeypatch.setattr(scan.statements, "analyze", analyze)
+    text = "Your health insurance policy renewal: the premium is due by 2026-10-15. Policy number 7."
+    files = spark.range(0, 600, 1, 1).select(F.concat(F.lit("p"), F.col("id").cast("string"), F.lit(".eml")).alias("path"), F.lit(text).alias("content"), F.lit(None).cast("string").alias("modified"))
+    got = scan.scan(files, "2026-08-13")
+    assert got.judged.count() == 600
+    # the table of classified documents is one small file
+    for most in ({"TASK_DOCUMENTS": 60}, {"TASK_DOCUMENTS": 1 << 15, "TASK_BYTES": 60 * len(text)}):
+        for name, value in most.items():
+            monkeypatch.setattr(scan, name, value)
+        sizes = got._dealt(got._docs).rdd.glom().map(len).collect()
+        assert sum(sizes) == 600 and len(sizes) == 10 and max(sizes) <= 70
+
+
+def test_no_row_makes_a_set_of_terms_or_a_pattern_anew(spark):
+    from docketry.operators import relevance
+
+    plan = plan_of(relevance.classify(spark.createDataFrame([("a", "Pay by 2027-01-02.")], "path string, content string")))
+    assert "array_intersect" not in plan and "INSET" in plan
+    assert not re.search(r"RLIKE\([^,]+, element_at", plan, re.I)
+
+
 class _State:
     """A state store that counts its calls."""
 
