@@ -45,7 +45,9 @@ def event_files(commitments: DataFrame, stamp: str) -> DataFrame:
     """(name, block): a calendar of its own for each commitment with a date, named by its title's slug; titles that share one are numbered by date and id."""
     own = commitments.withColumn("_event", event(stamp)).filter("_event is not null")
     block = F.concat(_head(F.coalesce("title", F.lit("Commitment"))), "_event", F.lit(CRLF), F.lit(FOOT))
-    return numbered_names(own, file_slug(F.coalesce("title", F.lit(""))), ".ics", ["date", "id"]).select(F.col("file").alias("name"), block.alias("block"))
+    # what names and blocks are made of is not carried through the tables that number them
+    own = own.select("date", "id", file_slug(F.coalesce("title", F.lit(""))).alias("slug"), block.alias("block"))
+    return numbered_names(own, F.col("slug"), ".ics", ["date", "id"]).select(F.col("file").alias("name"), "block")
 
 
 def document_files(commitments: DataFrame, by: str = "source") -> DataFrame:

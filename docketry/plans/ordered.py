@@ -67,8 +67,8 @@ def calendar_files(spark, sf_dir):
     found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumns({"source_": F.col("source"), "id": F.col("path"), "source": F.col("document_id")})
     leads = horizon.bundle_items(found, TODAY).filter("leads").withColumn("source", F.col("source_"))
     folder = scratch_path(spark, "calendars")
-    sinks.write_files(exports.event_files(leads, "20260101T000000Z"), folder)
-    return sinks.read_files(spark, folder).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+    sinks.write_files(exports.event_files(leads, "20260101T000000Z"), folder, deep=True)
+    return sinks.read_files(spark, folder, deep=True).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
 
 
 _ROW = ORACLE_SQL["csv_export"].partition("SELECT path, ")[2].rpartition(" AS row FROM told")[0]
@@ -80,5 +80,5 @@ def document_files(spark, sf_dir):
     found = judged(spark, sf_dir).filter("rejected_as is null").drop("rejected_as").withColumn("id", F.col("path"))
     own = exports.document_files(spill(found.select("id", "document_id", "snippet", *exports.CSV_COLUMNS), "found"), by="document_id")  # heads and rows read it
     folder = scratch_path(spark, "tables")
-    sinks.write_files(own, folder, ["ord"])
-    return sinks.read_files(spark, folder).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+    sinks.write_files(own, folder, ["ord"], deep=True)
+    return sinks.read_files(spark, folder, deep=True).select("name", F.sha2(F.col("content").cast("binary"), 256).alias("content"))

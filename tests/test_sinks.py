@@ -53,3 +53,48 @@ def test_slugs_that_clash_are_numbered(spark):
     df = spark.createDataFrame([("Rent, due", 3), ("rent due", 1), ("Rent Due 2", 2), ("rent due", 2), (None, 9)], "title string, k int")
     got = {(r.title, r.k): r.file for r in sinks.numbered_names(df, exports.file_slug(F.coalesce("title", F.lit(""))), ".ics", ["k"]).collect()}
     assert got == {("rent due", 1): "rent-due.ics", ("rent due", 2): "rent-due_2.ics", ("Rent, due", 3): "rent-due_3.ics", ("Rent Due 2", 2): "rent-due-2.ics", (None, 9): "docketry-event.ics"}
+
+
+def test_a_deep_target_is_moved_by_the_folder_and_read_by_tasks(spark, tmp_path):
+    folder, rows = tmp_path / "out", [(f"f{i}.txt", 0, f"é{i}") for i in range(3000)] + [("f7.txt", 1, "-more"), ("empty.txt", 0, "")]
+    sinks.write_files(blocks(spark, rows), str(folder), ["ord"], deep=True)
+    want = {n: b for n, o, b in rows if o == 0} | {"f7.txt": "é7-more"}
+    found = [p for p in folder.rglob("*") if p.is_file()]
+    assert {p.name: p.read_text() for p in found} == want and len(found) == len(want)
+    assert {p.parent.name for p in found} == {p.name for p in folder.iterdir()} and all(p.parent.name == sinks.folder_of(p.name) for p in found)
+    got = sinks.read_files(spark, str(folder), deep=True)
+    assert {r.name: r.content for r in got.collect()} == want and got.count() == len(want)
+    # no more tasks for more files, and no list of them in the driver
+    assert got.rdd.getNumPartitions() == sinks.FOLDERS // sinks.TASK_FOLDERS and not got.inputFiles()
+    # into folders that are there: equal names are replaced, others stay
+    sinks.write_files(blocks(spark, [("f7.txt", 0, "new"), ("g.txt", 0, "g")]), str(folder), deep=True)
+    assert {r.name: r.content for r in sinks.read_files(spark, str(folder), deep=True).collect()} == want | {"f7.txt": "new", "g.txt": "g"}
+    sinks.write_files(blocks(spark, [("only.txt", 0, "x")]), str(folder), mode="overwrite", deep=True)
+    assert [(r.name, r.content) for r in sinks.read_files(spark, str(folder), deep=True).collect()] == [("only.txt", "x")]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_new_deep_target_takes_a_move_a_folder(tmp_path):
+    from pyarrow import fs
+
+    class Counting:
+        def __init__(self):
+            self.own, self.moves = fs.LocalFileSystem(), 0
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def move(self, *paths):
+            self.moves += 1
+            self.own.move(*paths)
+
+    writer, system = sinks.FilesWriter(str(tmp_path / "out"), False, deep=True), Counting()
+    names = sorted((f"f{i}.txt" for i in range(5000)), key=sinks.folder_of)
+    message = writer.write(iter([(n, n) for n in names]))
+    before = sinks.filesystem
+    try:
+        sinks.filesystem = lambda uri: (system, uri)
+        writer.commit([message, None])
+    finally:
+        sinks.filesystem = before
+    assert system.moves <= sinks.FOLDERS + 1 and len(list((tmp_path / "out").glob("*/*.txt"))) == 5000
