@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from docketry.functions.fixed_values import DAY_MONTH, ISO, MONTH_DAY, MONTH_NAMES, MOST_UNITS, NUMERIC, RELATIVE, TODAY, TOMORROW
 from docketry.functions.terms import mapping
-from docketry.functions.text import let, spans
+from docketry.functions.text import contains_any, let, spans
 
 #: Every mention of a date has a digit or one of two words in it.
 MAY_HAVE_DATE = "(?i)[0-9]|today|tomorrow"
+#: ISO with a look ahead, as a character costs less to look at than an edge of words.
+_ISO = "(?=2)" + ISO
+_MONTH_STARTS = tuple(dict.fromkeys(m[:3] for m in MONTH_NAMES))
 HIT = "array<struct<value:date,raw:string,start:int,end:int,quality:double,ambiguous:boolean,prio:int>>"
 
 
@@ -46,11 +49,12 @@ def next_occurrence(month: Column, day: Column, anchor: Column) -> Column:
 def anchor_of(modified: Column, today: Column) -> Column:
     """The date part of an ISO time as it is written, else today."""
     shape = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
-    return F.coalesce(F.when(modified.rlike(shape), F.call_function("try_to_date", F.substring(modified, 1, 10), F.lit("yyyy-MM-dd"))), today)
+    # there is no year 0
+    return F.coalesce(F.when(modified.rlike(shape) & ~modified.startswith("0000"), F.substring(modified, 1, 10).try_cast("date")), today)
 
 
-def _hits(text: Column, pattern: str, prio: int, parse, groups: int) -> Column:
-    """parse(groups of the match) -> (value, quality, ambiguous)."""
+def _hits(text: Column, pattern: str, prio: int, parse, groups: int, low: Column, parts: tuple[str, ...]) -> Column:
+    """parse(groups of the match) -> (value, quality, ambiguous). The pattern is tried only where the (lower-case) text has one of the parts."""
 
     def hit(x):
         def built(g):
@@ -60,19 +64,15 @@ def _hits(text: Column, pattern: str, prio: int, parse, groups: int) -> Column:
         # each group is cut out once, however often it is looked at
         return let(F.struct(F.lit(0).alias("g0"), *(F.regexp_extract(x["raw"], pattern, k).alias(f"g{k}") for k in range(1, groups + 1))), built)
 
-    return F.transform(spans(text, pattern), hit).cast(HIT)
+    return F.when(contains_any(low, parts), F.transform(spans(text, pattern, likely=pattern == _ISO), hit).cast(HIT)).otherwise(F.array().cast(HIT))
 
 
 def _int(group: Column) -> Column:
     return F.nullif(group, F.lit("")).cast("int")
 
 
-def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Column:
-    """All date mentions as structs, from left to right.
-
-    Kinds are tried in order (year first, named months, numeric, relative, day words); a mention that overlaps one
-    found earlier is dropped, and an impossible date takes no room. text must hold no U+0001 or U+0002.
-    """
+def possible_dates(text: Column, anchor: Column, month_first: bool = False) -> Column:
+    """All that looks like a date, as structs, by kind; those without a value are no dates. text must hold no U+0001 or U+0002."""
     no, yes = F.lit(False), F.lit(True)
 
     def iso(year, month, day):
@@ -93,11 +93,18 @@ def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Colum
         value = F.when(business != "", add_business_days(anchor, n)).when(unit == "day", F.date_add(anchor, n)).when(unit == "week", F.date_add(anchor, n * 7)).otherwise(F.add_months(anchor, n))
         return value, F.lit(0.66), no
 
+    low = F.lower(text)
+    # the last of each is what stands in every match, which costs a fraction of its pattern to look for
     kinds = [
-        (ISO, iso, 3), (MONTH_DAY, named, 3), (DAY_MONTH, lambda day, month, year: named(month, day, year), 3), (NUMERIC, numeric, 3), (RELATIVE, relative, 3),
-        (TODAY, lambda: (anchor, F.lit(0.58), no), 0), (TOMORROW, lambda: (F.date_add(anchor, 1), F.lit(0.58), no), 0),
+        (_ISO, iso, 3, ("20",)), (MONTH_DAY, named, 3, _MONTH_STARTS), (DAY_MONTH, lambda day, month, year: named(month, day, year), 3, _MONTH_STARTS), (NUMERIC, numeric, 3, ("/20", ".20", "-20")), (RELATIVE, relative, 3, ("day", "week", "month")),
+        (TODAY, lambda: (anchor, F.lit(0.58), no), 0, ("today",)), (TOMORROW, lambda: (F.date_add(anchor, 1), F.lit(0.58), no), 0, ("tomorrow",)),
     ]
-    every = F.filter(F.concat(*(_hits(text, p, i, parse, groups) for i, (p, parse, groups) in enumerate(kinds))), lambda x: x["value"].isNotNull())
+    return F.concat(*(_hits(text, p, i, parse, groups, low, parts) for i, (p, parse, groups, parts) in enumerate(kinds)))
+
+
+def dates_in_order(possible: Column) -> Column:
+    """Dates of possible_dates() from left to right. Kinds are tried in order (year first, named months, numeric, relative, day words);
+    a mention that overlaps one found earlier is dropped, and an impossible date takes no room."""
 
     def keep(acc, x):
         return F.when(F.exists(acc, lambda o: (x["start"] < o["end"]) & (x["end"] > o["start"])), acc).otherwise(F.concat(acc, F.array(x)))
@@ -107,7 +114,12 @@ def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Colum
         placed = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["prio"].alias("prio"), x.alias("hit"))))
         return F.when(F.size(found) < 2, found).otherwise(F.transform(placed, lambda x: x["hit"]))
 
-    return let(every, in_order)
+    return let(F.filter(possible, lambda x: x["value"].isNotNull()), in_order)
+
+
+def find_dates(text: Column, anchor: Column, month_first: bool = False) -> Column:
+    """All date mentions as structs, from left to right. text must hold no U+0001 or U+0002."""
+    return dates_in_order(possible_dates(text, anchor, month_first))
 
 
 #: Dates of statement rows, day first whatever the order elsewhere: numeric with one kind of separator, year first, or with a month's name.

@@ -245,6 +245,10 @@ PERIODICITY = r"(?i)(?U:\b)(monthly|per(?U:\s+)month|/mo|p\.m\.|annually|per(?U:
 NOTICE = r"(?i)(?:at(?U:\s+)least|within|requires?|give|prior(?U:\s+)to|notice(?U:\s+)of)?(?U:\s*)([0-9]{1,3})(?U:\s*)(?:business(?U:\s+))?(day|week|month)s?(?U:\s*)(?:prior|before|advance|notice)"
 STATEMENT_ROW = r"^\s*(?:[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|20[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2})"
 
+# What is in every line that has a date of its own, of any shape that statements' dates have, between marks that may part cells.
+_CELL_EDGE = r"[|\t,\"]|(?U:\s){2}"
+DATED_CELL = rf"(?i)(?:^|{_CELL_EDGE})(?U:\s*)(?:[0-9]{{1,4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,4}}|[0-9]{{1,2}}(?U:\s+)[a-z]{{3}}(?U:\s+)[0-9]{{2,4}}|[0-9]{{5}}(?:\.0+)?)(?U:\s*)(?:$|{_CELL_EDGE})"
+
 # Marks of credits and debits in rows without a header.
 FLAG = r"(?i)^(?:CR|DR|CREDIT|DEBIT)$"
 FLAGGED = r"(?i)^(?U:\s*)([^A-Za-z]*[0-9][^A-Za-z]*)(?U:\s*)(CR|DR|CREDIT|DEBIT)(?U:\s*)$"

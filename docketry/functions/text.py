@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import fixed_values as V
+from docketry.functions.terms import strings, whole_words
 from docketry.functions.terms import found as terms_found
-from docketry.functions.terms import grams, strings
 
 #: Line ends as str.splitlines() sees them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-#: Word characters and white space of all scripts, as Python's \w, \b and \s.
-NOT_AFTER, NOT_BEFORE, EDGE, SPACES = r"(?<!(?U:\w))", r"(?!(?U:\w))", r"(?U:\b)", r"(?U)\s+"
+#: Word characters and white space of all scripts, as Python's \w and \s.
+NOT_AFTER, NOT_BEFORE, SPACES = r"(?<!(?U:\w))", r"(?!(?U:\w))", r"(?U)\s+"
 PAGE_LINE = r"^\[\[PAGE:([0-9]+)\]\]$"
 
 
@@ -30,18 +30,9 @@ def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return own.select(*(c for c in own.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
 
 
-def quoted(term: str) -> str:
-    return r"\Q" + term + r"\E"
-
-
-def bounded(terms) -> str:
-    """A pattern that matches any of the terms as whole words."""
-    return NOT_AFTER + "(?:" + "|".join(quoted(t) for t in sorted(terms, key=len, reverse=True)) + ")" + NOT_BEFORE
-
-
 def has_any(text: Column, terms) -> Column:
     """Whether any of the terms is in text as whole words."""
-    return text.rlike(bounded(terms))
+    return text.rlike(whole_words(terms))
 
 
 def contains_any(text: Column, parts) -> Column:
@@ -50,9 +41,15 @@ def contains_any(text: Column, parts) -> Column:
     return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
 
 
+def single_spaced(text: Column) -> Column:
+    """White space of any kind and length becomes one space."""
+    # most texts have single spaces alone, and looking for others costs less than replacing each
+    return F.when(text.rlike(r"(?U)  |[\s&&[^ ]]"), F.regexp_replace(text, SPACES, " ")).otherwise(text)
+
+
 def squeeze(text: Column) -> Column:
     """White space of any kind and length becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.trim(single_spaced(text))
 
 
 def clean(text: Column) -> Column:
@@ -64,11 +61,12 @@ def clean(text: Column) -> Column:
 def sample(text: Column, tokens: int = V.SAMPLE_TOKENS) -> Column:
     """The text up to the end of its tokens-th token; the whole text if it has no more."""
     head = F.regexp_extract(text, r"^((?s:(?U:\s*(?:\S+\s+){0,%d}\S+)))" % (tokens - 1), 1)
-    return F.when(F.regexp_count(text, F.lit(r"(?U)\S+")) <= tokens, text).otherwise(head)
+    # one token more takes 2 * tokens + 1 characters at least
+    return F.when((F.length(text) <= 2 * tokens) | (F.regexp_count(text, F.lit(r"(?U)\S+")) <= tokens), text).otherwise(head)
 
 
 def file_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column) -> Column:
@@ -91,8 +89,10 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start int, raw string>> of all matches, from left to right; text must hold no U+0001 or U+0002."""
+def spans(text: Column, pattern: str, likely: bool = False) -> Column:
+    """array<struct<start int, raw string>> of all matches, from left to right; text must hold no U+0001 or U+0002.
+
+    likely: most texts match, so that it isn't tested beforehand."""
     marked = F.split(F.regexp_replace(text, "(" + pattern + ")", "\u0001$1\u0002"), "\u0001", -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,raw:string>>").alias("found"))
 
@@ -102,12 +102,17 @@ def spans(text: Column, pattern: str) -> Column:
         found = F.when(hit, F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), raw.alias("raw"))))).otherwise(acc["found"])
         return F.struct((acc["at"] + F.length(x) - hit.cast("int")).alias("at"), found.alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(marked, start, step, lambda acc: acc["found"])).otherwise(F.array().cast("array<struct<start:int,raw:string>>"))
+    def placed(m):
+        one = F.struct(F.length(F.get(m, 0)).alias("start"), F.substring_index(F.get(m, 1), "\u0002", 1).alias("raw"))
+        return F.when(F.size(m) == 2, F.array(one)).otherwise(F.aggregate(m, start, step, lambda acc: acc["found"]))
+
+    matches = let(marked, placed)
+    return matches if likely else F.when(text.rlike(pattern), matches).otherwise(F.array().cast("array<struct<start:int,raw:string>>"))
 
 
 def nearest(text: Column, at: Column, words) -> Column:
     """struct<distance int, ord int, word string> of the whole word nearest to position at; ties go to the first
-    in the list; null if there is none (just where has_any(text, words) is false)."""
+    in the list; null if there is none."""
 
     def found(own):
         low, place = own["text"], own["at"]
@@ -129,10 +134,9 @@ def nearest(text: Column, at: Column, words) -> Column:
             best = let(F.instr(low, w), lambda first: F.when(F.call_function("locate", w, low, first + 1) == 0, distance(first - 1)).otherwise(all_))
             return F.struct(best.alias("distance"), (F.array_position(strings(words), w).cast("int") - 1).alias("ord"), w.alias("word"))
 
-        return F.array_min(F.transform(terms_found(grams(low), words), closest))
+        return F.array_min(F.transform(terms_found(low, words), closest))
 
-    # the pattern first: most texts have none of the words
-    return F.when(has_any(text, words), let(F.struct(text.alias("text"), at.alias("at")), found))
+    return let(F.struct(text.alias("text"), at.alias("at")), found)
 
 
 def first_of(text: Column, groups: dict, default: Column) -> Column:

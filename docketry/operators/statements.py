@@ -18,6 +18,10 @@ from docketry.functions.text import LINE_END, contains_any
 from docketry.sources.shared import spill
 
 
+#: Statements of fewer transactions have no summary.
+MIN_ROWS = 2
+
+
 # ---- single rows
 
 def delimiter_of(line: Column) -> Column:
@@ -202,7 +206,7 @@ def balance_pairs(tx: DataFrame) -> DataFrame:
     return neighbours(tx.select("statement_id", "ord", "amount", "tx_type", "balance"), F.col("balance"), follows, "statement_id").withColumnRenamed("agreed", "balanced")
 
 
-def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2) -> DataFrame:
+def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row a statement: totals, dates, balances and their verification.
 
     named: (statement_id, opening, closing, currency) from the text, if there is text. Balances not named are derived from the first and last
@@ -238,6 +242,20 @@ def summarize(tx: DataFrame, named: DataFrame | None = None, min_rows: int = 2)
     )
 
 
+def with_summary(statements: DataFrame) -> DataFrame:
+    """statement_id of those of (statement_id, content) that analyze() gives a summary."""
+    own = distinct_transactions(parse_rows(rows_of(statements))).groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"))
+    return own.filter(F.col("n") >= MIN_ROWS).select("statement_id")
+
+
+def promising(statements: DataFrame) -> DataFrame:
+    """Those of (statement_id, content) that have as many lines with a cell that may be a date as a summary takes transactions: a look at
+    each line, in front of the tables that parsing takes."""
+    n = F.size(F.filter(F.split(F.coalesce("content", F.lit("")), LINE_END), lambda x: x.rlike(V.DATED_CELL)))
+    own = statements.groupBy("statement_id").agg(F.sum(n).alias("n")).filter(F.col("n") >= MIN_ROWS)
+    return statements.join(own.select("statement_id"), "statement_id", "left_semi")
+
+
 def named_balances(statements: DataFrame, default_currency: str = "$") -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     return statements.select("statement_id", named_amount(text, "opening balance").alias("opening"), named_amount(text, "closing balance").alias("closing"), currency_of(text, default_currency).alias("currency"))
